@@ -380,8 +380,10 @@ def brute_secrets(text):
     return [f"{k}:{a}:{b}" for a, _, k, b in sorted(spans)]
 
 
-def test_secrets_equal_brute_force(spark, sf_dir, texts):
-    rows = queries.op9_secret_scans(spark, sf_dir).collect()
+def test_secrets_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op9_secret_scans(spark, sf).collect()
     assert len(rows) == len(texts) and sum(r["n_assign"] for r in rows) > 0
     for r in rows:
         expected = brute_secrets(texts[r["doc_id"]])
