@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,8 +81,13 @@ class Counter:
         A chunk that is not the first starts at a blank, which the library puts before it anyway.
         """
         skipped = 1 if start else 0
-        out = self.pieces.encode(text[start + skipped : end], out_type="immutable_proto")
-        return [max(start, start + skipped + p.begin) if i else start for i, p in enumerate(out.pieces)]
+        part = text[start + skipped : end]
+        out = self.pieces.encode(part, return_type="proto")
+        raw = np.frombuffer(part.encode("utf-8", "surrogatepass"), np.uint8)
+        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # the library's offsets are bytes
+        begins = points[[p.begin for p in out.pieces]] + start + skipped
+        begins[:1] = start
+        return begins.tolist()
 
     def _spliced(self, text: str) -> int:
         """Chunks overlap; a splice is the last proven boundary in the overlap at which both encodings
