@@ -1 +1 @@
-"""Part of the engine; see the package README."""
+"""Column expressions and small numeric functions shared by the operators."""

@@ -1 +1 @@
-"""Part of the engine; see the package README."""
+"""The engine's operators: every one takes DataFrames and gives lazy DataFrames in frozen results."""
