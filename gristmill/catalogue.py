@@ -676,10 +676,10 @@ def lifecycle_config(**changes: object) -> lifecycle.LifecycleConfig:
 _W = "PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
 
 
-@query(f"SELECT event_id, round(last_value(value) OVER w, 4) AS prior_value, round(value - last_value(value) OVER w, 4) AS change, round(avg(value) OVER w, 9) AS history_mean, CASE WHEN count(value) OVER w >= 2 THEN round(regr_slope(value, x) OVER w * 86400, 3) END AS trend_per_day FROM (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1e6 AS x FROM events) WINDOW w AS ({_W})")
+@query(f"SELECT event_id, round(last_value(value) OVER w, 4) AS prior_value, round(value - last_value(value) OVER w, 4) AS change, round(avg(value) OVER w, 9) AS history_mean, CASE WHEN count(value) OVER w >= 2 THEN round(regr_slope(value, x) OVER w * 86400, 3) + 0.0 END AS trend_per_day FROM (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1e6 AS x FROM events) WINDOW w AS ({_W})")
 def lifecycle_signals(spark, sf_dir):
     out = lifecycle.signals(event_panel(spark, sf_dir), lifecycle_config())
-    return out.select("event_id", *[F.round(c, 4).alias(c) for c in ("prior_value", "change")], F.round("history_mean", 9).alias("history_mean"), F.round(F.col("trend") * 86400, 3).alias("trend_per_day"))
+    return out.select("event_id", *[F.round(c, 4).alias(c) for c in ("prior_value", "change")], F.round("history_mean", 9).alias("history_mean"), (F.round(F.col("trend") * 86400, 3) + F.lit(0.0)).alias("trend_per_day"))
 
 
 @query("SELECT event_id, round(CASE WHEN ts > TIMESTAMP '2024-01-10' THEN value - m END, 4) AS peer_deviation FROM events LEFT JOIN (SELECT event_type, avg(value) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-01-10' GROUP BY 1 HAVING count(*) >= 2) USING (event_type)")

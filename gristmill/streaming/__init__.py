@@ -1 +1 @@
-"""Part of the engine; see the package README."""
+"""Streaming twins of the monitoring operators."""
