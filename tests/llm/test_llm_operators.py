@@ -406,7 +406,7 @@ def test_secret_rules_on_made_up_texts(spark, odd):
     by = {r["doc_id"]: r["s"].split(",") if r["s"] else [] for r in out}
     for i, t in enumerate(cases):
         assert [x for x in by[i] if x.split(":")[0] in PATTERNS] == brute_secrets(t)
-    assert {x.split(":")[0] for x in by[3]} == {"pem", "github", "slack", "google", "jwt"}
+    assert {x.split(":")[0] for x in by[3]} - set(PATTERNS) == {"pem", "github", "slack", "google", "jwt"}
     assert by[99] == [] and by[None] == by[0]
     assert secrets.scan(odd).count() == len(ODD) and secrets.scan(odd.limit(0)).count() == 0
 
