@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import infinite, is_categorical, is_floating, is_numeric, present, ratio, sample_skewness
 from ..functions.special import chi2_sf, pearson_p
 from ..plans.ordered import average_ranks
+from ..plans.quantiles import quantiles
 from ..plans.shapes import check_columns, small, tall
 
 # Limits of the analyses.
@@ -57,13 +58,14 @@ def numeric_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
     cells = {}
     for name in names:
         c = present(name, kinds[name]).cast("double")
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         zero = F.count_if(c == 0)
         cells[name] = {
             "count": F.count(c), "missing": F.count(F.lit(1)) - F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c),
-            "q25": q[0], "median": q[1], "q75": q[2], "max": F.max(c), "skew": sample_skewness(c), "zero_count": zero, "zero_rate": ratio(zero, F.count(c)),
+            "max": F.max(c), "skew": sample_skewness(c), "zero_count": zero, "zero_rate": ratio(zero, F.count(c)),
         }
-    return tall(df, cells)
+    middle = quantiles(df, {n: present(n, kinds[n]) for n in names}).toDF("column", "q25", "median", "q75")
+    joined = tall(df, cells).join(F.broadcast(middle), "column")  # a row a column
+    return joined.select("position", "column", "count", "missing", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "zero_count", "zero_rate")
 
 
 def analyze_numeric_features(df: DataFrame, *, columns: Sequence[str] | None = None) -> NumericAnalysis:
@@ -220,15 +222,12 @@ def detect_outliers(df: DataFrame, *, columns: Sequence[str] | None = None, meth
         empty = df.limit(0).select(*key, F.lit("").alias("column"), F.lit(0.0).alias("value"), F.lit("").alias("side"))
         none = small(df.sparkSession, [], "column string, q25 double, q75 double, iqr double, lower double, upper double, outlier_count long, outlier_rate double")
         return OutlierAnalysis(seen["n"], tuple(names), (), tuple(skipped), skipped, method, threshold, none, empty)
-    cells = {}
-    for n in kept:
-        q = F.percentile(present(n, kinds[n]).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-        cells[n] = {"q25": q[0], "q75": q[1]}
-    bounds = tall(df, cells).withColumn("iqr", F.col("q75") - F.col("q25")).withColumn("lower", F.col("q25") - threshold * F.col("iqr")).withColumn("upper", F.col("q75") + threshold * F.col("iqr"))
+    bounds = quantiles(df, {n: present(n, kinds[n]) for n in kept}, (0.25, 0.75)).toDF("column", "q25", "q75")
+    bounds = bounds.withColumn("iqr", F.col("q75") - F.col("q25")).withColumn("lower", F.col("q25") - threshold * F.col("iqr")).withColumn("upper", F.col("q75") + threshold * F.col("iqr"))
     values = df.select(*key, F.explode(F.array(*[F.struct(F.lit(n).alias("column"), present(n, kinds[n]).cast("double").alias("value")) for n in kept])).alias("c")).select(*key, "c.*")
     joined = values.where("value is not null").join(F.broadcast(bounds), "column")  # a row a column
     out = joined.where("value < lower or value > upper").select(*key, "column", "value", F.when(F.col("value") < F.col("lower"), "low").otherwise("high").alias("side"))
-    counted = joined.groupBy("position", "column", "q25", "q75", "iqr", "lower", "upper").agg(F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("outlier_count"), F.count(F.lit(1)).alias("n"))
+    counted = joined.groupBy("column", "q25", "q75", "iqr", "lower", "upper").agg(F.count_if((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).alias("outlier_count"), F.count(F.lit(1)).alias("n"))
     summary = counted.select("column", "q25", "q75", "iqr", "lower", "upper", "outlier_count", ratio(F.col("outlier_count"), F.col("n")).alias("outlier_rate"))
     return OutlierAnalysis(seen["n"], tuple(names), tuple(kept), tuple(skipped), skipped, method, threshold, summary, out)
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_datetime, is_floating, is_numeric, present
-from ..plans.shapes import check_columns, small
+from ..plans.quantiles import quantiles
+from ..plans.shapes import check_columns, small, tall
 
 # Logical types, thresholds and name signals of schema inference.
 LOGICAL_TYPES = ("numeric", "categorical", "datetime", "boolean", "text", "identifier", "unknown")
@@ -180,14 +181,12 @@ def summarize_dataframe(df: DataFrame, *, schema: SchemaReport | None = None) ->
     base = schema_table(df, report)
     stats = "min double, max double, mean double, std double, q25 double, median double, q75 double"
     if numeric:
-        from ..plans.shapes import tall
-
         figures = {}
         for name in numeric:
             c = present(name, kinds[name]).cast("double")
-            q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            figures[name] = {"min": F.min(c), "max": F.max(c), "mean": F.avg(c), "std": F.stddev_samp(c), "q25": q[0], "median": q[1], "q75": q[2]}
-        extra = tall(df, figures).drop("position")
+            figures[name] = {"min": F.min(c), "max": F.max(c), "mean": F.avg(c), "std": F.stddev_samp(c)}
+        middle = quantiles(df, {n: present(n, kinds[n]) for n in numeric}).toDF("column", "q25", "median", "q75")
+        extra = tall(df, figures).drop("position").join(F.broadcast(middle), "column")  # a row a column
     else:
         extra = small(df.sparkSession, [], f"column string, {stats}")
     joined = base.join(F.broadcast(extra), "column", "left")

@@ -11,6 +11,7 @@ from gristmill.functions.special import chi2_sf, pearson_p
 from gristmill.operators import analysis, governance, lifecycle, metrics, modeling, plotdata, profile, quality, strategy
 from gristmill.plans.conditions import Condition, compile_condition, within_window
 from gristmill.plans.ordered import average_ranks, running_sums
+from gristmill.plans.quantiles import quantiles
 
 
 def test_tail_probabilities():
@@ -87,6 +88,17 @@ def test_ranks_do_not_depend_on_partitions(spark):
         assert {r["v"]: r["n_upto"] for r in up.collect()} == {v: sum(x >= v for x in values) for v in set(values)}
 
 
+def test_quantiles_agree_in_both_forms(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, 1.0, 2.0]), rng.gauss(0, 1), None) for _ in range(501)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    columns, wanted = {n: F.col(n) for n in "abc"}, (0.0, 0.1, 0.25, 0.5, 1.0)
+    one, many = ({r["column"]: r for r in quantiles(df, columns, wanted, distributed=d).collect()} for d in (False, True))
+    assert one["c"]["q0"] is None and many["c"]["q0"] is None
+    for n in "ab":
+        assert [many[n][f"q{i}"] for i in range(5)] == pytest.approx([one[n][f"q{i}"] for i in range(5)])
+
+
 def test_spearman_is_pairwise_complete(spark):
     df = spark.createDataFrame([(1.0, 10.0), (2.0, None), (3.0, 30.0), (4.0, 20.0), (None, 5.0), (5.0, 50.0)], "a double, b double")
     out = g.compute_correlations(df, method="spearman").correlations.first()
