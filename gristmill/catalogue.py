@@ -886,3 +886,68 @@ def plot_missing_rates(spark, sf_dir):
     return rounded(plotdata.missing_rates(labelled(spark, sf_dir).select(*_AUDITED)), 6)
 
 
+
+
+# ---- further audit and monitoring --------------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT source IN ('src0', 'src1', 'src2', 'src3') AS early, CASE WHEN quality IS NULL THEN '1' ELSE '0' END || CASE WHEN toxic IS NULL THEN '1' ELSE '0' END AS pattern FROM {LABELLED})
+SELECT pattern, count(*) FILTER (early) AS reference_rows, count(*) FILTER (NOT early) AS current_rows, round(count(*) FILTER (NOT early) / (SELECT count(*) FROM s WHERE NOT early) - count(*) FILTER (early) / (SELECT count(*) FROM s WHERE early), 6) AS rate_change FROM s GROUP BY 1""")
+def audit_missing_pattern_drift(spark, sf_dir):
+    df = labelled(spark, sf_dir)
+    early = F.col("source").isin("src0", "src1", "src2", "src3")
+    return rounded(audit.pattern_drift(df.where(early), df.where(~early), ["quality", "toxic"]), 6)
+
+
+@query("SELECT 'o_custkey' AS \"column\", 'numeric' AS reference_type, 'identifier' AS current_type")
+def audit_logical_drift(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus")
+    once = orders.groupBy("o_custkey").agg(F.min("o_orderstatus").alias("o_orderstatus"))
+    return audit.logical_drift(orders, once)
+
+
+@query("SELECT 'c_name' AS \"column\", 'audit_input_dtype_mismatch' AS reason, CAST(0 AS BIGINT) AS count UNION ALL SELECT 'c_mktsegment', 'datetime_role_mismatch', 0 UNION ALL SELECT 'c_acctbal', 'negative_exposure', count(*) FILTER (c_acctbal < 0) FROM customer HAVING count(*) FILTER (c_acctbal < 0) > 0")
+def audit_role_findings(spark, sf_dir):
+    return audit.role_findings(table(spark, sf_dir, "customer"), exposure="c_acctbal", times=["c_mktsegment"], numeric=["c_name", "c_nationkey"])
+
+
+@query("SELECT event_id, 'base' AS scenario_key, 'high' AS rule_key, 1 AS alert_rank, CAST(1 AS BIGINT) AS hit_rules FROM events WHERE value >= 60 UNION ALL SELECT event_id, 'strict', CASE WHEN value >= 120 THEN 'higher' ELSE 'slow' END, CASE WHEN value >= 120 THEN 2 ELSE 1 END, CASE WHEN value >= 120 THEN 2 ELSE 1 END FROM events WHERE value >= 60")
+def lifecycle_primary_warnings(spark, sf_dir):
+    rows, config = matrix(spark, sf_dir)
+    return lifecycle.primary_warnings(rows, config)
+
+
+@query("SELECT value, first, row_number() OVER (ORDER BY first) - 1 AS ordinal FROM (SELECT o_orderpriority AS value, min(o_orderkey) AS first FROM orders GROUP BY 1)")
+def category_ordinals_orders(spark, sf_dir):
+    return lifecycle.category_ordinals(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(date_trunc('quarter', ts) AS DATE) AS quarter, count(*) AS n FROM events GROUP BY 1, 2, 3")
+def lifecycle_time_buckets(spark, sf_dir):
+    t = F.col("ts")
+    return event_panel(spark, sf_dir).groupBy(*[lifecycle.time_bucket(t, u).alias(u) for u in ("week", "month", "quarter")]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'purchase' AND ts <= TIMESTAMP '2024-01-31'), o AS (SELECT * FROM events WHERE ts + INTERVAL 2 DAY <= TIMESTAMP '2024-01-31'),
+t AS (SELECT count(*) AS events FROM p WHERE EXISTS (SELECT 1 FROM o WHERE o.user_id = p.user_id AND p.ts > o.ts AND p.ts < o.ts + INTERVAL 2 DAY)),
+m AS (SELECT count(*) AS captured, avg((epoch_us(event_time) - epoch_us(notification_time)) / 1e6) AS lead FROM ({_MATCHED})),
+h AS (SELECT count(*) AS mature_hits, count(*) FILTER (EXISTS (SELECT 1 FROM p WHERE p.user_id = o.user_id AND p.ts > o.ts AND p.ts < o.ts + INTERVAL 2 DAY)) AS good FROM o WHERE value >= 60)
+SELECT 'base' AS scenario_key, events, captured, round(captured / events, 6) AS recall, round(lead, 3) AS mean_lead_seconds, mature_hits, round(good / mature_hits, 6) AS precision FROM t, m, h"""
+)
+def lifecycle_event_summary(spark, sf_dir):
+    rows, config = matrix(spark, sf_dir)
+    df, rows = event_panel(spark, sf_dir), rows.where("rule_key = 'high'")
+    events = lifecycle.declared_events(df, config)
+    notes = lifecycle.notifications(lifecycle.machines(rows, config), config)
+    out = lifecycle.event_summary(events, lifecycle.event_matches(notes, events, config), lifecycle.observation_maturity(df, events, config), rows, config)
+    return out.withColumns({"recall": F.round("recall", 6), "mean_lead_seconds": F.round("mean_lead_seconds", 3), "precision": F.round("precision", 6)})
+
+
+@query("SELECT 'base' AS scenario_key, count(*) AS rows, round(sum(value), 2) AS exposure_sum, round(sum(0.25 * value * 0.4), 2) AS expected_loss_sum, round(sum(0.25 * value * 0.4) / sum(value), 6) AS expected_loss_rate FROM events WHERE value >= 60")
+def lifecycle_loss_summary(spark, sf_dir):
+    config = lifecycle_config()
+    df = event_panel(spark, sf_dir).withColumn("pd", F.lit(0.25)).withColumn("ead", F.col("value"))
+    rows = lifecycle.rule_matrix(df, config, ["pd", "ead"]).where("scenario_key = 'base'")
+    out = lifecycle.loss_summary(rows, config, "ead", 0.4, "pd")
+    return out.withColumns({"exposure_sum": F.round("exposure_sum", 2), "expected_loss_sum": F.round("expected_loss_sum", 2), "expected_loss_rate": F.round("expected_loss_rate", 6)})

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import finite, infinite, is_categorical, is_floating, is_numeric, present, ratio
+from ..functions.columns import finite, infinite, is_categorical, is_datetime, is_floating, is_numeric, present, ratio
 from ..plans.scopes import scoped
 from ..plans.shapes import check_columns, small, tall
 from .analysis import frequencies
+from .profile import infer_schema
 from .quality import duplicate_rows
 
 # Thresholds, and severities by finding.
@@ -196,6 +197,38 @@ def missing_drift(reference: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def pattern_drift(reference: DataFrame, current: DataFrame, columns: Sequence[str], max_patterns: int = MAX_PATTERNS) -> DataFrame:
+    """(pattern, reference_rows, current_rows, rate change): full outer join of both sides' patterns."""
+    a, b = (missing_patterns(x, columns, max_patterns).select("pattern", F.col("rows").alias(f"{n}_rows"), F.col("rate").alias(f"{n}_rate")) for x, n in ((reference, "reference"), (current, "current")))
+    out = a.join(b, "pattern", "full_outer").fillna(0, ["reference_rows", "current_rows", "reference_rate", "current_rate"])
+    return out.select("pattern", "reference_rows", "current_rows", (F.col("current_rate") - F.col("reference_rate")).alias("rate_change"))
+
+
+def logical_drift(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """(column, reference_type, current_type): common columns whose inferred logical type changed."""
+    a, b = ({c.name: c.logical_type for c in infer_schema(x).columns} for x in (reference, current))
+    rows = [(c, a[c], b[c]) for c in a if c in b and a[c] != b[c]]
+    return small(current.sparkSession, rows, "column string, reference_type string, current_type string")
+
+
+def role_findings(df: DataFrame, *, exposure: str | None = None, score: str | None = None, times: Sequence[str] = (), numeric: Sequence[str] = ()) -> DataFrame:
+    """(column, reason, count): negative exposures, scores outside [0, 1], and columns of the wrong type for their role."""
+    kinds = _kinds(df)
+    rows = [(c, "datetime_role_mismatch", 0) for c in times if not is_datetime(kinds[c])]
+    rows += [(c, "audit_input_dtype_mismatch", 0) for c in numeric if not is_numeric(kinds[c])]
+    out = small(df.sparkSession, rows, "column string, reason string, count long")
+    cells = {}
+    if exposure and is_numeric(kinds[exposure]):
+        cells[f"{exposure}\0negative_exposure"] = {"count": F.count_if(present(exposure, kinds[exposure]) < 0)}
+    if score and is_numeric(kinds[score]):
+        x = present(score, kinds[score])
+        cells[f"{score}\0score_out_of_range"] = {"count": F.count_if((x < 0) | (x > 1))}
+    if not cells:
+        return out
+    found = tall(df, cells, "role").where("count > 0")
+    return out.unionByName(found.select(F.split("role", "\0")[0].alias("column"), F.split("role", "\0")[1].alias("reason"), "count"))
+
+
 def schema_drift(reference: DataFrame, current: DataFrame) -> DataFrame:
     """(column, change, reference_type, current_type): added, removed or retyped columns."""
     a, b = ({f.name: f.dataType.simpleString() for f in x.schema.fields} for x in (reference, current))

@@ -165,6 +165,54 @@ def rule_matrix(df: DataFrame, config: LifecycleConfig, keep: Sequence[str] = ()
     return base.select(config.entity, config.key, config.observed, *keep, "c.*")
 
 
+def primary_warnings(matrix: DataFrame, config: LifecycleConfig) -> DataFrame:
+    """(key, scenario, rule, rank): of an observation's true rules the one of highest rank, then first in order, then by key."""
+    best = F.min_by(F.struct("rule_key", "alert_rank"), F.struct(-F.col("alert_rank"), "rule_order", "rule_key"))
+    out = matrix.where("truth").groupBy(config.key, "scenario_key").agg(best.alias("b"), F.count(F.lit(1)).alias("hit_rules"))
+    return out.select(config.key, "scenario_key", F.col("b.rule_key").alias("rule_key"), F.col("b.alert_rank").alias("alert_rank"), "hit_rules")
+
+
+def category_ordinals(df: DataFrame, column: str, order_by: str) -> DataFrame:
+    """(value, first, ordinal): levels by first appearance, missing last.  A row a level: the levels' order is one task."""
+    first = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.min(order_by).alias("first"))
+    order = Window.orderBy(F.col("value").isNull(), "first")
+    return first.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
+
+
+def time_bucket(column: Column, unit: str) -> Column:
+    """Start of the day, ISO week, month or quarter, as a date."""
+    if unit not in PERIODS:
+        raise ValueError("invalid_period_unit")
+    return F.date_trunc(unit, column).cast("date")
+
+
+def event_summary(events: DataFrame, matches: DataFrame, maturity: DataFrame, matrix: DataFrame, config: LifecycleConfig) -> DataFrame:
+    """(scenario, events, captured, recall, mean_lead_seconds, mature_hits, precision): the warnings' back-test.
+
+    Mature events count: those that some mature observation's horizon could hold.  Precision is over
+    mature observations with a hit.
+    """
+    as_of = F.lit(config.analysis_as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    scenarios = matrix.select("scenario_key").distinct()
+    mature = matrix.select(F.col(config.entity), F.col(config.observed)).distinct().where(F.col(config.observed) + F.lit(config.horizon) <= as_of)
+    held = _binned(config, mature, F.col(config.observed), True).join(_binned(config, events, F.col("event_time"), False), [config.entity, "_bin"]).where(_inside(config, F.col("event_time"), F.col(config.observed)))
+    total = held.select(config.entity, "event_ordinal").distinct().agg(F.count(F.lit(1)).alias("events"))
+    captured = matches.groupBy("scenario_key").agg(F.count(F.lit(1)).alias("captured"), F.avg("lead_seconds").alias("mean_lead_seconds"))
+    hits = matrix.where("truth").select(config.key, "scenario_key").distinct().join(maturity.where("is_mature").select(config.key, "event_within_horizon"), config.key)
+    right = hits.groupBy("scenario_key").agg(F.count(F.lit(1)).alias("mature_hits"), F.count_if("event_within_horizon").alias("right_hits"))
+    out = scenarios.crossJoin(F.broadcast(total)).join(captured, "scenario_key", "left").join(right, "scenario_key", "left").fillna(0, ["captured", "mature_hits", "right_hits"])
+    return out.select("scenario_key", "events", "captured", ratio(F.col("captured"), F.col("events")).alias("recall"), "mean_lead_seconds", "mature_hits", ratio(F.col("right_hits"), F.col("mature_hits")).alias("precision"))
+
+
+def loss_summary(matrix: DataFrame, config: LifecycleConfig, exposure: str, loss_fraction: float, probability: str) -> DataFrame:
+    """(scenario, rows, exposure_sum, expected_loss_sum, expected_loss_rate) over the observations with a hit; a missing component makes a sum null."""
+    rows = matrix.where("truth").groupBy(config.key, "scenario_key").agg(F.first(exposure).alias("e"), F.first(probability).alias("p"))
+    whole = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
+    loss = F.col("p") * F.col("e") * F.lit(loss_fraction)
+    out = rows.groupBy("scenario_key").agg(F.count(F.lit(1)).alias("rows"), whole(F.col("e")).alias("exposure_sum"), whole(loss).alias("expected_loss_sum"))
+    return out.withColumn("expected_loss_rate", ratio(F.col("expected_loss_sum"), F.col("exposure_sum")))
+
+
 _NOTE = "array<struct<ordinal:long,notification:long,kind:string,time:long,key:long>>"
 _EPISODE = "array<struct<ordinal:long,start:long,end:long,resolved:boolean,hits:long,notes:long,suppressed:long>>"
 _MACHINE = f"struct<t:long,f:long,open:boolean,ordinal:long,start:long,hits:long,notes:long,emitted:long,suppressed:long,seen:long,out:{_NOTE},done:{_EPISODE}>"

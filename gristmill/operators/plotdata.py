@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite, is_numeric, ratio
 from .analysis import CorrelationAnalysis, GroupComparison, OutlierAnalysis, TargetAnalysis, frequencies
 from .audit import missing_counts
+from .governance import GovernanceResult
+from .modeling import ModelEvaluation
+from .risk import BinaryRiskValidation
 
 MAX_BINS, TOP = 50, 20
 
@@ -77,3 +80,22 @@ def plot_group_comparison(result: GroupComparison) -> PlotData:
 
 def plot_target_relationships(result: TargetAnalysis) -> list[PlotData]:
     return [PlotData("bar", f"Tests against {result.target}", "target", result.target, result.statistical_tests), PlotData("line", "Numeric features by class", "target", None, result.numeric_details), PlotData("bar", "Categories by class", "target", None, result.category_details)]
+
+
+def plot_classification_evaluation(result: ModelEvaluation) -> list[PlotData]:
+    out = [PlotData("heatmap", "Confusion matrix", "evaluation", None, result.confusion_matrix)]
+    if result.roc_curve is not None:
+        out.append(PlotData("line", "ROC curve", "evaluation", None, result.roc_curve))
+    return out
+
+
+def plot_regression_evaluation(result: ModelEvaluation) -> list[PlotData]:
+    return [PlotData("bar", "Regression metrics", "evaluation", None, result.metrics)]
+
+
+def plot_binary_risk_validation(result: BinaryRiskValidation) -> list[PlotData]:
+    return [PlotData("bar", "Metrics by fold", "risk", None, result.metrics), PlotData("line", "Calibration", "risk", None, result.calibration), PlotData("line", "Gains", "risk", None, result.gains), PlotData("line", "Threshold rates", "risk", None, result.thresholds)]
+
+
+def plot_model_governance(result: GovernanceResult) -> list[PlotData]:
+    return [PlotData("bar", "Champion and challenger", "governance", None, result.comparison), PlotData("table", "Recommendation", "governance", None, result.recommendation)]
