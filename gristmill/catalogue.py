@@ -551,7 +551,7 @@ def strategy_config() -> strategy.DecisionStrategyConfig:
             rule("frequent", "decision", 2, Condition(operator="ge", left="orders", right=12), "accept", stop_on_hit=False),
             rule("risky", "decision", 3, Condition(operator="ge", left="score", right=0.8), "check"),
         ),
-        "accept", "check", (("accept", "select"), ("check", "review"), ("decline", "reject")),
+        "accept", "check", (("accept", "selected"), ("check", "review"), ("decline", "rejected")),
         constraints=(strategy.DecisionConstraint("few_declined", "row_rate", "le", 0.2, "decline"), strategy.DecisionConstraint("enough_accepted", "row_rate", "ge", 0.9, "accept")),
         historical_action_column="c_nationkey", historical_action_mapping=((0, "accept"), (1, "accept"), (2, "decline"), (3, "check")),
         outcome_column="late", probability_column="score", exposure_column="c_acctbal", loss_fraction=0.4, segment_columns=("c_mktsegment",),
@@ -606,7 +606,7 @@ def strategy_action_summary(spark, sf_dir):
 
 
 @query(
-    f"""WITH r AS (SELECT CASE final_action_name WHEN 'accept' THEN 'select' WHEN 'check' THEN 'review' ELSE 'reject' END AS role, late, score FROM {_DECIDED}),
+    f"""WITH r AS (SELECT CASE final_action_name WHEN 'accept' THEN 'selected' WHEN 'check' THEN 'review' ELSE 'rejected' END AS role, late, score FROM {_DECIDED}),
 g AS (SELECT CASE WHEN role IS NULL THEN 'overall' ELSE 'role' END AS scope, role, count(*)::DOUBLE AS n, avg(late) AS e, avg(score) AS s FROM r GROUP BY GROUPING SETS ((), (role)))
 SELECT scope, role, 'row_count' AS metric, n AS value FROM g UNION ALL SELECT scope, role, 'row_rate', round(n / (SELECT n FROM g WHERE scope = 'overall'), 4) FROM g UNION ALL SELECT scope, role, 'event_rate', round(e, 4) FROM g UNION ALL SELECT scope, role, 'mean_probability', round(s, 4) FROM g"""
 )

@@ -161,15 +161,15 @@ def rule_matrix(df: DataFrame, config: LifecycleConfig, keep: Sequence[str] = ()
                     F.lit(r.persistence).alias("persistence"), F.lit(r.resolution).alias("resolution"), F.lit(_us(r.cooldown)).alias("cooldown"), v.truth.alias("truth"), v.status.alias("status"), v.reason.alias("reason"),
                 )
             )
-    base = df.select(F.col(config.entity), F.col(config.key), F.col(config.observed), *keep, F.explode(F.array(*cells)).alias("c"))
-    return base.select(config.entity, config.key, config.observed, *keep, "c.*")
+    base = df.select(F.col(config.entity), F.col(config.key), F.col(config.observed), *keep, F.explode(F.array(*cells)).alias("_c"))
+    return base.select(config.entity, config.key, config.observed, *keep, "_c.*")
 
 
 def primary_warnings(matrix: DataFrame, config: LifecycleConfig) -> DataFrame:
     """(key, scenario, rule, rank): of an observation's true rules the one of highest rank, then first in order, then by key."""
     best = F.min_by(F.struct("rule_key", "alert_rank"), F.struct(-F.col("alert_rank"), "rule_order", "rule_key"))
-    out = matrix.where("truth").groupBy(config.key, "scenario_key").agg(best.alias("b"), F.count(F.lit(1)).alias("hit_rules"))
-    return out.select(config.key, "scenario_key", F.col("b.rule_key").alias("rule_key"), F.col("b.alert_rank").alias("alert_rank"), "hit_rules")
+    out = matrix.where("truth").groupBy(config.key, "scenario_key").agg(best.alias("_b"), F.count(F.lit(1)).alias("hit_rules"))
+    return out.select(config.key, "scenario_key", F.col("_b.rule_key").alias("rule_key"), F.col("_b.alert_rank").alias("alert_rank"), "hit_rules")
 
 
 def category_ordinals(df: DataFrame, column: str, order_by: str) -> DataFrame:
@@ -206,10 +206,10 @@ def event_summary(events: DataFrame, matches: DataFrame, maturity: DataFrame, ma
 
 def loss_summary(matrix: DataFrame, config: LifecycleConfig, exposure: str, loss_fraction: float, probability: str) -> DataFrame:
     """(scenario, rows, exposure_sum, expected_loss_sum, expected_loss_rate) over the observations with a hit; a missing component makes a sum null."""
-    rows = matrix.where("truth").groupBy(config.key, "scenario_key").agg(F.first(exposure).alias("e"), F.first(probability).alias("p"))
+    rows = matrix.where("truth").groupBy(config.key, "scenario_key").agg(F.first(exposure).alias("_ead"), F.first(probability).alias("_pd"))
     whole = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
-    loss = F.col("p") * F.col("e") * F.lit(loss_fraction)
-    out = rows.groupBy("scenario_key").agg(F.count(F.lit(1)).alias("rows"), whole(F.col("e")).alias("exposure_sum"), whole(loss).alias("expected_loss_sum"))
+    loss = F.col("_pd") * F.col("_ead") * F.lit(loss_fraction)
+    out = rows.groupBy("scenario_key").agg(F.count(F.lit(1)).alias("rows"), whole(F.col("_ead")).alias("exposure_sum"), whole(loss).alias("expected_loss_sum"))
     return out.withColumn("expected_loss_rate", ratio(F.col("expected_loss_sum"), F.col("exposure_sum")))
 
 
@@ -259,7 +259,7 @@ def _time(column: Column) -> Column:
 
 
 def notifications(folded: DataFrame, config: LifecycleConfig) -> DataFrame:
-    return folded.select(config.entity, "scenario_key", "rule_key", "alert_rank", F.explode("machine.out").alias("n")).select(config.entity, "scenario_key", "rule_key", "alert_rank", F.col("n.ordinal").alias("episode_ordinal"), F.col("n.notification").alias("notification_ordinal"), F.col("n.kind").alias("notification_kind"), _time(F.col("n.time")).alias("notification_time"), F.col("n.key").alias("source_key"))
+    return folded.select(config.entity, "scenario_key", "rule_key", "alert_rank", F.explode("machine.out").alias("_n")).select(config.entity, "scenario_key", "rule_key", "alert_rank", F.col("_n.ordinal").alias("episode_ordinal"), F.col("_n.notification").alias("notification_ordinal"), F.col("_n.kind").alias("notification_kind"), _time(F.col("_n.time")).alias("notification_time"), F.col("_n.key").alias("source_key"))
 
 
 def episodes(folded: DataFrame, config: LifecycleConfig) -> DataFrame:
@@ -268,10 +268,10 @@ def episodes(folded: DataFrame, config: LifecycleConfig) -> DataFrame:
     end = F.lit(config.analysis_as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     still = F.struct(m["ordinal"].alias("ordinal"), m["start"].alias("start"), micros(end).alias("end"), F.lit(False).alias("resolved"), m["hits"].alias("hits"), m["notes"].alias("notes"), m["suppressed"].alias("suppressed"))
     every = F.when(m["open"], F.concat(m["done"], F.array(still).cast(_EPISODE))).otherwise(m["done"])
-    rows = folded.select(config.entity, "scenario_key", "rule_key", "alert_rank", F.explode(every).alias("e"))
+    rows = folded.select(config.entity, "scenario_key", "rule_key", "alert_rank", F.explode(every).alias("_e"))
     return rows.select(
-        config.entity, "scenario_key", "rule_key", "alert_rank", F.col("e.ordinal").alias("episode_ordinal"), _time(F.col("e.start")).alias("start_time"), _time(F.col("e.end")).alias("end_time"),
-        F.when(F.col("e.resolved"), "resolved").otherwise("unresolved").alias("episode_status"), F.col("e.hits").alias("hit_count"), F.col("e.notes").alias("notification_count"), F.col("e.suppressed").alias("suppressed_count"), ((F.col("e.end") - F.col("e.start")) / 1e6).alias("duration_seconds"),
+        config.entity, "scenario_key", "rule_key", "alert_rank", F.col("_e.ordinal").alias("episode_ordinal"), _time(F.col("_e.start")).alias("start_time"), _time(F.col("_e.end")).alias("end_time"),
+        F.when(F.col("_e.resolved"), "resolved").otherwise("unresolved").alias("episode_status"), F.col("_e.hits").alias("hit_count"), F.col("_e.notes").alias("notification_count"), F.col("_e.suppressed").alias("suppressed_count"), ((F.col("_e.end") - F.col("_e.start")) / 1e6).alias("duration_seconds"),
     )
 
 
@@ -306,9 +306,9 @@ def event_matches(notes: DataFrame, events: DataFrame, config: LifecycleConfig)
     right = _binned(config, events, F.col("event_time"), False)
     joined = left.join(right, [config.entity, "_bin"]).where(_inside(config, F.col("event_time"), F.col("notification_time")))
     first = F.min_by(F.struct("rule_key", "notification_time"), F.struct("notification_time", "rule_key", "notification_ordinal"))
-    out = joined.groupBy(config.entity, "event_ordinal", "event_time", "scenario_key").agg(first.alias("o"), F.count(F.lit(1)).alias("candidate_count"))
-    lead = (micros(F.col("event_time")) - micros(F.col("o.notification_time"))) / 1e6
-    return out.select(config.entity, "event_ordinal", "event_time", "scenario_key", F.col("o.rule_key").alias("rule_key"), F.col("o.notification_time").alias("notification_time"), lead.alias("lead_seconds"), "candidate_count")
+    out = joined.groupBy(config.entity, "event_ordinal", "event_time", "scenario_key").agg(first.alias("_o"), F.count(F.lit(1)).alias("candidate_count"))
+    lead = (micros(F.col("event_time")) - micros(F.col("_o.notification_time"))) / 1e6
+    return out.select(config.entity, "event_ordinal", "event_time", "scenario_key", F.col("_o.rule_key").alias("rule_key"), F.col("_o.notification_time").alias("notification_time"), lead.alias("lead_seconds"), "candidate_count")
 
 
 def observation_maturity(df: DataFrame, events: DataFrame, config: LifecycleConfig) -> DataFrame:
@@ -331,7 +331,7 @@ def states(df: DataFrame, config: LifecycleConfig) -> DataFrame:
     verdicts = [(s, compile_condition(s.condition, df)) for s in sorted(held, key=lambda s: (s.priority, s.state_key))]
     candidate = F.coalesce(*[F.when(v.truth, F.lit(s.state_key)) for s, v in verdicts], F.when(_any([v.truth.isNull() for _, v in verdicts]), F.lit(config.unknown_state)), F.lit(config.default_state))
     step = F.struct(micros(F.col(config.observed)).alias("time"), F.col(config.key).cast("long").alias("key"), candidate.alias("candidate"))
-    grouped = df.select(config.entity, step.alias("s")).groupBy(config.entity).agg(F.array_sort(F.collect_list("s")).alias("steps"))
+    grouped = df.select(config.entity, step.alias("_s")).groupBy(config.entity).agg(F.array_sort(F.collect_list("_s")).alias("steps"))
     ranks = F.create_map(*[F.lit(x) for k, v in rank.items() for x in (k, v)])
     terminal = [s.state_key for s in config.states if s.terminal]
     interval = None if config.expected_interval is None else _us(config.expected_interval)
@@ -350,10 +350,10 @@ def states(df: DataFrame, config: LifecycleConfig) -> DataFrame:
         entry = F.struct(x["time"].alias("time"), x["key"].alias("key"), c.alias("candidate"), p.alias("previous"), effective.alias("effective"), what.alias("kind"), way.alias("direction"), (what != "invalid").alias("allowed"), cure.alias("cure"))
         return F.struct(effective.alias("state"), x["time"].alias("seen"), F.concat(s["out"], F.array(entry)).alias("out")).cast(kind)
 
-    out = grouped.select(config.entity, F.explode(F.aggregate("steps", F.from_json(F.lit('{"out":[]}'), kind), fold, lambda s: s["out"])).alias("r"))
+    out = grouped.select(config.entity, F.explode(F.aggregate("steps", F.from_json(F.lit('{"out":[]}'), kind), fold, lambda s: s["out"])).alias("_r"))
     return out.select(
-        config.entity, F.col("r.key").alias(config.key), _time(F.col("r.time")).alias("transition_time"), F.col("r.candidate").alias("candidate_state"), F.col("r.previous").alias("from_state"), F.col("r.effective").alias("effective_state"),
-        F.col("r.kind").alias("transition_kind"), F.col("r.direction").alias("transition_direction"), F.col("r.allowed").alias("is_allowed"), F.col("r.cure").alias("is_cure"),
+        config.entity, F.col("_r.key").alias(config.key), _time(F.col("_r.time")).alias("transition_time"), F.col("_r.candidate").alias("candidate_state"), F.col("_r.previous").alias("from_state"), F.col("_r.effective").alias("effective_state"),
+        F.col("_r.kind").alias("transition_kind"), F.col("_r.direction").alias("transition_direction"), F.col("_r.allowed").alias("is_allowed"), F.col("_r.cure").alias("is_cure"),
     )
 
 

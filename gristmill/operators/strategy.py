@@ -16,7 +16,7 @@ from ..plans.shapes import small
 
 # Phases, roles of actions, and constraint operators.
 PHASES = ("eligibility", "decision")
-ROLES = ("select", "review", "reject", "neutral")
+ROLES = ("selected", "limited", "rejected", "review", "request_information", "other")
 
 
 @dataclass(frozen=True)
@@ -176,8 +176,8 @@ def row_decisions(decided: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def rule_evaluations(decided: DataFrame, keep: Sequence[str]) -> DataFrame:
     """A row for each row and active rule, in the rules' order."""
-    zipped = decided.select(*keep, F.posexplode(F.arrays_zip(F.col("_state.path").alias("p"), F.col("_rules").alias("r"))).alias("rule_order", "z"))
-    return zipped.select(*keep, F.col("z.p.rule_key").alias("rule_key"), "rule_order", F.col("z.p.path_status").alias("path_status"), F.when(F.col("z.r.truth").isNull(), "unknown").when(F.col("z.r.truth"), "true").otherwise("false").alias("truth"), F.col("z.r.status").alias("status"), F.col("z.r.reason").alias("reason"), F.col("z.p.is_applied").alias("is_applied"), F.col("z.p.is_overlap").alias("is_overlap"), F.col("z.p.is_conflict").alias("is_conflict"))
+    zipped = decided.select(*keep, F.posexplode(F.arrays_zip(F.col("_state.path").alias("p"), F.col("_rules").alias("r"))).alias("rule_order", "_z"))
+    return zipped.select(*keep, F.col("_z.p.rule_key").alias("rule_key"), "rule_order", F.col("_z.p.path_status").alias("path_status"), F.when(F.col("_z.r.truth").isNull(), "unknown").when(F.col("_z.r.truth"), "true").otherwise("false").alias("truth"), F.col("_z.r.status").alias("status"), F.col("_z.r.reason").alias("reason"), F.col("_z.p.is_applied").alias("is_applied"), F.col("_z.p.is_overlap").alias("is_overlap"), F.col("_z.p.is_conflict").alias("is_conflict"))
 
 
 def _sets(config: DecisionStrategyConfig) -> tuple[list[str], list[list[str]]]:
@@ -205,8 +205,8 @@ def rule_summary(decided: DataFrame, config: DecisionStrategyConfig) -> DataFram
 
 def leave_one_out(decided: DataFrame, config: DecisionStrategyConfig) -> DataFrame:
     """(rule_key, rows, changed_actions, changed_rate): rows whose action differs without the rule."""
-    rows = decided.select("final_action_name", F.explode("_without").alias("w")).groupBy(F.col("w.rule_key").alias("rule_key"))
-    out = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("w.action") != F.col("final_action_name")).alias("changed_actions"))
+    rows = decided.select("final_action_name", F.explode("_without").alias("_w")).groupBy(F.col("_w.rule_key").alias("rule_key"))
+    out = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_w.action") != F.col("final_action_name")).alias("changed_actions"))
     return out.withColumn("changed_rate", ratio(F.col("changed_actions"), F.col("rows")))
 
 

@@ -6,13 +6,13 @@ import datetime as dt
 import json
 from pathlib import Path
 
-from ..operators.lifecycle import WarningRule, WarningScenario
+from ..operators.lifecycle import SIGNALS, LifecycleConfig, LifecycleState, WarningRule, WarningScenario
 from ..operators.strategy import DecisionConstraint, DecisionRule, DecisionStrategyConfig
-from ..plans.conditions import Condition
+from ..plans.conditions import OPERATORS, Condition
 
 # Document versions and budgets.
 POLICY, WARNING = "task20.policy.v1", "task20.warning.v1"
-MAX_BYTES, MAX_DEPTH = 1 << 20, 32
+MAX_BYTES, MAX_DEPTH = 5_000_000, 16
 
 
 class DocumentError(ValueError):
@@ -71,43 +71,92 @@ def span(microseconds: object) -> dt.timedelta:
     return dt.timedelta(microseconds=microseconds)
 
 
-def condition(data: dict) -> Condition:
-    kind = data.get("kind")
-    if kind == "atomic":
-        _only(data, {"kind", "operator", "left"}, {"right", "right_kind"})
-        right = data.get("right")
-        return Condition("atomic", data["operator"], data["left"], tuple(right) if isinstance(right, list) else right, data.get("right_kind", "literal"))
-    _only(data, {"kind", "children"})
-    return Condition(kind, children=tuple(condition(c) for c in data["children"]))
+def condition(data: dict, score: str | None = None, probability: str | None = None) -> Condition:
+    """A condition node; a left side that is not a column names a score or a derived signal."""
+    _only(data, {"kind"}, {"operator", "left_kind", "left", "right_kind", "right", "window", "children"})
+    children = tuple(condition(c, score, probability) for c in data.get("children") or ())
+    kind = data["kind"]
+    if kind != "atomic":
+        if any(data.get(f) is not None for f in ("operator", "left_kind", "left", "right_kind", "right")):
+            raise DocumentError("invalid_condition_shape")
+        return Condition(kind, children=children)
+    if children or data.get("operator") not in OPERATORS:
+        raise DocumentError("unknown_operator")
+    left_kind = data.get("left_kind")
+    left = {"column": data.get("left"), "ranking_score": score, "event_probability": probability}.get(left_kind, left_kind if left_kind in SIGNALS else None)
+    if left is None:
+        raise DocumentError("invalid_left_operand")
+    right = data.get("right")
+    return Condition("atomic", data["operator"], left, tuple(right) if isinstance(right, list) else right, data.get("right_kind") or "literal")
 
 
-def load_policy_json(source: str | bytes | Path) -> DecisionStrategyConfig:
+def _optional_moment(data: dict, name: str) -> dt.datetime | None:
+    return None if data.get(name) is None else moment(data[name])
+
+
+_RULE = ({"rule_key", "phase", "priority", "condition", "action_name"}, {"stop_on_hit", "enabled", "effective_from", "expires_at", "description_key"})
+_POLICY = (
+    {"schema_version", "strategy_key", "strategy_version", "effective_from", "expires_at", "evaluation_time", "rules", "default_action_name", "unknown_action_name", "action_role_mapping"},
+    {"constraints", "ranking_score_column", "ranking_score_direction", "historical_action_column", "historical_action_mapping", "historical_policy_version", "exposure_column", "loss_fraction", "action_assumptions", "exposure_unit", "segment_columns", "time_slice_column"},
+)
+
+
+def load_policy_json(source: str | bytes | Path, *, outcome_column: str | None = None, probability_column: str | None = None) -> DecisionStrategyConfig:
+    """A strategy; the columns with outcomes and probabilities are not part of a document."""
     data = parse(source)
-    if data.get("version") != POLICY:
+    if data.get("schema_version") != POLICY:
         raise DocumentError("unsupported_version")
-    body = _only(data, {"version", "strategy_key", "strategy_version", "effective_from", "evaluation_time", "rules", "default_action", "unknown_action", "action_roles"}, {"expires_at", "constraints", "historical_action_column", "historical_action_mapping", "outcome_column", "probability_column", "exposure_column", "loss_fraction", "segment_columns", "time_slice_column"})
+    _only(data, *_POLICY)
+    score = data.get("ranking_score_column")
     rules = []
-    for r in body["rules"]:
-        _only(r, {"rule_key", "phase", "priority", "condition", "action"}, {"stop_on_hit", "enabled", "effective_from", "expires_at"})
-        rules.append(DecisionRule(r["rule_key"], r["phase"], r["priority"], condition(r["condition"]), r["action"], r.get("stop_on_hit", True), r.get("enabled", True), moment(r["effective_from"]) if r.get("effective_from") else None, moment(r["expires_at"]) if r.get("expires_at") else None))
-    limits = tuple(DecisionConstraint(**_only(c, {"constraint_key", "metric", "operator", "threshold"}, {"action_name", "minimum_support"})) for c in body.get("constraints", ()))
+    for r in data["rules"]:
+        _only(r, *_RULE)
+        rules.append(DecisionRule(r["rule_key"], r["phase"], r["priority"], condition(r["condition"], score, probability_column), r["action_name"], r.get("stop_on_hit", True), r.get("enabled", True), _optional_moment(r, "effective_from"), _optional_moment(r, "expires_at")))
+    limits = []
+    for c in data.get("constraints") or ():
+        _only(c, {"constraint_key", "metric", "operator", "threshold"}, {"action_name", "action_role", "minimum_support"})
+        limits.append(DecisionConstraint(c["constraint_key"], c["metric"], c["operator"], float(c["threshold"]), c.get("action_name"), c.get("minimum_support", 1)))
+    pairs = lambda name: tuple(map(tuple, data.get(name) or ()))
     return DecisionStrategyConfig(
-        body["strategy_key"], body["strategy_version"], moment(body["effective_from"]), moment(body["evaluation_time"]), tuple(rules), body["default_action"], body["unknown_action"], tuple(map(tuple, body["action_roles"])),
-        moment(body["expires_at"]) if body.get("expires_at") else None, limits, body.get("historical_action_column"), tuple(map(tuple, body.get("historical_action_mapping", ()))), body.get("outcome_column"), body.get("probability_column"), body.get("exposure_column"), body.get("loss_fraction"), tuple(body.get("segment_columns", ())), body.get("time_slice_column"),
+        data["strategy_key"], data["strategy_version"], moment(data["effective_from"]), moment(data["evaluation_time"]), tuple(rules), data["default_action_name"], data["unknown_action_name"], pairs("action_role_mapping"), _optional_moment(data, "expires_at"),
+        tuple(limits), data.get("historical_action_column"), pairs("historical_action_mapping"), outcome_column, probability_column, data.get("exposure_column"), data.get("loss_fraction"), tuple(data.get("segment_columns") or ()), data.get("time_slice_column"),
     )
 
 
-def load_warning_json(source: str | bytes | Path) -> tuple[WarningScenario, ...]:
-    data = parse(source)
-    if data.get("version") != WARNING:
-        raise DocumentError("unsupported_version")
-    _only(data, {"version", "scenarios"})
+def scenarios(data: list) -> tuple[WarningScenario, ...]:
     out = []
-    for s in data["scenarios"]:
+    for s in data:
         _only(s, {"scenario_key", "scenario_kind", "rules"})
         rules = []
         for r in s["rules"]:
-            _only(r, {"rule_key", "priority", "alert_level", "condition"}, {"persistence", "resolution", "cooldown_us", "enabled", "effective_from", "expires_at"})
-            rules.append(WarningRule(r["rule_key"], r["priority"], r["alert_level"], condition(r["condition"]), r.get("persistence", 1), r.get("resolution", 1), span(r.get("cooldown_us", 0)), r.get("enabled", True), moment(r["effective_from"]) if r.get("effective_from") else None, moment(r["expires_at"]) if r.get("expires_at") else None))
+            _only(r, {"rule_key", "priority", "alert_level", "condition"}, {"persistence_observations", "resolution_observations", "cooldown", "enabled", "effective_from", "expires_at", "description_key"})
+            rules.append(WarningRule(r["rule_key"], r["priority"], r["alert_level"], condition(r["condition"]), r.get("persistence_observations", 1), r.get("resolution_observations", 1), span(r.get("cooldown", 0)), r.get("enabled", True), _optional_moment(r, "effective_from"), _optional_moment(r, "expires_at")))
         out.append(WarningScenario(s["scenario_key"], s["scenario_kind"], tuple(rules)))
     return tuple(out)
+
+
+_WARNING = (
+    {"schema_version", "analysis_as_of", "entity_column", "observation_time_column", "condition_feature_columns", "scenarios", "reference_scenario_key", "alert_level_ranks", "states", "default_state_key", "unknown_state_key"},
+    {"monitoring_key", "monitoring_version", "available_time_column", "event_time_column", "positive_event_key", "prediction_horizon", "horizon_end_inclusive", "recent_window", "history_window", "history_start_inclusive", "expected_observation_interval", "period_unit", "time_zone", "allowed_transitions", "adverse_state_keys", "cure_state_keys", "cohort_time_column", "cohort_column", "peer_group_columns", "peer_reference_start", "peer_reference_end", "ranking_score_column", "ranking_score_direction", "exposure_column", "loss_fraction", "observed_loss_column", "observed_loss_available_time_column", "observed_loss_is_mature_snapshot", "segment_columns", "time_frequency"},
+)
+
+
+def load_warning_json(source: str | bytes | Path, *, key: str) -> LifecycleConfig:
+    """A monitoring run.  ``key`` is the column that orders rows of one time, as Spark tables have no row order."""
+    data = parse(source)
+    if data.get("schema_version") != WARNING:
+        raise DocumentError("unsupported_version")
+    _only(data, *_WARNING)
+    if not data["condition_feature_columns"]:
+        raise DocumentError("no_feature")
+    states = []
+    for s in data["states"]:
+        _only(s, {"state_key", "state_rank", "priority", "condition"}, {"terminal", "enabled", "description_key"})
+        states.append(LifecycleState(s["state_key"], s["state_rank"], s["priority"], condition(s["condition"]), s.get("terminal", False), s.get("enabled", True)))
+    names = lambda field: tuple(data.get(field) or ())
+    interval, horizon = data.get("expected_observation_interval"), data.get("prediction_horizon")
+    return LifecycleConfig(
+        moment(data["analysis_as_of"]), data["entity_column"], data["observation_time_column"], key, data["condition_feature_columns"][0], scenarios(data["scenarios"]), data["reference_scenario_key"], tuple(map(tuple, data["alert_level_ranks"])), tuple(states), data["default_state_key"], data["unknown_state_key"],
+        tuple(map(tuple, names("allowed_transitions"))), names("adverse_state_keys"), names("cure_state_keys"), span(horizon) if horizon is not None else dt.timedelta(days=7), data.get("horizon_end_inclusive", False), span(data.get("history_window", 604_800_000_000)), data.get("history_start_inclusive", True),
+        None if interval is None else span(interval), data.get("event_time_column"), names("segment_columns"), data.get("period_unit", "month"),
+    )

@@ -214,12 +214,12 @@ def test_decision_fold_equals_brute_force(spark):
     rules = [(("eligibility" if i < 2 else "decision"), n, rng.choice(["a", "b"]), rng.random() < 0.5) for i, n in enumerate(names)]
     config = strategy.DecisionStrategyConfig(
         "s", "1", dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1),
-        tuple(strategy.DecisionRule(n, p, i, Condition(operator="eq", left=n, right=1), a, s) for i, (p, n, a, s) in enumerate(rules)), "d", "u", (("a", "select"), ("b", "reject"), ("d", "review"), ("u", "review")),
+        tuple(strategy.DecisionRule(n, p, i, Condition(operator="eq", left=n, right=1), a, s) for i, (p, n, a, s) in enumerate(rules)), "d", "u", (("a", "selected"), ("b", "rejected"), ("d", "review"), ("u", "review")),
     )
     out = {r["k"]: (r["final_action_name"], r["decision_reason"], r["applied_rule_key"]) for r in strategy.row_decisions(strategy.decide(df, config), ["k"]).collect()}
     for k, *values in data:
         assert out[k] == brute_decision(rules, {n: None if v is None else v == 1 for n, v in zip(names, values, strict=True)}, "d", "u")
-    late = strategy.DecisionStrategyConfig("s", "1", dt.datetime(2024, 1, 1), dt.datetime(2023, 1, 1), (), "d", "u", (("d", "select"), ("u", "review")))
+    late = strategy.DecisionStrategyConfig("s", "1", dt.datetime(2024, 1, 1), dt.datetime(2023, 1, 1), (), "d", "u", (("d", "selected"), ("u", "review")))
     assert {r["decision_reason"] for r in strategy.decide(df, late).collect()} == {"strategy_inactive"}
     result = g.simulate_decision_strategy(df, config, keep=["k"])
     assert result.rule_evaluations.count() == 300 * 5 and result.leave_one_out.count() == 5

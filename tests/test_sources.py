@@ -48,9 +48,10 @@ def test_excel(spark, tmp_path):
             g.load_excel(spark, str(path), **bad)
 
 
+ATOM = {"kind": "atomic", "operator": "ge", "left_kind": "column", "left": "x", "right_kind": "literal", "right": 2, "children": []}
 POLICY = {
-    "version": "task20.policy.v1", "strategy_key": "s", "strategy_version": "1", "effective_from": "2024-01-01T00:00:00", "evaluation_time": "2024-02-01T00:00:00", "default_action": "keep", "unknown_action": "look",
-    "action_roles": [["keep", "select"], ["look", "review"], ["drop", "reject"]], "rules": [{"rule_key": "big", "phase": "decision", "priority": 1, "action": "drop", "condition": {"kind": "atomic", "operator": "ge", "left": "x", "right": 2}}],
+    "schema_version": "task20.policy.v1", "strategy_key": "s", "strategy_version": "1", "effective_from": "2024-01-01T00:00:00", "expires_at": None, "evaluation_time": "2024-02-01T00:00:00", "default_action_name": "keep", "unknown_action_name": "look",
+    "action_role_mapping": [["keep", "selected"], ["look", "review"], ["drop", "rejected"]], "rules": [{"rule_key": "big", "phase": "decision", "priority": 1, "action_name": "drop", "condition": ATOM, "stop_on_hit": True, "enabled": True, "effective_from": None, "expires_at": None, "description_key": None}],
 }
 
 
@@ -58,13 +59,17 @@ def test_documents(spark):
     config = g.load_policy_json(json.dumps(POLICY))
     df = spark.createDataFrame([(1,), (3,), (None,)], "x long")
     assert [r["final_action_name"] for r in g.simulate_decision_strategy(df, config, keep=["x"]).row_decisions.collect()] == ["keep", "drop", "look"]
-    for bad in ('{"a": 1, "a": 2}', "[1]", '{"a": NaN}', "{", json.dumps(POLICY | {"extra": 1}), json.dumps(POLICY | {"version": "other"}), json.dumps({k: v for k, v in POLICY.items() if k != "rules"})):
+    for bad in ('{"a": 1, "a": 2}', "[1]", '{"a": NaN}', "{", json.dumps(POLICY | {"extra": 1}), json.dumps(POLICY | {"schema_version": "other"}), json.dumps({k: v for k, v in POLICY.items() if k != "rules"}), json.dumps(POLICY | {"rules": [POLICY["rules"][0] | {"condition": ATOM | {"operator": "like"}}]})):
         with pytest.raises(DocumentError):
             g.load_policy_json(bad)
     with pytest.raises(DocumentError):
         parse('{"a": ' + "[" * 40 + "]" * 40 + "}")
-    scenario = {"version": "task20.warning.v1", "scenarios": [{"scenario_key": "s", "scenario_kind": "rule_set", "rules": [{"rule_key": "r", "priority": 1, "alert_level": "low", "cooldown_us": 5, "condition": {"kind": "not", "children": [{"kind": "atomic", "operator": "is_missing", "left": "x"}]}}]}]}
-    assert g.load_warning_json(json.dumps(scenario))[0].rules[0].cooldown == dt.timedelta(microseconds=5)
+    rule = {"rule_key": "r", "priority": 1, "alert_level": "low", "cooldown": 5, "condition": {"kind": "not", "children": [{"kind": "atomic", "operator": "is_missing", "left_kind": "change"}]}}
+    warning = {"schema_version": "task20.warning.v1", "analysis_as_of": "2024-02-01T00:00:00", "entity_column": "e", "observation_time_column": "t", "condition_feature_columns": ["x"], "scenarios": [{"scenario_key": "s", "scenario_kind": "rule_set", "rules": [rule]}], "reference_scenario_key": "s", "alert_level_ranks": [["low", 1]], "states": [], "default_state_key": "d", "unknown_state_key": "u", "expected_observation_interval": 86_400_000_000}
+    run = g.load_warning_json(json.dumps(warning), key="k")
+    assert run.scenarios[0].rules[0].cooldown == dt.timedelta(microseconds=5) and run.expected_interval == dt.timedelta(days=1)
+    panel = spark.createDataFrame([(i, "a", dt.datetime(2024, 1, 1 + i), float(i)) for i in range(4)], "k long, e string, t timestamp_ntz, x double")
+    assert g.monitor_lifecycle(panel, run).notifications.count() == 3
 
 
 def test_reports_and_command_line(spark, tmp_path, capsys):
@@ -73,7 +78,7 @@ def test_reports_and_command_line(spark, tmp_path, capsys):
     assert main(["analyze", str(tmp_path / "c.csv"), "-o", str(tmp_path / "out/report.md"), "--target", "segment", "--task", "classification", "--group-by", "segment"], spark) == 0
     text = (tmp_path / "out/report.md").read_text()
     assert "## Correlations" in text and "## Target" in text
-    (tmp_path / "p.json").write_text(json.dumps(POLICY | {"rules": [POLICY["rules"][0] | {"condition": {"kind": "atomic", "operator": "ge", "left": "value", "right": 2.0}}]}))
+    (tmp_path / "p.json").write_text(json.dumps(POLICY | {"rules": [POLICY["rules"][0] | {"condition": ATOM | {"left": "value", "right": 2.0}}]}))
     assert main(["risk-run", str(tmp_path / "c.csv"), "-o", str(tmp_path / "risk.html"), "--format", "html", "--policy-json", str(tmp_path / "p.json"), "--audit", "--label", "label", "--score", "value"], spark) == 0
     assert "<h2>Actions</h2>" in (tmp_path / "risk.html").read_text()
     assert main(["analyze", str(tmp_path / "c.txt"), "-o", str(tmp_path / "x.md")], spark) == 1
