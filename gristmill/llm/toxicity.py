@@ -2,7 +2,8 @@
 
 Token weights are log-odds with an informative Dirichlet prior: the pooled document frequencies of
 the learning sample, scaled to a share ``prior`` of its mass, smooth both classes; a token counts once a
-document.  Tokens whose log-odds are significantly positive keep them as scores, every other token
+document.  Stems (the first code points of a longer token) are weighted the same way, and a token
+without a weight of its own takes that of its longest stem, since insults are inflected.  Tokens whose log-odds are significantly positive keep them as scores, every other token
 costs a small constant.  A linear scan (all maximal scoring subsequences, Ruzzo and Tompa 1999)
 finds the passages of a text.  For scores with negative drift the best segment of m clean tokens
 follows an extreme-value law, so a passage of score s has the expectation K m exp(-lambda s); the
@@ -16,6 +17,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,39 @@ THRESHOLD = 0.7
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
+#: Lengths of stems, longest first, and how many tokens' weights a worker remembers.
+STEMS, REMEMBERED = (7, 6, 5, 4), 300_000
+
+
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def stems(token: bytes) -> list[bytes]:
+    """The token's stems, longest first, each with a star."""
+    if len(token) <= STEMS[-1]:
+        return []
+    text = token.decode("utf-8", "surrogatepass")
+    return [text[:k].encode("utf-8", "surrogatepass") + b"*" for k in STEMS if len(text) > k]
+
+
+class Weights(dict):
+    """Token weights by lookup; tokens seen first are resolved through their stems, within a bound."""
+
+    def __init__(self, lexicon: dict[bytes, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, token: bytes) -> float:
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self.lexicon.get(token)
+        if found is None:
+            found = next((self.lexicon[x] for x in stems(token) if x in self.lexicon), 0.0)
+        self[token] = found
+        return found
+
+
 @dataclass(frozen=True)
 class Model:
     """What scoring needs; its size is bounded by the lexicon."""
@@ -46,6 +77,16 @@ class Model:
     level: float = 0.05
     weights: tuple[float, ...] = field(default=(0.0, 0.0, 0.0, 0.0))
 
+    @cached_property
+    def table(self) -> Weights:
+        return Weights(self.lexicon)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+
 
 def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments of a sequence that scores ``-drift`` but at ``hits`` (position, score).
@@ -76,8 +117,8 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
 def evidence(text: str | None, model: Model) -> tuple[tuple[float, float, float], list[tuple[int, int, float, float]]]:
     """Features of a document and its significant passages (first token, after last, score, expectation)."""
     found = tokens(text)
-    lexicon = model.lexicon
-    hits = [(i, lexicon[w]) for i, w in enumerate(found) if w in lexicon]
+    table = model.table
+    hits = [(i, x) for i, x in enumerate([table[w] for w in found]) if x]
     if not hits:
         return (0.0, 0.0, 0.0), []
     scale = math.log(model.k * len(found))
@@ -107,8 +148,9 @@ def _document_counts(sample: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.update((w, y) for w in set(tokens(text)))
-            if len(held) > 200_000:
+                own = set(tokens(text))
+                held.update((w, y) for w in own.union(*map(stems, own)))
+            if len(held) > 400_000:
                 yield flush()
         yield flush()
 
@@ -141,7 +183,7 @@ def fit(
     sample_rows: int = SAMPLE_ROWS,
     lexicon: int = LEXICON,
     prior: float = 0.1,
-    z: float = 3.5,
+    z: float = 3.0,
     drift: float = 0.1,
     level: float = 0.05,
 ) -> Model:
