@@ -170,11 +170,42 @@ def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: object) -> DataFrame:
+def is_contaminated(n_words: int, n_hit: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
+def remove_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    item_column: str = "item_id",
+    item_text_column: str = "text",
+    width: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, columns unchanged.
 
-    Contaminated rows are few, so they are what the anti-join carries.  Rows of one id go together;
-    rows without an id stay.
+    With a benchmark of one block each row is decided where it is read, without a shuffle.  With
+    more, contaminated ids, which are few, are what an anti-join carries: rows of one id then go
+    together, and rows without an id stay.
     """
-    gone = find(docs, benchmark, id_column, text_column, **options).where("contaminated").select(id_column).distinct()
-    return docs.join(gone, id_column, "left_anti").select(*docs.columns)
+    spark = docs.sparkSession
+    blocks = list(_blocks(benchmark, item_column, item_text_column, block_bytes))
+    if len(blocks) > 1:
+        found = find(docs, benchmark, id_column, text_column, item_column, item_text_column, width, block_bytes)
+        return docs.join(found.where("contaminated").select(id_column).distinct(), id_column, "left_anti").select(*docs.columns)
+    short_batches(spark)
+    shared = spark.sparkContext.broadcast(blocks[0])
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, _ = automaton(shared.value, width)
+        for batch in batches:
+            kept = []
+            for text in batch.column(at).to_pylist():
+                n, matches = scan(text, machine)
+                kept.append(not is_contaminated(n, sum(b - a for a, b in merged([m[:2] for m in matches]))))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

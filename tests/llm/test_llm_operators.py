@@ -306,7 +306,12 @@ def test_decontamination_spans_blocks_and_odd_rows(spark, odd):
             assert r["items"] == ["1", "2"] or r["items"] == ["1"] or "1" in r["items"]
     assert decontaminate.find(odd.limit(0), bench).count() == 0
     assert decontaminate.find(odd, bench.limit(0)).where("contaminated").count() == 0
-    assert decontaminate.remove_contaminated(odd, bench).columns == odd.columns
+    ids = lambda rows: sorted(str(r["doc_id"]) for r in rows)
+    gone = [r for r in one if r["contaminated"]]
+    kept = decontaminate.remove_contaminated(more, bench)
+    assert gone and kept.columns == odd.columns and ids(kept.collect() + gone) == ids(one)
+    by_id = decontaminate.remove_contaminated(more, bench, block_bytes=12)
+    assert by_id.columns == odd.columns and ids(by_id.collect()) == [i for i in ids(one) if i not in ids(gone)]
 
 
 @pytest.fixture(scope="module")
