@@ -16,7 +16,7 @@ from .ordered import running_sums
 from .shapes import tall
 
 #: Distinct values (estimated) up to which an aggregate's buffer holds a column.
-BUFFERED = 200_000
+BUFFERED = 1_000_000
 
 
 def buffered(df: DataFrame, columns: Mapping[str, Column], limit: int = BUFFERED) -> bool:
