@@ -8,6 +8,7 @@ whole text.  Rules without a mandatory trigram scan every text.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,8 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", (("eyj", ".eyj"),)),
 )
 RULES = BASE + MORE
+#: Runs of one character class: only their least length can go into the pattern with the same matches.
+_CLASS_RUN = re.compile(r"^(\[\^?[^\[\]\\^]+\])\+$")
 
 
 def trigrams(literal: str) -> frozenset[str]:
@@ -129,7 +132,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     for i, rule in enumerate(rules):
         text = F.col("text")
         # a cheap look first: most texts that scan fully have nothing
-        shortened = rule.pattern.removesuffix("+") + f"{{{rule.least},}}" if rule.pattern.endswith("]+") and not rule.group else rule.pattern
+        shortened = _CLASS_RUN.sub(rf"\1{{{rule.least},}}", rule.pattern) if not rule.group else rule.pattern
         worth = text.rlike(shortened)
         if query(rule):
             worth = (F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0) & worth

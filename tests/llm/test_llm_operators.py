@@ -416,6 +416,15 @@ def test_secret_rules_on_made_up_texts(spark, odd):
     assert secrets.scan(odd).count() == len(ODD) and secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_secret_access_keys_of_least_length(spark):
+    cases = ["x AKIA" + ("Z9" * 20)[: n - 4] + " y" for n in (15, 16, 17, 19, 20, 21)] + ["AKIAKIA" + "A" * 9, "f" * 31 + " " + "f" * 32]
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    by = {r["doc_id"]: r["s"] for r in secrets.scan(frame).select("doc_id", secrets.written(F.col("spans")).alias("s")).collect()}
+    for i, t in enumerate(cases):
+        assert by[i] == ",".join(brute_secrets(t))
+    assert by[0] == "" and by[1] == "access:2:18" and by[3] == "access:2:21"
+
+
 def check_shards(rows, shards, total, largest):
     sizes, slots = [0] * shards, defaultdict(list)
     for r in rows:
