@@ -183,18 +183,24 @@ def remove_contaminated(
     item_text_column: str = "text",
     width: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    by_row: bool = False,
 ) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, columns unchanged.
 
     With a benchmark of one block each row is decided where it is read, without a shuffle.  With
-    more, contaminated ids, which are few, are what an anti-join carries: rows of one id then go
-    together, and rows without an id stay.
+    more and ``by_row``, whole rows pass through the scans and the result is the same.  Without
+    ``by_row``, contaminated ids, which are few, are then what an anti-join carries: rows of one id
+    go together, and rows without an id stay.
     """
     spark = docs.sparkSession
     blocks = list(_blocks(benchmark, item_column, item_text_column, block_bytes))
-    if len(blocks) > 1:
+    if len(blocks) > 1 and not by_row:
         found = find(docs, benchmark, id_column, text_column, item_column, item_text_column, width, block_bytes)
         return docs.join(found.where("contaminated").select(id_column).distinct(), id_column, "left_anti").select(*docs.columns)
+    if len(blocks) > 1:
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_column).alias("text"))
+        found = find(rows, benchmark, "row", "text", item_column, item_text_column, width, block_bytes)
+        return found.where(~F.col("contaminated")).select("row.*")
     short_batches(spark)
     shared = spark.sparkContext.broadcast(blocks[0])
     at = docs.columns.index(text_column)

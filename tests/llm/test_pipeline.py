@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gristmill.llm import mixing, quality, queries, sharding
+from gristmill.llm import decontaminate, mixing, quality, queries, sharding
 from test_llm_operators import ODD, SCHEMA, brute_components, brute_contamination, brute_fingerprint, check_shards
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -65,3 +65,12 @@ def test_stages_on_odd_and_empty_tables(spark, sf_dir):
             if at < 4:
                 assert docs.columns == odd.columns
     assert quality.keep_good(odd, spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.lit(False))).count() == len(ODD)
+
+
+def test_decontamination_does_not_depend_on_blocks(spark):
+    leak = " ".join(f"leak{i}" for i in range(20))
+    docs = spark.createDataFrame([(None, leak, 1), (7, leak, 2), (7, "clean words only", 3), (None, "clean", 4), (8, None, 5)], "doc_id long, text string, n int")
+    items = spark.createDataFrame([(1, "other " * 20), (2, leak), (3, "more " * 20)], "item_id long, text string")
+    for size in (1 << 20, 10):
+        out = decontaminate.remove_contaminated(docs, items, block_bytes=size, by_row=True)
+        assert sorted(r["n"] for r in out.collect()) == [3, 4, 5] and out.columns == docs.columns
