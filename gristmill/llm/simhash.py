@@ -234,3 +234,24 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     kept = near_duplicates(docs, id_column, text_column).where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
     named = docs.where(F.col(id_column).isNotNull()).join(kept, id_column, "left_semi").dropDuplicates([id_column])
     return named.unionByName(docs.where(F.col(id_column).isNull())).select(*docs.columns)
+
+
+def keep_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of linked texts, columns unchanged.
+
+    The row with the smallest id stays, then the one with the smallest hash of its text, then of
+    all its columns; rows without an id come last.  Repeated ids with unlike texts are rows of
+    their own.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # a hash passes over nulls, so where they are is hashed too
+    whole = F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
+    keyed = docs.withColumn("_gm_text", F.xxhash64(F.col(text_column).cast("string"))).withColumn("_gm_whole", whole)
+    row = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "_gm_text", "_gm_whole")
+    every = fingerprints(keyed.select(row.alias("row"), F.col(text_column).alias("text")), "row", "text")
+    classes = staged(every.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    joined = components(links(classes.select("fp")))
+    rooted = classes.join(joined, classes["fp"] == joined["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least._gm_text", "least._gm_whole")
+    key = ["_gm_text", "_gm_whole"]
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*columns)

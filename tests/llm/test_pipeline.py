@@ -74,3 +74,12 @@ def test_decontamination_does_not_depend_on_blocks(spark):
     for size in (1 << 20, 10):
         out = decontaminate.remove_contaminated(docs, items, block_bytes=size, by_row=True)
         assert sorted(r["n"] for r in out.collect()) == [3, 4, 5] and out.columns == docs.columns
+
+
+def test_near_dedup_keeps_a_row_of_each_group(spark):
+    a, b, c = ("alpha beta gamma delta", "one two three four five", "red green blue")
+    rows = [(5, a, "x"), (5, b, "x"), (3, b, "y"), (None, b, "z"), (None, c, "z"), (None, c, "y"), (9, a, "x"), (5, a, "x")]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        kept = [tuple(r) for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()]
+        assert sorted(r[1] for r in kept) == sorted((a, b, c)) and {(5, a, "x"), (3, b, "y")} <= set(kept)
