@@ -13,30 +13,47 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1024
 
 
+#: Rows (8 to 40 bytes each) that a join may broadcast; above it the join shuffles.  Results are the same.
+BROADCAST_ROWS = 1 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a master in this one process (tests); a cluster,
+    whose executors could not see it, is refused.
+    """
     conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.gristmill.scratch", None)
+    where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.gristmill.scratch", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
         where = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.gristmill.scratch", where)
     return where.rstrip("/")
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, counted first."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _filesystem(spark: SparkSession, path: str) -> tuple[Any, Any]:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at a replicated table.
 
-    The folder goes when the driver's JVM ends, or earlier through ``discard``.
+    ``files``: at most so many, for tables whose size is known to be small.  The folder goes when
+    the driver's JVM ends, or earlier through ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gristmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     fs, target = _filesystem(spark, path)
     fs.deleteOnExit(target)
     back = spark.read.schema(df.schema).parquet(path)
