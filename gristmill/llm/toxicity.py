@@ -1,13 +1,17 @@
 """Toxic passages by maximum-scoring segments, with extreme-value calibration.
 
-Token weights are log-odds with an informative Dirichlet prior: the pooled document frequencies of
-the learning sample, scaled to a share ``prior`` of its mass, smooth both classes; a token counts once a
-document.  Stems (the first code points of a longer token) are weighted the same way, and a token
-without a weight of its own takes that of its longest stem, since insults are inflected.  Tokens whose log-odds are significantly positive keep them as scores, every other token
-costs a small constant.  A linear scan (all maximal scoring subsequences, Ruzzo and Tompa 1999)
-finds the passages of a text.  For scores with negative drift the best segment of m clean tokens
-follows an extreme-value law, so a passage of score s has the expectation K m exp(-lambda s); the
-passages below ``level`` are significant.  A logistic curve over the document's evidence, fitted on
+Token scores are log-odds with an informative Dirichlet prior: the pooled document frequencies of
+the learning sample, scaled to a share ``prior`` of its mass, smooth both classes; a token counts
+once a document.  Every log-odds, positive or negative, is drawn towards zero by ``shrink`` standard
+errors, so what the sample doesn't establish has no say, and each token costs ``drift`` besides.
+Stems (the first code points of a longer token) are weighted the same way, and a token that has no
+score of its own takes that of its longest stem, since insults are inflected.
+
+A linear scan (all maximal scoring subsequences, Ruzzo and Tompa 1999) finds the passages of a text.
+For scores with negative drift the best segment of m clean tokens follows an extreme-value law, so a
+passage of score s has the expectation K m exp(-lambda s): lambda solves the law's equation on the
+scores of clean tokens, K is the maximum-likelihood value on clean documents.  Passages below
+``level`` are significant.  A logistic curve over the document's best and summed evidence, fitted on
 the learning folds, turns it into a probability.
 """
 
@@ -25,16 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import logistic, short_batches, staged, training_sample
+from .common import discard, logistic, short_batches, staged, training_sample
 
-#: Bounds of the fit: labelled rows, and tokens of the lexicon.
-SAMPLE_ROWS, LEXICON = 12_000, 20_000
+#: Bound of the fit: labelled rows.  Everything learnt grows with their vocabulary only.
+SAMPLE_ROWS = 12_000
 THRESHOLD = 0.7
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-
-
-#: Lengths of stems, longest first, and how many tokens' weights a worker remembers.
-STEMS, REMEMBERED = (7, 6, 5, 4), 300_000
+#: Lengths of stems, longest first; how many tokens' scores a worker remembers; counts that a task holds.
+STEMS, REMEMBERED, HELD = (7, 6, 5, 4), 100_000, 200_000
+#: Scores of clean tokens are counted in steps of this size.
+STEP = 0.01
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -49,8 +53,8 @@ def stems(token: bytes) -> list[bytes]:
     return [text[:k].encode("utf-8", "surrogatepass") + b"*" for k in STEMS if len(text) > k]
 
 
-class Weights(dict):
-    """Token weights by lookup; tokens seen first are resolved through their stems, within a bound."""
+class Scores(dict):
+    """Token scores by lookup; tokens seen first are resolved through their stems, within a bound."""
 
     def __init__(self, lexicon: dict[bytes, float]):
         super().__init__()
@@ -68,18 +72,18 @@ class Weights(dict):
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs; its size is bounded by the lexicon."""
+    """What scoring needs; ``lexicon`` has the scores other than zero."""
 
     lexicon: dict[bytes, float]
-    drift: float = 0.1
+    drift: float = 0.3
     rate: float = 1.0  # lambda
     k: float = 1.0
     level: float = 0.05
     weights: tuple[float, ...] = field(default=(0.0, 0.0, 0.0, 0.0))
 
     @cached_property
-    def table(self) -> Weights:
-        return Weights(self.lexicon)
+    def table(self) -> Scores:
+        return Scores(self.lexicon)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "table"}
@@ -88,19 +92,25 @@ class Model:
         self.__dict__.update(state)
 
 
-def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of a sequence that scores ``-drift`` but at ``hits`` (position, score).
+def log_odds(counts: DataFrame, toxic: float, clean: float, prior: float, shrink: float) -> DataFrame:
+    """``counts`` (w, toxic, clean) with d, the shrunk log-odds; ``toxic`` and ``clean`` are the columns' sums."""
+    mass = prior * (toxic + clean)
+    t, c = (F.col(x) + F.lit(prior) * (F.col("toxic") + F.col("clean")) for x in ("toxic", "clean"))
+    odds = F.log(t / (F.lit(toxic + mass) - t)) - F.log(c / (F.lit(clean + mass) - c))
+    return counts.withColumn("d", F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - F.lit(shrink) * F.sqrt(1 / t + 1 / c)))
+
 
-    (first, after last, score) in order.  Linear in the hits: the list of candidates is walked back
-    through links to the nearest one with a smaller left sum.
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of a sequence: (first, after last, score) in order.
+
+    Linear: only positive scores open a candidate, and the list of candidates is walked back through
+    links to the nearest one with a smaller left sum.
     """
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    at = np.nonzero(scores > 0)[0]
     out: list[list] = []  # first, after last, left sum, right sum, link
-    total, at = 0.0, 0
-    for position, score in hits:
-        total -= drift * (position - at)
-        at = position + 1
-        new = [position, position + 1, total, total + score, -1]
-        total += score
+    for position, left, right in zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist(), strict=True):
+        new = [position, position + 1, left, right, -1]
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][2] >= new[2]:
@@ -114,56 +124,67 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
     return [(a, b, right - left) for a, b, left, right, _ in out]
 
 
-def evidence(text: str | None, model: Model) -> tuple[tuple[float, float, float], list[tuple[int, int, float, float]]]:
-    """Features of a document and its significant passages (first token, after last, score, expectation)."""
+def token_scores(text: str | None, model: Model) -> np.ndarray:
     found = tokens(text)
-    table = model.table
-    hits = [(i, x) for i, x in enumerate([table[w] for w in found]) if x]
-    if not hits:
-        return (0.0, 0.0, 0.0), []
-    scale = math.log(model.k * len(found))
-    passages = [(a, b, s, math.exp(min(700.0, scale - model.rate * s))) for a, b, s in segments(hits, model.drift)]
-    significant = [p for p in passages if p[3] <= model.level]
-    excess = [model.rate * p[2] - scale for p in significant]
-    return (math.log1p(sum(excess)), max(excess, default=0.0) / 10, float(bool(significant))), significant
+    return np.fromiter(map(model.table.__getitem__, found), float, len(found)) - model.drift
 
 
-def score(text: str | None, model: Model) -> float:
-    features, _ = evidence(text, model)
+def evidence(text: str | None, model: Model) -> tuple[tuple[float, float, float], list[tuple[int, int, float, float]]]:
+    """Features of a document and its significant passages (first token, after last, score, expectation)."""
+    scores = token_scores(text, model)
+    passages = segments(scores)
+    if not passages:
+        return (-0.5, 0.0, 0.0), []
+    scale = math.log(model.k * len(scores))
+    best = max(model.rate * s - scale for _, _, s in passages)
+    found = [(a, b, s, math.exp(min(700.0, scale - model.rate * s))) for a, b, s in passages]
+    significant = [p for p in found if p[3] <= model.level]
+    return (max(-5.0, min(50.0, best)) / 10, math.log1p(sum(model.rate * p[2] - scale for p in significant)), float(bool(significant))), significant
+
+
+def _probability(features: tuple[float, ...], model: Model) -> float:
     z = sum(w * x for w, x in zip(model.weights, (*features, 1.0), strict=True))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _document_counts(sample: DataFrame) -> DataFrame:
-    """(w, toxic, clean): documents of each class by token, summed within a task first."""
+def score(text: str | None, model: Model) -> float:
+    return _probability(evidence(text, model)[0], model)
+
+
+def document_counts(sample: DataFrame) -> DataFrame:
+    """(w, toxic, clean): documents of each class by token and stem; the empty token counts all documents.
+
+    ``sample`` has text and _y.  A task holds ``HELD`` counts and a text's, then passes them on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: tuple[Counter, Counter] = (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
-            keys = list({w for w, _ in held})
-            columns = [pa.array(keys, pa.binary()), *(pa.array([held[w, y] for w in keys], pa.int64()) for y in (1, 0))]
-            held.clear()
+            keys = list(held[0].keys() | held[1].keys())
+            columns = [pa.array(keys, pa.binary()), *(pa.array([held[y][w] for w in keys], pa.int64()) for y in (1, 0))]
+            for c in held:
+                c.clear()
             return pa.RecordBatch.from_arrays(columns, names=["w", "toxic", "clean"])
 
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = set(tokens(text))
-                held.update((w, y) for w in own.union(*map(stems, own)))
-            if len(held) > 400_000:
-                yield flush()
-        yield flush()
+                held[int(y > 0)].update(own.union([b""], *map(stems, own)))
+                if len(held[0]) + len(held[1]) > HELD:
+                    yield flush()
+        if held[0] or held[1]:
+            yield flush()
 
     counted = sample.select("text", "_y").mapInArrow(run, "w binary, toxic long, clean long")
     return counted.groupBy("w").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _karlin(scores: list[float], rates: list[float], drift: float) -> float:
-    """The positive root of sum p exp(lambda s) = 1, by bisection."""
-    rest = max(1e-9, 1 - sum(rates))
+def karlin(scores: np.ndarray, shares: np.ndarray) -> float:
+    """The positive root of sum p exp(lambda s) = 1, by bisection; 64 at most."""
 
     def excess(x: float) -> float:
-        return sum(p * math.exp(min(700.0, x * s)) for p, s in zip(rates, scores, strict=True)) + rest * math.exp(-x * drift) - 1
+        return float((shares * np.exp(np.minimum(700.0, x * scores))).sum()) - 1
 
     low, high = 1e-6, 1.0
     while excess(high) < 0 and high < 64:
@@ -174,6 +195,37 @@ def _karlin(scores: list[float], rates: list[float], drift: float) -> float:
     return high
 
 
+def _calibrated(sample: DataFrame, draft: Model) -> Model:
+    """``draft`` with lambda and K from the clean documents of the sample."""
+    shared = sample.sparkSession.sparkContext.broadcast(draft)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps: Counter = Counter()
+        for batch in batches:
+            sizes, best = [], []
+            for text in batch.column(0).to_pylist():
+                scores = token_scores(text, shared.value)
+                if len(scores):
+                    steps.update(np.rint(scores / STEP).astype(int).tolist())
+                    sizes.append(len(scores))
+                    best.append(max((s for _, _, s in segments(scores)), default=0.0))
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), pa.array(best, pa.float64())], names=["step", "n", "best"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(steps), pa.int64()), pa.array(list(steps.values()), pa.int64()), pa.nulls(len(steps), pa.float64())], names=["step", "n", "best"])
+
+    # as many rows as the sample has, and the steps between the least and the largest score
+    rows = sample.where("_y = 0").select("text").mapInArrow(run, "step long, n long, best double").groupBy("step", "best").agg(F.sum("n").alias("n")).collect()
+    steps = {r["step"]: r["n"] for r in rows if r["step"] is not None}
+    best = [(r["n"], r["best"]) for r in rows if r["step"] is None]
+    if not best:
+        return draft
+    counts = np.array(list(steps.values()), float)
+    rate = karlin(np.array(list(steps), float) * STEP, counts / counts.sum())
+    documents = sample.where("_y = 0").count()
+    k = documents / sum(n * math.exp(-rate * s) for n, s in best)
+    return Model(draft.lexicon, draft.drift, rate, k, draft.level)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -181,43 +233,33 @@ def fit(
     text_column: str = "text",
     label: str = "toxic",
     sample_rows: int = SAMPLE_ROWS,
-    lexicon: int = LEXICON,
     prior: float = 0.1,
-    z: float = 3.0,
-    drift: float = 0.1,
+    shrink: float = 1.5,
+    drift: float = 0.3,
     level: float = 0.05,
 ) -> Model:
     """Learn from at most about ``sample_rows`` labelled rows outside the held-out fold.
 
-    Copies of one text count once.  Without rows of both classes the lexicon is empty and every score is one half.
+    Copies of one text count once, as toxic if any is.  Null texts count as empty.  Without rows of
+    both classes the lexicon is empty and every score is one half.
     """
     chosen = training_sample(labels, id_column, label, sample_rows, "toxicity")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
-    # the sample is bounded by sample_rows, so its ids may be broadcast
-    sample = staged(docs.select(F.col(id_column).alias("_id"), text).join(F.broadcast(chosen), "_id").groupBy("text").agg(F.max("_y").alias("_y")), "toxicity")
-    sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes.get(1) or not sizes.get(0):
-        return Model({})
-    counts = staged(_document_counts(sample), "counts")
-    total = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
-    nt, nc = float(total["t"] or 0), float(total["c"] or 0)
-    a, mass = F.lit(prior) * (F.col("toxic") + F.col("clean")), prior * (nt + nc)
-    weighted = (
-        counts.withColumn("a", a)
-        .withColumn("d", F.log((F.col("toxic") + F.col("a")) / (F.lit(nt + mass) - F.col("toxic") - F.col("a"))) - F.log((F.col("clean") + F.col("a")) / (F.lit(nc + mass) - F.col("clean") - F.col("a"))))
-        .withColumn("z", F.col("d") / F.sqrt(1 / (F.col("toxic") + F.col("a")) + 1 / (F.col("clean") + F.col("a"))))
-        .where((F.col("z") >= z) & (F.col("toxic") >= 3) & (F.col("d") > 0.5))
-    )
-    rows = weighted.orderBy(F.desc("z"), "w").limit(lexicon).collect()
-    if not rows:
+    # the sample is bounded by sample_rows, so its ids may be broadcast and few files hold it
+    picked = docs.select(F.col(id_column).alias("_id"), text).join(F.broadcast(chosen), "_id").groupBy("text").agg(F.max("_y").alias("_y"))
+    sample = staged(picked, "toxicity", files=24)
+    counts = staged(document_counts(sample), "counts", files=24)
+    own, one = F.length("w") > 0, F.length("w") == 0
+    total = counts.agg(*[F.coalesce(F.sum(F.when(which, F.col(c))), F.lit(0)).cast("double") for which in (one, own) for c in ("toxic", "clean")]).first()
+    if not total[0] or not total[1] or not total[2] + total[3]:
+        discard(sample)
+        discard(counts)
         return Model({})
-    scores = {bytes(r["w"]): float(min(r["d"], 8.0)) for r in rows}
-    rates = [(r["clean"] + 0.05) / nc for r in rows]
-    rate = _karlin(list(scores.values()), rates, drift)
-    # K from how many clean documents have any segment at all: P(S >= s0) is about K m exp(-lambda s0)
-    least = min(scores.values())
-    k = max(1e-3, sum(rates) / math.exp(-rate * least))
-    draft = Model(scores, drift, rate, k, level)
+    # bounded by the vocabulary of the sample
+    rows = log_odds(counts.where(own), total[2], total[3], prior, shrink).where("d <> 0").select("w", "d").collect()
+    lexicon = {bytes(r["w"]): r["d"] for r in rows}
+    discard(counts)
+    draft = _calibrated(sample, Model(lexicon, drift, level=level))
     shared = docs.sparkSession.sparkContext.broadcast(draft)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,19 +267,23 @@ def fit(
             found = [evidence(t, shared.value)[0] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.float64()) for i in range(3)), batch.column(1)], names=["a", "b", "c", "y"])
 
-    features = sample.mapInArrow(run, "a double, b double, c double, y int").groupBy("a", "b", "c", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    features = sample.mapInArrow(run, "a double, b double, c double, y int").groupBy("a", "b", "c", "y").agg(F.count(F.lit(1)).alias("n")).orderBy("a", "b", "c", "y").collect()
+    discard(sample)
     x = np.array([[r["a"], r["b"], r["c"]] for r in features])
     y = np.array([float(r["y"]) for r in features])
     n = np.array([r["n"] for r in features])
     weights = logistic(np.repeat(x, n, axis=0), np.repeat(y, n))
-    return Model(scores, drift, rate, k, level, tuple(float(w) for w in weights))
+    return Model(lexicon, drift, draft.rate, draft.k, level, tuple(float(w) for w in weights))
 
 
 def toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: id, score, n_tokens, passages.
+    """One row per input row: id, score, passages.
 
     passages: significant ones as token ranges with score and expectation.  Null and empty texts
-    have no evidence and get the curve's value there.  Equal texts score alike.  Narrow: no shuffle.
+    have no evidence and get the curve's value there.  Equal texts score alike, repeated rows each
+    by themselves; null ids are kept; a long text is read as a whole, in time that grows with its
+    length; an empty table gives no rows.  Columns other than id and text are not read.  Narrow: no
+    shuffle.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -251,10 +297,10 @@ def toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
             scores, found = [], []
             for text in batch.column(1).to_pylist():
                 features, passages = evidence(text, model)
-                z = sum(w * x for w, x in zip(model.weights, (*features, 1.0), strict=True))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+                scores.append(_probability(features, model))
                 found.append([{"start": a, "end": b, "score": s, "expected": e} for a, b, s, e in passages])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], names=[id_column, "score", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], names=["id", "score", "passages"])
 
-    schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("score", T.DoubleType()), T.StructField("passages", passage)])
-    return docs.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("score", T.DoubleType()), T.StructField("passages", passage)])
+    scored = docs.select(F.col(id_column), F.col(text_column).cast("string")).toDF("id", "text").mapInArrow(run, schema)
+    return scored.withColumnRenamed("id", id_column)
