@@ -14,7 +14,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, line_dedup, merkle, mixing, quality, queries, secrets, sharding, simhash, token_counts, toxicity
+from gristmill.llm import decontaminate, line_dedup, merkle, mixing, quality, queries, regex_trigrams, secrets, sharding, simhash, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, id string, row string, weight string"
 LONG = "lorem ipsum, dolor. " * 5000
@@ -90,9 +90,9 @@ def test_simhash_on_odd_rows_and_chains(spark, odd):
     zero = [r for r in rows if r["fingerprint"] == "0" * 16]
     assert sorted(r["doc_id"] for r in zero) == [1, 2, 3] and {r["component_id"] for r in zero} == {1}
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
-    kept = simhash.keep_one(odd)
+    kept = simhash.keep_rows(odd)
     assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] or -1 for r in kept.collect()).count(4) == 1
+    assert [r["text"] for r in kept.collect() if r["doc_id"] == 4].count("One two") == 1
     # a chain of single-bit steps is one component, whatever its length
     values = [0]
     for i in range(40):
@@ -102,6 +102,33 @@ def test_simhash_on_odd_rows_and_chains(spark, odd):
     assert len({r["root"] for r in found}) == 1 and len(found) == len(set(values)) - 1
 
 
+def test_split_postings_and_star_steps_lose_nothing(spark):
+    """Long postings are split, and components take either way: the classes are those of all pairs."""
+    rng = random.Random(11)
+    values = set()
+    for base in [rng.getrandbits(64) for _ in range(4)]:
+        for _ in range(60):  # near copies: up to 14 bits from their base
+            values.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(15))))
+    prints = {v - (1 << 64) if v >> 63 else v: v for v in values}
+    expected = brute_components(prints)
+    frame = spark.createDataFrame([(v,) for v in prints], "fp long")
+    for most in (4, 1024):
+        edges = simhash.links(frame, most=most).cache()
+        for one_task in (0, 1 << 18):
+            found = {r["node"]: r["root"] for r in simhash.components(edges, one_task).collect()}
+            assert {v: found.get(v, v) for v in prints} == expected
+    assert len(set(expected.values())) < len(prints)
+    assert simhash.components(frame.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)).count() == 0
+
+
+def test_every_choice_of_shared_bytes_meets_in_a_posting():
+    for bits in (1, 2, 3):
+        halves, whole = simhash.positions(bits)
+        for shared in whole:
+            held = [h for h in halves if set(h) <= set(shared)]
+            assert held and all(any(set(h) <= set(w) for w in whole) for h in held)
+
+
 @pytest.mark.parametrize("n", [2, 3, 40, 300])
 def test_posting_links_agree_in_both_forms(n):
     rng = np.random.default_rng(n)
@@ -238,9 +265,8 @@ def test_segments_are_all_maximal_ones():
 
     rng = random.Random(5)
     for _ in range(200):
-        scores = [rng.choice([-0.3, -0.3, 1.07, 0.61]) for _ in range(rng.randrange(0, 14))]
-        hits = [(i, s) for i, s in enumerate(scores) if s > 0]
-        assert [(a, b) for a, b, _ in toxicity.segments(hits, 0.3)] == brute(scores)
+        scores = [rng.choice([-0.3, -0.57, 1.07, 0.61]) for _ in range(rng.randrange(0, 14))]
+        assert [(a, b) for a, b, _ in toxicity.segments(np.array(scores))] == brute(scores)
 
 
 def test_field_marginals_equal_enumeration():
@@ -266,6 +292,62 @@ def test_field_marginals_equal_enumeration():
     assert np.allclose(expected, pairs) and np.isclose(partition.sum(), total)
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Counts, log-odds, calibration and scores from their definitions, on a small table."""
+    rng = random.Random(8)
+    common = [f"word{i}" for i in range(60)]
+    texts = []
+    for i in range(240):
+        own = [rng.choice(common) for _ in range(rng.randrange(5, 60))]
+        if i % 4 == 0:
+            for _ in range(3):
+                own.insert(rng.randrange(len(own)), rng.choice(["nastiest", "nastier", "vile!", "awful"]))
+        elif i % 17 == 5:
+            own.insert(rng.randrange(len(own)), "awful")
+        texts.append(" ".join(own))
+    texts[7] = texts[3]  # a copy counts once
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    learnt = {t: i % 4 == 0 for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1}
+    counts = {True: defaultdict(int), False: defaultdict(int)}
+    split = {t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()) for t in learnt}
+    for t, y in learnt.items():
+        for w in {x for w in split[t] for x in [w, *(w[:k] + "*" for k in (4, 5, 6, 7) if len(w) > k)]}:
+            counts[y][w] += 1
+    n = {y: sum(c.values()) for y, c in counts.items()}
+    lexicon = {}
+    for w in set(counts[True]) | set(counts[False]):
+        prior = 0.1 * (counts[True][w] + counts[False][w])
+        f = {y: counts[y][w] + prior for y in (True, False)}
+        odds = {y: np.log(f[y] / (n[y] + 0.1 * (n[True] + n[False]) - f[y])) for y in f}
+        d, error = odds[True] - odds[False], np.sqrt(1 / f[True] + 1 / f[False])
+        if abs(d) > 1.5 * error:
+            lexicon[w.encode()] = d - 1.5 * error if d > 0 else d + 1.5 * error
+    assert set(model.lexicon) == set(lexicon) and all(np.isclose(model.lexicon[w], d) for w, d in lexicon.items())
+    assert min(lexicon.values()) < 0 < max(lexicon.values())
+
+    def token_score(w):
+        names = [w, *(w[:k] + "*" for k in (7, 6, 5, 4) if len(w) > k)]
+        return next((lexicon[x.encode()] for x in names if x.encode() in lexicon), 0.0) - 0.3
+
+    def best(scores):
+        return max([0.0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))])
+
+    scored = {t: [token_score(w) for w in split[t]] for t, y in learnt.items() if not y}
+    flat = np.concatenate(list(scored.values()))
+    assert abs(np.mean(np.exp(model.rate * flat)) - 1) < 0.05  # the law's equation, up to the counting step
+    assert np.isclose(model.k, len(scored) / sum(len(s) * np.exp(-model.rate * best(s)) for s in scored.values()), rtol=1e-6)
+    for r in toxicity.toxicity(docs, model).collect():
+        scores = np.array([token_score(w) for w in re.findall(r"[0-9a-z]+", texts[r["doc_id"]].lower())])
+        found = [(a, b, s) for a, b, s in toxicity.segments(scores) if model.k * len(scores) * np.exp(-model.rate * s) <= 0.05]
+        assert [(p["start"], p["end"]) for p in r["passages"]] == [(a, b) for a, b, _ in found]
+        excess = [model.rate * s - np.log(model.k * len(scores)) for _, _, s in found]
+        top = model.rate * best(list(scores)) - np.log(model.k * len(scores))
+        features = (max(-5.0, min(50.0, top)) / 10 if best(list(scores)) else -0.5, np.log1p(sum(excess)), float(bool(found)), 1.0)
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-np.clip(np.dot(model.weights, features), -30, 30))))
+
+
 def brute_contamination(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     own = split(text)
@@ -310,8 +392,37 @@ def test_decontamination_spans_blocks_and_odd_rows(spark, odd):
     gone = [r for r in one if r["contaminated"]]
     kept = decontaminate.remove_contaminated(more, bench)
     assert gone and kept.columns == odd.columns and ids(kept.collect() + gone) == ids(one)
-    by_id = decontaminate.remove_contaminated(more, bench, block_bytes=12)
-    assert by_id.columns == odd.columns and ids(by_id.collect()) == [i for i in ids(one) if i not in ids(gone)]
+    blocks = decontaminate.remove_contaminated(more, bench, block_bytes=12)
+    assert blocks.columns == odd.columns and sorted(map(str, blocks.collect())) == sorted(map(str, kept.collect()))
+
+
+def test_decontamination_drops_a_passage_inside_a_long_document(spark):
+    leak = [f"leak{i}" for i in range(20)]
+    long = " ".join(f"own{i}" for i in range(3000))
+    rows = [(1, f"{long} {' '.join(leak[:13])} {long}"), (2, f"{long} {' '.join(leak[:12])} {long}"), (3, long), (4, " ".join(leak[7:])), (4, long), (None, " ".join(leak))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(leak)), (2, "own0 of a short item")], "item_id long, text string")
+    for size in (1 << 20, 10):
+        kept = decontaminate.remove_contaminated(docs, bench, block_bytes=size)
+        assert sorted((r["doc_id"], len(r["text"])) for r in kept.collect()) == sorted((i, len(t)) for i, t in [rows[1], rows[2], rows[4]])
+
+
+def test_decontamination_runs_at_every_alignment():
+    """Windows may start anywhere in an item, repeat, overlap, and reach its end."""
+    rng = random.Random(4)
+    for trial in range(60):
+        words = [f"w{i}" for i in range(rng.choice([2, 5, 30]))]
+        items = tuple((str(i), " ".join(rng.choice(words) for _ in range(rng.choice([0, 3, 12, 13, 14, 40])))) for i in range(4))
+        text = " ".join(rng.choice(words) for _ in range(60))
+        for _, t in items:
+            own = t.split()
+            if own:
+                a = rng.randrange(len(own))
+                text += " x " + " ".join(own[a : a + rng.randrange(1, 20)])
+        n, runs = decontaminate.scan(text, decontaminate.machine(items))
+        hit = sum(b - a for a, b in decontaminate.merged([r[:2] for r in runs]))
+        names = sorted({r[2] for r in runs})
+        assert (n, hit, len(names), decontaminate.digest(names)) == brute_contamination(text, items)[:4], trial
 
 
 @pytest.fixture(scope="module")
@@ -425,6 +536,48 @@ def test_secret_access_keys_of_least_length(spark):
     assert by[0] == "" and by[1] == "access:2:18" and by[3] == "access:2:21"
 
 
+def test_trigram_queries_are_derived_from_the_patterns():
+    derived = {r.kind: regex_trigrams.derive(r.pattern) for r in secrets.RULES}
+    assert {frozenset({"aki", "kia"})} == set(derived["access"]) and derived["hex"] == regex_trigrams.ANY
+    assert frozenset({"tok", "oke", "ken"}) in derived["assign"] and len(derived["assign"]) == 6
+    # no string that a pattern matches may fail its query
+    cases = {
+        r"(ab|cd)+ef": ["abef", "cdabcdef"],
+        r"(abc){2,5}d": ["abcabcd", "abcabcabcabcabcd"],
+        r"x?abc(d|[0-9]+)z*": ["abcd", "xabc12zz", "abc7"],
+        r"(?i)Key_[a-f]{2}-?[xy]z": ["kEY_ab-xz", "KEY_ffYZ".replace("Y", "y")],
+        r"[^a]bcd.*(foo|ba[rz])$": ["xbcd and foo", "-bcdbaz"],
+        r"a{0,2}bcde": ["bcde", "aabcde"],
+        r"(?:one|two|)three": ["three", "onethree"],
+    }
+    for pattern, texts in cases.items():
+        query = regex_trigrams.derive(pattern)
+        assert query
+        for text in texts:
+            assert re.search(pattern, text), (pattern, text)
+            held = regex_trigrams.trigrams(text.lower())
+            assert any(every <= held for every in query), (pattern, text)
+    assert regex_trigrams.derive("abcd*|x") == regex_trigrams.ANY
+
+
+def test_secrets_with_full_slots_many_matches_and_null_ids(spark):
+    many = " ".join(f"token=abcdefg{i}" for i in range(20_000)) + " " + "0f" * 16
+    rows = [(None, "5"), (5, None), (None, "secret: abcdefgh"), (1, many), (2, "AKIA" + "X" * 12), (2, "AKIA" + "X" * 11)] + [(i, f"passwd ={i:09d}") for i in range(10, 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1, secrets.MOST_SLOTS):  # one slot: every row is a candidate of every rule
+        found = secrets.scan(frame, most_slots=most).join(frame, "doc_id", "left").where("doc_id is not null and doc_id <> 2")
+        for r in found.select("text", secrets.written(F.col("spans")).alias("s")).collect():
+            assert r["s"] == ",".join(brute_secrets(r["text"]))
+        lost = secrets.scan(frame, most_slots=most).where("doc_id is null or doc_id = 2")
+        assert sorted(r["s"] for r in lost.select(secrets.written(F.col("spans")).alias("s")).collect()) == ["", "", "access:0:16", "assign:0:16"]
+    # postings spread over pages, and an AND needs all of its trigrams in one slot
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["akia", "aki kia", "aki", "kia", "AKIA"])], "slot long, text string")
+    far = docs.withColumn("slot", F.col("slot") * secrets.PAGE + 3)
+    queries_of = secrets.queries_of(secrets.BASE[1:2])
+    met = secrets.intersect(secrets.build_index(far, F.col("slot"), F.col("text"), ["aki", "kia"]), ["aki", "kia"], queries_of)
+    assert sorted((r["page"], r["rules"][0][0]) for r in met.collect()) == [(0, 8), (1, 8), (4, 8)]
+
+
 def check_shards(rows, shards, total, largest):
     sizes, slots = [0] * shards, defaultdict(list)
     for r in rows:
