@@ -2,13 +2,17 @@
 
 A 64-bit fingerprint is eight bytes at fixed positions.  Two fingerprints that differ in at most
 three bits differ in at most three bytes, so they share at least five positional bytes: the
-guaranteed minimum.  The index posts each distinct fingerprint under every choice of five positions
-with the bytes there (56 postings).  A posting therefore holds just the fingerprints that reach the
-minimum with one another on those positions, and since only 24 bits are free in it, it can never
-hold more than 2**24 fingerprints whatever the corpus is.  Within a posting the shared positional
-bytes of each pair are tallied, pairs below the minimum are dropped, and the rest are verified by
-their Hamming distance.  A posting emits a spanning forest of its links, never all pairs; linked
-classes come from alternating large-star and small-star steps over written tables.
+guaranteed minimum.  Of five shared positions three or more lie in one half of the fingerprint, so
+the index posts each distinct fingerprint under every three positions of a half with the bytes there
+(8 postings; single bytes would make postings of a 256th of the corpus, whose pairs grow with its
+square).  Within a posting the shared positional bytes of each pair are tallied, pairs below the
+minimum are dropped, and the rest are verified by their Hamming distance.
+
+Postings over ``MATRIX`` members are split: their members are posted anew under every choice of the
+whole minimum of positions, where 24 bits are free, so that a posting is bounded by 2**24 whatever
+the corpus is; large ones are probed by flipped bits.  A posting emits a spanning forest of its
+links, never all pairs; linked classes come from alternating large-star and small-star steps over
+written tables.
 """
 
 from __future__ import annotations
@@ -23,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, short_batches, staged
+from .common import bounded, discard, short_batches, staged
 
 SEED = 42
 BITS = 3
-#: Positions of a posting: eight bytes less the most bytes that BITS differing bits can touch.
-SHARED = 8 - BITS
-#: Up to here the pairs of a posting are compared in one matrix; beyond, by probing flipped bits.
+#: Up to here the pairs of a posting are tallied in one matrix; beyond, the posting is split.
 MATRIX = 1024
+#: Up to so many edges (16 bytes each) one task joins components; beyond, star steps do.
+JOINED_EDGES = 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -100,7 +104,6 @@ def posting_links(values: np.ndarray, free: list[int], bits: int = BITS, matrix:
 
     ``free``: the bit numbers in which members of the posting can differ.
     """
-
     if len(values) == 2:  # most postings with company
         other = int(values[0]) ^ int(values[1])
         shared = sum(not other >> (8 * p) & 0xFF for p in range(8))
@@ -127,20 +130,49 @@ def posting_links(values: np.ndarray, free: list[int], bits: int = BITS, matrix:
     return _forest(len(values), compared() if len(values) <= matrix else probed())
 
 
-def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """(u, v), u > v: links among the distinct fingerprints in column ``fp``, a spanning forest by posting."""
-    masks, frees = [], []
-    for kept in combinations(range(8), 8 - bits):
-        mask = sum(0xFF << (8 * p) for p in kept)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-        frees.append([8 * p + b for p in range(8) if p not in kept for b in range(8)])
-    posted = distinct.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("p"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)])).alias("k")
-    ).select(F.col("k.p").alias("p"), F.col("k.bytes").alias("bytes"), "fp")
+def positions(bits: int = BITS) -> tuple[list[tuple[int, ...]], list[tuple[int, ...]]]:
+    """The position sets of postings, and those of split ones.
+
+    Pairs share 8 - ``bits`` positions, and so the larger half of them in one half of the fingerprint.
+    """
+    least = 8 - bits
+    halves = [s for half in (range(4), range(4, 8)) for s in combinations(half, -(-least // 2))]
+    return halves, list(combinations(range(8), least))
+
+
+def _mask(kept: tuple[int, ...]) -> int:
+    mask = sum(0xFF << (8 * p) for p in kept)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _posted(distinct: DataFrame, sets: list[tuple[int, ...]], first: int = 0, within: str | None = None) -> DataFrame:
+    """(p, bytes, fp): ``distinct`` under each of ``sets``; with ``within``, a bit mask of the sets wanted."""
+    each = [F.struct(F.lit(first + i).cast("byte").alias("p"), F.col("fp").bitwiseAND(F.lit(_mask(s))).alias("bytes")) for i, s in enumerate(sets)]
+    if within:
+        each = [F.when(F.col(within).bitwiseAND(F.lit(1 << i)) != 0, x) for i, x in enumerate(each)]
+    return distinct.select("fp", F.explode(F.array_compact(F.array(*each))).alias("k")).select(F.col("k.p").alias("p"), F.col("k.bytes").alias("bytes"), "fp")
+
+
+def links(distinct: DataFrame, bits: int = BITS, most: int = MATRIX) -> DataFrame:
+    """(u, v), u > v: links among the distinct fingerprints in column ``fp``, a spanning forest by posting.
+
+    ``distinct`` is read more than once, so it should be a written table.
+    """
+    halves, whole = positions(bits)
+    frees = [[8 * p + b for p in range(8) if p not in s for b in range(8)] for s in halves + whole]
+    posted = _posted(distinct, halves)
+    hot = staged(posted.groupBy("p", "bytes").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("p", "bytes"), "hot", files=16)
+    if hot.limit(1).count():
+        # a member of several long postings is posted once under each set that completes one of them
+        completing = [sum(1 << i for i, w in enumerate(whole) if set(h) <= set(w)) for h in halves]
+        wanted = F.element_at(F.array(*[F.lit(m) for m in completing]), F.col("p").cast("int") + 1)
+        known = bounded(hot)
+        members = posted.join(known, ["p", "bytes"], "left_semi").groupBy("fp").agg(F.bit_or(wanted).alias("sets"))
+        posted = posted.join(known, ["p", "bytes"], "left_anti").unionByName(_posted(members, whole, len(halves), "sets"))
 
     def emit(position: int, values: np.ndarray) -> Iterator[tuple[int, int]]:
         signed = values.view(np.int64)
-        for i, j in posting_links(values, frees[position], bits):
+        for i, j in posting_links(values, frees[position], bits, most):
             a, b = int(signed[i]), int(signed[j])
             yield max(a, b), min(a, b)
 
@@ -183,18 +215,38 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return posted.repartition("p", "bytes").sortWithinPartitions("p", "bytes").mapInArrow(run, "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v) but the roots, by large-star and small-star steps.
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
 
-    Every step works on grouped minima and equi-joins; a step's edges go to the shared folder, so a
-    lost executor costs one step.  Empty edges give an empty table.
+    def root(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[y]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    rows = [(x, r) for x in list(parent) if (r := root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["node", "root"])
+
+
+def components(edges: DataFrame, one_task: int = JOINED_EDGES) -> DataFrame:
+    """(node, root) for every node of ``edges`` (u, v) but the roots; the root is the least node.
+
+    Up to ``one_task`` edges, counted first, one task joins them.  Beyond, large-star and small-star
+    steps work on grouped minima and equi-joins; a step's edges go to the shared folder, so a lost
+    executor costs one step.  The result is the same.  Empty edges give an empty table.
     """
     current = staged(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
         seen = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        if state is None and seen["n"] <= one_task:
+            return current.coalesce(1).mapInArrow(_joined, "node long, root long")
         now = (seen["n"], seen["h"])
-        if now == state or not seen["n"]:
+        if now == state:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -202,7 +254,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        following = staged(small.distinct(), "edges")
+        following = staged(small.distinct(), "edges", files=seen["n"] // 50_000 + 1)
         discard(current)
         current = following
 
@@ -226,16 +278,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their own component, columns unchanged.
-
-    The id is a document's identity: further rows of a kept id go too.  Rows without an id stay.
-    """
-    kept = near_duplicates(docs, id_column, text_column).where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    named = docs.where(F.col(id_column).isNotNull()).join(kept, id_column, "left_semi").dropDuplicates([id_column])
-    return named.unionByName(docs.where(F.col(id_column).isNull())).select(*docs.columns)
-
-
 def keep_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of linked texts, columns unchanged.
 
