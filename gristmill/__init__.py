@@ -20,7 +20,7 @@ from .operators.plotdata import (
 )
 from .operators.profile import infer_schema, summarize_dataframe
 from .operators.quality import check_data_quality
-from .operators.risk import RiskValidationConfig, validate_binary_risk, validate_predictions
+from .operators.risk import RiskValidationConfig, TimePlan, validate_binary_risk, validate_predictions
 from .operators.strategy import DecisionConstraint, DecisionRule, DecisionStrategyConfig, simulate_decision_strategy
 from .operators.workflow import generate_analysis_report, generate_risk_report, run_analysis, run_risk_workflow
 from .plans.conditions import Condition

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
@@ -504,26 +505,100 @@ def risk_fold_summary(spark, sf_dir):
     return rounded(metrics.fold_summary(metrics.probability_metrics(scored_rows(spark, sf_dir)), ["brier_score"]), 6)
 
 
-_CUTS = (dt.datetime(1995, 1, 1), dt.datetime(1996, 1, 1), dt.datetime(1997, 1, 1))
+_CUTS = (dt.datetime(1996, 1, 1), dt.datetime(1997, 6, 1), dt.datetime(1999, 1, 1))
+_TIME = risk.TimePlan("o_orderdate", "observation_horizon", _CUTS, dt.datetime(2001, 1, 1), dt.datetime(2001, 1, 15), horizon=dt.timedelta(days=30), reporting_delay=dt.timedelta(days=5))
+_RISKY = "(SELECT o_orderkey, o_custkey, CAST(o_orderdate AS TIMESTAMP) AS o, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 35 DAY AS a, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_totalprice > 150000 AS INTEGER) END AS y FROM orders)"
 
 
-@query(
-    union(
+def risky_orders(spark, sf_dir):
+    y = F.when(F.col("o_orderpriority") != "5-LOW", (F.col("o_totalprice") > 150000).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", y.alias("y"))
+
+
+def _place(*keys: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '42', {', '.join(f"'=' || {k}" for k in keys)})), 1, 15) AS BIGINT)"
+
+
+def _plan_sql(fold: str, folds: int) -> str:
+    """Counts by fold, for modes in which every other row trains."""
+    return f"""WITH r AS (SELECT *, {fold} AS fold FROM {_RISKY} WHERE y IS NOT NULL)
+SELECT CAST(k AS INTEGER) AS fold_id, count(*) FILTER (fold IS DISTINCT FROM k) AS train_n, count(*) FILTER (fold IS DISTINCT FROM k AND y = 1) AS train_positive_n, round(avg(y) FILTER (fold IS DISTINCT FROM k), 6) AS train_positive_rate,
+count(*) FILTER (fold = k) AS validation_n, count(*) FILTER (fold = k) AS evaluable_validation_n, count(*) FILTER (fold = k AND y = 1) AS evaluable_positive_n, round(avg(y) FILTER (fold = k), 6) AS evaluable_positive_rate, 0::BIGINT AS purged_train_n, 0::BIGINT AS immature_validation_n
+FROM r, range({folds}) g(k) GROUP BY k"""
+
+
+def _folds(spark, sf_dir, **config):
+    plan = risk.fold_plan(risky_orders(spark, sf_dir), "y", risk.RiskValidationConfig(**config), ["o_orderkey"])
+    names = ("fold_id", "train_n", "train_positive_n", "train_positive_rate", "validation_n", "evaluable_validation_n", "evaluable_positive_n", "evaluable_positive_rate", "purged_train_n", "immature_validation_n")
+    return rounded(risk.check_plan(plan).select(*names), 6)
+
+
+_SHARE = int(0.2 * (1 << 20))
+
+
+@query(_plan_sql(f"CASE WHEN {_place('y', 'o_orderkey')} % 1048576 < {_SHARE} THEN 0 END", 1))
+def risk_stratified_holdout_plan(spark, sf_dir):
+    return _folds(spark, sf_dir, mode="stratified_holdout")
+
+
+@query(_plan_sql(f"{_place('y', 'o_orderkey')} % 5", 5))
+def risk_stratified_kfold_plan(spark, sf_dir):
+    return _folds(spark, sf_dir, mode="stratified_kfold")
+
+
+@query(_plan_sql(f"CASE WHEN {_place('o_custkey')} % 1048576 < {_SHARE} THEN 0 END", 1))
+def risk_group_holdout_plan(spark, sf_dir):
+    return _folds(spark, sf_dir, mode="group_holdout", group="o_custkey")
+
+
+@query(_plan_sql(f"{_place('o_custkey')} % 5", 5))
+def risk_group_kfold_plan(spark, sf_dir):
+    return _folds(spark, sf_dir, mode="group_kfold", group="o_custkey")
+
+
+def _time_sql(windows) -> str:
+    return union(
         [
-            f"SELECT {i} AS fold, count(*) FILTER (o < c AND a <= c) AS train_rows, count(*) FILTER (o < c AND NOT a <= c) AS purged_rows, count(*) FILTER (o >= c AND o < e) AS validation_rows, count(*) FILTER (o >= c AND o < e AND a <= TIMESTAMP '1998-01-01') AS evaluable_rows FROM (SELECT o_orderdate AS o, o_orderdate + INTERVAL 30 DAY AS a, TIMESTAMP '{c:%Y-%m-%d}' AS c, TIMESTAMP '{e:%Y-%m-%d}' AS e FROM orders)"
-            for i, (c, e) in enumerate(zip(_CUTS, (*_CUTS[1:], dt.datetime(1998, 1, 1)), strict=True))
+            f"""SELECT {i} AS fold_id, count(*) FILTER (o < c AND a <= c) AS train_n, count(*) FILTER (o < c AND a <= c AND y = 1) AS train_positive_n, round(avg(y) FILTER (o < c AND a <= c), 6) AS train_positive_rate, count(*) FILTER (o >= c AND o < e) AS validation_n,
+count(*) FILTER (o >= c AND o < e AND a <= s) AS evaluable_validation_n, count(*) FILTER (o >= c AND o < e AND a <= s AND y = 1) AS evaluable_positive_n, round(avg(y) FILTER (o >= c AND o < e AND a <= s), 6) AS evaluable_positive_rate,
+count(*) FILTER (o < c AND NOT a <= c) AS purged_train_n, count(*) FILTER (o >= c AND o < e AND NOT a <= s) AS immature_validation_n
+FROM (SELECT *, TIMESTAMP '{c:%Y-%m-%d}' AS c, TIMESTAMP '{e:%Y-%m-%d}' AS e, TIMESTAMP '2001-01-15' AS s FROM {_RISKY} WHERE y IS NOT NULL)"""
+            for i, (c, e) in enumerate(windows)
         ]
     )
-)
+
+
+@query(_time_sql(_TIME.windows))
 def risk_time_forward_plan(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    observed = F.col("o_orderdate")
-    return risk.time_plan(orders, observed, risk.label_available(observed, dt.timedelta(days=30)), _CUTS, dt.timedelta(days=365), dt.datetime(1998, 1, 1)).select("fold", "train_rows", "purged_rows", "validation_rows", "evaluable_rows")
+    return _folds(spark, sf_dir, mode="time_forward", time=_TIME)
 
 
-@query()
-def risk_group_kfold_plan(spark, sf_dir):
-    return risk.group_plan(table(spark, sf_dir, "orders"), "o_custkey", 5)
+_LATE = dataclasses.replace(_TIME, cutoffs=_CUTS[2:])
+
+
+@query(_time_sql(_LATE.windows))
+def risk_time_holdout_plan(spark, sf_dir):
+    return _folds(spark, sf_dir, mode="time_holdout", time=_LATE)
+
+
+_FOLD = " ".join(f"WHEN o >= TIMESTAMP '{c:%Y-%m-%d}' AND o < TIMESTAMP '{e:%Y-%m-%d}' THEN {i}" for i, (c, e) in enumerate(_TIME.windows))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN y IS NULL THEN 'missing_target' WHEN o < TIMESTAMP '1996-01-01' THEN 'before_first_validation_window' ELSE 'outside_validation_window' END AS reason FROM {_RISKY} WHERE y IS NULL OR o < TIMESTAMP '1996-01-01' OR o >= TIMESTAMP '2001-01-01'")
+def risk_excluded_rows(spark, sf_dir):
+    df = risky_orders(spark, sf_dir)
+    return risk.excluded_rows(df, risk.fold_plan(df, "y", risk.RiskValidationConfig(mode="time_forward", time=_TIME), ["o_orderkey"]), ["o_orderkey"])
+
+
+@query(
+    f"""SELECT o_orderkey, CASE {_FOLD} END AS fold_id, CASE WHEN a <= TIMESTAMP '2001-01-15' THEN y END AS target_value, a <= TIMESTAMP '2001-01-15' AS is_evaluable, CASE WHEN NOT a <= TIMESTAMP '2001-01-15' THEN 'immature_validation_outcome' END AS unevaluable_reason,
+-CAST(o_orderkey % 97 AS DOUBLE) AS ranking_score, (o_orderkey % 97) / 97.0 AS event_probability FROM {_RISKY} WHERE y IS NOT NULL AND o >= TIMESTAMP '1996-01-01' AND o < TIMESTAMP '2001-01-01'"""
+)
+def risk_external_predictions(spark, sf_dir):
+    plan = risk.fold_plan(risky_orders(spark, sf_dir), "y", risk.RiskValidationConfig(mode="time_forward", time=_TIME), ["o_orderkey"])
+    score = (F.col("o_orderkey") % 97).cast("double")
+    given = plan.rows.where("fold is not null").select("o_orderkey", "fold", score.alias("ranking_score"), (score / 97).alias("event_probability"))
+    return risk.prediction_table(risk.external_predictions(plan, given, ["o_orderkey"], "lower_risk"), "y", ["o_orderkey"])
 
 
 @query()

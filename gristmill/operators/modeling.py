@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import is_categorical, is_datetime, is_numeric, present
 from . import metrics
 from .profile import infer_schema
-from .risk import holdout
+from .risk import FoldPlan, holdout
 
 
 @dataclass(frozen=True)
@@ -165,18 +165,21 @@ def evaluate_model(result: TrainingResult) -> ModelEvaluation:
     return evaluate_classifier(result) if result.task == "classification" else evaluate_regressor(result)
 
 
-def predict_folds(planned: DataFrame, target: str, positive: object, features: list[str], estimator: object) -> DataFrame:
-    """Out-of-fold probabilities of the positive class: one fit a fold, on the other folds' rows."""
+def predict_folds(plan: FoldPlan, features: list[str], estimator: object, keep: Sequence[str] = ()) -> DataFrame:
+    """Probabilities of the positive class for every validation row: one fit a fold, on that fold's training rows."""
     out = None
-    for row in planned.select("fold").distinct().orderBy("fold").collect():
-        k = row["fold"]
-        train, test = planned.where(F.col("fold") != k), planned.where(F.col("fold") == k)
-        numeric, levels, _ = _features(train.drop("fold"), target, features or None, [])
+    rows = plan.rows
+    kept = list(dict.fromkeys([*keep, plan.target, "fold", "is_evaluable"]))
+    for k in range(plan.count):
+        train, test = rows.where(plan.train(k)), rows.where(plan.validation(k))
+        hidden = [c for c in ("fold", "is_evaluable", "_observed", "_available") if c in rows.columns]
+        numeric, levels, _ = _features(train.drop(*hidden), plan.target, features or None, list(keep))
         fills = _fill(train, numeric, levels)
-        ready = prepared(train, fills, [(F.col(target) == F.lit(positive)).cast("double").alias("label")])
+        ready = prepared(train, fills, [(F.col(plan.target) == F.lit(plan.positive)).cast("double").alias("label")])
         model = estimator or LogisticRegression(regParam=1 / max(1, ready.count()), elasticNetParam=0.0, standardization=False, maxIter=1000)
         fitted = Pipeline(stages=[*_stages(numeric, levels), model]).fit(ready)
-        part = fitted.transform(prepared(test, fills, [target, "fold"])).select(target, "fold", vector_to_array("probability")[1].alias("event_probability"))
+        part = fitted.transform(prepared(test, fills, [F.col(c).alias(f"_keep{i}") for i, c in enumerate(kept)]))
+        part = part.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(kept)], vector_to_array("probability")[1].alias("event_probability"))
         part = part.withColumn("ranking_score", F.col("event_probability"))
         out = part if out is None else out.unionByName(part)
     return out

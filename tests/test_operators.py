@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import gristmill as g
 from gristmill.functions.special import chi2_sf, pearson_p
-from gristmill.operators import analysis, governance, lifecycle, metrics, modeling, plotdata, profile, quality, strategy
+from gristmill.operators import analysis, governance, lifecycle, metrics, modeling, plotdata, profile, quality, risk, strategy
 from gristmill.plans.conditions import Condition, compile_condition, within_window
 from gristmill.plans.ordered import average_ranks, running_sums
 from gristmill.plans.quantiles import quantiles
@@ -344,6 +344,81 @@ def test_models_predict_held_out_rows(spark):
     assert folds.metrics.count() == 3 and folds.metrics.where("fold = 'overall'").first()["roc_auc"] > 0.85
 
 
+def test_time_folds_never_train_on_what_was_not_known(spark):
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=n)
+    rng = random.Random(3)
+    rows = [(i, day(i % 200), day(i % 200 + 10 + i % 3), rng.uniform(-1, 1), None if i % 41 == 0 else int(rng.random() < 0.4)) for i in range(800)]
+    df = spark.createDataFrame(rows, "k long, seen timestamp_ntz, known timestamp_ntz, x double, y int")
+    time = g.TimePlan("seen", "label_available_time", (day(60), day(120)), day(180), day(185), horizon=dt.timedelta(days=10), label_available="known")
+    config = g.RiskValidationConfig(mode="time_forward", time=time)
+    plan = risk.fold_plan(df, "y", config, ["k"])
+    for i, (c, e) in enumerate(time.windows):
+        train = {r["k"] for r in plan.rows.where(plan.train(i)).collect()}
+        valid = {r["k"] for r in plan.rows.where(plan.validation(i)).collect()}
+        assert train == {k for k, o, a, _, y in rows if y is not None and o < c and a <= c}
+        assert valid == {k for k, o, _, _, y in rows if y is not None and c <= o < e}
+    out = g.validate_binary_risk(df, "y", config=config, features=["x"], keys=["k"])
+    folds = out.folds.orderBy("fold_id").collect()
+    assert [r["purged_train_n"] > 0 for r in folds] == [True, True] and folds[1]["immature_validation_n"] > 0 == folds[0]["immature_validation_n"]
+    assert {r["fold"] for r in out.metrics.collect()} == {"overall", "0", "1"}
+    reasons = {r["reason"]: r["count"] for r in out.excluded.groupBy("reason").count().collect()}
+    assert set(reasons) == {"missing_target", "before_first_validation_window", "outside_validation_window"}
+    assert out.predictions.count() + sum(reasons.values()) == len(rows)
+    # given predictions match the plan or are refused
+    given = plan.rows.where("fold is not null").select("k", "fold", F.col("x").alias("ranking_score"))
+    one = g.validate_binary_risk(df, "y", config=config, keys=["k"], predictions=given).metrics.where("fold = 'overall'").first()["roc_auc"]
+    turned = g.validate_binary_risk(df, "y", config=config, keys=["k"], predictions=given, direction="lower_risk").metrics.where("fold = 'overall'").first()["roc_auc"]
+    assert abs(one + turned - 1) < 1e-9
+    first = given.first()["k"]
+    for wrong in (given.where(F.col("k") != first), given.union(given.where(F.col("k") == first)), given.withColumn("fold", 1 - F.col("fold")), given.union(df.limit(1).select(F.lit(-1), F.lit(0), F.lit(0.5)))):
+        with pytest.raises(ValueError, match="does not match validation plan"):
+            risk.external_predictions(plan, wrong, ["k"])
+    with pytest.raises(ValueError, match="finite"):
+        risk.external_predictions(plan, given.withColumn("ranking_score", F.when(F.col("k") == first, float("nan")).otherwise(0.0)), ["k"])
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"maturity_source": "outcome_end"}, {"horizon": None}, {"analysis_as_of": dt.datetime(2020, 2, 1)}, {"cutoffs": (dt.datetime(2020, 3, 1), dt.datetime(2020, 2, 1))}, {"horizon": dt.timedelta(0)}],
+)
+def test_time_plans_that_do_not_fit_are_refused(change):
+    base = {"observation": "o", "maturity_source": "observation_horizon", "cutoffs": (dt.datetime(2020, 2, 1),), "validation_end": dt.datetime(2020, 3, 1), "analysis_as_of": dt.datetime(2020, 4, 1), "horizon": dt.timedelta(days=5)}
+    assert g.TimePlan(**base).windows == [(dt.datetime(2020, 2, 1), dt.datetime(2020, 3, 1))]
+    with pytest.raises(ValueError):
+        g.TimePlan(**(base | change))
+    for mode in ("time_forward", "group_kfold"):
+        with pytest.raises(ValueError):
+            g.RiskValidationConfig(mode=mode, time=g.TimePlan(**base))
+    with pytest.raises(ValueError):
+        g.RiskValidationConfig(mode="time_holdout")
+
+
+def test_label_maturity_must_agree_with_the_data(spark):
+    t = dt.datetime(2020, 1, 1)
+    frame = spark.createDataFrame([(1, t, t + dt.timedelta(days=5), t + dt.timedelta(days=7), t + dt.timedelta(days=3), 1), (2, t, t + dt.timedelta(days=5), t + dt.timedelta(days=7), None, 0)], "k long, o timestamp_ntz, e timestamp_ntz, a timestamp_ntz, event timestamp_ntz, y int")
+    base = {"observation": "o", "cutoffs": (dt.datetime(2020, 2, 1),), "validation_end": dt.datetime(2020, 3, 1), "analysis_as_of": dt.datetime(2020, 4, 1)}
+    delay = dt.timedelta(days=2)
+    fine = [
+        {"maturity_source": "outcome_end", "outcome_end": "e", "reporting_delay": delay, "label_available": "a", "event_time": "event"},
+        {"maturity_source": "label_available_time", "label_available": "a", "horizon": dt.timedelta(days=5)},
+        {"maturity_source": "observation_horizon", "horizon": dt.timedelta(days=5), "outcome_end": "e"},
+    ]
+    for extra in fine:
+        plan = risk.fold_plan(frame, "y", g.RiskValidationConfig(mode="time_holdout", time=g.TimePlan(**base, **extra)), ["k"])
+        due = t + dt.timedelta(days=7 if extra["maturity_source"] != "observation_horizon" else 5)
+        assert {r["_available"] for r in plan.rows.collect()} == {due}
+    wrong = [
+        {"maturity_source": "outcome_end", "outcome_end": "e", "label_available": "a"},
+        {"maturity_source": "label_available_time", "label_available": "a", "horizon": dt.timedelta(days=5), "reporting_delay": dt.timedelta(days=3)},
+        {"maturity_source": "observation_horizon", "horizon": dt.timedelta(days=4), "outcome_end": "e"},
+        {"maturity_source": "observation_horizon", "horizon": dt.timedelta(days=2), "event_time": "event"},
+        {"maturity_source": "outcome_end", "outcome_end": "event"},
+    ]
+    for extra in wrong:
+        with pytest.raises(ValueError, match="invalid|inconsistent"):
+            risk.fold_plan(frame, "y", g.RiskValidationConfig(mode="time_holdout", time=g.TimePlan(**base, **extra)), ["k"])
+
+
 def test_histogram_covers_all_rows(spark):
     df = spark.createDataFrame([(float(i % 37), i) for i in range(500)] + [(None, -1), (float("inf"), -2)], "v double, k long")
     bins = plotdata.histogram(df, ["v"]).collect()
