@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import infinite, is_categorical, is_floating, is_numeric, present, ratio, sample_skewness
 from ..functions.special import chi2_sf, pearson_p
-from ..plans.ordered import average_ranks
+from ..plans.ordered import average_ranks, running_sums
 from ..plans.quantiles import quantiles
 from ..plans.shapes import check_columns, small, tall
 
@@ -140,7 +140,8 @@ class CorrelationAnalysis:
 def compute_correlations(df: DataFrame, *, columns: Sequence[str] | None = None, method: str = "pearson", max_columns: int = MAX_CORRELATED, min_periods: int = 2) -> CorrelationAnalysis:
     """(left, right, n, correlation) for pairs of numeric columns over the rows where both are present.
 
-    Pearson: all pairs in one aggregate.  Spearman: tie-averaged ranks are taken anew on each pair's rows.
+    Pearson: all pairs in one aggregate.  Spearman: columns without missing values are ranked once and
+    paired in one aggregate; with missing values, ranks are taken anew on each pair's rows.
     """
     if method not in ("pearson", "spearman"):
         raise ValueError("method must be pearson or spearman")
@@ -168,14 +169,30 @@ def compute_correlations(df: DataFrame, *, columns: Sequence[str] | None = None,
             cells[f"{a}\0{b}"] = {"n": F.count_if(both), "correlation": F.corr(x, y)}
         table = tall(df, cells, "pair").select(F.split("pair", "\0")[0].alias("left"), F.split("pair", "\0")[1].alias("right"), "n", "correlation")
     else:
-        table = None
+        full = [n for n in kept if seen["present"][n] == seen["n"]]
+        table = _spearman_full(df, full, kinds) if len(full) > 1 else None
         for a, b in pairs:
+            if a in full and b in full:
+                continue
             part = _spearman(df, a, b, kinds)
             table = part if table is None else table.unionByName(part)
     table = table.where((F.col("n") >= min_periods) & F.col("correlation").isNotNull())
     return CorrelationAnalysis(seen["n"], tuple(names), tuple(kept), tuple(skipped), skipped, method, max_columns, min_periods, truncated, table)
 
 
+def _spearman_full(df: DataFrame, names: Sequence[str], kinds: dict) -> DataFrame:
+    """All pairs of columns without missing values: each is ranked once, then one aggregate has all pairs."""
+    rows = df.select(*[present(n, kinds[n]).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    for i in range(len(names)):
+        ranks = average_ranks(rows.select(f"v{i}"), f"v{i}").select(f"v{i}", F.col("rank").alias(f"r{i}"))
+        rows = rows.join(ranks, f"v{i}").drop(f"v{i}")
+    cells = {}
+    for i, j in combinations(range(len(names)), 2):
+        cells[f"{names[i]}\0{names[j]}"] = {"n": F.count(F.lit(1)), "correlation": F.corr(f"r{i}", f"r{j}")}
+    pair = F.split("pair", "\0")
+    return tall(rows, cells, "pair").select(pair[0].alias("left"), pair[1].alias("right"), "n", "correlation")
+
+
 def _spearman(df: DataFrame, a: str, b: str, kinds: dict) -> DataFrame:
     both = df.select(present(a, kinds[a]).cast("double").alias("x"), present(b, kinds[b]).cast("double").alias("y")).where("x is not null and y is not null")
     counted = both.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"))  # equal pairs once
@@ -320,21 +337,28 @@ def kruskal(df: DataFrame, group: Column, value: Column) -> DataFrame:
 def chi_square(df: DataFrame, left: Column, right: Column) -> DataFrame:
     """(n, levels_left, levels_right, statistic, effect, degrees, low_expected): contingency test and Cramer's V.
 
-    Two by two tables get Yates' correction.
+    Two by two tables get Yates' correction.  Only cells that occur are formed: an empty one adds its
+    expectation, and expectations sum to n.  Low expectations are counted over sorted marginals.
     """
     cells = df.select(left.cast("string").alias("a"), right.cast("string").alias("b")).where("a is not null and b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"))
     rows, columns = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
-    total = rows.agg(F.sum("ra").alias("n"), F.count(F.lit(1)).alias("r"))
-    wide = columns.agg(F.count(F.lit(1)).alias("c"))
-    # the table of levels, not of rows: at most levels by levels cells
-    grid = rows.crossJoin(F.broadcast(columns)).join(cells, ["a", "b"], "left").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(wide))
-    e = F.col("ra").cast("double") * F.col("cb") / F.col("n")
-    off = F.abs(F.coalesce(F.col("o"), F.lit(0)) - e)
-    off = F.when((F.col("r") == 2) & (F.col("c") == 2), off - F.least(F.lit(0.5), off)).otherwise(off)
-    one = grid.groupBy("n", "r", "c").agg(F.sum(off * off / e).alias("statistic"), F.count_if(e < 5).alias("low_expected"))
-    short = F.least(F.col("r"), F.col("c")) - 1
-    return one.where((F.col("r") >= 2) & (F.col("c") >= 2)).select(
-        "n", F.col("r").alias("levels_left"), F.col("c").alias("levels_right"), "statistic", F.sqrt(F.col("statistic") / (F.col("n") * short)).alias("effect"), ((F.col("r") - 1) * (F.col("c") - 1)).alias("degrees"), "low_expected"
+    margins = lambda t, m, n: t.agg(F.sum(m).alias(f"{n}_n"), F.count(F.lit(1)).alias(n), F.sum(1 / F.col(m)).alias(f"{n}_inverse"))
+    one = margins(rows, "ra", "r").crossJoin(margins(columns, "cb", "c")).withColumnRenamed("r_n", "n")  # one row and one row
+    n, r, c = F.col("n").cast("double"), F.col("r"), F.col("c")
+    held = cells.join(rows, "a").join(columns, "b").crossJoin(F.broadcast(one.select("n")))
+    e = F.col("ra").cast("double") * F.col("cb") / n
+    off = F.abs(F.col("o") - e)
+    sums = held.agg(F.sum(off * off / e).alias("terms"), F.sum(e).alias("expected"), F.max(off).alias("off"))
+    # pairs of marginals with ra * cb < 5 n: for each row, the columns below 5 n / ra
+    sized = columns.groupBy(F.col("cb").cast("double").alias("key")).agg(F.count(F.lit(1)).alias("columns"), F.lit(0).cast("long").alias("rows"))
+    asked = rows.crossJoin(F.broadcast(one.select("n"))).groupBy((5 * n / F.col("ra")).alias("key")).agg(F.lit(0).cast("long").alias("columns"), F.count(F.lit(1)).alias("rows"))
+    merged = sized.unionByName(asked).groupBy("key").agg(F.sum("columns").alias("columns"), F.sum("rows").alias("rows"))
+    low = running_sums(merged, "key", ["columns"]).agg(F.coalesce(F.sum(F.col("rows") * (F.col("columns_upto") - F.col("columns"))), F.lit(0)).alias("low_expected"))
+    kept = F.col("off") - F.least(F.lit(0.5), F.col("off"))
+    statistic = F.when((r == 2) & (c == 2), kept * kept * n * F.col("r_inverse") * F.col("c_inverse")).otherwise(F.col("terms") + n - F.col("expected"))
+    whole = one.crossJoin(sums).crossJoin(low).withColumn("statistic", F.greatest(F.lit(0.0), statistic))
+    return whole.where((r >= 2) & (c >= 2)).select(
+        "n", r.alias("levels_left"), c.alias("levels_right"), "statistic", F.sqrt(F.col("statistic") / (n * (F.least(r, c) - 1))).alias("effect"), ((r - 1) * (c - 1)).alias("degrees"), "low_expected"
     )
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, is_numeric, ratio
+from ..plans.quantiles import quantiles
+from ..plans.shapes import tall
 from .analysis import CorrelationAnalysis, GroupComparison, OutlierAnalysis, TargetAnalysis, frequencies
 from .audit import missing_counts
 from .governance import GovernanceResult
@@ -33,11 +35,11 @@ def histogram(df: DataFrame, columns: Sequence[str], max_bins: int = MAX_BINS) -
     kinds = {f.name: f.dataType for f in df.schema.fields}
     cells = F.array(*[F.struct(F.lit(c).alias("column"), finite(c, kinds[c]).alias("v")) for c in columns])
     values = df.select(F.inline(cells)).where("v is not null")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
-    stats = values.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("a"), F.max("v").alias("b"), q.alias("q"))
-    width = 2 * (F.col("q")[1] - F.col("q")[0]) * F.pow(F.col("rows").cast("double"), F.lit(-1.0 / 3))
+    edges = tall(df, {c: {"rows": F.count(finite(c, kinds[c])), "a": F.min(finite(c, kinds[c])), "b": F.max(finite(c, kinds[c]))} for c in columns}).drop("position").where("rows > 0")
+    stats = edges.join(F.broadcast(quantiles(df, {c: finite(c, kinds[c]) for c in columns}, (0.25, 0.75))), "column")  # a row a column
+    width = 2 * (F.col("q1") - F.col("q0")) * F.pow(F.col("rows").cast("double"), F.lit(-1.0 / 3))
     bins = F.when((width > 0) & (F.col("b") > F.col("a")), F.ceil(F.round((F.col("b") - F.col("a")) / width, 9))).otherwise(F.ceil(F.sqrt("rows")))
-    stats = stats.withColumn("bins", F.when(F.col("b") > F.col("a"), F.least(F.greatest(bins, F.lit(1)), F.lit(max_bins))).otherwise(1).cast("int")).drop("q")
+    stats = stats.withColumn("bins", F.when(F.col("b") > F.col("a"), F.least(F.greatest(bins, F.lit(1)), F.lit(max_bins))).otherwise(1).cast("int")).drop("q0", "q1")
     placed = values.join(F.broadcast(stats), "column")  # a row a column
     at = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col("v") - F.col("a")) * F.col("bins") / (F.col("b") - F.col("a"))), F.col("bins") - 1)).otherwise(0)
     counted = placed.groupBy("column", at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

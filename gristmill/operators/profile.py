@@ -185,7 +185,8 @@ def summarize_dataframe(df: DataFrame, *, schema: SchemaReport | None = None) ->
         for name in numeric:
             c = present(name, kinds[name]).cast("double")
             figures[name] = {"min": F.min(c), "max": F.max(c), "mean": F.avg(c), "std": F.stddev_samp(c)}
-        middle = quantiles(df, {n: present(n, kinds[n]) for n in numeric}).toDF("column", "q25", "median", "q75")
+        distinct = sum(c.unique_count for c in report.columns if c.name in numeric)
+        middle = quantiles(df, {n: present(n, kinds[n]) for n in numeric}, distinct=distinct).toDF("column", "q25", "median", "q75")
         extra = tall(df, figures).drop("position").join(F.broadcast(middle), "column")  # a row a column
     else:
         extra = small(df.sparkSession, [], f"column string, {stats}")

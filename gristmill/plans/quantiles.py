@@ -15,21 +15,24 @@ from pyspark.sql import functions as F
 from .ordered import running_sums
 from .shapes import tall
 
-#: Distinct values (estimated) up to which an aggregate's buffer holds a column.
-BUFFERED = 1_000_000
+#: Distinct values (estimated), of all columns together, that the buffers of one aggregate may hold.
+BUFFERED = 1_500_000
 
 
 def buffered(df: DataFrame, columns: Mapping[str, Column], limit: int = BUFFERED) -> bool:
-    """Whether every column's distinct values fit an aggregate's buffer, by a sketch."""
+    """Whether the columns' distinct values fit the buffers of one aggregate, by sketches."""
     row = df.agg(*[F.approx_count_distinct(c, 0.05) for c in columns.values()]).first()
-    return max(row, default=0) <= limit
+    return sum(row) <= limit
 
 
-def quantiles(df: DataFrame, columns: Mapping[str, Column], probabilities: Sequence[float] = (0.25, 0.5, 0.75), *, distributed: bool | None = None) -> DataFrame:
-    """(column, q0, q1, ...): a row a column; null for a column without values."""
+def quantiles(df: DataFrame, columns: Mapping[str, Column], probabilities: Sequence[float] = (0.25, 0.5, 0.75), *, distributed: bool | None = None, distinct: int | None = None) -> DataFrame:
+    """(column, q0, q1, ...): a row a column; null for a column without values.
+
+    ``distinct``: the columns' distinct values together, where they are known already.
+    """
     names = [f"q{i}" for i in range(len(probabilities))]
     if distributed is None:
-        distributed = not buffered(df, columns)
+        distributed = distinct > BUFFERED if distinct is not None else not buffered(df, columns)
     if not distributed:
         cells = {}
         for name, c in columns.items():
