@@ -610,10 +610,18 @@ def risk_validation_report(spark, sf_dir):
 
 def customer_orders(spark, sf_dir):
     spent = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("spent"))
-    return table(spark, sf_dir, "customer").join(spent, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey").withColumn("score", F.round(F.pmod(F.col("c_custkey"), F.lit(97)) / 97, 6)).withColumn("late", (F.pmod(F.col("c_custkey"), F.lit(7)) == 0).cast("int"))
+    return table(spark, sf_dir, "customer").join(spent, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey").withColumn("score", F.round(F.pmod(F.col("c_custkey"), F.lit(97)) / 97, 6)).withColumn("late", (F.pmod(F.col("c_custkey"), F.lit(7)) == 0).cast("int")).withColumns({"ripe": F.when(F.pmod(F.col("c_custkey"), F.lit(5)) != 2, F.col("late")), "owed": F.abs("c_acctbal"), "lost": F.col("late") * F.abs("c_acctbal") / 4})
 
 
-CUSTOMERS = "(SELECT c.*, o.orders, o.spent, round((c_custkey % 97) / 97.0, 6) AS score, CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS late FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM orders GROUP BY 1) o ON c_custkey = o_custkey)"
+CUSTOMERS = "(SELECT c.*, o.orders, o.spent, round((c_custkey % 97) / 97.0, 6) AS score, CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS late, CASE WHEN c_custkey % 5 <> 2 THEN CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END END AS ripe, abs(c_acctbal) AS owed, CASE WHEN c_custkey % 7 = 0 THEN abs(c_acctbal) / 4 ELSE 0 END AS lost FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS spent FROM orders GROUP BY 1) o ON c_custkey = o_custkey)"
+
+
+# metric, operator, threshold and action of a constraint each; one asks for more support than there is
+_LIMITS = (
+    ("action_count", "ge", 10.0, "accept"), ("action_rate", "le", 0.2, "decline"), ("selected_rate", "ge", 0.9, None), ("rejected_rate", "le", 0.05, None), ("review_count", "le", 20.0, None), ("review_rate", "le", 0.5, None),
+    ("request_information_rate", "le", 0.1, None), ("selected_exposure_sum", "ge", 1000.0, None), ("expected_loss_sum", "le", 1000.0, None), ("expected_loss_rate", "le", 0.3, None), ("observed_loss_sum", "le", 100.0, None),
+    ("observed_loss_rate", "le", 0.5, None), ("selected_event_rate", "le", 0.1, None),
+)
 
 
 def strategy_config() -> strategy.DecisionStrategyConfig:
@@ -627,9 +635,9 @@ def strategy_config() -> strategy.DecisionStrategyConfig:
             rule("risky", "decision", 3, Condition(operator="ge", left="score", right=0.8), "check"),
         ),
         "accept", "check", (("accept", "selected"), ("check", "review"), ("decline", "rejected")),
-        constraints=(strategy.DecisionConstraint("few_declined", "row_rate", "le", 0.2, "decline"), strategy.DecisionConstraint("enough_accepted", "row_rate", "ge", 0.9, "accept")),
-        historical_action_column="c_nationkey", historical_action_mapping=((0, "accept"), (1, "accept"), (2, "decline"), (3, "check")),
-        outcome_column="late", probability_column="score", exposure_column="c_acctbal", loss_fraction=0.4, segment_columns=("c_mktsegment",),
+        constraints=tuple(strategy.DecisionConstraint(f"{m}_{o}", m, o, t, a, 1) for m, o, t, a in _LIMITS),
+        historical_action_column="c_nationkey", historical_action_mapping=((0, "accept"), (1, "accept"), (2, "decline"), (3, "check")), action_assumptions=(("accept", 40.0, 5.0), ("check", 10.0, 8.0), ("decline", 0.0, 1.0)),
+        outcome_column="ripe", probability_column="score", exposure_column="owed", loss_fraction=0.4, observed_loss_column="lost", segment_columns=("c_mktsegment",),
     )
 
 
@@ -660,55 +668,127 @@ def strategy_rule_evaluations(spark, sf_dir):
     return strategy.rule_evaluations(decided(spark, sf_dir), ["c_custkey"]).select("c_custkey", "rule_key", "rule_order", "truth", "reason", "is_applied")
 
 
-@query(union([f"SELECT CASE WHEN c_mktsegment IS NULL THEN 'overall' ELSE 'c_mktsegment' END AS scope, c_mktsegment, '{k}' AS rule_key, count(*) FILTER ({v})::DOUBLE AS hits, count(*) FILTER ({v} IS NULL)::DOUBLE AS unknowns, count(*) FILTER (applied_rule_key = '{k}')::DOUBLE AS applied FROM {_DECIDED} GROUP BY GROUPING SETS ((), (c_mktsegment))" for k, v in _TRUTHS.items()]))
+_WITHOUT = {
+    "in_debt": "CASE WHEN a IS NULL THEN 'check' WHEN a AND b IS NULL THEN 'check' WHEN a AND c IS NULL THEN 'check' WHEN a AND c THEN 'check' WHEN a THEN 'accept' WHEN b IS NULL THEN 'check' WHEN b AND coalesce(c, true) THEN 'check' WHEN b THEN 'accept' WHEN coalesce(c, true) THEN 'check' ELSE 'accept' END",
+    "large": "CASE WHEN e THEN 'decline' WHEN e IS NULL THEN 'check' WHEN b IS NULL THEN 'check' WHEN b AND coalesce(c, true) THEN 'check' WHEN b THEN 'accept' WHEN coalesce(c, true) THEN 'check' ELSE 'accept' END",
+    "frequent": "CASE WHEN e THEN 'decline' WHEN e IS NULL THEN 'check' WHEN a IS NULL THEN 'check' WHEN a AND coalesce(c, true) THEN 'check' WHEN a THEN 'accept' WHEN coalesce(c, true) THEN 'check' ELSE 'accept' END",
+    "risky": "CASE WHEN e THEN 'decline' WHEN e IS NULL THEN 'check' WHEN a IS NULL THEN 'check' WHEN a AND b IS NULL THEN 'check' WHEN a THEN 'accept' WHEN b IS NULL THEN 'check' ELSE 'accept' END",
+}
+
+
+_SCOPE = "CASE WHEN c_mktsegment IS NULL THEN 'overall' ELSE 'c_mktsegment' END AS scope, c_mktsegment"
+_BY_SEGMENT = "GROUP BY GROUPING SETS ((), (c_mktsegment))"
+
+
+def _tall(labels: str, source: str, values: dict[str, str]) -> str:
+    """Metrics as rows; a metric is SQL for its value (null where a denominator is zero) and for its support."""
+    return " UNION ALL ".join(f"SELECT {labels}, '{m}' AS metric, round(CAST({v} AS DOUBLE), 4) AS value, CAST({support} AS BIGINT) AS support FROM {source}" for m, (v, support) in values.items())
+
+
+def _rule_sql(rule: str, truth: str, path: str, overlap: str, conflict: str) -> str:
+    return f"""SELECT {_SCOPE}, '{rule}' AS rule_key, count(*) AS n, count(*) FILTER ({path}) AS evaluated, count(*) FILTER ({truth}) AS hit, count(*) FILTER ({truth} IS NULL) AS unknown, count(*) FILTER (NOT {path}) AS skipped, count(*) FILTER (applied_rule_key = '{rule}') AS applied,
+count(*) FILTER ({truth} AND hits = 1) AS sole, count(*) FILTER ({overlap}) AS overlap, count(*) FILTER ({conflict}) AS conflict, count(*) FILTER (final_action_name <> {_WITHOUT[rule]}) AS changed, count(ripe) AS mature, count(*) FILTER (ripe = 1) AS positive, count(*) FILTER (ripe = 1 AND {truth}) AS captured
+FROM (SELECT *, coalesce(CAST(e AS INTEGER), 0) + CASE WHEN e IS NOT NULL AND NOT e THEN coalesce(CAST(a AS INTEGER), 0) + coalesce(CAST(b AS INTEGER), 0) + coalesce(CAST(c AS INTEGER), 0) ELSE 0 END AS hits, coalesce(NOT e, false) AS open FROM {_DECIDED}) {_BY_SEGMENT}"""
+
+
+_RULE_CELLS = union(
+    [
+        _rule_sql("in_debt", "e", "true", "false", "false"),
+        _rule_sql("large", "a", "open", "false", "false"),
+        _rule_sql("frequent", "b", "(open AND a IS NOT NULL)", "(open AND b AND coalesce(a, true))", "false"),
+        _rule_sql("risky", "c", "(open AND a IS NOT NULL AND b IS NOT NULL)", "(open AND c AND (a IS NULL OR b IS NULL OR a OR b))", "(open AND c AND a IS NOT NULL AND b IS NOT NULL AND (a OR b))"),
+    ]
+)
+
+
+@query(
+    f"WITH w AS ({_RULE_CELLS}) "
+    + _tall(
+        "scope, c_mktsegment, rule_key",
+        "w",
+        {
+            "evaluated_count": ("evaluated", "n"), "hit_count": ("hit", "n"), "hit_rate": ("hit / nullif(evaluated, 0)", "evaluated"), "unknown_count": ("unknown", "n"), "unknown_rate": ("unknown / nullif(evaluated, 0)", "evaluated"),
+            "not_evaluated_count": ("skipped", "n"), "applied_count": ("applied", "n"), "sole_hit_count": ("sole", "n"), "overlap_count": ("overlap", "n"), "overlap_rate": ("overlap / nullif(evaluated, 0)", "evaluated"),
+            "conflict_count": ("conflict", "n"), "incremental_action_count": ("applied", "n"), "leave_one_out_changed_action_count": ("changed", "n"), "captured_event_count": ("captured", "mature"),
+            "target_capture_rate": ("captured / nullif(positive, 0)", "positive"),
+        },
+    )
+)
 def strategy_rule_summary(spark, sf_dir):
-    rows = strategy.rule_summary(decided(spark, sf_dir), strategy_config())
-    names = {"hit_count": "hits", "unknown_count": "unknowns", "applied_count": "applied"}
-    return rows.groupBy("scope", "c_mktsegment", "rule_key").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(n) for m, n in names.items()])
+    return rounded(strategy.rule_summary(decided(spark, sf_dir, leave_one_out=True), strategy_config()).select("scope", "c_mktsegment", "rule_key", "metric", "value", "support"))
+
+
+_PRICED = f"(SELECT *, score * owed * 0.4 AS el, ripe * owed * 0.4 AS ol, CASE final_action_name WHEN 'accept' THEN 40.0 WHEN 'check' THEN 10.0 ELSE 0.0 END AS worth, CASE final_action_name WHEN 'accept' THEN 5.0 WHEN 'check' THEN 8.0 ELSE 1.0 END AS price, CASE final_action_name WHEN 'accept' THEN 'selected' WHEN 'check' THEN 'review' ELSE 'rejected' END AS role FROM {_DECIDED})"
+
+
+def _group_sql(label: str, group: str) -> str:
+    return f"""SELECT {_SCOPE}, {label}, count(*) AS whole, count(*) FILTER ({group}) AS n, count(ripe) FILTER ({group}) AS mature, count(*) FILTER ({group} AND ripe = 1) AS events, coalesce(sum(owed) FILTER ({group}), 0) AS owed, coalesce(sum(el) FILTER ({group}), 0) AS el, coalesce(sum(ol) FILTER ({group}), 0) AS ol,
+coalesce(sum(worth) FILTER ({group}), 0) AS worth, coalesce(sum(price) FILTER ({group}), 0) AS price, coalesce(sum(worth - price - el) FILTER ({group}), 0) AS payoff, sum(lost) FILTER ({group}) AS lost, avg(score) FILTER ({group}) AS s_mean, min(score) FILTER ({group}) AS s_min, max(score) FILTER ({group}) AS s_max,
+count(*) FILTER ({group} AND role = 'selected') AS selected, count(*) FILTER ({group} AND role = 'rejected') AS rejected, count(*) FILTER ({group} AND role = 'review') AS review, count(*) FILTER ({group} AND c_nationkey IN (0, 1, 2, 3)) AS mapped,
+count(ripe) FILTER ({group} AND role = 'selected') AS chosen, count(*) FILTER ({group} AND role = 'selected' AND ripe = 1) AS chosen_events FROM {_PRICED} {_BY_SEGMENT}"""
 
 
-_ACTIONS = f"""SELECT CASE WHEN c_mktsegment IS NULL THEN 'overall' ELSE 'c_mktsegment' END AS scope, c_mktsegment, final_action_name AS action, count(*)::DOUBLE AS n, avg(late) AS event_rate, sum(c_acctbal) AS exposure, sum(score * c_acctbal * 0.4) AS el
-FROM {_DECIDED} GROUP BY GROUPING SETS ((final_action_name), (c_mktsegment, final_action_name))"""
+_SUMS = {
+    "exposure_sum": ("owed", "n"), "expected_loss_sum": ("el", "n"), "assumption_based_observed_event_loss_sum": ("CASE WHEN mature > 0 THEN ol END", "mature"), "assumed_action_value_sum": ("worth", "n"), "assumed_action_cost_sum": ("price", "n"),
+    "assumption_based_payoff_sum": ("payoff", "n"),
+}
+_ACTIONS = union([_group_sql(f"'{a}' AS action", f"final_action_name = '{a}'") for a in ("accept", "check", "decline")])
 
 
 @query(
-    f"""WITH a AS ({_ACTIONS}), t AS (SELECT scope, c_mktsegment, sum(n) AS t FROM a GROUP BY 1, 2), j AS (SELECT a.*, t.t FROM a JOIN t ON a.scope = t.scope AND a.c_mktsegment IS NOT DISTINCT FROM t.c_mktsegment)
-SELECT scope, c_mktsegment, action, 'row_count' AS metric, n AS value FROM j UNION ALL SELECT scope, c_mktsegment, action, 'row_rate', round(n / t, 4) FROM j UNION ALL SELECT scope, c_mktsegment, action, 'event_rate', round(event_rate, 4) FROM j
-UNION ALL SELECT scope, c_mktsegment, action, 'exposure_sum', round(exposure, 4) FROM j UNION ALL SELECT scope, c_mktsegment, action, 'expected_loss_sum', round(el, 4) FROM j"""
+    f"WITH w AS ({_ACTIONS}) "
+    + _tall("scope, c_mktsegment, action", "w", {"action_count": ("n", "whole"), "action_rate": ("n / whole", "whole"), "evaluable_event_count": ("nullif(mature, 0)", "mature"), "event_count": ("CASE WHEN mature > 0 THEN events END", "mature"), "event_rate": ("events / nullif(mature, 0)", "mature")} | _SUMS)
 )
 def strategy_action_summary(spark, sf_dir):
-    return rounded(strategy.action_summary(decided(spark, sf_dir), strategy_config()).where("metric <> 'expected_loss_rate'").select("scope", "c_mktsegment", "action", "metric", "value"))
+    return rounded(strategy.action_summary(decided(spark, sf_dir), strategy_config()).select("scope", "c_mktsegment", "action", "metric", "value", "support"))
+
+
+_ROLES = union([_group_sql("CAST(NULL AS VARCHAR) AS role", "true"), *[_group_sql(f"'{r}' AS role", f"role = '{r}'") for r in ("selected", "rejected", "review")]])
+_OVERALL = "CASE WHEN scope = 'overall' AND role IS NULL THEN {} END"
 
 
 @query(
-    f"""WITH r AS (SELECT CASE final_action_name WHEN 'accept' THEN 'selected' WHEN 'check' THEN 'review' ELSE 'rejected' END AS role, late, score FROM {_DECIDED}),
-g AS (SELECT CASE WHEN role IS NULL THEN 'overall' ELSE 'role' END AS scope, role, count(*)::DOUBLE AS n, avg(late) AS e, avg(score) AS s FROM r GROUP BY GROUPING SETS ((), (role)))
-SELECT scope, role, 'row_count' AS metric, n AS value FROM g UNION ALL SELECT scope, role, 'row_rate', round(n / (SELECT n FROM g WHERE scope = 'overall'), 4) FROM g UNION ALL SELECT scope, role, 'event_rate', round(e, 4) FROM g UNION ALL SELECT scope, role, 'mean_probability', round(s, 4) FROM g"""
+    f"WITH w AS ({_ROLES}) "
+    + _tall(
+        "scope, c_mktsegment, role",
+        "w",
+        {f"{p}_{f}": (f"s_{f}", "n") for p in ("ranking_score", "event_probability") for f in ("mean", "min", "max")}
+        | _SUMS
+        | {
+            "row_count": ("n", "n"), "decided_rate": ("n / nullif(n, 0)", "n"), "observed_event_count": ("CASE WHEN mature > 0 THEN events END", "mature"), "observed_event_rate": ("events / nullif(mature, 0)", "mature"),
+            "selected_rate": ("selected / nullif(n, 0)", "n"), "rejected_rate": ("rejected / nullif(n, 0)", "n"), "review_capacity_rate": ("review / nullif(n, 0)", "n"), "unknown_action_rate": ("review / nullif(n, 0)", "n"),
+            "expected_loss_rate": ("el / nullif(owed, 0)", "n"), "actual_observed_loss_sum": (_OVERALL.format("lost"), f"coalesce({_OVERALL.format('n')}, 0)"), "actual_observed_loss_rate": (_OVERALL.format("lost / owed"), f"coalesce({_OVERALL.format('n')}, 0)"),
+            "selected_event_rate": ("chosen_events / nullif(chosen, 0)", "chosen"), "historical_mapped_rate": ("mapped / nullif(n, 0)", "n"),
+        },
+    )
 )
 def strategy_business_summary(spark, sf_dir):
-    return rounded(strategy.business_summary(decided(spark, sf_dir), strategy_config()).select("scope", "role", "metric", "value"))
+    return rounded(strategy.business_summary(decided(spark, sf_dir), strategy_config()).select("scope", "c_mktsegment", "role", "metric", "value", "support"))
+
+
+_LIMIT_SQL = {
+    "action_count": "count(*) FILTER (final_action_name = 'accept')", "action_rate": "avg(CASE WHEN final_action_name = 'decline' THEN 1.0 ELSE 0 END)", "selected_rate": "avg(CASE WHEN role = 'selected' THEN 1.0 ELSE 0 END)",
+    "rejected_rate": "avg(CASE WHEN role = 'rejected' THEN 1.0 ELSE 0 END)", "review_count": "count(*) FILTER (role = 'review')", "review_rate": "avg(CASE WHEN role = 'review' THEN 1.0 ELSE 0 END)", "request_information_rate": "0",
+    "selected_exposure_sum": "coalesce(sum(owed) FILTER (role = 'selected'), 0)", "expected_loss_sum": "sum(el)", "expected_loss_rate": "sum(el) / sum(owed)", "observed_loss_sum": "sum(lost)", "observed_loss_rate": "sum(lost) / sum(owed)",
+    "selected_event_rate": "avg(ripe) FILTER (role = 'selected')",
+}
 
 
 @query(
-    f"""WITH s AS (SELECT count(*) FILTER (final_action_name = 'decline') / count(*) AS d, count(*) FILTER (final_action_name = 'accept') / count(*) AS a FROM {_DECIDED})
-SELECT 'few_declined' AS constraint_key, round(d, 6) AS value, round(0.2 - d, 6) AS gap, round(greatest(0, d - 0.2), 6) AS violation, CASE WHEN d <= 0.2 THEN 'satisfied' ELSE 'violated' END AS status FROM s
-UNION ALL SELECT 'enough_accepted', round(a, 6), round(a - 0.9, 6), round(greatest(0, 0.9 - a), 6), CASE WHEN a >= 0.9 THEN 'satisfied' ELSE 'violated' END FROM s"""
+    f"""WITH w AS (SELECT {', '.join(f'CAST({v} AS DOUBLE) AS {k}' for k, v in _LIMIT_SQL.items())} FROM {_PRICED}), t AS ({" UNION ALL ".join(f"SELECT '{m}_{o}' AS constraint_key, {m} AS v, {m} - {t} AS d, '{o}' AS o FROM w" for m, o, t, _ in _LIMITS)})
+SELECT constraint_key, round(v, 4) AS value, round(CASE o WHEN 'ge' THEN d ELSE -d END, 4) + 0.0 AS gap, round(greatest(0, CASE o WHEN 'ge' THEN -d ELSE d END), 4) + 0.0 AS violation, 'available' AS status, CASE WHEN (o = 'ge' AND d >= 0) OR (o = 'le' AND d <= 0) THEN 'constraint_satisfied' ELSE 'constraint_failed' END AS reason FROM t"""
 )
 def strategy_constraints(spark, sf_dir):
-    return rounded(strategy.constraints(decided(spark, sf_dir), strategy_config()).select("constraint_key", "value", "gap", "violation", "status"), 6)
+    found = rounded(strategy.constraints(decided(spark, sf_dir), strategy_config()).select("constraint_key", "value", "gap", "violation", "status", "reason"))
+    return found.withColumns({c: F.col(c) + F.lit(0.0) for c in ("gap", "violation")})
 
 
-@query(f"SELECT CASE c_nationkey WHEN 0 THEN 'accept' WHEN 1 THEN 'accept' WHEN 2 THEN 'decline' WHEN 3 THEN 'check' ELSE 'unmapped' END AS historical_action, final_action_name AS final_action, count(*) AS rows, round(count(*) / (SELECT count(*) FROM customer), 6) AS rate FROM {_DECIDED} GROUP BY 1, 2")
+@query(
+    f"""WITH t AS (SELECT CASE c_nationkey WHEN 0 THEN 'accept' WHEN 1 THEN 'accept' WHEN 2 THEN 'decline' WHEN 3 THEN 'check' END AS h, final_action_name AS f FROM {_DECIDED})
+SELECT h AS historical_action, CASE WHEN h IS NOT NULL THEN f END AS final_action, count(*) AS rows, round(count(*) / (SELECT count(*) FROM customer), 6) AS rate, CASE WHEN h IS NULL THEN 'not_verifiable' ELSE 'available' END AS status FROM t GROUP BY 1, 2"""
+)
 def strategy_transitions(spark, sf_dir):
-    return rounded(strategy.transitions(decided(spark, sf_dir), strategy_config()), 6)
-
-
-_WITHOUT = {
-    "in_debt": "CASE WHEN a IS NULL THEN 'check' WHEN a AND b IS NULL THEN 'check' WHEN a AND c IS NULL THEN 'check' WHEN a AND c THEN 'check' WHEN a THEN 'accept' WHEN b IS NULL THEN 'check' WHEN b AND coalesce(c, true) THEN 'check' WHEN b THEN 'accept' WHEN coalesce(c, true) THEN 'check' ELSE 'accept' END",
-    "large": "CASE WHEN e THEN 'decline' WHEN e IS NULL THEN 'check' WHEN b IS NULL THEN 'check' WHEN b AND coalesce(c, true) THEN 'check' WHEN b THEN 'accept' WHEN coalesce(c, true) THEN 'check' ELSE 'accept' END",
-    "frequent": "CASE WHEN e THEN 'decline' WHEN e IS NULL THEN 'check' WHEN a IS NULL THEN 'check' WHEN a AND coalesce(c, true) THEN 'check' WHEN a THEN 'accept' WHEN coalesce(c, true) THEN 'check' ELSE 'accept' END",
-    "risky": "CASE WHEN e THEN 'decline' WHEN e IS NULL THEN 'check' WHEN a IS NULL THEN 'check' WHEN a AND b IS NULL THEN 'check' WHEN a THEN 'accept' WHEN b IS NULL THEN 'check' ELSE 'accept' END",
-}
+    return rounded(strategy.transitions(decided(spark, sf_dir), strategy_config()).drop("reason"), 6)
 
 
 @query(union([f"SELECT '{k}' AS rule_key, count(*) AS rows, count(*) FILTER (final_action_name <> {v}) AS changed_actions, round(count(*) FILTER (final_action_name <> {v}) / count(*), 6) AS changed_rate FROM {_DECIDED}" for k, v in _WITHOUT.items()]))
@@ -717,7 +797,7 @@ def strategy_leave_one_out(spark, sf_dir):
 
 
 @query(
-    f"""WITH a AS ({_ACTIONS}), o AS (SELECT action, event_rate AS b FROM a WHERE scope = 'overall')
+    f"""WITH a AS (SELECT *, events / nullif(mature, 0) AS event_rate FROM ({_ACTIONS})), o AS (SELECT action, event_rate AS b FROM a WHERE scope = 'overall')
 SELECT c_mktsegment, action, round(event_rate, 4) AS value, round(b, 4) AS overall_baseline, round(event_rate - b, 4) AS absolute_delta FROM a JOIN o USING (action) WHERE scope = 'c_mktsegment'"""
 )
 def strategy_segment_baseline_delta(spark, sf_dir):

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from ..plans.conditions import Condition, compile_condition
-from ..plans.scopes import metric_rows, scoped
-from ..plans.shapes import small
+from .strategy_tables import CONSTRAINT_METRICS, action_summary, business_summary, constraints, rule_summary
 
 # Phases, roles of actions, and constraint operators.
 PHASES = ("eligibility", "decision")
@@ -59,7 +58,12 @@ class DecisionStrategyConfig:
     outcome_column: str | None = None
     probability_column: str | None = None
     exposure_column: str | None = None
-    loss_fraction: float | None = None
+    #: a number for all rows, or a column
+    loss_fraction: float | str | None = None
+    #: (action, value, cost) of a row with that action
+    action_assumptions: tuple[tuple[str, float, float], ...] = ()
+    score_column: str | None = None
+    observed_loss_column: str | None = None
     segment_columns: tuple[str, ...] = ()
     time_slice_column: str | None = None
 
@@ -76,6 +80,15 @@ class DecisionStrategyConfig:
                 raise ValueError("unknown_action")
         if not {self.default_action_name, self.unknown_action_name} <= actions:
             raise ValueError("unknown_action")
+        if self.action_assumptions and {a for a, _, _ in self.action_assumptions} != actions:
+            raise ValueError("action_assumptions must cover every action once")
+        if isinstance(self.loss_fraction, float) and not 0 <= self.loss_fraction <= 1:
+            raise ValueError("loss_fraction lies between 0 and 1")
+        for c in self.constraints:
+            if c.metric not in CONSTRAINT_METRICS or c.operator not in ("le", "ge"):
+                raise ValueError("invalid_constraint")
+            if (c.action_name is not None) != c.metric.startswith("action_") or c.action_name is not None and c.action_name not in actions:
+                raise ValueError("invalid_constraint")
 
     @property
     def active(self) -> bool:
@@ -180,29 +193,6 @@ def rule_evaluations(decided: DataFrame, keep: Sequence[str]) -> DataFrame:
     return zipped.select(*keep, F.col("_z.p.rule_key").alias("rule_key"), "rule_order", F.col("_z.p.path_status").alias("path_status"), F.when(F.col("_z.r.truth").isNull(), "unknown").when(F.col("_z.r.truth"), "true").otherwise("false").alias("truth"), F.col("_z.r.status").alias("status"), F.col("_z.r.reason").alias("reason"), F.col("_z.p.is_applied").alias("is_applied"), F.col("_z.p.is_overlap").alias("is_overlap"), F.col("_z.p.is_conflict").alias("is_conflict"))
 
 
-def _sets(config: DecisionStrategyConfig) -> tuple[list[str], list[list[str]]]:
-    segments, time = list(config.segment_columns), config.time_slice_column
-    keys = segments + ([time] if time else [])
-    sets = [[], *[[s] for s in segments]]
-    if time:
-        sets += [[time], *[[s, time] for s in segments]]
-    return keys, sets
-
-
-def rule_summary(decided: DataFrame, config: DecisionStrategyConfig) -> DataFrame:
-    """Tall metrics by scope and rule; hits include rows where the rule was not reached."""
-    keys, sets = _sets(config)
-    rows = rule_evaluations(decided, keys)
-    hit = F.col("truth") == "true"
-    reached = F.col("path_status") == "evaluated"
-    alone = {"rows": F.count(F.lit(1)), "evaluated": F.count_if(reached), "hits": F.count_if(hit), "unknowns": F.count_if(F.col("truth") == "unknown"), "applied": F.count_if("is_applied"), "overlaps": F.count_if("is_overlap"), "conflicts": F.count_if("is_conflict"), "sole": F.count_if(F.col("is_applied") & ~F.col("is_overlap"))}
-    wide = scoped(rows, [*keys, "rule_key"], [[*s, "rule_key"] for s in sets], alone).withColumn("scope", F.coalesce(F.regexp_replace("scope", r"\*?rule_key$", ""), F.lit(""))).withColumn("scope", F.when(F.col("scope") == "", "overall").otherwise(F.col("scope")))
-    c = {k: F.col(k) for k in alone}
-    one = F.lit(1)
-    metrics = {"row_count": (c["rows"], one), "evaluated_count": (c["evaluated"], one), "hit_count": (c["hits"], one), "unknown_count": (c["unknowns"], one), "applied_count": (c["applied"], one), "overlap_count": (c["overlaps"], one), "conflict_count": (c["conflicts"], one), "hit_rate": (c["hits"], c["evaluated"]), "applied_rate": (c["applied"], c["rows"]), "overlap_rate": (c["overlaps"], c["hits"]), "unknown_rate": (c["unknowns"], c["rows"])}
-    return metric_rows(wide, ["scope", *keys, "rule_key"], metrics)
-
-
 def leave_one_out(decided: DataFrame, config: DecisionStrategyConfig) -> DataFrame:
     """(rule_key, rows, changed_actions, changed_rate): rows whose action differs without the rule."""
     rows = decided.select("final_action_name", F.explode("_without").alias("_w")).groupBy(F.col("_w.rule_key").alias("rule_key"))
@@ -210,39 +200,6 @@ def leave_one_out(decided: DataFrame, config: DecisionStrategyConfig) -> DataFra
     return out.withColumn("changed_rate", ratio(F.col("changed_actions"), F.col("rows")))
 
 
-def action_summary(decided: DataFrame, config: DecisionStrategyConfig) -> DataFrame:
-    """Counts, rates, events, exposure and expected loss by scope and action.
-
-    A sum with one missing component is not verifiable, hence null.
-    """
-    keys, sets = _sets(config)
-    rows = decided.withColumn("action", F.col("final_action_name"))
-    whole = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
-    exposure = F.col(config.exposure_column).cast("double") if config.exposure_column else F.lit(None).cast("double")
-    p = F.col(config.probability_column).cast("double") if config.probability_column else F.lit(None).cast("double")
-    y = F.col(config.outcome_column).cast("double") if config.outcome_column else F.lit(None).cast("double")
-    cells = {"rows": F.count(F.lit(1)), "labelled": F.count(y), "events": F.sum(y), "exposure": whole(exposure), "expected_loss": whole(p * exposure * F.lit(config.loss_fraction).cast("double"))}
-    wide = scoped(rows, [*keys, "action"], [[*s, "action"] for s in sets], cells)
-    wide = wide.withColumn("scope", F.regexp_replace("scope", r"\*?action$", "")).withColumn("scope", F.when(F.col("scope") == "", "overall").otherwise(F.col("scope")))
-    totals = wide.groupBy(F.col("scope").alias("_scope"), *[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("rows").alias("scope_rows"))
-    on = [F.col("scope").eqNullSafe(F.col("_scope")), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]]
-    joined = wide.join(F.broadcast(totals), on)  # a row a scope
-    one = F.lit(1)
-    metrics = {"row_count": (F.col("rows"), one), "row_rate": (F.col("rows"), F.col("scope_rows")), "event_rate": (F.col("events"), F.col("labelled")), "exposure_sum": (F.col("exposure"), one), "expected_loss_sum": (F.col("expected_loss"), one), "expected_loss_rate": (F.col("expected_loss"), F.col("exposure"))}
-    return metric_rows(joined, ["scope", *keys, "action"], metrics)
-
-
-def business_summary(decided: DataFrame, config: DecisionStrategyConfig) -> DataFrame:
-    """(role, rows, rate, event rate, mean score): by role of the final action and overall."""
-    roles = F.create_map(*[F.lit(x) for pair in config.action_roles for x in pair])
-    rows = decided.withColumn("role", roles[F.col("final_action_name")])
-    y = F.col(config.outcome_column).cast("double") if config.outcome_column else F.lit(None).cast("double")
-    p = F.col(config.probability_column).cast("double") if config.probability_column else F.lit(None).cast("double")
-    wide = scoped(rows, ["role"], [[], ["role"]], {"rows": F.count(F.lit(1)), "labelled": F.count(y), "events": F.sum(y), "scored": F.count(p), "scores": F.sum(p)})
-    total = wide.where("scope = 'overall'").select(F.col("rows").alias("total"))
-    return metric_rows(wide.crossJoin(F.broadcast(total)), ["scope", "role"], {"row_count": (F.col("rows"), F.lit(1)), "row_rate": (F.col("rows"), F.col("total")), "event_rate": (F.col("events"), F.col("labelled")), "mean_probability": (F.col("scores"), F.col("scored"))})
-
-
 def with_baseline(summary: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Scoped metrics with the overall value and the difference from it."""
     base = summary.where("scope = 'overall'").select(*[F.col(c).alias(f"_{c}") for c in labels], F.col("metric").alias("_metric"), F.col("value").alias("overall_baseline"))
@@ -251,24 +208,16 @@ def with_baseline(summary: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 
 def transitions(decided: DataFrame, config: DecisionStrategyConfig) -> DataFrame:
-    """(historical_action, final_action, rows, rate); values outside the mapping are unmapped."""
+    """(historical_action, final_action, rows, rate, status, reason); rows outside the mapping are one row without actions."""
     mapping = F.create_map(*[F.lit(x) for k, v in config.historical_action_mapping for x in (str(k), v)])
-    action = F.coalesce(mapping[F.col(config.historical_action_column).cast("string")], F.lit("unmapped"))
-    counted = decided.groupBy(action.alias("historical_action"), F.col("final_action_name").alias("final_action")).agg(F.count(F.lit(1)).alias("rows"))
+    old = mapping[F.col(config.historical_action_column).cast("string")]
+    known = old.isNotNull() & F.col("final_action_name").isNotNull()
+    counted = decided.groupBy(F.when(known, old).alias("historical_action"), F.when(known, F.col("final_action_name")).alias("final_action")).agg(F.count(F.lit(1)).alias("rows"))
     total = counted.agg(F.sum("rows").alias("total"))
-    return counted.crossJoin(F.broadcast(total)).select("historical_action", "final_action", "rows", ratio(F.col("rows"), F.col("total")).alias("rate"))
-
-
-def constraints(decided: DataFrame, config: DecisionStrategyConfig) -> DataFrame:
-    """(constraint_key, value, support, gap, violation, status): ge has gap value - threshold, le the reverse."""
-    summary = action_summary(decided, config).where("scope = 'overall'")
-    wanted = small(decided.sparkSession, [(c.constraint_key, c.metric, c.operator, float(c.threshold), c.action_name, c.minimum_support) for c in config.constraints], "constraint_key string, metric string, operator string, threshold double, action string, minimum_support int")
-    joined = wanted.join(summary, ["metric", "action"], "left")
-    gap = F.when(F.col("operator") == "ge", F.col("value") - F.col("threshold")).otherwise(F.col("threshold") - F.col("value"))
-    enough = F.coalesce(F.col("denominator"), F.lit(0.0)) >= F.when(F.col("metric").endswith("_rate"), F.col("minimum_support")).otherwise(0)
-    return joined.select(
-        "constraint_key", "metric", "operator", "threshold", "action", "value", F.when(enough, gap).alias("gap"), F.when(enough, F.greatest(F.lit(0.0), -gap)).alias("violation"),
-        F.when(F.col("value").isNull(), "not_verifiable").when(~enough, "insufficient_support").when(gap >= 0, "satisfied").otherwise("violated").alias("status"),
+    lost = F.col("historical_action").isNull()
+    return counted.crossJoin(F.broadcast(total)).select(  # one row
+        "historical_action", "final_action", "rows", ratio(F.col("rows"), F.col("total")).alias("rate"),
+        F.when(lost, "not_verifiable").otherwise("available").alias("status"), F.when(lost, "historical_action_unmapped").otherwise("computed").alias("reason"),
     )
 
 

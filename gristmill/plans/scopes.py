@@ -22,22 +22,3 @@ def scoped(df: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]], ag
         number = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
         name = F.when(F.col("_set") == number, F.lit("*".join(s) or "overall")).otherwise(name)
     return out.select(name.alias("scope"), *columns, *[F.col(n) for n in aggregates])
-
-
-def metric_rows(wide: DataFrame, labels: Sequence[str], metrics: Mapping[str, tuple[Column, Column]]) -> DataFrame:
-    """Tall rows (labels, metric, value, numerator, denominator, status, reason).
-
-    A metric is a numerator and a denominator; a zero denominator is undefined, a null one not verifiable.
-    """
-    cells = []
-    for name, (top, bottom) in metrics.items():
-        top, bottom = top.cast("double"), bottom.cast("double")
-        fine = top.isNotNull() & bottom.isNotNull() & (bottom != 0)
-        cells.append(
-            F.struct(
-                F.lit(name).alias("metric"), F.when(fine, top / bottom).alias("value"), top.alias("numerator"), bottom.alias("denominator"),
-                F.when(fine, "available").when(bottom == 0, "undefined").otherwise("not_verifiable").alias("status"),
-                F.when(fine, "computed").when(bottom == 0, "zero_denominator").otherwise("missing_source").alias("reason"),
-            )
-        )
-    return wide.select(*labels, F.inline(F.array(*cells)))
