@@ -1,11 +1,14 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and clauses.
 
-Leaves are clauses of a paragraph (and the first words of a document one by one, so that short
-texts have more than one leaf); paragraphs end at newlines; sections end at blank lines or where a
-paragraph's own digest says so, hence an edit moves no boundary far from it.  A node's digest
-covers its children's digests in order, and leaves cover every character, so equal roots mean equal
-texts.  The printed fingerprint holds the root and, section by section and paragraph by paragraph,
-short leaf digests with leaf weights: enough to measure likeness and to say which branches differ.
+Leaves are short clauses: a leaf ends after punctuation, after a word with one of a few last
+letters, at a newline, or after so many characters without any.  Paragraphs end at newlines;
+sections end at blank lines or where a paragraph's own digest says so.  Every boundary depends on
+the text around it alone, hence an edit moves none far from it.  A node's digest covers its
+children's digests in order, and leaves cover every character, so equal roots mean equal texts.
+
+The printed fingerprint is the tree: the root, then each section's digest, its paragraphs' digests
+and their leaves' short digests with weights.  Two fingerprints are compared from the root down:
+equal nodes are passed over, unequal ones are entered, and the leaves that differ locate the edits.
 """
 
 from __future__ import annotations
@@ -24,41 +27,52 @@ from pyspark.sql import types as T
 
 from .common import partitions, short_batches
 
-#: The first words of a document are leaves by themselves.
-HEAD_WORDS = 16
-#: A clause ends after punctuation, or after so many characters without any.
-CLAUSE_CHARS = 160
-_HEAD = re.compile(r"\s*\S+\s*")
-_CLAUSE = re.compile(r"[^.,;:!?\n。，；：！？]{0,%d}(?:[.,;:!?。，；：！？]+[^\S\n]*|\n|$|(?=[\s\S]))" % CLAUSE_CHARS)
+#: A leaf ends after so many characters when nothing else ends it.
+LEAF_CHARS = 48
+_LEAF = re.compile(r"[^\n]{0,%d}?(?:[.,;:!?。，；：！？、]+[^\S\n]*\n?|[dnst](?=\s)[^\S\n]*\n?|\n|\Z)|[^\n]{1,%d}" % (LEAF_CHARS, LEAF_CHARS))
 _WEIGHTS = "0123456789abcdefghijklmnopqrstuvwxyz"
+#: Hexadecimal digits of the digests of sections and paragraphs, and of leaves.
+NODE, LEAF = 16, 6
+
+
+class Paragraph(NamedTuple):
+    digest: str
+    #: (digest, weight)
+    leaves: list[tuple[str, int]]
+
+
+class Section(NamedTuple):
+    digest: str
+    paragraphs: list[Paragraph]
 
 
 class Tree(NamedTuple):
     root: str
-    #: sections of paragraphs of (leaf digest, weight)
-    sections: list[list[list[tuple[str, int]]]]
-
-
-def _leaves(text: str) -> list[str]:
-    out: list[str] = []
-    at = 0
-    for _ in range(HEAD_WORDS):
-        m = _HEAD.match(text, at)
-        if not m:
-            break
-        end = m.end()
-        if (cut := text.find("\n", at, end)) >= 0:  # leaves stay within their paragraph
-            end = cut + 1
-        out.append(text[at:end])
-        at = end
-    out += [x for x in _CLAUSE.findall(text, at) if x]
-    return out
+    sections: list[Section]
+
+
+class Edit(NamedTuple):
+    """Leaves ``first`` to before ``last`` of a paragraph that have no equal in the other tree."""
+
+    section: int
+    paragraph: int
+    first: int
+    last: int
+
 
+def leaves(text: str) -> list[str]:
+    return [x for x in _LEAF.findall(text) if x]
 
-def tree(text: str | None) -> Tree:
-    """The tree of one text; null counts as empty, which has no sections."""
-    sections: list[list[list[tuple[str, int]]]] = []
-    section: list[list[tuple[str, int]]] = []
+
+def tree(text: str | None, known: dict[str, tuple[bytes, tuple[str, int]]] | None = None) -> Tree:
+    """The tree of one text; null counts as empty, which has no sections.
+
+    ``known`` carries leaves over to a text that is likely to have them again.
+    """
+    if known is None:
+        known = {}
+    sections: list[Section] = []
+    section: list[Paragraph] = []
     paragraph: list[tuple[str, int]] = []
     top, middle, bottom = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
     digest = xxhash.xxh3_128_digest
@@ -66,61 +80,119 @@ def tree(text: str | None) -> Tree:
     def end_section() -> None:
         nonlocal section, middle
         if section:
-            sections.append(section)
-            top.update(middle.digest())
+            d = middle.digest()
+            top.update(d)
+            sections.append(Section(d.hex()[:NODE], section))
             section, middle = [], hashlib.sha256()
 
     def end_paragraph(blank: bool) -> None:
         nonlocal paragraph, bottom
         if paragraph:
             d = bottom.digest()
-            section.append(paragraph)
             middle.update(d)
+            section.append(Paragraph(d.hex()[:NODE], paragraph))
             paragraph, bottom = [], hashlib.sha256()
             if blank or d[0] % 8 == 0:
                 end_section()
 
-    for leaf in _leaves(text or ""):
-        d = digest(leaf.encode("utf-8", "surrogatepass"))
-        bottom.update(d)
-        paragraph.append((d[:3].hex(), min(35, 1 + len(leaf) // 6)))
+    for leaf in leaves(text or ""):
+        found = known.get(leaf)
+        if found is None:
+            d = digest(leaf.encode("utf-8", "surrogatepass"))
+            found = known[leaf] = (d, (d[: LEAF // 2].hex(), min(35, 1 + len(leaf) // 4)))
+        bottom.update(found[0])
+        paragraph.append(found[1])
         if leaf[-1] == "\n":
-            end_paragraph(not leaf.strip())
+            end_paragraph(leaf.isspace())
     end_paragraph(False)
     end_section()
     return Tree(top.hexdigest()[:32], sections)
 
 
 def render(t: Tree) -> str:
-    """root, then sections after ``|``, paragraphs after ``/``; a leaf is six digits and its weight."""
-    return t.root + "".join("|" + "/".join("".join(d + _WEIGHTS[w] for d, w in p) for p in s) for s in t.sections)
+    """root, then ``|`` and each section's digest, then ``/`` and each paragraph's, with its leaves and weights."""
+    return t.root + "".join("|" + s.digest + "".join("/" + p.digest + "".join([d + _WEIGHTS[w] for d, w in p.leaves]) for p in s.paragraphs) for s in t.sections)
 
 
 def parse(text: str) -> Tree:
     root, *sections = text.split("|")
-    return Tree(root, [[[(p[i : i + 6], _WEIGHTS.index(p[i + 6])) for i in range(0, len(p), 7)] for p in s.split("/")] for s in sections])
+    out = []
+    for s in sections:
+        digest, *paragraphs = s.split("/")
+        out.append(Section(digest, [Paragraph(p[:NODE], [(p[i : i + LEAF], _WEIGHTS.index(p[i + LEAF])) for i in range(NODE, len(p), LEAF + 1)]) for p in paragraphs]))
+    return Tree(root, out)
+
+
+def _unmatched(a: list, b: list) -> tuple[list, list]:
+    """Nodes of ``a`` and of ``b`` that are left when equal digests are paired off."""
+    left, right = Counter(x.digest for x in a), Counter(x.digest for x in b)
+    both = left & right
+    out = []
+    for nodes in (a, b):
+        spare = Counter(both)
+        rest = []
+        for x in nodes:
+            if spare[x.digest] > 0:
+                spare[x.digest] -= 1
+            else:
+                rest.append(x)
+        out.append(rest)
+    return out[0], out[1]
+
+
+def _weight(nodes: list[Paragraph]) -> int:
+    return sum(w for p in nodes for _, w in p.leaves)
 
 
 def likeness(a: Tree, b: Tree) -> float:
-    """Share of leaf weight in common, of the heavier tree; 1 for equal roots."""
+    """Share of leaf weight in common, of the heavier tree; 1 for equal roots.
+
+    From the root down: equal sections and then equal paragraphs count in full, and only the leaves
+    of what is left are compared.
+    """
     if a.root == b.root:
         return 1.0
-    left = Counter(x for s in a.sections for p in s for x in p)
-    right = Counter(x for s in b.sections for p in s for x in p)
-    weights = [sum(x[1] * n for x, n in c.items()) for c in (left, right)]
-    if not max(weights):
+    whole = [sum(_weight(s.paragraphs) for s in t.sections) for t in (a, b)]
+    if not max(whole):
         return 1.0
-    if len(left) > len(right):
-        left, right = right, left
-    return sum(min(n, right[x]) * x[1] for x, n in left.items() if x in right) / max(weights)
+    sections = _unmatched(a.sections, b.sections)
+    rest = _unmatched(*([p for s in part for p in s.paragraphs] for part in sections))
+    shared = whole[0] - _weight(rest[0])
+    own, other = (Counter(x for p in part for x in p.leaves) for part in rest)
+    if len(own) > len(other):
+        own, other = other, own
+    return (shared + sum(min(n, other[x]) * x[1] for x, n in own.items() if x in other)) / max(whole)
 
 
-def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """(section, paragraph) of ``a`` that no paragraph of ``b`` equals: where the texts were edited."""
+def differing(a: Tree, b: Tree) -> list[Edit]:
+    """Where ``a`` has what ``b`` hasn't, in order: equal branches are never entered."""
     if a.root == b.root:
         return []
-    there = {tuple(p) for s in b.sections for p in s}
-    return [(i, j) for i, s in enumerate(a.sections) for j, p in enumerate(s) if tuple(p) not in there]
+    sections = _unmatched(a.sections, b.sections)
+    mine, theirs = ([p for s in part for p in s.paragraphs] for part in sections)
+    rest = _unmatched(mine, theirs)
+    entered, spare = {id(p) for p in rest[0]}, Counter(x for p in rest[1] for x in p.leaves)
+    out: list[Edit] = []
+    for i, s in enumerate(a.sections):
+        for j, p in enumerate(s.paragraphs):
+            if id(p) not in entered:
+                continue
+            fresh = []
+            for x in p.leaves:
+                fresh.append(spare[x] <= 0)
+                spare[x] -= 1
+            if not any(fresh):  # the same leaves in another order, or cut otherwise
+                out.append(Edit(i, j, 0, len(fresh)))
+            at = 0
+            while at < len(fresh):
+                if fresh[at]:
+                    end = at
+                    while end < len(fresh) and fresh[end]:
+                        end += 1
+                    out.append(Edit(i, j, at, end))
+                    at = end
+                at += 1
+    return out
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -139,16 +211,16 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return docs.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, schema)
 
 
-def _bucket(value: Column, splits: list[int]) -> Column:
-    """How many of the sorted ``splits`` are at most ``value``, as a balanced tree of comparisons."""
-
-    def node(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value >= splits[mid], node(mid + 1, high)).otherwise(node(low, mid))
-
-    return node(0, len(splits))
+def _bucket(value: Column, splits: list[int], width: int = 256) -> Column:
+    """How many of the sorted ``splits`` are at most ``value``: a coarse look, then one among ``width``."""
+    if not splits:
+        return F.lit(0)
+    parts = [splits[i : i + width] for i in range(0, len(splits), width)]
+    coarse = F.array(*[F.lit(p[0]) for p in parts])
+    fine = F.array(*[F.array(*[F.lit(x) for x in p]) for p in parts])
+    at = F.size(F.filter(coarse, lambda x: x <= value))
+    inside = F.size(F.filter(F.element_at(fine, F.greatest(at, F.lit(1))), lambda x: x <= value))
+    return F.when(at == 0, 0).otherwise((at - 1) * width + inside)
 
 
 def edit_probe(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -160,7 +232,10 @@ def edit_probe(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     The order is made without one global task: ids are dealt into ranges by quantiles, each range is
     sorted by itself, and a copy of the row that begins the following range (one row a range) closes
-    it.  Whole texts are exchanged once.  A single row is its own next.  Empty tables give no rows.
+    it.  Whole texts are exchanged once.  A single row is its own next.  Null texts count as empty;
+    repeated rows are neighbours; a long text is one tree.  An empty table gives no rows.  Columns
+    other than id and text are not read.  n_edits and first_edit (section.paragraph.leaf, from 0)
+    tell where the text has what its edited copy hasn't.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -185,14 +260,14 @@ def edit_probe(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     width = max(1, len(splits) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, bool, str, Tree] | None = None
+        held: tuple[int, bool, str, Tree, dict] | None = None
         for batch in batches:
             out: list[tuple] = []
             for k, none, text, late in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                own = tree(text)
+                own = tree(text, known := {})
                 if held is not None:
                     out.append(_compared(*held, text, own))
-                held = None if late else (k, none, text, own)
+                held = None if late else (k, none, text, own, known)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=_NAMES)
 
@@ -200,19 +275,20 @@ def edit_probe(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         tagged.repartitionById(width, F.col("b"))
         .sortWithinPartitions("late", F.desc("k"), "none", "text")
         .select("k", "none", "text", "late")
-        .mapInArrow(run, f"`{_NAMES[0]}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        .mapInArrow(run, f"`{_NAMES[0]}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_edits long, first_edit string")
         .withColumnRenamed(_NAMES[0], id_column)
     )
 
 
-_NAMES = ["_gm_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_NAMES = ["_gm_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_edits", "first_edit"]
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
 
 
-def _compared(k: int, none: bool, text: str, own: Tree, following: str, other: Tree) -> tuple:
+def _compared(k: int, none: bool, text: str, own: Tree, known: dict, following: str, other: Tree) -> tuple:
     moved = len(text) // 3
     edited = text[: len(text) - moved] + following[:moved]
-    changed = tree(edited)
+    changed = tree(edited, known)
+    edits = differing(own, changed)
     return (
         None if none else k,
         len(text),
@@ -221,4 +297,6 @@ def _compared(k: int, none: bool, text: str, own: Tree, following: str, other: T
         render(changed),
         likeness(own, changed),
         likeness(own, other),
+        len(edits),
+        f"{edits[0].section}.{edits[0].paragraph}.{edits[0].first}" if edits else None,
     )
