@@ -828,18 +828,41 @@ def lifecycle_config(**changes: object) -> lifecycle.LifecycleConfig:
     return lifecycle.LifecycleConfig(**(base | changes))
 
 
-_W = "PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
+_EVENTS = "(SELECT *, CAST(event_id % 13 AS DOUBLE) AS other, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1e6 AS x FROM events)"
 
 
-@query(f"SELECT event_id, round(last_value(value) OVER w, 4) AS prior_value, round(value - last_value(value) OVER w, 4) AS change, round(avg(value) OVER w, 9) AS history_mean, CASE WHEN count(value) OVER w >= 2 THEN round(regr_slope(value, x) OVER w * 86400, 3) + 0.0 END AS trend_per_day FROM (SELECT *, (epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY user_id))) / 1e6 AS x FROM events) WINDOW w AS ({_W})")
+def _prior(days: int, column: str) -> str:
+    """Rows before this one by time and key, of the last days; the latest of them has the prior value."""
+    return f"""SELECT e.event_id, arg_max(p.{column}, (p.ts, p.event_id)) AS prior, avg(p.{column}) AS mean, count(p.{column}) AS n, regr_slope(p.{column}, p.x) AS slope FROM {_EVENTS} e
+JOIN {_EVENTS} p ON p.user_id = e.user_id AND (p.ts < e.ts OR (p.ts = e.ts AND p.event_id < e.event_id)) AND p.ts >= e.ts - INTERVAL {days} DAY GROUP BY 1"""
+
+
+@query(f"SELECT e.event_id, round(prior, 4) AS prior_value, round(value - prior, 4) AS change, round(mean, 6) AS history_mean, CASE WHEN n >= 2 THEN round(slope * 86400, 3) + 0.0 END AS trend_per_day FROM events e LEFT JOIN ({_prior(7, 'value')}) USING (event_id)")
 def lifecycle_signals(spark, sf_dir):
     out = lifecycle.signals(event_panel(spark, sf_dir), lifecycle_config())
-    return out.select("event_id", *[F.round(c, 4).alias(c) for c in ("prior_value", "change")], F.round("history_mean", 9).alias("history_mean"), (F.round(F.col("trend") * 86400, 3) + F.lit(0.0)).alias("trend_per_day"))
+    return out.select("event_id", *[F.round(c, 4).alias(c) for c in ("prior_value", "change")], F.round("history_mean", 6).alias("history_mean"), (F.round(F.col("trend") * 86400, 3) + F.lit(0.0)).alias("trend_per_day"))
 
 
-@query("SELECT event_id, round(CASE WHEN ts > TIMESTAMP '2024-01-10' THEN value - m END, 4) AS peer_deviation FROM events LEFT JOIN (SELECT event_type, avg(value) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts <= TIMESTAMP '2024-01-10' GROUP BY 1 HAVING count(*) >= 2) USING (event_type)")
+@query(
+    f"""SELECT e.event_id, round(v.prior, 4) AS recent_prior, round(e.value - l.prior, 4) AS long_change, round(o.mean, 6) AS recent_mean, CASE WHEN m.n >= 2 THEN round(m.slope * 86400, 3) + 0.0 END AS other_trend, CASE WHEN e.value < v.prior THEN 'true' WHEN v.prior IS NULL THEN 'unknown' ELSE 'false' END AS falling
+FROM events e LEFT JOIN ({_prior(2, 'value')}) v USING (event_id) LEFT JOIN ({_prior(7, 'value')}) l USING (event_id) LEFT JOIN ({_prior(2, 'other')}) o USING (event_id) LEFT JOIN ({_prior(7, 'other')}) m USING (event_id)"""
+)
+def lifecycle_signals_two_columns_two_windows(spark, sf_dir):
+    name = lifecycle.signal_name
+    falling = lifecycle.WarningRule("falling", 1, "warn", Condition(operator="lt", left=name("change", "value", "recent"), right=0.0))
+    config = lifecycle_config(features=("other",), recent_window=dt.timedelta(days=2), scenarios=(lifecycle.WarningScenario("base", "single_threshold", (falling,)),))
+    df = event_panel(spark, sf_dir).withColumn("other", F.pmod(F.col("event_id"), F.lit(13)).cast("double"))
+    asked = [("prior_value", "value", "recent"), ("change", "value", "history"), ("history_mean", "other", "recent"), ("trend", "other", "history")]
+    out = lifecycle.signals(df, config, asked)
+    matrix = lifecycle.rule_matrix(out, config).select("event_id", F.when(F.col("truth").isNull(), "unknown").otherwise(F.col("truth").cast("string")).alias("falling"))
+    cells = [F.col(f"`{name(*x)}`") for x in asked]
+    return out.select("event_id", F.round(cells[0], 4).alias("recent_prior"), F.round(cells[1], 4).alias("long_change"), F.round(cells[2], 6).alias("recent_mean"), (F.round(cells[3] * 86400, 3) + F.lit(0.0)).alias("other_trend")).join(matrix, "event_id")
+
+
+@query("SELECT event_id, round(CASE WHEN ts > TIMESTAMP '2024-01-10' THEN value - m END, 4) AS peer_deviation FROM events LEFT JOIN (SELECT event_type, avg(value) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts + INTERVAL 1 DAY <= TIMESTAMP '2024-01-10' GROUP BY 1 HAVING count(*) >= 2) USING (event_type)")
 def lifecycle_peer_deviation(spark, sf_dir):
-    out = lifecycle.peer_deviation(event_panel(spark, sf_dir), lifecycle_config(), ["event_type"], dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 10))
+    config = lifecycle_config(peer_groups=("event_type",), peer_start=dt.datetime(2024, 1, 1), peer_end=dt.datetime(2024, 1, 10), available="known")
+    out = lifecycle.peer_deviation(event_panel(spark, sf_dir).withColumn("known", F.col("ts") + F.lit(dt.timedelta(days=1))), config)
     return out.select("event_id", F.round("peer_deviation", 4).alias("peer_deviation"))
 
 
@@ -884,10 +907,36 @@ def lifecycle_notifications(spark, sf_dir):
     return out.select("user_id", "notification_time", "source_key")
 
 
-@query()
+def _machine(rules: str, interval: str) -> str:
+    """The warning machine as a recursion over an entity's rows: streaks, the open episode, its notifications."""
+    return f"""WITH RECURSIVE r AS (SELECT user_id, scenario_key, rule_key, persistence, resolution, cooldown, truth, ts, event_id, row_number() OVER (PARTITION BY user_id, scenario_key, rule_key ORDER BY ts, event_id) AS k FROM ({rules})),
+m AS (
+  SELECT user_id, scenario_key, rule_key, k, ts, persistence, resolution, cooldown, CASE WHEN truth THEN 1 ELSE 0 END AS t, CASE WHEN NOT truth THEN 1 ELSE 0 END AS f, coalesce(truth, false) AND persistence <= 1 AS open, coalesce(truth, false) AND persistence <= 1 AS opens, false AS closes,
+    CASE WHEN truth AND persistence <= 1 THEN 0 ELSE -1 END AS episode, coalesce(truth, false) AND persistence <= 1 AS sends, CASE WHEN truth AND persistence <= 1 THEN ts END AS sent, coalesce(truth, false) AND persistence <= 1 AS counts FROM r WHERE k = 1
+  UNION ALL
+  SELECT user_id, scenario_key, rule_key, k, ts, persistence, resolution, cooldown, t, f, (was OR opens) AND NOT closes, opens, closes, CASE WHEN opens THEN episode + 1 ELSE episode END, opens OR again, CASE WHEN opens OR again THEN ts ELSE sent END, opens OR (was AND hit)
+  FROM (SELECT *, NOT was AND hit AND t >= persistence AS opens, was AND miss AND f >= resolution AS closes, was AND hit AND ts - sent >= cooldown AS again
+    FROM (SELECT r.*, m.open AS was, m.episode, m.sent, coalesce(r.truth, false) AND NOT gap AS hit, NOT coalesce(r.truth, true) AND NOT gap AS miss, CASE WHEN coalesce(r.truth, false) AND NOT gap THEN m.t + 1 ELSE 0 END AS t, CASE WHEN NOT coalesce(r.truth, true) AND NOT gap THEN m.f + 1 ELSE 0 END AS f
+      FROM m JOIN (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id, scenario_key, rule_key ORDER BY k) > {interval} AS gap FROM r) r ON r.user_id = m.user_id AND r.scenario_key = m.scenario_key AND r.rule_key = m.rule_key AND r.k = m.k + 1))
+)"""
+
+
+_TIMED = union([f"SELECT *, '{s}' AS scenario_key, '{r}' AS rule_key, {p} AS persistence, {q} AS resolution, INTERVAL {c} DAY AS cooldown, value >= {v} AS truth FROM events" for s, r, v, p, q, c in (("base", "high", 60, 1, 1, 0), ("strict", "higher", 120, 2, 2, 0), ("strict", "slow", 60, 1, 1, 2))])
+
+
+@query(
+    f"""{_machine(_TIMED, 'INTERVAL 1 DAY')} SELECT user_id, scenario_key, rule_key, CAST(episode AS BIGINT) AS episode_ordinal, min(ts) FILTER (opens) AS start_time, coalesce(min(ts) FILTER (closes), TIMESTAMP '2024-01-31') AS end_time, CASE WHEN bool_or(closes) THEN 'resolved' ELSE 'unresolved' END AS episode_status,
+CAST(count(*) FILTER (counts) AS BIGINT) AS hit_count, CAST(count(*) FILTER (sends) AS BIGINT) AS notification_count, CAST(count(*) FILTER (counts AND NOT sends) AS BIGINT) AS suppressed_count FROM m WHERE episode >= 0 GROUP BY 1, 2, 3, 4"""
+)
 def lifecycle_episodes_with_cooldown(spark, sf_dir):
     rows, config = matrix(spark, sf_dir, expected_interval=dt.timedelta(days=1))
-    return lifecycle.episodes(lifecycle.machines(rows, config), config)
+    return lifecycle.episodes(lifecycle.machines(rows, config), config).drop("alert_rank", "duration_seconds")
+
+
+@query(f"{_machine(_TIMED, 'INTERVAL 1 DAY')} SELECT user_id, scenario_key, rule_key, ts AS notification_time, CASE WHEN NOT opens THEN 'repeated' WHEN episode > 0 THEN 'episode_reopen' ELSE 'episode_open' END AS notification_kind FROM m WHERE sends")
+def lifecycle_notifications_with_cooldown(spark, sf_dir):
+    rows, config = matrix(spark, sf_dir, expected_interval=dt.timedelta(days=1))
+    return lifecycle.notifications(lifecycle.machines(rows, config), config).select("user_id", "scenario_key", "rule_key", "notification_time", "notification_kind")
 
 
 @query("SELECT user_id, ts AS event_time, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS BIGINT) AS event_ordinal FROM events WHERE event_type = 'purchase' AND ts <= TIMESTAMP '2024-01-31'")
@@ -957,6 +1006,103 @@ def lifecycle_monitoring_summary(spark, sf_dir):
     return rounded(lifecycle.monitoring_summary(rows, lifecycle.machines(rows, config), config), 6)
 
 
+def _monitored(spark, sf_dir, **changes):
+    df = event_panel(spark, sf_dir).withColumn("chance", F.pmod(F.col("event_id"), F.lit(11)) / 11).withColumn("held", F.pmod(F.col("event_id"), F.lit(101)) * 10.0)
+    return lifecycle.monitor_lifecycle(df, lifecycle_config(**changes))
+
+
+_HITS = f"SELECT r.*, CASE rule_key WHEN 'higher' THEN '2' ELSE '1' END AS alert_rank, ts FROM ({_RULES}) r JOIN (SELECT event_id, ts FROM events) USING (event_id)"
+# sums over sets of scenario, rule, alert rank and segment, with the scope's name
+_SETS = "GROUPING SETS ((), (scenario_key), (scenario_key, rule_key), (scenario_key, alert_rank), (scenario_key, event_type))"
+_NAMED = "CASE WHEN rule_key IS NOT NULL THEN 'scenario_key*rule_key' WHEN alert_rank IS NOT NULL THEN 'scenario_key*alert_rank' WHEN event_type IS NOT NULL THEN 'scenario_key*event_type' WHEN scenario_key IS NOT NULL THEN 'scenario_key' ELSE 'overall' END AS scope"
+_SPANS = f"""{_machine(_TIMED, 'INTERVAL 1000 DAY')}, spans AS (SELECT user_id, scenario_key, rule_key, episode, min(ts) FILTER (opens) AS a, coalesce(min(ts) FILTER (closes), TIMESTAMP '2024-01-31') AS b, NOT bool_or(closes) AS unresolved, count(*) FILTER (sends) AS notes FROM m WHERE episode >= 0 GROUP BY 1, 2, 3, 4),
+h AS (SELECT x.*, truth AND EXISTS (SELECT 1 FROM spans s WHERE s.user_id = x.user_id AND s.scenario_key = x.scenario_key AND s.rule_key = x.rule_key AND s.a <= x.ts AND x.ts <= s.b) AS lasting FROM ({_HITS}) x)"""
+
+
+@query(
+    f"""{_SPANS}, w AS (SELECT {_NAMED}, scenario_key, rule_key, alert_rank, event_type, count(*) AS active, count(*) FILTER (truth) AS hits, count(DISTINCT event_id) AS rows, count(DISTINCT CASE WHEN truth THEN event_id END) AS hit_rows, count(DISTINCT user_id) AS entities,
+count(DISTINCT CASE WHEN truth THEN user_id END) AS warned, count(DISTINCT CASE WHEN lasting THEN event_id END) AS lasting FROM h GROUP BY {_SETS}),
+e AS (SELECT scenario_key, rule_key, count(*) AS episodes, count(*) FILTER (unresolved) AS open, sum(notes) AS notes, sum(epoch_us(b) - epoch_us(a)) / 1e6 AS seconds, median((epoch_us(b) - epoch_us(a)) / 1e6) AS middle FROM spans GROUP BY GROUPING SETS ((), (scenario_key), (scenario_key, rule_key))),
+j AS (SELECT w.*, coalesce(episodes, 0) AS episodes, coalesce(open, 0) AS open, coalesce(notes, 0) AS notes, coalesce(seconds, 0) AS seconds, middle FROM w LEFT JOIN e ON alert_rank IS NULL AND event_type IS NULL AND w.scenario_key IS NOT DISTINCT FROM e.scenario_key AND w.rule_key IS NOT DISTINCT FROM e.rule_key) """
+    + _tall(
+        "scope, scenario_key, rule_key, alert_rank, event_type",
+        "j",
+        {
+            "warning_hit_count": ("hits", "active"), "warning_observation_rate": ("hit_rows / rows", "rows"), "warned_entity_count": ("warned", "entities"), "warned_entity_rate": ("warned / entities", "entities"), "persistent_warning_count": ("lasting", "rows"),
+            "persistent_warning_rate": ("lasting / rows", "rows"),
+        },
+    )
+    + " UNION ALL "
+    + _tall(
+        "scope, scenario_key, rule_key, alert_rank, event_type",
+        "(SELECT * FROM j WHERE alert_rank IS NULL AND event_type IS NULL)",
+        {
+            "notification_count": ("notes", "notes"), "notifications_per_entity": ("notes / entities", "entities"), "episode_count": ("episodes", "episodes"), "open_episode_count": ("open", "episodes"), "resolved_episode_count": ("episodes - open", "episodes"),
+            "episode_duration_mean": ("seconds / nullif(episodes, 0)", "episodes"), "episode_duration_median": ("middle", "episodes"),
+        },
+    )
+)
+def lifecycle_warning_metrics(spark, sf_dir):
+    return rounded(_monitored(spark, sf_dir).warning_metrics.select("scope", "scenario_key", "rule_key", "alert_rank", "event_type", "metric", "value", "support"))
+
+
+@query(f"WITH k AS (SELECT scenario_key, event_id, count(*) FILTER (truth) AS n, max(alert_rank) FILTER (truth) AS top, list(alert_rank) FILTER (truth) AS ranks FROM ({_HITS}) GROUP BY 1, 2) SELECT scenario_key, 'overlap_count' AS metric, CAST(count(*) FILTER (n >= 2) AS DOUBLE) AS value, count(*) AS support FROM k GROUP BY 1 UNION ALL SELECT scenario_key, 'conflict_count', CAST(count(*) FILTER (n >= 2 AND len(list_filter(ranks, lambda r: r = top)) >= 2) AS DOUBLE), count(*) FROM k GROUP BY 1")
+def lifecycle_overlap_metrics(spark, sf_dir):
+    return _monitored(spark, sf_dir).overlap_metrics.select("scenario_key", "metric", "value", "support")
+
+
+_BACK_TEST = f"""{_machine(_TIMED, 'INTERVAL 1000 DAY')}, notes AS (SELECT m.user_id, m.scenario_key, m.rule_key, m.ts, r.event_id FROM m JOIN r USING (user_id, scenario_key, rule_key, k) WHERE sends AND m.ts + INTERVAL 2 DAY <= TIMESTAMP '2024-01-31'),
+p AS (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'purchase' AND ts <= TIMESTAMP '2024-01-31'),
+o AS (SELECT event_id, user_id, ts, EXISTS (SELECT 1 FROM p WHERE p.user_id = e.user_id AND p.ts > e.ts AND p.ts < e.ts + INTERVAL 2 DAY) AS held FROM events e WHERE ts + INTERVAL 2 DAY <= TIMESTAMP '2024-01-31'),
+v AS (SELECT p.*, EXISTS (SELECT 1 FROM o WHERE o.user_id = p.user_id AND p.ts > o.ts AND p.ts < o.ts + INTERVAL 2 DAY) AS ripe FROM p),
+owners AS (SELECT v.user_id, v.ts, v.ripe, n.scenario_key, arg_min(n.rule_key, (n.ts, n.rule_key)) AS rule_key, min(n.ts) AS sent FROM v JOIN notes n ON n.user_id = v.user_id AND n.ts < v.ts AND v.ts < n.ts + INTERVAL 2 DAY GROUP BY 1, 2, 3, 4),
+best AS (SELECT event_id, scenario_key, arg_min(rule_key, (-CAST(alert_rank AS INTEGER), CASE rule_key WHEN 'slow' THEN 1 ELSE 0 END)) AS rule_key FROM ({_HITS}) WHERE truth GROUP BY 1, 2),
+s(scenario_key, rule_key) AS (VALUES (NULL, NULL), ('base', NULL), ('strict', NULL), ('base', 'high'), ('strict', 'higher'), ('strict', 'slow')),
+c AS (SELECT scenario_key, rule_key, CASE WHEN scenario_key IS NULL THEN 'overall' WHEN rule_key IS NULL THEN 'scenario_key' ELSE 'scenario_key*rule_key' END AS scope,
+  (SELECT count(*) FROM v WHERE ripe) * CASE WHEN s.scenario_key IS NULL THEN 2 ELSE 1 END AS events, (SELECT count(*) FROM owners w WHERE ripe AND (s.scenario_key IS NULL OR w.scenario_key = s.scenario_key)) AS caught,
+  (SELECT sum(epoch_us(w.ts) - epoch_us(w.sent)) / 1e6 FROM owners w WHERE ripe AND (s.scenario_key IS NULL OR w.scenario_key = s.scenario_key)) AS lead, (SELECT median((epoch_us(w.ts) - epoch_us(w.sent)) / 1e6) FROM owners w WHERE ripe AND (s.scenario_key IS NULL OR w.scenario_key = s.scenario_key)) AS middle,
+  (SELECT count(*) FROM notes n WHERE (s.scenario_key IS NULL OR n.scenario_key = s.scenario_key) AND (s.rule_key IS NULL OR n.rule_key = s.rule_key)) AS notes,
+  (SELECT count(*) FROM notes n WHERE (s.scenario_key IS NULL OR n.scenario_key = s.scenario_key) AND (s.rule_key IS NULL OR n.rule_key = s.rule_key) AND EXISTS (SELECT 1 FROM owners w WHERE w.user_id = n.user_id AND w.scenario_key = n.scenario_key AND w.rule_key = n.rule_key AND w.sent = n.ts)) AS matched,
+  (SELECT count(DISTINCT event_id) FROM o JOIN best b USING (event_id) WHERE (s.scenario_key IS NULL OR b.scenario_key = s.scenario_key) AND (s.rule_key IS NULL OR b.rule_key = s.rule_key)) AS warned,
+  (SELECT count(DISTINCT event_id) FROM o JOIN best b USING (event_id) WHERE held AND (s.scenario_key IS NULL OR b.scenario_key = s.scenario_key) AND (s.rule_key IS NULL OR b.rule_key = s.rule_key)) AS warned_event,
+  CASE WHEN s.rule_key IS NULL THEN (SELECT count(*) FROM o WHERE NOT held) ELSE (SELECT count(*) FROM o JOIN best b USING (event_id) WHERE NOT held AND b.scenario_key = s.scenario_key AND b.rule_key = s.rule_key) END AS calm,
+  CASE WHEN s.rule_key IS NULL THEN (SELECT count(DISTINCT o.event_id) FROM o JOIN notes n USING (event_id) WHERE NOT held AND (s.scenario_key IS NULL OR n.scenario_key = s.scenario_key))
+    ELSE (SELECT count(DISTINCT o.event_id) FROM o JOIN best b USING (event_id) JOIN notes n ON n.event_id = o.event_id AND n.scenario_key = b.scenario_key AND n.rule_key = b.rule_key WHERE NOT held AND b.scenario_key = s.scenario_key AND b.rule_key = s.rule_key) END AS wrong FROM s) """
+
+
+@query(
+    _BACK_TEST
+    + _tall(
+        "scope, scenario_key, rule_key",
+        "c",
+        {
+            "captured_event_count": ("caught", "events"), "event_recall": ("caught / nullif(events, 0)", "events"), "notification_precision": ("matched / nullif(notes, 0)", "notes"), "false_alert_share": ("(notes - matched) / nullif(notes, 0)", "notes"),
+            "false_positive_rate": ("wrong / nullif(calm, 0)", "calm"), "lead_time_mean": ("lead / nullif(caught, 0)", "caught"), "lead_time_median": ("middle", "caught"), "warning_to_event_rate": ("warned_event / nullif(warned, 0)", "warned"),
+        },
+    )
+)
+def lifecycle_event_metrics(spark, sf_dir):
+    return rounded(_monitored(spark, sf_dir).event_metrics.select("scope", "scenario_key", "rule_key", "metric", "value", "support"))
+
+
+@query(
+    f"""WITH h AS (SELECT DISTINCT scenario_key, event_id, (event_id % 11) / 11.0 AS p, (event_id % 101) * 10.0 AS x FROM ({_RULES}) WHERE truth), w AS (SELECT scenario_key, count(*) AS n, sum(x) AS sx, sum(p * x * 0.4) AS sel FROM h GROUP BY 1) """
+    + _tall("scenario_key", "w", {"exposure_sum": ("sx", "n"), "expected_loss_sum": ("sel", "n"), "expected_loss_rate": ("sel / nullif(sx, 0)", "n"), "observed_loss_sum": ("NULL", "0"), "observed_loss_rate": ("NULL", "0")})
+)
+def lifecycle_loss_metrics(spark, sf_dir):
+    return rounded(_monitored(spark, sf_dir, exposure="held", probability="chance", loss_fraction=0.4).loss_metrics.select("scenario_key", "metric", "value", "support"))
+
+
+@query(
+    f"""WITH h AS ({_HISTORY}), w AS (SELECT count(*) AS n, count(*) FILTER (transition_kind <> 'entry') AS moved, count(*) FILTER (transition_direction = 'roll_forward') AS forward, count(*) FILTER (transition_direction = 'roll_back') AS back, count(*) FILTER (transition_kind = 'entry') AS entry,
+count(*) FILTER (from_state = 'top') AS adverse, count(*) FILTER (is_cure) AS cure FROM h) """
+    + _tall("'all' AS rows", "w", {"observation_count": ("n", "n"), "roll_forward_rate": ("forward / moved", "moved"), "roll_back_rate": ("back / moved", "moved"), "cure_rate": ("cure / nullif(adverse, 0)", "adverse"), "entry_count": ("entry", "n"), "reentry_count": ("0", "n"), "invalid_transition_rate": ("0", "moved")})
+)
+def lifecycle_state_metrics(spark, sf_dir):
+    rows, config = history(spark, sf_dir)
+    return rounded(lifecycle.lifecycle_metrics(rows, config).select(F.lit("all").alias("rows"), "metric", "value", "support"))
+
+
 @query(f"WITH s AS (SELECT scenario_key, evaluations, hits, hit_rate FROM ({_SUMMARY}) WHERE scope = 'scenario_key'), t AS (SELECT scenario_key, evaluations, 'hits' AS metric, CAST(hits AS DOUBLE) AS value FROM s UNION ALL SELECT scenario_key, evaluations, 'hit_rate', hit_rate FROM s), b AS (SELECT metric, value AS r, evaluations AS e FROM t WHERE scenario_key = 'base') SELECT scenario_key, metric, value, r AS reference_value, CASE WHEN evaluations = e THEN value - r END AS difference, CASE WHEN evaluations = e THEN 'available' ELSE 'not_verifiable' END AS status, CASE WHEN evaluations = e THEN 'computed' ELSE 'support_not_comparable' END AS reason FROM t JOIN b USING (metric) WHERE scenario_key <> 'base'")
 def lifecycle_scenario_comparison(spark, sf_dir):
     rows, config = matrix(spark, sf_dir)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ratio
 from ..plans.conditions import Condition, compile_condition, within_window
 from ..plans.scopes import scoped
+from .monitoring_tables import event_metrics, events_by_scenario, lifecycle_metrics, loss_metrics, overlap_metrics, warning_metrics
 
 # Derived signals, scenario kinds and period units.
 SIGNALS = ("prior_value", "change", "trend", "history_mean", "peer_deviation")
@@ -77,8 +78,21 @@ class LifecycleConfig:
     event_time: str | None = None
     segment_columns: tuple[str, ...] = ()
     period_unit: str = "month"
+    #: further columns that signals may be derived from
+    features: tuple[str, ...] = ()
+    recent_window: dt.timedelta | None = None
+    available: str | None = None
+    peer_groups: tuple[str, ...] = ()
+    peer_start: dt.datetime | None = None
+    peer_end: dt.datetime | None = None
+    exposure: str | None = None
+    probability: str | None = None
+    loss_fraction: float | str | None = None
+    observed_loss: str | None = None
 
     def __post_init__(self) -> None:
+        if self.peer_start is not None and self.peer_end is not None and self.peer_start > self.peer_end:
+            raise ValueError("invalid_peer_period")
         if self.period_unit not in PERIODS:
             raise ValueError("invalid_period_unit")
         if self.reference_scenario not in {s.scenario_key for s in self.scenarios}:
@@ -98,43 +112,98 @@ def _us(delta: dt.timedelta) -> int:
     return delta // dt.timedelta(microseconds=1)
 
 
-def signals(df: DataFrame, config: LifecycleConfig) -> DataFrame:
-    """``df`` with is_consecutive, prior_value, change, history_mean and trend of the feature.
+def signal_name(kind: str, column: str, window: str = "history") -> str:
+    """The column of a derived signal, for conditions to refer to."""
+    if kind not in SIGNALS:
+        raise ValueError("unknown_signal")
+    if window not in ("history", "recent"):
+        raise ValueError("unknown_window")
+    return f"{kind}({column})" if kind == "peer_deviation" else f"{kind}({column},{window})"
 
-    Frames look strictly back: [t - w, t), or (t - w, t).  Trend is the slope per second.  Signals are
-    null where the current value is missing or the frame is empty.
+
+def _referred(config: LifecycleConfig) -> set[str]:
+    """Columns that the conditions of rules and states refer to."""
+
+    def walk(c: Condition) -> set[str]:
+        out = {c.left} if c.left is not None else set()
+        if c.right_kind == "column" and isinstance(c.right, str):
+            out.add(c.right)
+        return out.union(*map(walk, c.children))
+
+    conditions = [r.condition for s in config.scenarios for r in s.rules] + [s.condition for s in config.states]
+    return set().union(*map(walk, conditions))
+
+
+def _finite(column: str) -> Column:
+    c = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def signals(df: DataFrame, config: LifecycleConfig, wanted: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+    """``df`` with is_consecutive, the four signals of the feature under their plain names, and each of
+    ``wanted`` and of the signals that conditions refer to under its ``signal_name``.
+
+    A frame holds the rows before this one, by time and then key, whose time is not before t - w (after
+    it, without ``history_start_inclusive``): sums up to the row less sums up to the frame's start, so a
+    frame costs no more than a running sum.  Trend is the slope per second.  Signals are null where the
+    current value is missing or the frame is empty.
     """
-    t = micros(F.col(config.observed))
-    rows = df.withColumn("_t", t).withColumn("_v", F.col(config.feature).cast("double"))
-    rows = rows.withColumn("_v", F.when(~F.isnan("_v") & (F.abs("_v") != float("inf")), F.col("_v")))
+    named = {signal_name(k, c, w): (k, c, w) for k in SIGNALS for c in (config.feature, *config.features) for w in ("history", "recent")}
+    asked = {n: named[n] for n in _referred(config) if n in named} | {signal_name(*x): x for x in wanted}
+    plain = {k: (k, config.feature, "history") for k in ("prior_value", "change", "history_mean", "trend")}
+    rows = df.withColumn("_t", micros(F.col(config.observed)))
     entity = Window.partitionBy(config.entity)
     ordered = entity.orderBy("_t", config.key)
-    back = _us(config.history_window) - (0 if config.history_start_inclusive else 1)
-    frame = entity.orderBy("_t").rangeBetween(-back, -1)
-    seconds = (F.col("_t") - F.min("_t").over(entity)) / 1e6
-    rows = rows.withColumn("_x", F.when(F.col("_v").isNotNull(), seconds))
+    upto = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_x", (F.col("_t") - F.min("_t").over(entity)) / 1e6)
     step = F.col("_t") - F.lag("_t").over(ordered)
     consecutive = F.lit(True) if config.expected_interval is None else step <= _us(config.expected_interval)
-    prior = F.last("_v", ignorenulls=True).over(frame)
-    slope = F.regr_slope("_v", "_x").over(frame)
-    known = F.col("_v").isNotNull()
-    return (
-        rows.withColumn("is_consecutive", F.when(step.isNotNull(), consecutive))
-        .withColumn("prior_value", F.when(known, prior))
-        .withColumn("change", F.when(known, F.col("_v") - prior))
-        .withColumn("history_mean", F.when(known, F.avg("_v").over(frame)))
-        .withColumn("trend", F.when(known, slope))
-        .drop("_t", "_v", "_x")
-    )
-
-
-def peer_deviation(df: DataFrame, config: LifecycleConfig, group: Sequence[str], start: dt.datetime, end: dt.datetime) -> DataFrame:
-    """``df`` with peer_deviation: value less the mean of its peer group in [start, end], two values at least, for rows after it."""
-    s, e = (F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz") for x in (start, end))
-    inside = df.where((F.col(config.observed) >= s) & (F.col(config.observed) <= e))
-    means = inside.groupBy(*group).agg(F.avg(config.feature).alias("_mean"), F.count(config.feature).alias("_n")).where("_n >= 2")
-    joined = df.join(means, list(group), "left")
-    return joined.withColumn("peer_deviation", F.when(F.col(config.observed) > e, F.col(config.feature) - F.col("_mean"))).drop("_mean", "_n")
+    rows = rows.withColumn("is_consecutive", F.when(step.isNotNull(), consecutive))
+    for name, (kind, column, window) in (plain | asked).items():
+        if kind == "peer_deviation":
+            rows = peer_deviation(rows, config, column, name)
+            continue
+        v = _finite(column)
+        x = F.when(v.isNotNull(), F.col("_x"))
+        width = config.recent_window if window == "recent" else config.history_window
+        if width is None:
+            raise ValueError("window_not_declared")
+        before = entity.orderBy("_t").rangeBetween(Window.unboundedPreceding, -_us(width) - (1 if config.history_start_inclusive else 0))
+        inside = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0)) - F.coalesce(F.sum(c).over(before), F.lit(0))  # noqa: B023, E731
+        n = F.count(v).over(upto) - F.count(v).over(before)
+        prior = F.when(n > 0, F.last(v, ignorenulls=True).over(upto))
+        if kind == "prior_value":
+            value = prior
+        elif kind == "change":
+            value = v - prior
+        elif kind == "history_mean":
+            value = F.when(n > 0, inside(v) / n)
+        else:
+            sx, sxx = inside(x), inside(x * x)
+            spread = sxx - sx * sx / n
+            value = F.when((n >= 2) & (spread != 0), (inside(x * v) - sx * inside(v) / n) / spread)
+        rows = rows.withColumn(name, F.when(v.isNotNull(), value))
+    return rows.drop("_t", "_x")
+
+
+def peer_deviation(df: DataFrame, config: LifecycleConfig, column: str | None = None, name: str = "peer_deviation") -> DataFrame:
+    """``df`` with the value less the mean of its peer group, for rows after the reference period.
+
+    The mean is over finite values, two at least, that are observed within the period and available by
+    its end.  Rows with a missing group have none.
+    """
+    if config.peer_end is None or not config.peer_groups:
+        return df.withColumn(name, F.lit(None).cast("double"))
+    moment = lambda x: F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
+    v, at = _finite(column or config.feature), F.col(config.observed)
+    inside = at <= moment(config.peer_end)
+    if config.peer_start is not None:
+        inside = inside & (at >= moment(config.peer_start))
+    if config.available is not None:
+        inside = inside & (F.col(config.available) <= moment(config.peer_end))
+    groups = list(config.peer_groups)
+    means = df.where(inside).groupBy(*groups).agg(F.avg(v).alias("_mean"), F.count(v).alias("_n")).where("_n >= 2")
+    return df.join(means, groups, "left").withColumn(name, F.when(at > moment(config.peer_end), v - F.col("_mean"))).drop("_mean", "_n")
 
 
 def period_index(origin: Column, at: Column, unit: str) -> Column:
@@ -414,6 +483,14 @@ def vintages(df: DataFrame, config: LifecycleConfig) -> DataFrame:
     return rows.groupBy("cohort", "period_index").agg(F.count(F.lit(1)).alias("observations"), F.count_distinct(config.entity).alias("entities"), F.avg(config.feature).alias("mean_value"))
 
 
+def held_events(df: DataFrame, events: DataFrame, config: LifecycleConfig) -> DataFrame:
+    """(entity, event_ordinal) of the events that a mature observation's horizon holds."""
+    as_of = F.lit(config.analysis_as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    mature = df.select(F.col(config.entity), F.col(config.observed)).where(F.col(config.observed) + F.lit(config.horizon) <= as_of)
+    joined = _binned(config, mature, F.col(config.observed), True).join(_binned(config, events, F.col("event_time"), False), [config.entity, "_bin"])
+    return joined.where(_inside(config, F.col("event_time"), F.col(config.observed))).select(config.entity, "event_ordinal").distinct()
+
+
 @dataclass(frozen=True)
 class LifecycleResult:
     config: LifecycleConfig
@@ -421,26 +498,39 @@ class LifecycleResult:
     rule_matrix: DataFrame
     notifications: DataFrame
     episodes: DataFrame
+    #: every declared event under every scenario, matched or not
     event_matches: DataFrame | None
     maturity: DataFrame | None
     states: DataFrame | None
     transitions: DataFrame | None
     state_summary: DataFrame | None
+    lifecycle_metrics: DataFrame | None
     monitoring_summary: DataFrame
+    warning_metrics: DataFrame
+    overlap_metrics: DataFrame
+    event_metrics: DataFrame
+    loss_metrics: DataFrame
     episode_summary: DataFrame
     scenario_comparison: DataFrame
     vintages: DataFrame
 
 
 def monitor_lifecycle(df: DataFrame, config: LifecycleConfig) -> LifecycleResult:
+    """All tables of a monitoring run, lazily."""
     with_signals = signals(df, config)
-    matrix = rule_matrix(with_signals, config, config.segment_columns)
+    named = [c for c in (config.exposure, config.probability, config.loss_fraction if isinstance(config.loss_fraction, str) else None, config.observed_loss) if c]
+    matrix = rule_matrix(with_signals, config, list(dict.fromkeys([*config.segment_columns, *named])))
     folded = machines(matrix, config)
-    notes = notifications(folded, config)
+    notes, spans = notifications(folded, config), episodes(folded, config)
     events = declared_events(df, config) if config.event_time else None
+    matched = ripe = None
+    if events is not None:
+        matched = events_by_scenario(events, event_matches(notes, events, config), held_events(df, events, config), config)
+        ripe = observation_maturity(df, events, config)
     history = states(with_signals, config) if config.states else None
     summary = monitoring_summary(matrix, folded, config)
     return LifecycleResult(
-        config, with_signals, matrix, notes, episodes(folded, config), event_matches(notes, events, config) if events is not None else None, observation_maturity(df, events, config) if events is not None else None, history,
-        transition_summary(history) if history is not None else None, state_summary(history, config) if history is not None else None, summary, episode_summary(folded, config), scenario_comparison(summary, config), vintages(df, config),
+        config, with_signals, matrix, notes, spans, matched, ripe, history, transition_summary(history) if history is not None else None, state_summary(history, config) if history is not None else None,
+        lifecycle_metrics(history, config) if history is not None else None, summary, warning_metrics(matrix, notes, spans, config), overlap_metrics(matrix, config),
+        event_metrics(matrix, notes, matched, ripe, primary_warnings(matrix, config), config), loss_metrics(matrix, config), episode_summary(folded, config), scenario_comparison(summary, config), vintages(df, config),
     )
