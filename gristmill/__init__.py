@@ -24,7 +24,7 @@ from .operators.risk import RiskValidationConfig, TimePlan, validate_binary_risk
 from .operators.strategy import DecisionConstraint, DecisionRule, DecisionStrategyConfig, simulate_decision_strategy
 from .operators.workflow import generate_analysis_report, generate_risk_report, run_analysis, run_risk_workflow
 from .plans.conditions import Condition
-from .sources import load_csv, load_excel, load_parquet, load_policy_json, load_warning_json
+from .sources import load_csv, load_excel, load_parquet, load_policy_json, load_v02_json, load_warning_json
 
 #: One condition type serves strategies and monitoring; these are its names there.
 StrategyCondition = MonitoringCondition = Condition

@@ -66,6 +66,8 @@ class DecisionStrategyConfig:
     observed_loss_column: str | None = None
     segment_columns: tuple[str, ...] = ()
     time_slice_column: str | None = None
+    #: what a document says besides, carried along
+    metadata: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self) -> None:
         actions = {a for a, _ in self.action_roles}

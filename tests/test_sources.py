@@ -72,6 +72,55 @@ def test_documents(spark):
     assert g.monitor_lifecycle(panel, run).notifications.count() == 3
 
 
+WARNING = {
+    "schema_version": "task20.warning.v1", "analysis_as_of": "2024-02-01T00:00:00", "entity_column": "e", "observation_time_column": "t", "condition_feature_columns": ["x", "y"], "reference_scenario_key": "s", "alert_level_ranks": [["low", 1]], "states": [], "default_state_key": "d",
+    "unknown_state_key": "u", "recent_window": 86_400_000_000, "history_window": 259_200_000_000, "available_time_column": "seen", "peer_group_columns": ["g"], "peer_reference_end": "2024-01-02T00:00:00", "exposure_column": "y", "loss_fraction": 0.5,
+    "scenarios": [{"scenario_key": "s", "scenario_kind": "rule_set", "rules": []}],
+}
+
+
+def _rule(key, **atom):
+    return {"rule_key": key, "priority": 1, "alert_level": "low", "condition": {"kind": "atomic", "operator": "gt", "right": 0.0} | atom}
+
+
+def test_warning_documents_use_every_feature_window_and_peer(spark):
+    rules = [_rule("rising", left_kind="change", left="y", window="recent"), _rule("high", left_kind="history_mean", left="x"), _rule("apart", left_kind="peer_deviation", left="y")]
+    run = g.load_warning_json(json.dumps(WARNING | {"scenarios": [{"scenario_key": "s", "scenario_kind": "rule_set", "rules": rules}]}), key="k")
+    day = lambda n: dt.datetime(2024, 1, 1 + n)
+    rows = [(1, "a", day(0), 1.0, 5.0, "p", day(0)), (2, "a", day(1), 2.0, 4.0, "p", day(1)), (3, "a", day(5), 3.0, 9.0, "p", day(5)), (4, "b", day(0), -1.0, 1.0, "p", day(9)), (5, "b", day(2), -2.0, 7.0, "p", day(2)), (6, "a", day(5), 4.0, 9.5, None, day(5))]
+    df = spark.createDataFrame(rows, "k long, e string, t timestamp_ntz, x double, y double, g string, seen timestamp_ntz")
+    result = g.monitor_lifecycle(df, run)
+    truth = {(r["k"], r["rule_key"]): r["truth"] for r in result.rule_matrix.collect()}
+    # recent: one day back; row 6 follows row 3 at the same time; row 3 has no row within a day
+    assert {k: truth[k, "rising"] for k in range(1, 7)} == {1: None, 2: False, 3: None, 4: None, 5: None, 6: True}
+    assert {k: truth[k, "high"] for k in range(1, 7)} == {1: None, 2: True, 3: None, 4: None, 5: False, 6: True}
+    # the peer mean is 4.5: row 4 was not available by the end of the period; row 6 has no group
+    assert {k: truth[k, "apart"] for k in range(1, 7)} == {1: None, 2: None, 3: True, 4: None, 5: True, 6: None}
+    loss = {(r["metric"]): (r["value"], r["status"], r["reason"]) for r in result.loss_metrics.collect()}
+    assert loss["expected_loss_sum"] == (None, "not_applicable", "source_not_requested") and loss["exposure_sum"][1] == "available"
+    for bad in ({"cohort_column": "g"}, {"time_zone": "Asia/Tokyo"}, {"ranking_score_direction": "lower_risk"}, {"condition_feature_columns": []}, {"observed_loss_is_mature_snapshot": True}):
+        with pytest.raises(DocumentError):
+            g.load_warning_json(json.dumps(WARNING | bad), key="k")
+    for atom in ({"left_kind": "column", "left": "x", "window": "recent"}, {"left_kind": "trend", "left": "x", "window": "long"}, {"left_kind": "peer_deviation"}):
+        with pytest.raises(DocumentError):
+            g.load_warning_json(json.dumps(WARNING | {"scenarios": [{"scenario_key": "s", "scenario_kind": "rule_set", "rules": [_rule("r", **atom)]}]}), key="k")
+
+
+def test_policies_carry_assumptions_and_refuse_what_is_not_done():
+    full = POLICY | {"action_assumptions": [["keep", 3, 1], ["look", 1, 1], ["drop", 0, 0]], "ranking_score_column": "s", "exposure_unit": "EUR", "ranking_score_direction": "higher_risk"}
+    policy, none = g.load_v02_json(json.dumps(full))
+    assert none is None and policy.action_assumptions[0] == ("keep", 3.0, 1.0) and policy.score_column == "s" and policy.metadata == (("exposure_unit", "EUR"),)
+    limit = {"constraint_key": "c", "metric": "selected_rate", "operator": "le", "threshold": 1}
+    for bad in (full | {"ranking_score_direction": "up"}, full | {"constraints": [limit | {"action_role": "selected"}]}, full | {"constraints": [limit | {"metric": "other"}]}, full | {"action_assumptions": [["keep", 1, 1]]}):
+        with pytest.raises(ValueError):
+            g.load_policy_json(json.dumps(bad))
+    both = g.load_v02_json(json.dumps(POLICY), json.dumps(WARNING), key="k")
+    assert both[0].strategy_key == "s" and both[1].features == ("y",)
+    for arguments in ((), (None, json.dumps(WARNING))):
+        with pytest.raises(DocumentError):
+            g.load_v02_json(*arguments)
+
+
 def test_reports_and_command_line(spark, tmp_path, capsys):
     rows = "\n".join(f"{i},{'ab'[i % 2]},{i * 0.37 % 5:.3f},{i % 2}" for i in range(60))
     (tmp_path / "c.csv").write_text(f"number,segment,value,label\n{rows}\n")
@@ -82,6 +131,16 @@ def test_reports_and_command_line(spark, tmp_path, capsys):
     assert main(["risk-run", str(tmp_path / "c.csv"), "-o", str(tmp_path / "risk.html"), "--format", "html", "--policy-json", str(tmp_path / "p.json"), "--audit", "--label", "label", "--score", "value"], spark) == 0
     assert "<h2>Actions</h2>" in (tmp_path / "risk.html").read_text()
     assert main(["analyze", str(tmp_path / "c.txt"), "-o", str(tmp_path / "x.md")], spark) == 1
+    (tmp_path / "bad.json").write_text("{")
+    risk = ["risk-run", str(tmp_path / "c.csv"), "-o", str(tmp_path / "risk2.html"), "--format", "html"]
+    assert main([*risk, "--policy-json", str(tmp_path / "bad.json")], spark) == 2
+    assert main([*risk, "--policy-json", str(tmp_path / "none.json")], spark) == 3
+    (tmp_path / "w.csv").write_text("k,e,t,x\n" + "".join(f"{i},a,2024-01-{1 + i:02d} 00:00:00,{i}\n" for i in range(5)))
+    rules = [_rule("r", left_kind="column", left="x")]
+    (tmp_path / "w.json").write_text(json.dumps({k: v for k, v in WARNING.items() if k not in ("recent_window", "available_time_column", "peer_group_columns", "peer_reference_end", "exposure_column", "loss_fraction")} | {"condition_feature_columns": ["x"], "scenarios": [{"scenario_key": "s", "scenario_kind": "rule_set", "rules": rules}]}))
+    monitored = ["risk-run", str(tmp_path / "w.csv"), "-o", str(tmp_path / "warn.md"), "--warning-json", str(tmp_path / "w.json")]
+    assert main(monitored, spark) == 2 and main([*monitored, "--row-key", "k"], spark) == 0
+    assert main([*monitored, "--row-key", "k", "--no-overwrite"], spark) == 3
     with pytest.raises(ValueError):
         write_report({}, tmp_path / "a.md", format="html")
     with pytest.raises(FileExistsError):
