@@ -1,23 +1,23 @@
 """Exact token counts of whole texts with a sentencepiece model.
 
-Where is a text safe to cut?  When no piece of the vocabulary has a word-start mark anywhere but in
-its leading run of marks, no merge can ever join a non-blank character to a blank that follows it.
-Then every such place is a token boundary of the whole text, and the tokens on both sides do not
-depend on each other.  ``Counter`` proves this from the vocabulary before it relies on it.
-
-Huge texts are encoded in overlapping chunks with offsets; neighbours are spliced at a proven
-boundary inside the overlap that both encodings show, and the overlap widens when there is none.
-Other texts are cut at every proven boundary, and the counts of the segments are remembered in a
-bounded table, since words come again.
+Texts of up to ``CHUNK`` code points are encoded whole.  Longer ones are encoded in overlapping
+chunks with offsets, and neighbours are spliced at a stable common boundary inside the overlap: a
+place that is proven to be a token boundary of the whole text, at which both encodings begin a
+token, and from which on they agree as far as the overlap reaches.  When there is none, the overlap
+widens, up to the rest of the text.
+
+Where is a place proven?  When no piece of the vocabulary has a word-start mark anywhere but in its
+leading run of marks, no merge can ever join a non-blank character to a blank that follows it.  Then
+every such place is a token boundary of the whole text, and the tokens on both sides do not depend
+on each other.  ``Counter`` proves this from the vocabulary before it relies on it; with another
+vocabulary every text is encoded whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,19 +28,15 @@ from .common import short_batches
 
 LIMIT = 4096
 #: Texts of more code points are encoded in overlapping chunks.
-CHUNK = 1 << 16
-OVERLAP = 256
-#: Segments whose counts a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 40
+CHUNK = 4096
+OVERLAP = 128
 _MARK = "▁"
-_SEGMENT = re.compile(r" *[^ ]+| +$")
 
 
 class Counter:
-    def __init__(self, model: bytes, chunk: int = CHUNK, overlap: int = OVERLAP, remembered: int = REMEMBERED):
+    def __init__(self, model: bytes, chunk: int = CHUNK, overlap: int = OVERLAP):
         self.pieces = SentencePieceProcessor(model_proto=model)
-        self.chunk, self.overlap, self.limit = chunk, overlap, remembered
-        self.known: dict[str, int] = {}
+        self.chunk, self.overlap = chunk, overlap
         n = self.pieces.get_piece_size()
         names = (self.pieces.id_to_piece(i) for i in range(n) if not (self.pieces.is_control(i) or self.pieces.is_byte(i) or self.pieces.is_unknown(i)))
         inner = all(_MARK not in x.lstrip(_MARK) for x in names)
@@ -53,61 +49,68 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if not self.proven or not self.blank:
+        if len(text) <= self.chunk or not self.proven or not self.blank:
             return len(self.pieces.encode(text))
-        text = text.replace(_MARK, " ")  # the library writes blanks as marks, so both mean the same
-        return self._spliced(text) if len(text) > self.chunk else self._segmented(text)
-
-    def _segmented(self, text: str) -> int:
-        """A segment is a run of blanks and what follows it up to the next blank; the library puts
-        one blank before a text, so each segment is encoded without its first one."""
-        known = self.known
-        words = text.split(" ") if "  " not in text and text[0] != " " and text[-1] != " " else [x[1:] for x in _SEGMENT.findall(" " + text)]
-        try:
-            return sum([known[w] for w in words])
-        except KeyError:
-            pass
-        missing = list({w for w in words if w not in known})
-        # nothing left of a segment: one blank at the end of the text, a token of its own
-        counts = dict(zip(missing, (len(x) if w else 1 for w, x in zip(missing, self.pieces.encode(missing, num_threads=1), strict=True)), strict=True))
-        if len(known) + len(counts) > self.limit:
-            known.clear()
-        known.update((w, c) for w, c in counts.items() if len(w) <= LONGEST)
-        return sum(counts[w] if w in counts else known[w] if w in known else len(self.pieces.encode(w)) for w in words)
-
-    def _offsets(self, text: str, start: int, end: int) -> list[int]:
-        """Where the tokens of text[start:end] begin, in code points of the whole text.
+        return self._spliced(text.replace(_MARK, " "))  # the library writes blanks as marks, so both mean the same
+
+    def _encoded(self, text: str, start: int, end: int, since: int) -> tuple[int, list[int]]:
+        """The number of tokens of text[start:end], and where those from ``since`` on begin, last first.
 
         A chunk that is not the first starts at a blank, which the library puts before it anyway.
+        Pieces are laid against the text from its end; where they are not its characters (bytes of
+        unknown ones, normalised ones) the library's own offsets count.
         """
         skipped = 1 if start else 0
         part = text[start + skipped : end]
-        out = self.pieces.encode(part, return_type="proto")
-        raw = np.frombuffer(part.encode("utf-8", "surrogatepass"), np.uint8)
-        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # the library's offsets are bytes
-        begins = points[[p.begin for p in out.pieces]] + start + skipped
-        begins[:1] = start
-        return begins.tolist()
+        found = self.pieces.encode(part, out_type=str)
+        begins, place = [], end
+        for piece in reversed(found):
+            if place <= since:
+                return len(found), begins
+            surface = piece.replace(_MARK, " ")
+            if not text.endswith(surface, start, place):
+                break
+            place -= len(surface)
+            if place >= since:
+                begins.append(place)
+        if place == start or place < since:
+            return len(found), begins
+        return len(found), self._offsets(part, start, skipped, end, since)
+
+    def _offsets(self, part: str, start: int, skipped: int, end: int, since: int) -> list[int]:
+        raw = part.encode("utf-8", "surrogatepass")
+        begins, at, place = [], len(raw), end
+        found = self.pieces.encode(part, return_type="proto").pieces
+        for i in range(len(found) - 1, -1, -1):
+            if i:
+                begin = found[i].begin  # in bytes
+                place -= sum(b & 0xC0 != 0x80 for b in raw[begin:at])
+                at = begin
+            else:
+                place = start
+            if place < since:
+                break
+            begins.append(place)
+        return begins
 
     def _spliced(self, text: str) -> int:
-        """Chunks overlap; a splice is the last proven boundary in the overlap at which both encodings
-        begin a token.  The tokens before it come from the left chunk, the rest from the right one."""
+        """A splice is the last proven boundary in the overlap.  The tokens before it come from the left
+        chunk, the rest from the right one, which starts there."""
         total, start, n = 0, 0, len(text)
         while True:
             overlap = self.overlap
             while True:
                 end = start + self.chunk + overlap
                 if end >= n:
-                    return total + len(self._offsets(text, start, n))
+                    return total + self._encoded(text, start, n, n)[0]
                 low = max(start + 1, end - 2 * overlap)
                 right = max(low, end - overlap)
                 splice = self._boundary(text, low, right)
                 if splice:
-                    left = self._offsets(text, start, end)
-                    inside = set(left)
-                    again = {x for x in self._offsets(text, splice, min(n, end + overlap)) if x < end}
-                    if splice in inside and splice in again and all(x in again for x in left if splice <= x < right):
-                        total += sum(x < splice for x in left)
+                    size, left = self._encoded(text, start, end, splice)
+                    again = set(self._encoded(text, splice, min(n, end + overlap), splice)[1])
+                    if left and left[-1] == splice and all(x in again for x in left if x < right):
+                        total += size - len(left)
                         start = splice
                         break
                 overlap *= 2  # no boundary there, or the encodings disagree
@@ -131,7 +134,9 @@ def token_counts(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_
 
     ``model`` is the serialised tokenizer (a file of fixed size, broadcast).  Null texts count as
     empty: no bytes, no tokens.  No begin, end or special tokens are added; such strings inside a
-    text are ordinary text.  Narrow: no shuffle.
+    text are ordinary text.  Long texts are read in chunks, so the encoder's memory is bounded while
+    blanks occur.  Repeated rows are counted each by itself; null ids are kept; an empty table gives
+    no rows.  Columns other than id and text are not read.  Narrow: no shuffle.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -141,9 +146,9 @@ def token_counts(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_
         count = counter(shared.value).count
         for batch in batches:
             tokens = pa.array(map(count, batch.column(1).to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), tokens], names=[id_column, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), tokens], names=["id", "n_bytes", "n_tokens"])
 
-    schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     text = F.col(text_column).cast("string")
     counted = docs.select(F.col(id_column), text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).toDF("id", "text", "n").mapInArrow(run, schema)
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    return counted.select(F.col("id").alias(id_column), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
