@@ -394,11 +394,63 @@ def audit_payload_overlap(spark, sf_dir):
     return audit.payload_overlap(table(spark, sf_dir, "documents"), "source", ["text"])
 
 
-@query(f"SELECT 'feature_after_observation' AS reason, count(*) FILTER (l_shipdate > o_orderdate + INTERVAL 30 DAY) AS count, count(*) AS denominator, round(count(*) FILTER (l_shipdate > o_orderdate + INTERVAL 30 DAY) / count(*), 6) AS rate FROM {ORDER_LINES}")
+@query(f"SELECT 'feature_after_observation' AS reason, count(*) FILTER (l_shipdate > o_orderdate + INTERVAL 30 DAY) AS count, count(*) AS denominator, round(count(*) FILTER (l_shipdate > o_orderdate + INTERVAL 30 DAY) / count(*), 6) AS rate, count(*) FILTER (l_shipdate IS NULL OR o_orderdate IS NULL) AS unverified FROM {ORDER_LINES}")
 def audit_point_in_time(spark, sf_dir):
     return rounded(audit.point_in_time(order_lines(spark, sf_dir), {"feature_after_observation": (F.col("l_shipdate"), F.col("o_orderdate") + F.lit(dt.timedelta(days=30)))}), 6)
 
 
+_AUDIT_ROLES = audit.AuditRoles(
+    target="y", group="o_custkey", partition="part", key="o_orderkey", features=("copy", "o_totalprice"), exposure="exposure", observation_time="seen", event_time="happened", outcome_end_time="ended", label_available_time="known", partition_cutoff="cutoff",
+    window_start="opened", window_end="closed", horizon_end="ended", analysis_as_of="as_of", feature_available_time="measured",
+)
+_AUDIT_FRAME = """(SELECT o_orderkey, o_custkey, o_totalprice, o_totalprice * 2 AS twice, CAST(o_totalprice > 150000 AS INTEGER) AS y, CAST(o_totalprice > 150000 AS INTEGER) AS copy, 'c' AS const, CASE WHEN o_orderkey % 3 = 0 THEN 'test' ELSE 'train' END AS part, CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE 1 END AS exposure,
+o AS seen, CASE WHEN o_orderkey % 4 = 0 THEN o + (CAST(o_orderkey % 7 AS INTEGER) - 2) * INTERVAL 1 DAY END AS happened, o + (CAST(o_orderkey % 9 AS INTEGER) - 1) * INTERVAL 1 DAY AS ended, o + 3 * INTERVAL 1 DAY AS known, TIMESTAMP '1999-01-01' AS cutoff, o - (CAST(o_orderkey % 5 AS INTEGER) - 1) * INTERVAL 1 DAY AS opened, o AS closed,
+TIMESTAMP '2000-06-01' AS as_of, o + (CAST(o_orderkey % 6 AS INTEGER) - 4) * INTERVAL 1 DAY AS measured FROM (SELECT *, CAST(o_orderdate AS TIMESTAMP) AS o FROM orders))"""
+
+
+def audited_orders(spark, sf_dir):
+    o, k = F.col("o_orderdate").cast("timestamp_ntz"), F.col("o_orderkey")
+    days = lambda n, less: F.make_dt_interval((k % n).cast("int") - less)
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    y = (F.col("o_totalprice") > 150000).cast("int")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", (F.col("o_totalprice") * 2).alias("twice"), y.alias("y"), y.alias("copy"), F.lit("c").alias("const"), F.when(k % 3 == 0, "test").otherwise("train").alias("part"), F.when(k % 11 == 0, -1).otherwise(1).alias("exposure"),
+        o.alias("seen"), F.when(k % 4 == 0, o + days(7, 2)).alias("happened"), (o + days(9, 1)).alias("ended"), (o + F.lit(dt.timedelta(days=3))).alias("known"), at("1999-01-01 00:00:00").alias("cutoff"), (o - days(5, 1)).alias("opened"), o.alias("closed"), at("2000-06-01 00:00:00").alias("as_of"), (o + days(6, 4)).alias("measured"),
+    )
+
+
+_RELATED = (
+    ("observation_after_outcome_end", "seen", ">", "ended"), ("event_before_observation", "seen", ">", "happened"), ("event_after_outcome_end", "happened", ">", "ended"), ("label_before_outcome_end", "ended", ">", "known"), ("observation_at_or_after_cutoff", "seen", ">=", "cutoff"),
+    ("window_start_after_window_end", "opened", ">", "closed"), ("window_end_after_analysis_as_of", "closed", ">", "as_of"), ("horizon_end_after_analysis_as_of", "ended", ">", "as_of"),
+    *((f"feature_after_observation|{f}", "measured", ">", "seen") for f in ("copy", "o_totalprice")), *((f"feature_after_cutoff|{f}", "measured", ">=", "cutoff") for f in ("copy", "o_totalprice")),
+)
+
+
+@query(union([f"SELECT '{r}' AS reason, count(*) FILTER ({a} {o} {b}) AS count, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS denominator, count(*) FILTER ({a} IS NULL OR {b} IS NULL) AS unverified FROM {_AUDIT_FRAME}" for r, a, o, b in _RELATED]))
+def audit_chronology(spark, sf_dir):
+    out = audit.point_in_time(audited_orders(spark, sf_dir), audit.chronology(_AUDIT_ROLES))
+    return out.select(F.translate("reason", "\0", "|").alias("reason"), "count", "denominator", "unverified")
+
+
+_FOUND = [
+    ("constant_column", "'const'", "count(*)", "count(*)", "1.0"), ("exact_target_copy", "'copy'", "count(*)", "NULL", "1.0"), ("collinear_columns", "'o_totalprice, twice'", "count(*)", "NULL", "1.0"), ("collinear_columns", "'y, copy'", "count(*)", "NULL", "1.0"), ("negative_exposure", "'exposure'", "count(*) FILTER (exposure < 0)", "NULL", "NULL"),
+    *((r.split("|")[0], f"'{r.split('|')[1]}'" if "|" in r else "NULL", f"count(*) FILTER ({a} {o} {b})", f"count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL)", f"round(count(*) FILTER ({a} {o} {b}) / count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL), 6)") for r, a, o, b in _RELATED),
+    *(("missing_availability_metadata", f"'{r}'", f"count(*) FILTER ({a} IS NULL OR {b} IS NULL)", "count(*)", "NULL") for r, a, o, b in _RELATED[1:3]),
+]
+
+
+@query(
+    f"""SELECT * FROM ({union([f"SELECT '{r}' AS reason, {c} AS col, CAST({n} AS BIGINT) AS count, CAST({d} AS BIGINT) AS denominator, CAST({v} AS DOUBLE) AS value FROM {_AUDIT_FRAME}" for r, c, n, d, v in _FOUND])}) WHERE count > 0
+UNION ALL SELECT 'group_partition_overlap', 'o_custkey', count(*) FILTER (a <> b), count(*), NULL FROM (SELECT min(part) AS a, max(part) AS b FROM {_AUDIT_FRAME} GROUP BY o_custkey) HAVING count(*) FILTER (a <> b) > 0
+UNION ALL SELECT 'singleton_group', 'o_custkey', count(*) FILTER (n = 1), count(*), NULL FROM (SELECT count(*) AS n FROM {_AUDIT_FRAME} GROUP BY o_custkey) HAVING count(*) FILTER (n = 1) > 0"""
+)
+def audit_findings(spark, sf_dir):
+    """Reasons that do not hang on a column's share of distinct values; the others are held to made-up rows in the tests."""
+    reasons = {r for r, *_ in _FOUND} | {"group_partition_overlap", "singleton_group"}
+    found = audit.audit_data_quality(audited_orders(spark, sf_dir), roles=_AUDIT_ROLES).findings_table(spark)
+    return found.where(F.col("reason").isin(*reasons) & ((F.col("reason") != "constant_column") | (F.col("column") == "const"))).select("reason", F.col("column").alias("col"), "count", "denominator", F.round("value", 6).alias("value"))
+
+
 @query("SELECT count(*) AS pairs, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1)")
 def audit_duplicate_entity_time(spark, sf_dir):
     return audit.duplicate_entity_time(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate")

@@ -48,3 +48,10 @@ def sample_skewness(column: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double; null over zero."""
     return F.when(b != 0, a.cast("double") / b.cast("double"))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r over rows where both are there; null where one of them does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import infinite, is_categorical, is_floating, is_numeric, present, ratio, sample_skewness
+from ..functions.columns import correlation, infinite, is_categorical, is_floating, is_numeric, present, ratio, sample_skewness
 from ..functions.special import chi2_sf, pearson_p
 from ..plans.ordered import average_ranks, running_sums
 from ..plans.quantiles import quantiles
@@ -166,7 +166,7 @@ def compute_correlations(df: DataFrame, *, columns: Sequence[str] | None = None,
         for a, b in pairs:
             x, y = present(a, kinds[a]).cast("double"), present(b, kinds[b]).cast("double")
             both = x.isNotNull() & y.isNotNull()
-            cells[f"{a}\0{b}"] = {"n": F.count_if(both), "correlation": F.corr(x, y)}
+            cells[f"{a}\0{b}"] = {"n": F.count_if(both), "correlation": correlation(x, y)}
         table = tall(df, cells, "pair").select(F.split("pair", "\0")[0].alias("left"), F.split("pair", "\0")[1].alias("right"), "n", "correlation")
     else:
         full = [n for n in kept if seen["present"][n] == seen["n"]]
@@ -188,7 +188,7 @@ def _spearman_full(df: DataFrame, names: Sequence[str], kinds: dict) -> DataFram
         rows = rows.join(ranks, f"v{i}").drop(f"v{i}")
     cells = {}
     for i, j in combinations(range(len(names)), 2):
-        cells[f"{names[i]}\0{names[j]}"] = {"n": F.count(F.lit(1)), "correlation": F.corr(f"r{i}", f"r{j}")}
+        cells[f"{names[i]}\0{names[j]}"] = {"n": F.count(F.lit(1)), "correlation": correlation(F.col(f"r{i}"), F.col(f"r{j}"))}
     pair = F.split("pair", "\0")
     return tall(rows, cells, "pair").select(pair[0].alias("left"), pair[1].alias("right"), "n", "correlation")
 
@@ -414,7 +414,7 @@ def analyze_target_relationships(df: DataFrame, target: str, *, task: str, featu
             category = details if category is None else category.unionByName(details, allowMissingColumns=True)
         elif is_numeric(kinds[n]):
             name = "pearson"
-            one = labelled.agg(F.corr(x.cast("double"), y.cast("double")).alias("statistic"), F.abs(F.corr(x.cast("double"), y.cast("double"))).alias("effect"), F.count_if(x.isNotNull()).alias("n")).first()
+            one = labelled.agg(correlation(x.cast("double"), y.cast("double")).alias("statistic"), F.abs(correlation(x.cast("double"), y.cast("double"))).alias("effect"), F.count_if(x.isNotNull()).alias("n")).first()
             p = pearson_p(one["statistic"], one["n"]) if one["statistic"] is not None and one["n"] >= 3 else None
         else:
             name, one = "kruskal_wallis", kruskal(labelled, x, y).first()

@@ -8,50 +8,35 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import finite, infinite, is_categorical, is_datetime, is_floating, is_numeric, present, ratio
+from ..functions.columns import correlation, finite, infinite, is_categorical, is_datetime, is_floating, is_numeric, present, ratio
 from ..plans.scopes import scoped
 from ..plans.shapes import check_columns, small, tall
 from .analysis import frequencies
 from .profile import infer_schema
 from .quality import duplicate_rows
 
-# Thresholds, and severities by finding.
+# Thresholds, severities by finding (all others are warnings), and relations between times.
 HIGH_MISSING, NEAR_CONSTANT, COLLINEAR, NEAR_COPY, COPY_ROWS, PAIR_ROWS, MAX_PATTERNS, RARE_CLASS = 0.4, 0.95, 0.999, 0.99, 2, 20, 100, 0.05
-SEVERITY = {
-    "target_in_features": "error",
-    "post_outcome_feature": "error",
-    "exact_target_copy": "error",
-    "near_target_copy": "warning",
-    "deterministic_categorical_proxy": "warning",
-    "feature_after_observation": "error",
-    "feature_after_cutoff": "error",
-    "event_before_observation": "error",
-    "duplicate_entity_time": "error",
-    "time_order_violation": "warning",
-    "range_violation": "error",
-    "allowed_value_violation": "error",
-    "cross_column_order_violation": "error",
-    "monotonic_time_violation": "error",
-    "identifier_partition_overlap": "error",
-    "group_partition_overlap": "error",
-    "duplicate_rows": "warning",
-    "all_missing_column": "warning",
-    "high_missing_column": "warning",
-    "constant_column": "warning",
-    "near_constant_column": "info",
-    "nonfinite_values": "warning",
-    "rare_target_class": "warning",
-    "target_missing": "warning",
-    "collinear_columns": "info",
-    "missingness_rate_changed": "warning",
-    "current_column_added": "info",
-    "current_column_missing": "error",
-    "dtype_changed": "warning",
-}
+ERRORS = (
+    "empty_dataset", "all_missing_column", "datetime_role_mismatch", "audit_input_dtype_mismatch", "target_constant", "target_non_binary", "target_in_features", "exact_target_copy", "post_outcome_feature", "range_violation",
+    "allowed_value_violation", "cross_column_order_violation", "monotonic_time_violation", "feature_after_observation", "observation_after_outcome_end", "event_before_observation", "event_after_outcome_end",
+    "label_before_outcome_end", "observation_at_or_after_cutoff", "feature_after_cutoff", "window_start_after_window_end", "window_end_after_analysis_as_of", "horizon_end_after_analysis_as_of",
+)
+INFOS = ("duplicate_index", "high_cardinality_column", "suspected_identifier", "whitespace_only", "target_distribution_shift", "singleton_group", "budget_exceeded")
+#: (earlier, later, whether they may be equal, reason), by role
+CHRONOLOGY = (
+    ("observation_time", "outcome_end_time", True, "observation_after_outcome_end"), ("observation_time", "event_time", True, "event_before_observation"), ("event_time", "outcome_end_time", True, "event_after_outcome_end"),
+    ("outcome_end_time", "label_available_time", True, "label_before_outcome_end"), ("observation_time", "partition_cutoff", False, "observation_at_or_after_cutoff"), ("window_start", "window_end", True, "window_start_after_window_end"),
+    ("window_end", "analysis_as_of", True, "window_end_after_analysis_as_of"), ("horizon_end", "analysis_as_of", True, "horizon_end_after_analysis_as_of"),
+)
+
+
+def severity(reason: str) -> str:
+    return "error" if reason in ERRORS else "info" if reason in INFOS else "warning"
 
 
 @dataclass(frozen=True)
@@ -79,6 +64,25 @@ class AuditRoles:
     slices: tuple[str, ...] = ()
     features: tuple[str, ...] = ()
     post_outcome: tuple[str, ...] = ()
+    fold: str | None = None
+    exposure: str | None = None
+    scores: tuple[str, ...] = ()
+    event_time: str | None = None
+    outcome_end_time: str | None = None
+    label_available_time: str | None = None
+    partition_cutoff: str | None = None
+    window_start: str | None = None
+    window_end: str | None = None
+    horizon_end: str | None = None
+    analysis_as_of: str | None = None
+    #: when a feature was known, for all features or by feature
+    feature_available_time: str | None = None
+    feature_available_times: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def times(self) -> tuple[str, ...]:
+        named = [getattr(self, r) for pair in CHRONOLOGY for r in pair[:2]] + [self.feature_available_time, *(t for _, t in self.feature_available_times)]
+        return tuple(dict.fromkeys(t for t in named if t))
 
 
 @dataclass(frozen=True)
@@ -88,6 +92,17 @@ class AuditConfig:
     collinear: float = COLLINEAR
     rules: tuple[ColumnAuditRule, ...] = ()
     max_patterns: int = MAX_PATTERNS
+    high_cardinality_count: int = 50
+    high_cardinality_rate: float = 0.5
+    rare_class_rate: float = RARE_CLASS
+    rare_class_count: int = 20
+    missing_change: float = 0.1
+    missing_relative_change: float = 0.5
+    minimum_drift_rows: int = 30
+    #: no finding on shifts of the target without one
+    target_shift: float | None = None
+    target_shift_support: int = 30
+    samples: int = 20
 
 
 def _kinds(df: DataFrame) -> dict[str, T.DataType]:
@@ -245,7 +260,7 @@ def collinearity(df: DataFrame, columns: Sequence[str] | None = None, threshold:
     cells = {}
     for a, b in combinations(names, 2):
         x, y = finite(a, kinds[a]), finite(b, kinds[b])
-        cells[f"{a}\0{b}"] = {"n": F.count_if(x.isNotNull() & y.isNotNull()), "correlation": F.corr(x, y)}
+        cells[f"{a}\0{b}"] = {"n": F.count_if(x.isNotNull() & y.isNotNull()), "correlation": correlation(x, y)}
     out = tall(df, cells, "pair").where((F.col("n") >= PAIR_ROWS) & (F.abs("correlation") >= threshold))
     return out.select(F.split("pair", "\0")[0].alias("left"), F.split("pair", "\0")[1].alias("right"), "n", "correlation")
 
@@ -321,13 +336,41 @@ def payload_overlap(df: DataFrame, partition: str, columns: Sequence[str]) -> Da
     return by.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
 
 
-def point_in_time(df: DataFrame, relations: Mapping[str, tuple[Column, Column]]) -> DataFrame:
-    """(reason, count, denominator, rate): ``relations`` name pairs of times of which the first must not be after the second."""
+def chronology(roles: AuditRoles) -> dict[str, tuple[str | None, Column, Column, bool]]:
+    """By name (reason, and feature where it is about one): the feature, the two times, and whether they may be equal."""
+    col = lambda n: F.col(f"`{n}`")
+    out: dict[str, tuple[str | None, Column, Column, bool]] = {}
+    known = dict(roles.feature_available_times)
+    for feature in roles.features:
+        available = roles.feature_available_time or known.get(feature)
+        if available and roles.observation_time:
+            out[f"feature_after_observation\0{feature}"] = (feature, col(available), col(roles.observation_time), True)
+        if available and roles.partition_cutoff:
+            out[f"feature_after_cutoff\0{feature}"] = (feature, col(available), col(roles.partition_cutoff), False)
+    for left, right, equal, reason in CHRONOLOGY:
+        a, b = getattr(roles, left), getattr(roles, right)
+        if a and b:
+            out[reason] = (None, col(a), col(b), equal)
+    return out
+
+
+def point_in_time(df: DataFrame, relations: Mapping[str, tuple]) -> DataFrame:
+    """(reason, count, denominator, rate, unverified): ``relations`` are those of ``chronology``, or pairs of times of
+    which the first must not be after the second.  Rows without one of the times are not verified."""
     cells = {}
-    for name, (a, b) in relations.items():
+    for name, relation in relations.items():
+        a, b, equal = (*relation, True) if len(relation) == 2 else relation[1:]
         both = a.isNotNull() & b.isNotNull()
-        cells[name] = {"count": F.count_if(both & (a > b)), "denominator": F.count_if(both)}
-    return tall(df, cells, "reason").select("reason", "count", "denominator", ratio(F.col("count"), F.col("denominator")).alias("rate"))
+        cells[name] = {"count": F.count_if(both & ((a > b) if equal else (a >= b))), "denominator": F.count_if(both), "unverified": F.count_if(~both)}
+    return tall(df, cells, "reason").select("reason", "count", "denominator", ratio(F.col("count"), F.col("denominator")).alias("rate"), "unverified")
+
+
+def unverified_features(roles: AuditRoles) -> list[str]:
+    """Features of which nobody said when they were known, where times are declared at all."""
+    if not roles.times:
+        return []
+    known = dict(roles.feature_available_times)
+    return [f for f in roles.features if not (roles.feature_available_time or known.get(f)) or not roles.observation_time]
 
 
 def duplicate_entity_time(df: DataFrame, entity: str, time: str) -> DataFrame:
@@ -343,19 +386,20 @@ def time_order(df: DataFrame, entity: str, time: str, key: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Finding:
+    """``samples``: the first keys, in order, of the rows that it is about, where single rows are to blame."""
+
     reason: str
     severity: str
     column: str | None
-    count: int
+    count: int | None
     value: float | None
+    threshold: float | None = None
+    denominator: int | None = None
+    samples: tuple = ()
+    detail_table: str = ""
     finding_key: str = field(default="")
 
 
-def _finding(reason: str, column: str | None, count: int, value: float | None) -> Finding:
-    body = json.dumps([reason, column, count, value], sort_keys=True, separators=(",", ":"))
-    return Finding(reason, SEVERITY.get(reason, "info"), column, count, value, hashlib.sha256(body.encode()).hexdigest())
-
-
 @dataclass(frozen=True)
 class DataAudit:
     config_fingerprint: str
@@ -369,11 +413,150 @@ class DataAudit:
     rules: DataFrame | None
     drift: DataFrame | None
     schema_drift: DataFrame | None
+    pattern_drift: DataFrame | None
+    collinear: DataFrame | None
+    point_in_time: DataFrame | None
+    roles: DataFrame
     findings: tuple[Finding, ...]
+    #: (detail_table, reason, column) by finding key: where its evidence is
+    links: dict[str, tuple[str, str, str | None]]
+
+    def findings_table(self, spark: SparkSession) -> DataFrame:
+        rows = [(f.finding_key, f.reason, f.severity, f.column, f.count, f.denominator, f.value, f.threshold, [str(x) for x in f.samples], f.detail_table) for f in self.findings]
+        return small(spark, rows, "finding_key string, reason string, severity string, column string, count long, denominator long, value double, threshold double, samples array<string>, detail_table string")
+
+
+def _families(value: object) -> object:
+    """Values of rules by type, so that a fingerprint gives none away; names and thresholds stay."""
+    if isinstance(value, dict):
+        return {k: [type(x).__name__ for x in v] if k in ("allowed", "special") else _families(v) for k, v in value.items()}
+    return [_families(x) for x in value] if isinstance(value, (list, tuple)) else value
 
 
 def fingerprint(*configs: object) -> str:
-    return hashlib.sha256(json.dumps([asdict(c) for c in configs], sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+    return hashlib.sha256(json.dumps([_families(asdict(c)) for c in configs], sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
+class _Findings:
+    def __init__(self, df: DataFrame, roles: AuditRoles, config: AuditConfig):
+        self.df, self.roles, self.config = df, roles, config
+        self.rows: list[Finding] = []
+
+    def add(self, reason: str, table: str, column: str | None = None, *, count: int | None = None, value: float | None = None, threshold: float | None = None, denominator: int | None = None, rows: Column | None = None) -> None:
+        samples: tuple = ()
+        if rows is not None and self.roles.key:  # a bounded top-k by key
+            samples = tuple(r[0] for r in self.df.where(rows).select(F.col(f"`{self.roles.key}`")).orderBy(self.roles.key).limit(self.config.samples).collect())
+        body = json.dumps([table, reason, column, count, denominator, str(samples[0]) if samples else None], sort_keys=True, separators=(",", ":"))
+        self.rows.append(Finding(reason, severity(reason), column, count, value, threshold, denominator, samples, table, hashlib.sha256(body.encode()).hexdigest()))
+
+    def columns(self, table: DataFrame) -> None:
+        c = self.config
+        for r in table.orderBy("column").collect():  # a row a column
+            name, x = r["column"], F.col(f"`{r['column']}`")
+            filled = r["rows"] - r["missing"]
+            if r["all_missing"]:
+                self.add("all_missing_column", "columns", name, count=r["missing"], value=1.0, denominator=r["rows"])
+            elif r["missing_rate"] is not None and r["missing_rate"] >= c.high_missing:
+                self.add("high_missing_column", "columns", name, count=r["missing"], value=r["missing_rate"], threshold=c.high_missing, denominator=r["rows"], rows=x.isNull())
+            if r["constant"]:
+                self.add("constant_column", "columns", name, count=r["top_count"], value=1.0, denominator=filled)
+            elif r["near_constant"]:
+                self.add("near_constant_column", "columns", name, count=r["top_count"], value=r["top_share"], threshold=c.near_constant, denominator=filled)
+            if r["blank_strings"]:
+                self.add("whitespace_only", "columns", name, count=r["blank_strings"], denominator=filled, rows=(x != "") & (F.trim(x) == ""))
+            if r["suspected_identifier"]:
+                self.add("suspected_identifier", "columns", name, count=r["unique"], denominator=filled)
+            elif r["unique"] > c.high_cardinality_count and r["unique"] > c.high_cardinality_rate * filled:
+                self.add("high_cardinality_column", "columns", name, count=r["unique"], threshold=c.high_cardinality_rate, denominator=filled)
+
+    def target(self, table: DataFrame) -> None:
+        c, name = self.config, self.roles.target
+        rows = table.collect()  # a row a class
+        held = [r for r in rows if r["class"] is not None]
+        missing, total = sum(r["count"] for r in rows if r["class"] is None), sum(r["count"] for r in rows)
+        if missing:
+            self.add("target_missing", "target", name, count=missing, denominator=total, rows=F.col(f"`{name}`").isNull())
+        if len(held) == 1:
+            self.add("target_constant", "target", name, count=held[0]["count"], denominator=total - missing)
+        elif len(held) > 2:
+            self.add("target_non_binary", "target", name, count=len(held))
+        for r in sorted(held, key=lambda r: r["class"]):
+            if len(held) > 1 and (r["rate"] < c.rare_class_rate or r["count"] < c.rare_class_count):
+                self.add("rare_target_class", "target", name, count=r["count"], value=r["rate"], threshold=c.rare_class_rate, denominator=total - missing)
+
+    def slices(self, table: DataFrame) -> None:
+        c = self.config
+        if c.target_shift is None:
+            return
+        rows = table.orderBy("slice_role", "slice_value").collect()  # a row a slice
+        base = next((r for r in rows if r["slice_role"] == "overall"), None)
+        for r in rows:
+            if r["slice_role"] == "overall" or r["labelled"] < c.target_shift_support:
+                continue
+            if r["event_rate_gap"] is not None and abs(r["event_rate_gap"]) >= c.target_shift:
+                self.add("target_distribution_shift", "slices", r["slice_role"], count=r["rows"], value=r["event_rate_gap"], threshold=c.target_shift, denominator=r["labelled"])
+            if base is not None and abs(r["coverage"] - base["coverage"]) >= c.target_shift:
+                self.add("selection_outcome_support_gap", "slices", r["slice_role"], count=r["labelled"], value=r["coverage"] - base["coverage"], threshold=c.target_shift, denominator=r["rows"])
+
+    def drift(self, missing: DataFrame, schema: DataFrame, sizes: tuple[int, int]) -> None:
+        c = self.config
+        for r in schema.orderBy("column").collect():  # a row a changed column
+            self.add(r["change"], "schema_drift", r["column"])
+        if min(sizes) < c.minimum_drift_rows:
+            return
+        for r in missing.orderBy("column").collect():  # a row a column
+            change = r["absolute_change"]
+            if change is not None and change >= c.missing_change and (r["relative_change"] is None or abs(r["relative_change"]) >= c.missing_relative_change):
+                self.add("missingness_rate_changed", "drift", r["column"], value=r["current_rate"] - r["reference_rate"], threshold=c.missing_change)
+
+    def leaks(self) -> None:
+        r, df = self.roles, self.df
+        if r.target and r.features:
+            for row in leakage(df, r.target, r.features, r.post_outcome).orderBy("column", "reason").collect():
+                self.add(row["reason"], "leakage", row["column"], count=row["support"], value=row["value"])
+        for c in r.features:
+            if c in (r.identifier, r.group, r.partition, r.entity, r.fold, r.key) + r.times:
+                self.add("role_column_in_features", "roles", c)
+        split = r.partition or r.fold
+        for column, reason in ((r.identifier, "identifier_partition_overlap"), (r.group, "group_partition_overlap"), (r.entity if r.entity not in (r.identifier, r.group) else None, "entity_partition_overlap")):
+            if column and split:
+                one = partition_overlap(df, column, split).first()
+                if one["overlapping"]:
+                    self.add(reason, "overlap", column, count=one["overlapping"], denominator=one["identifiers"])
+        if split:
+            payload = [c for c in df.columns if c not in (split, r.key, r.partition, r.fold)]
+            one = payload_overlap(df, split, payload).first()
+            if one["groups"]:
+                self.add("duplicate_row_partition_overlap", "overlap", split, count=one["rows"])
+        if r.partition and r.fold:
+            crossed = df.where(F.col(f"`{r.fold}`").isNotNull()).groupBy(F.col(f"`{r.fold}`")).agg(F.count_distinct(F.col(f"`{r.partition}`")).alias("n")).where("n > 1").count()
+            if crossed:
+                self.add("fold_partition_inconsistent", "overlap", r.fold, count=crossed)
+        if r.group:
+            one = df.where(F.col(f"`{r.group}`").isNotNull()).groupBy(F.col(f"`{r.group}`")).count().agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("count") == 1).alias("single")).first()
+            if one["single"]:
+                self.add("singleton_group", "overlap", r.group, count=one["single"], denominator=one["n"])
+
+    def times(self, table: DataFrame | None, relations: Mapping[str, tuple]) -> None:
+        r, df = self.roles, self.df
+        if table is not None:
+            for row in table.orderBy("reason").collect():  # a row a relation
+                feature, a, b, equal = relations[row["reason"]]
+                reason = row["reason"].split("\0")[0]
+                if row["count"]:
+                    self.add(reason, "point_in_time", feature, count=row["count"], value=row["rate"], denominator=row["denominator"], rows=(a > b) if equal else (a >= b))
+                if row["unverified"]:
+                    self.add("missing_availability_metadata", "point_in_time", feature or reason, count=row["unverified"], denominator=row["unverified"] + row["denominator"])
+        for feature in unverified_features(r):
+            self.add("partial_feature_availability_mapping", "point_in_time", feature)
+        if r.entity and r.observation_time:
+            one = duplicate_entity_time(df, r.entity, r.observation_time).first()
+            if one["pairs"]:
+                self.add("duplicate_entity_time", "point_in_time", r.entity, count=one["rows"])
+            if r.key:
+                one = time_order(df, r.entity, r.observation_time, r.key).first()
+                if one["violations"]:
+                    self.add("time_order_violation", "point_in_time", r.observation_time, count=one["violations"], denominator=one["rows"])
 
 
 def audit_data_quality(df: DataFrame, *, roles: AuditRoles | None = None, config: AuditConfig | None = None, reference: DataFrame | None = None) -> DataAudit:
@@ -381,44 +564,62 @@ def audit_data_quality(df: DataFrame, *, roles: AuditRoles | None = None, config
     roles, config = roles or AuditRoles(), config or AuditConfig()
     check_columns(df)
     kinds = _kinds(df)
-    columns = column_profile(df, roles.key)
-    findings = []
-    copies = duplicate_rows(df).first()[0]
-    if copies:
-        findings.append(_finding("duplicate_rows", None, copies, None))
-    for r in columns.orderBy("column").collect():  # a row a column
-        if r["all_missing"]:
-            findings.append(_finding("all_missing_column", r["column"], r["missing"], 1.0))
-        elif r["missing_rate"] >= config.high_missing:
-            findings.append(_finding("high_missing_column", r["column"], r["missing"], r["missing_rate"]))
-        if r["constant"]:
-            findings.append(_finding("constant_column", r["column"], r["top_count"], 1.0))
-        elif r["near_constant"]:
-            findings.append(_finding("near_constant_column", r["column"], r["top_count"], r["top_share"]))
+    found = _Findings(df, roles, config)
+    columns, dataset = column_profile(df, roles.key), dataset_profile(df)
+    one = dataset.first()
+    if not one["rows"]:
+        found.add("empty_dataset", "dataset", count=0)
+    if one["duplicate_rows"]:
+        found.add("duplicate_rows", "dataset", count=one["duplicate_rows"], denominator=one["rows"])
+    if one["rows"]:
+        found.columns(columns)
     floats = [c for c in df.columns if is_floating(kinds[c])]
     if floats:
         odd = df.agg(*[F.count_if(infinite(F.col(f"`{c}`"))).alias(c) for c in floats]).first()
-        findings += [_finding("nonfinite_values", c, odd[c], None) for c in floats if odd[c]]
+        for c in floats:
+            if odd[c]:
+                found.add("nonfinite_values", "numeric", c, count=odd[c], denominator=one["rows"], rows=infinite(F.col(f"`{c}`")))
     rules = rule_violations(df, config.rules, roles.key, roles.group or roles.entity) if config.rules else None
     if rules is not None:
-        findings += [_finding(r["reason"], r["column"], r["count"], r["rate"]) for r in rules.orderBy("column", "reason").collect() if r["count"]]
-    if roles.target and roles.features:
-        findings += [_finding(r["reason"], r["column"], r["support"], r["value"]) for r in leakage(df, roles.target, roles.features, roles.post_outcome).orderBy("column", "reason").collect()]
-    if roles.identifier and roles.partition:
-        one = partition_overlap(df, roles.identifier, roles.partition).first()
-        if one["overlapping"]:
-            findings.append(_finding("identifier_partition_overlap", roles.identifier, one["overlapping"], None))
-    if roles.entity and roles.observation_time:
-        one = duplicate_entity_time(df, roles.entity, roles.observation_time).first()
-        if one["pairs"]:
-            findings.append(_finding("duplicate_entity_time", roles.entity, one["rows"], None))
-    order = {"error": 0, "warning": 1, "info": 2}
-    findings.sort(key=lambda f: (order[f.severity], f.reason, f.column or ""))
+        for r in rules.orderBy("column", "reason").collect():  # a row a rule
+            if r["count"]:
+                found.add(r["reason"], "rules", r["column"], count=r["count"], value=r["rate"], denominator=r["denominator"])
+    target = target_profile(df, roles.target) if roles.target else None
+    if target is not None:
+        found.target(target)
+    slices = slice_profile(df, roles.slices, roles.target) if roles.target and roles.slices else None
+    if slices is not None:
+        found.slices(slices)
+    found.leaks()
+    relations = chronology(roles)
+    usable = {n: x for n, x in relations.items() if all(is_datetime(kinds[t]) for t in roles.times)}
+    timed = point_in_time(df, usable) if usable else None
+    found.times(timed, usable)
+    typed = None
+    for score in roles.scores or (None,):
+        part = role_findings(df, exposure=roles.exposure if typed is None else None, score=score, times=roles.times if typed is None else (), numeric=[c for c in (roles.exposure, *roles.scores) if c] if typed is None else ())
+        typed = part if typed is None else typed.unionByName(part)
+    for r in typed.orderBy("column", "reason").collect():  # a row a role
+        found.add(r["reason"], "roles", r["column"], count=r["count"])
     numeric = [c for c in df.columns if is_numeric(kinds[c])]
     levels = [c for c in df.columns if is_categorical(kinds[c])]
+    paired = collinearity(df, numeric, config.collinear) if len(numeric) > 1 else None
+    if paired is not None:
+        for r in paired.orderBy("left", "right").collect():  # of 50 columns at most
+            found.add("collinear_columns", "collinear", f"{r['left']}, {r['right']}", count=r["n"], value=r["correlation"], threshold=config.collinear)
+    drift = changed = patterned = None
+    if reference is not None:
+        drift, changed = missing_drift(reference, df), schema_drift(reference, df)
+        shared = [c for c in df.columns if c in reference.columns]
+        patterned = pattern_drift(reference, df, shared, config.max_patterns) if shared else None
+        found.drift(drift, changed, (reference.count(), one["rows"]))
+        for r in logical_drift(reference, df).orderBy("column").collect():  # a row a changed column
+            found.add("logical_type_changed", "schema_drift", r["column"])
+    order = {"error": 0, "warning": 1, "info": 2}
+    found.rows.sort(key=lambda f: (order[f.severity], f.reason, f.column or ""))
     return DataAudit(
-        fingerprint(roles, config), dataset_profile(df), columns, numeric_profile(df, numeric) if numeric else None, categorical_profile(df, levels) if levels else None, target_profile(df, roles.target) if roles.target else None,
-        slice_profile(df, roles.slices, roles.target) if roles.target and roles.slices else None, missing_patterns(df, None, config.max_patterns), rules, missing_drift(reference, df) if reference is not None else None, schema_drift(reference, df) if reference is not None else None, tuple(findings),
+        fingerprint(roles, config), dataset, columns, numeric_profile(df, numeric) if numeric else None, categorical_profile(df, levels) if levels else None, target, slices, missing_patterns(df, None, config.max_patterns), rules, drift, changed, patterned, paired, timed, typed,
+        tuple(found.rows), {f.finding_key: (f.detail_table, f.reason, f.column) for f in found.rows},
     )
 
 

@@ -156,6 +156,41 @@ def test_audit(spark):
     assert again.schema_drift.first()["change"] == "current_column_added" and len(again.config_fingerprint) == 64
 
 
+def test_audit_raises_every_finding(spark):
+    """Rows made so that each reason has a cause."""
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = []
+    for i in range(80):
+        rows.append((i, f"e{i // 2}", f"g{i // 3}" if i < 78 else f"only{i}", "test" if i % 4 == 0 else "train", i % 5, i % 2 if i % 9 else None, float(i), 2.0 * i, -1.0 if i == 3 else 0.5, 1.5 if i == 4 else 0.5, "  " if i == 5 else "k", None if i % 2 else "v", float("inf") if i == 6 else 1.0, day(i // 2), day(2 if i == 7 else i // 2 + 1), day(60), day(i // 2 + (2 if i == 8 else 0)), i % 2))
+    names = "key long, entity string, grp string, part string, fold int, y int, a double, b double, exposure double, score double, text string, half string, odd double, seen timestamp_ntz, ended timestamp_ntz, as_of timestamp_ntz, known timestamp_ntz, same int"
+    df = spark.createDataFrame(rows, names)
+    roles = g.AuditRoles(
+        target="y", identifier="entity", group="grp", partition="part", fold="fold", entity="entity", observation_time="seen", key="key", slices=("part", "half"), features=("a", "same", "y", "b", "grp"), post_outcome=("b",), exposure="exposure", scores=("score",),
+        outcome_end_time="ended", horizon_end="ended", analysis_as_of="as_of", feature_available_times=(("a", "known"),),
+    )
+    config = g.AuditConfig(target_shift=0.05, rules=(g.ColumnAuditRule("a", maximum=70.0), g.ColumnAuditRule("text", allowed=("k",)), g.ColumnAuditRule("a", not_after=("b",)), g.ColumnAuditRule("b", nondecreasing=True)))
+    reference = df.withColumn("half", F.lit("v")).withColumn("b", F.col("b").cast("string")).drop("odd").withColumn("gone", F.lit(1))
+    out = g.audit_data_quality(df, roles=roles, config=config, reference=reference)
+    found = {(f.reason, f.column): f for f in out.findings}
+    expected = {
+        "target_in_features": "y", "post_outcome_feature": "b", "exact_target_copy": "same", "range_violation": "a", "allowed_value_violation": "text", "observation_after_outcome_end": None, "feature_after_observation": "a", "negative_exposure": "exposure", "score_out_of_range": "score",
+        "whitespace_only": "text", "high_missing_column": "half", "nonfinite_values": "odd", "target_missing": "y", "group_partition_overlap": "grp", "identifier_partition_overlap": "entity", "fold_partition_inconsistent": "fold", "singleton_group": "grp",
+        "duplicate_entity_time": "entity", "collinear_columns": "a, b", "missingness_rate_changed": "half", "dtype_changed": "b", "current_column_added": "odd", "current_column_missing": "gone", "role_column_in_features": "grp", "partial_feature_availability_mapping": "b",
+        "suspected_identifier": "key", "near_constant_column": "text", "constant_column": "as_of",
+    }
+    assert not [x for x in expected.items() if x not in found]
+    assert any(f.reason == "target_distribution_shift" for f in out.findings) and any(f.reason == "selection_outcome_support_gap" for f in out.findings)
+    assert found["range_violation", "a"].severity == "error" and found["whitespace_only", "text"].severity == "info" and found["nonfinite_values", "odd"].severity == "warning"
+    assert found["feature_after_observation", "a"].samples == (8,) and found["whitespace_only", "text"].samples == (5,) and found["observation_after_outcome_end", None].samples == ()
+    assert [f.severity for f in out.findings] == sorted((f.severity for f in out.findings), key=["error", "warning", "info"].index)
+    assert out.links[found["range_violation", "a"].finding_key] == ("rules", "range_violation", "a") and len(out.links) == len(out.findings)
+    assert out.findings_table(spark).count() == len(out.findings)
+    assert {f.reason for f in g.audit_data_quality(df.limit(0)).findings} == {"empty_dataset"}
+    # values of rules stay out of the fingerprint, their number and types do not
+    same = g.audit_data_quality(df, config=g.AuditConfig(rules=(g.ColumnAuditRule("text", allowed=("z",)),))).config_fingerprint
+    assert same == g.audit_data_quality(df, config=g.AuditConfig(rules=(g.ColumnAuditRule("text", allowed=("k",)),))).config_fingerprint
+
+
 def test_streaming_machine_equals_batch(spark, tmp_path):
     schema = "entity string, at timestamp, rule_key string, truth boolean, persistence int, resolution int, cooldown long"
     start = dt.datetime(2024, 1, 1)
