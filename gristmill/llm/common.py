@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to Python.  Texts can be long, so batches are short.
-BATCH_ROWS = 1024
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 #: Rows (8 to 40 bytes each) that a join may broadcast; above it the join shuffles.  Results are the same.
@@ -69,11 +69,15 @@ def discard(df: DataFrame | None) -> None:
         fs.delete(target, True)
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Hold Arrow batches to ``rows`` rows, so that a batch of long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Hold Arrow batches to ``rows`` rows and ``size`` bytes, so that a batch of long texts fits a Python worker.
+
+    The limits are the session's, as plans read them when they run; a smaller one that is set stays.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        held = (spark.conf.get(key) or "").rstrip("bB")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
