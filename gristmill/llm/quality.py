@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .common import logistic, short_batches, training_sample
 
-#: Bounds of the fit: labelled rows, and lines of one of them (a window in its middle).
-SAMPLE_ROWS, SAMPLE_LINES = 3000, 64
+#: Bound of the fit: labelled rows, with all of their lines.
+SAMPLE_ROWS = 3000
 THRESHOLD = 0.5
 _LETTER, _UPPER, _DIGIT, _SPACE, _STOP, _BANG, _BAR, _SIGN = range(8)
 _CLASSES = np.array(
@@ -168,11 +168,12 @@ def _logit(q: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from at most about ``sample_rows`` labelled rows outside the held-out fold.
 
-    A longer document gives ``sample_lines`` lines from its middle.  Without rows of both classes
-    every document scores the one class there is, or one when there is none.
+    All lines of such a row are learnt from; the driver holds their features, 156 bytes a line.
+    Without rows of both classes every document scores the one class there is, or one when there is
+    none.
     """
     chosen = training_sample(labels, id_column, label, sample_rows, "quality")
 
@@ -182,10 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
                 continue
             x, _, per = line_features(batch.column(0).to_pylist())
             at = np.cumsum(per) - per
-            out = []
-            for a, n in zip(at.tolist(), per.tolist(), strict=True):
-                skip = max(0, n - sample_lines) // 2
-                out.append(x[a + skip : a + skip + min(n, sample_lines)].astype("<f4").tobytes())
+            out = [x[a : a + n].astype("<f4").tobytes() for a, n in zip(at.tolist(), per.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["x", "y"])
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")
@@ -210,12 +208,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 def quality(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", lines: bool = False) -> DataFrame:
     """One row per input row: id, score, and with ``lines`` the marginal of good for every line.
 
-    Null texts count as empty, one empty line.  Equal texts score alike.  Narrow: no shuffle.
+    Null texts count as empty, one empty line.  Equal texts score alike, repeated rows each by
+    themselves; null ids are kept; a long text is read with all its lines; an empty table gives no
+    rows.  Columns other than id and text are not read.  Narrow: no shuffle.
     """
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    fields = [T.StructField(id_column, docs.schema[id_column].dataType), T.StructField("score", T.DoubleType())]
+    fields = [T.StructField("id", docs.schema[id_column].dataType), T.StructField("score", T.DoubleType())]
     if lines:
         fields.append(T.StructField("line_marginals", T.ArrayType(T.DoubleType())))
 
@@ -231,11 +231,16 @@ def quality(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(p)))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(F.col(id_column), F.col(text_column).cast("string")).mapInArrow(run, T.StructType(fields))
+    scored = docs.select(F.col(id_column), F.col(text_column).cast("string")).toDF("id", "text").mapInArrow(run, T.StructType(fields))
+    return scored.withColumnRenamed("id", id_column)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, columns unchanged; one narrow pass after the fit."""
+    """The rows of ``docs`` that the classifier accepts, columns unchanged; one narrow pass after the fit.
+
+    Null and empty texts are one empty line and go or stay by its score; repeated rows go or stay
+    together; an empty table gives no rows; without labels every row stays.
+    """
     spark = docs.sparkSession
     short_batches(spark)
     shared = spark.sparkContext.broadcast(fit(docs, labels, id_column, text_column))
