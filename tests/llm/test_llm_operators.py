@@ -177,6 +177,85 @@ def test_line_dedup_sketch_band_and_odd_rows(spark, odd):
     assert line_dedup.remove_spread_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_with_many_lines_null_ids_and_clashing_names(spark):
+    many = "\n".join(f"line {i % 50_000}" if i % 2 else f"own {i}" for i in range(100_000))
+    rows = [(1, many, "a", "x"), (None, "5\nfoot", "b", "x"), (5, None, "c", "x"), (None, "5", "c", "x"), (5, "foot \n 5", "d", "x"), (5, "foot \n 5", "d", "x")]
+    rows += [(100 + i, "line 1\nline 3\nfoot", f"s{i}", "x") for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, clean_text string")
+    out = line_dedup.remove_spread_lines(frame).collect()
+    by = {(r["doc_id"], r["source"]): r for r in out}
+    assert len(out) == len(rows) and by[1, "a"]["n_lines"] == 100_000 and by[1, "a"]["n_removed"] == 4
+    assert by[1, "a"]["clean_text"] == "\n".join(x for x in many.split("\n") if x not in ("line 1", "line 3"))
+    assert by[None, "b"]["clean_text"] == "5" and by[5, "c"]["clean_text"] == "" and by[None, "c"]["clean_text"] == "5"
+    assert [r["clean_text"] for r in out if r["source"] == "d"] == [" 5", " 5"]
+    assert {r["clean_text"] for r in out if (r["doc_id"] or 0) >= 100} == {""}
+
+
+def brute_leaves(text):
+    """The leaf law by one look at a time."""
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while True:
+            if end == len(text):
+                break
+            c = text[end]
+            if c == "\n":
+                end += 1
+                break
+            if c in ".,;:!?。，；：！？、" or (c in "dnst" and end + 1 < len(text) and text[end + 1].isspace()):
+                while c in ".,;:!?。，；：！？、" and end < len(text) and text[end] in ".,;:!?。，；：！？、":
+                    end += 1
+                if c in "dnst":
+                    end += 1
+                while end < len(text) and text[end].isspace() and text[end] != "\n":
+                    end += 1
+                if end < len(text) and text[end] == "\n":
+                    end += 1
+                break
+            if end - at == merkle.LEAF_CHARS:
+                break
+            end += 1
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def brute_tree(text):
+    """(root, [(section digest, [(paragraph digest, [(leaf, weight)])])]) from the definition."""
+    paragraphs, own = [], []
+    for leaf in brute_leaves(text):
+        own.append(leaf)
+        if leaf.endswith("\n"):
+            paragraphs.append(own)
+            own = []
+    paragraphs += [own] if own else []
+    sections, open_ = [], []
+    for p in paragraphs:
+        digests = [xxhash.xxh3_128_digest(x.encode()) for x in p]
+        node = hashlib.sha256(b"".join(digests)).digest()
+        open_.append((node, [(d.hex()[:6], min(35, 1 + len(x) // 4)) for d, x in zip(digests, p, strict=True)]))
+        if p[-1].isspace() and p[-1].endswith("\n") or p[-1].endswith("\n") and node[0] % 8 == 0:
+            sections.append(open_)
+            open_ = []
+    sections += [open_] if open_ else []
+    nodes = [hashlib.sha256(b"".join(d for d, _ in s)).digest() for s in sections]
+    return hashlib.sha256(b"".join(nodes)).hexdigest()[:32], [(n.hex()[:16], [(d.hex()[:16], x) for d, x in s]) for n, s in zip(nodes, sections, strict=True)]
+
+
+def brute_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    bags = [defaultdict(int), defaultdict(int)]
+    for bag, t in zip(bags, (a, b), strict=True):
+        for _, paragraphs in t[1]:
+            for _, found in paragraphs:
+                for x in found:
+                    bag[x] += 1
+    whole = max(sum(x[1] * n for x, n in bag.items()) for bag in bags)
+    return sum(min(n, bags[1][x]) * x[1] for x, n in bags[0].items()) / whole if whole else 1.0
+
+
 def test_document_fingerprints_equal_brute_force(spark, sf_dir, texts):
     order = sorted(texts, reverse=True)
     rows = {r["doc_id"]: r for r in queries.op3_document_fingerprints(spark, sf_dir).collect()}
@@ -189,21 +268,35 @@ def test_document_fingerprints_equal_brute_force(spark, sf_dir, texts):
         r = rows[a]
         assert r["n_chars"] == len(text)
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["fingerprint"] == merkle.render(merkle.tree(text)) and r["edited_fingerprint"] == merkle.render(merkle.tree(edited))
-        assert r["near_edited"] == merkle.likeness(merkle.parse(r["fingerprint"]), merkle.parse(r["edited_fingerprint"]))
-        assert r["near_next"] == merkle.likeness(merkle.parse(r["fingerprint"]), merkle.parse(rows[b]["fingerprint"]))
+        own, changed, other = brute_tree(text), brute_tree(edited), brute_tree(following)
+        for name, t in (("fingerprint", own), ("edited_fingerprint", changed)):
+            parsed = merkle.parse(r[name])
+            assert (parsed.root, [(s.digest, [(p.digest, p.leaves) for p in s.paragraphs]) for s in parsed.sections]) == t
+        assert np.isclose(r["near_edited"], brute_likeness(own, changed)) and np.isclose(r["near_next"], brute_likeness(own, other))
+        assert (r["n_edits"] == 0) == (own[0] == changed[0])
         better += r["near_edited"] > r["near_next"]
     assert better >= 0.97 * len(texts)
 
 
 def test_merkle_covers_and_locates(odd):
-    for text in ["", "x", LONG, "a\n\nb\n", "no stops " * 500, "Ünï 漢字。次の文。\n", "\n\n\n", "!" * 1000]:
-        assert "".join(merkle._leaves(text)) == text
+    strange = ["", "x", LONG, "a\n\nb\n", "no stops " * 500, "Ünï 漢字。次の文。\n", "\n\n\n", "!" * 1000, "漢" * 500, " \t " * 100, "a\r\nb\x0b\x0cc d ", "sand. \n", "at\nand \n\n"]
+    for text in strange:
+        assert "".join(merkle.leaves(text)) == text and merkle.leaves(text) == brute_leaves(text)
+        assert merkle.parse(merkle.render(merkle.tree(text))) == merkle.tree(text)
+    # one law for the whole text: what a text begins with is cut as what it ends with
+    assert merkle.leaves("one and two. " * 40) == ["one and ", "two. "] * 40
     a = "\n".join(f"Paragraph {i} has its own words, number {i * i}." for i in range(60))
     b = a.replace("number 900.", "number none.")
     x, y = merkle.tree(a), merkle.tree(b)
-    assert x.root != y.root and len(merkle.differing(x, y)) == 1 and merkle.likeness(x, y) > 0.95
-    assert merkle.parse(merkle.render(x)) == x
+    found = merkle.differing(x, y)
+    assert x.root != y.root and len(found) == 1 and 0.95 < merkle.likeness(x, y) < 1
+    e = found[0]
+    place = [p for s in x.sections for p in s.paragraphs].index(x.sections[e.section].paragraphs[e.paragraph])
+    assert place == 30 and "".join(merkle.leaves(a.split("\n")[30] + "\n")[e.first : e.last]) == "number 900.\n"
+    assert merkle.differing(x, x) == [] and len(merkle.differing(y, x)) == 1
+    # the same leaves in another order are an edit too
+    p, q = merkle.tree("one, two, three.\n"), merkle.tree("two, one, three.\n")
+    assert merkle.likeness(p, q) == 1.0 and merkle.differing(p, q) == [merkle.Edit(0, 0, 0, 3)]
     rows = merkle.edit_probe(odd).collect()
     assert len(rows) == len(ODD)
     same = [r["fingerprint"] for r in rows if r["doc_id"] == 4 and r["n_chars"] == 7]
