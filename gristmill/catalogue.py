@@ -496,9 +496,9 @@ def risk_ranking_metrics(spark, sf_dir):
     return rounded(metrics.ranking_metrics(scored_rows(spark, sf_dir)), 6)
 
 
-@query(f"WITH {_CURVE} SELECT fold, p AS threshold, round(fp / tneg, 6) AS fpr, round(tp / tpos, 6) AS tpr FROM u")
+@query(f"WITH {_CURVE} SELECT fold, p AS threshold, round(fp / tneg, 6) AS fpr, round(tp / tpos, 6) AS tpr FROM u UNION ALL SELECT DISTINCT fold, 'infinity'::DOUBLE, 0.0, 0.0 FROM u")
 def risk_roc_curve(spark, sf_dir):
-    return rounded(metrics.roc_curve(scored_rows(spark, sf_dir)), 6).where("threshold < double('infinity')")
+    return metrics.roc_curve(scored_rows(spark, sf_dir)).select("fold", "threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 
 @query(f"SELECT fold, count(*) AS n, round(avg((p - y) * (p - y)), 6) AS brier_score, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS log_loss FROM (SELECT *, least(greatest(p, 1e-15), 1 - 1e-15) AS q FROM {_SCORED}) GROUP BY fold")
@@ -1188,6 +1188,26 @@ def governance_auc_stability(spark, sf_dir):
     return rounded(governance.auc_stability(*_periods(spark, sf_dir), F.col("y"), F.col("p")), 6)
 
 
+@query(f"""WITH b AS (SELECT CASE WHEN fold IN ('0', '1') THEN 'reference' ELSE 'current' END AS period, (p - y) * (p - y) AS e FROM {_SCORED}), m AS (SELECT period, count(*) AS n, avg(e) AS s FROM b GROUP BY 1)
+SELECT period, n, round(s, 6) AS brier_score, round(s - (SELECT s FROM m WHERE period = 'reference'), 6) AS change, round((SELECT stddev_pop(e) / sqrt(count(*)) FROM b WHERE period = 'reference'), 8) AS deviation FROM m""")
+def governance_brier_stability(spark, sf_dir):
+    periods = _periods(spark, sf_dir)
+    out = governance.stability(*periods, F.col("y"), F.col("p")).crossJoin(governance.brier_deviation(periods[0], F.col("y"), F.col("p")).select("deviation"))
+    return out.select("period", "n", F.round("brier_score", 6).alias("brier_score"), F.round("change", 6).alias("change"), F.round("deviation", 8).alias("deviation"))
+
+
+@query(
+    f"""WITH m AS (SELECT fold, count(*) AS n, avg((p - y) * (p - y)) AS brier_score FROM {_SCORED} GROUP BY fold)
+SELECT 0 AS ordinal, 'champion' AS model, 1::BIGINT AS matches, round(brier_score, 6) AS value, n AS support, 'available' AS status, 'computed' AS reason FROM m WHERE fold = '0' UNION ALL SELECT 1, 'challenger', 1, round(brier_score, 6), n, 'available', 'computed' FROM m WHERE fold = '1'
+UNION ALL SELECT 2, 'champion', 0, NULL, NULL, 'not_verifiable', 'source_not_found' UNION ALL SELECT 3, 'challenger', count(*), NULL, max(n), 'not_verifiable', 'source_not_unique' FROM m"""
+)
+def governance_evidence_resolution(spark, sf_dir):
+    table_ = metrics.probability_metrics(scored_rows(spark, sf_dir)).withColumn("kind", F.lit("fold"))
+    ref = lambda model, metric, *where: governance.EvidenceRef(model, metric, "metrics", where, "brier_score", support_column="n")
+    refs = [ref("champion", "brier", ("fold", "0"), ("kind", "fold")), ref("challenger", "brier", ("fold", "1")), ref("champion", "other", ("fold", "none")), ref("challenger", "other", ("kind", "fold"))]
+    return rounded(governance.resolve(refs, {"metrics": table_}).select("ordinal", "model", "matches", "value", "support", "status", "reason"), 6)
+
+
 def _evidence(spark, sf_dir):
     df = scored_lines(spark, sf_dir)
     out = None

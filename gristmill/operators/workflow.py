@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric
 from ..sources.report import ReportArtifact, write_report
@@ -87,7 +88,8 @@ def generate_analysis_report(run: AnalysisRun, output_path: str, *, title: str =
     sections["Feature suggestions"] = features.suggestion_table(run.data, run.feature_suggestions)
     if run.evaluation:
         sections["Model"] = run.evaluation.metrics
-    return write_report(sections, output_path, title=title, format=format, overwrite=overwrite)
+    figures = {f"{i:02d}-{p.chart_type}-{p.source}": p.data for i, p in enumerate(run.plots)}
+    return write_report(sections, output_path, title=title, format=format, overwrite=overwrite, assets=figures)
 
 
 @dataclass(frozen=True)
@@ -130,16 +132,48 @@ def run_risk_workflow(request: RiskRequest) -> RiskWorkflowResult:
     return RiskWorkflowResult(audited, scored, decided, monitored, governed, {k: "completed" if v is not None else "not_requested" for k, v in parts.items()})
 
 
-def generate_risk_report(result: RiskWorkflowResult, output_path: str, *, title: str = "Risk report", format: str = "markdown", overwrite: bool = True) -> ReportArtifact:
-    sections: dict[str, object] = {"Paths": ", ".join(f"{k}: {v}" for k, v in result.path_status.items())}
-    if result.audit:
-        sections |= {"Audit findings": "\n".join(f"{f.severity}: {f.reason} {f.column or ''} ({f.count})" for f in result.audit.findings) or "none", "Audited columns": result.audit.columns}
-    if result.score_validation:
-        sections |= {"Score metrics": result.score_validation.metrics, "Thresholds": result.score_validation.thresholds, "Gains": result.score_validation.gains, "Calibration": result.score_validation.calibration}
+#: Sections of the report, always all of them and in this order.
+RISK_SECTIONS = ("Run", "Paths", "Score validation", "Data audit", "Decision strategy", "Lifecycle monitoring", "Governance", "Across paths", "Reasons", "Stability", "Warnings", "Provenance")
+
+
+def _reasons(result: RiskWorkflowResult) -> DataFrame | None:
+    """How many measures of each table have no value, and why."""
+    tables = []
     if result.strategy:
-        sections |= {"Actions": result.strategy.action_summary, "Rules": result.strategy.rule_summary}
+        tables += [("rules", result.strategy.rule_summary), ("actions", result.strategy.action_summary), ("roles", result.strategy.business_summary)]
     if result.lifecycle:
-        sections |= {"Monitoring": result.lifecycle.monitoring_summary, "Episodes": result.lifecycle.episode_summary}
-    if result.governance:
-        sections |= {"Comparison": result.governance.comparison, "Recommendation": result.governance.recommendation}
-    return write_report(sections, output_path, title=title, format=format, overwrite=overwrite)
+        tables += [("warnings", result.lifecycle.warning_metrics), ("events", result.lifecycle.event_metrics), ("losses", result.lifecycle.loss_metrics)]
+    out = None
+    for name, table in tables:
+        part = table.where("status <> 'available'").groupBy("status", "reason").agg(F.count(F.lit(1)).alias("measures")).select(F.lit(name).alias("table"), "status", "reason", "measures")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def generate_risk_report(result: RiskWorkflowResult, output_path: str, *, title: str = "Risk report", format: str = "markdown", overwrite: bool = True) -> ReportArtifact:
+    """Twelve sections in a fixed order; a path that did not run says so.  Figures are their data, written beside the report."""
+    score, audited, decided, watched, governed = result.score_validation, result.audit, result.strategy, result.lifecycle, result.governance
+    absent = "not requested"
+    small_note = lambda items: "\n".join(items) or "none"
+    across = [f"{k}: {v}" for k, v in result.path_status.items() if v == "completed"]
+    warnings = [f"{f.severity}: {f.reason} {f.column or ''} ({f.count})" for f in audited.findings if f.severity != "info"] if audited else []
+    warnings += [f"score validation: {x}" for x in score.limitations] if score else []
+    content: dict[str, dict[str, object]] = {
+        "Run": {"": f"{len(across)} of {len(result.path_status)} paths completed"},
+        "Paths": {"": ", ".join(f"{k}: {v}" for k, v in result.path_status.items())},
+        "Score validation": {"Metrics": score.metrics, "Thresholds": score.thresholds, "Gains": score.gains, "Calibration": score.calibration} if score else {"": absent},
+        "Data audit": {"Findings": small_note([f"{f.severity}: {f.reason} {f.column or ''} ({f.count})" for f in audited.findings]), "Columns": audited.columns} if audited else {"": absent},
+        "Decision strategy": {"Actions": decided.action_summary, "Rules": decided.rule_summary, "Roles": decided.business_summary} | ({"Constraints": decided.constraints} if decided.constraints is not None else {}) if decided else {"": absent},
+        "Lifecycle monitoring": {"Warnings": watched.warning_metrics, "Events": watched.event_metrics, "Losses": watched.loss_metrics, "Episodes": watched.episode_summary} if watched else {"": absent},
+        "Governance": {"Comparison": governed.comparison, "Recommendation": governed.recommendation} if governed else {"": absent},
+        "Across paths": {"": small_note(across)},
+        "Reasons": {"": _reasons(result) if decided or watched else absent},
+        "Stability": {"Folds": score.fold_summary} if score else {"Scenarios": watched.scenario_comparison} if watched else {"": absent},
+        "Warnings": {"": small_note(warnings)},
+        "Provenance": {"": small_note([f"audit {audited.config_fingerprint}"] if audited else [])},
+    }
+    figures = {}
+    if score:
+        figures = {"calibration": score.calibration, "gains": score.gains, "thresholds": score.thresholds}
+    sections = {(f"{name}: {part}" if part else name): x for name in RISK_SECTIONS for part, x in content[name].items()}
+    return write_report(sections, output_path, title=title, format=format, overwrite=overwrite, assets=figures)

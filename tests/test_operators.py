@@ -330,6 +330,42 @@ def test_governance(spark):
         governance.GovernancePolicy("a", "a", (c("one", "roc_auc"),))
 
 
+def test_governance_compares_what_is_proved(spark):
+    now, later = dt.datetime(2024, 5, 1), dt.datetime(2024, 7, 1)
+    table = spark.createDataFrame([("a", "auc", 0.7, "available", 50), ("b", "auc", 0.8, "available", 50), ("a", "odd", float("nan"), "available", 5), ("b", "odd", None, "undefined", 0), ("a", "two", 1.0, "available", 1), ("a", "two", 2.0, "available", 1)], "model string, metric string, value double, status string, n int")
+
+    def ref(model, metric="auc", **more):
+        return governance.EvidenceRef(model, metric, "t", (("model", model), ("metric", metric)), status_column="status", support_column="n", **({"as_of": now, "snapshot": "s1", "entities": "e"} | more))
+
+    got = {(r["model"], r["metric"]): (r["value"], r["support"], r["reason"]) for r in governance.resolve([ref("a"), ref("b"), ref("a", "odd"), ref("b", "odd"), ref("a", "two"), ref("b", "none")], {"t": table}).collect()}
+    assert got == {("a", "auc"): (0.7, 50, "computed"), ("b", "auc"): (0.8, 50, "computed"), ("a", "odd"): (None, 5, "invalid_owner_value"), ("b", "odd"): (None, 0, "undefined"), ("a", "two"): (None, 1, "source_not_unique"), ("b", "none"): (None, None, "source_not_found")}
+    policy = governance.GovernancePolicy("a", "b", (governance.Criterion("c", "auc", "higher"),), dt.datetime(2024, 6, 1), True, True)
+    said = lambda *refs: governance.compare(governance.resolve(refs, {"t": table}), policy).first()
+    assert said(ref("a"), ref("b"))["winner"] == "challenger"
+    for refs, reason in (((ref("a"), ref("b", as_of=later)), "time_unverified"), ((ref("a"), ref("b", as_of=None)), "time_unverified"), ((ref("a"), ref("b", snapshot="s2")), "snapshot_unverified"), ((ref("a"), ref("b", entities=None)), "alignment_unverified")):
+        row = said(*refs)
+        assert row["reason"] == reason and row["winner"] is None and row["challenger_value"] == 0.8
+    for bad in ([governance.EvidenceRef("a", "auc", "t", ())], [governance.EvidenceRef("a", "auc", "t", (("nope", 1),))], [governance.EvidenceRef("a", "auc", "other", (("model", "a"),))]):
+        with pytest.raises(ValueError):
+            governance.resolve(bad, {"t": table})
+    rows = spark.createDataFrame([(i % 2, (i % 10) / 10 + 0.05, i < 60) for i in range(100)], "y int, p double, early boolean")
+    fact = governance.Declared
+    facts = [fact("a", "attribution", "income", 0.4), fact("b", "attribution", "income", 0.1), fact("a", "explanation", "income", text="more is safer"), fact("b", "metadata", "owner", text="team", as_of=now)]
+    out = governance.evaluate_governance(policy, refs=[ref("a"), ref("b")], tables={"t": table}, periods=(rows.where("early"), rows.where("not early")), label=F.col("y"), probability="p", facts=facts)
+    assert out.recommendation.first()["recommendation"] == "promote_challenger" and out.candidates.count() == 2 and out.provenance.count() == 3
+    assert out.attributions.count() == 2 and out.explanations.count() == 1 and out.metadata.first()["text"] == "team"
+    drift = out.drift.first()
+    assert drift["total_variation"] == pytest.approx(0.0, abs=1e-9) and drift["deviation"] > 0 and out.stability.count() == 2
+    errors = [(y - p) ** 2 for y, p, early in [(i % 2, (i % 10) / 10 + 0.05, i < 60) for i in range(100)] if early]
+    mean = sum(errors) / 60
+    assert out.stability.first()["deviation"] == pytest.approx((sum((e - mean) ** 2 for e in errors) / 60) ** 0.5 / 60**0.5)
+    for wrong in ([fact("c", "metadata", "x", text="t")], [fact("a", "attribution", "x")], [fact("a", "metadata", "x", text="t"), fact("a", "metadata", "x", text="u")], [fact("a", "metadata", "x", text="t", as_of=later)], [fact("a", "metadata", "x", float("inf"))]):
+        with pytest.raises(ValueError):
+            governance.evaluate_governance(policy, refs=[ref("a")], tables={"t": table}, facts=wrong)
+    with pytest.raises(ValueError):
+        governance.evaluate_governance(policy)
+
+
 def test_models_predict_held_out_rows(spark):
     rng = random.Random(8)
     rows = [(i, x, "uv"[i % 2], int(x + rng.gauss(0, 0.3) > 0), 3 * x + (i % 2)) for i in range(400) for x in [rng.uniform(-2, 2)]]

@@ -2,13 +2,17 @@
 
 import datetime as dt
 import json
+import os
+import re
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import gristmill as g
 from gristmill.cli import main
+from gristmill.operators.workflow import RISK_SECTIONS
 from gristmill.sources.documents import DocumentError, parse
 from gristmill.sources.report import write_report
 from gristmill.streaming import monitor
@@ -129,7 +133,9 @@ def test_reports_and_command_line(spark, tmp_path, capsys):
     assert "## Correlations" in text and "## Target" in text
     (tmp_path / "p.json").write_text(json.dumps(POLICY | {"rules": [POLICY["rules"][0] | {"condition": ATOM | {"left": "value", "right": 2.0}}]}))
     assert main(["risk-run", str(tmp_path / "c.csv"), "-o", str(tmp_path / "risk.html"), "--format", "html", "--policy-json", str(tmp_path / "p.json"), "--audit", "--label", "label", "--score", "value"], spark) == 0
-    assert "<h2>Actions</h2>" in (tmp_path / "risk.html").read_text()
+    headings = re.findall("<h2>(.*?)</h2>", (tmp_path / "risk.html").read_text())
+    assert list(dict.fromkeys(h.split(":")[0] for h in headings))[:12] == list(RISK_SECTIONS) and "Decision strategy: Actions" in headings
+    assert (tmp_path / "risk_assets/calibration.csv").read_text().startswith("fold,bin,") and any((tmp_path / "out/report_assets").iterdir())
     assert main(["analyze", str(tmp_path / "c.txt"), "-o", str(tmp_path / "x.md")], spark) == 1
     (tmp_path / "bad.json").write_text("{")
     risk = ["risk-run", str(tmp_path / "c.csv"), "-o", str(tmp_path / "risk2.html"), "--format", "html"]
@@ -145,6 +151,22 @@ def test_reports_and_command_line(spark, tmp_path, capsys):
         write_report({}, tmp_path / "a.md", format="html")
     with pytest.raises(FileExistsError):
         write_report({}, tmp_path / "risk.html", format="html", overwrite=False)
+    # what was there comes back when the second swap fails
+    before, renamed = (tmp_path / "risk.html").read_text(), os.rename
+    figure = spark.createDataFrame([(1, 'a "quoted", text')], "x int, t string")
+
+    def fails(a, b):
+        if Path(b).name == "risk_assets" and Path(a).name == "assets":
+            raise OSError("no space")
+        renamed(a, b)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(os, "rename", fails)
+        with pytest.raises(OSError):
+            write_report({"New": "x"}, tmp_path / "risk.html", format="html", assets={"f": figure})
+    assert (tmp_path / "risk.html").read_text() == before and (tmp_path / "risk_assets/calibration.csv").exists() and not list(tmp_path.glob(".report-*"))
+    write_report({"New": "x"}, tmp_path / "risk.html", format="html", assets={"f": figure})
+    assert sorted(x.name for x in (tmp_path / "risk_assets").iterdir()) == ["f.csv"] and '"a ""quoted"", text"' in (tmp_path / "risk_assets/f.csv").read_text()
 
 
 def test_audit(spark):
@@ -161,7 +183,7 @@ def test_audit_raises_every_finding(spark):
     day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
     rows = []
     for i in range(80):
-        rows.append((i, f"e{i // 2}", f"g{i // 3}" if i < 78 else f"only{i}", "test" if i % 4 == 0 else "train", i % 5, i % 2 if i % 9 else None, float(i), 2.0 * i, -1.0 if i == 3 else 0.5, 1.5 if i == 4 else 0.5, "  " if i == 5 else "k", None if i % 2 else "v", float("inf") if i == 6 else 1.0, day(i // 2), day(2 if i == 7 else i // 2 + 1), day(60), day(i // 2 + (2 if i == 8 else 0)), i % 2))
+        rows.append((i, f"e{i // 2}", f"g{i // 3}" if i < 78 else f"only{i}", "test" if i % 4 == 0 else "train", i % 5, i % 2 if i % 9 and i % 8 else None, float(i), 2.0 * i, -1.0 if i == 3 else 0.5, 1.5 if i == 4 else 0.5, "  " if i == 5 else "k", None if i % 2 else "v", float("inf") if i == 6 else 1.0, day(i // 2), day(2 if i == 7 else i // 2 + 1), day(60), day(i // 2 + (2 if i == 8 else 0)), i % 2))
     names = "key long, entity string, grp string, part string, fold int, y int, a double, b double, exposure double, score double, text string, half string, odd double, seen timestamp_ntz, ended timestamp_ntz, as_of timestamp_ntz, known timestamp_ntz, same int"
     df = spark.createDataFrame(rows, names)
     roles = g.AuditRoles(
@@ -181,7 +203,7 @@ def test_audit_raises_every_finding(spark):
     assert not [x for x in expected.items() if x not in found]
     assert any(f.reason == "target_distribution_shift" for f in out.findings) and any(f.reason == "selection_outcome_support_gap" for f in out.findings)
     assert found["range_violation", "a"].severity == "error" and found["whitespace_only", "text"].severity == "info" and found["nonfinite_values", "odd"].severity == "warning"
-    assert found["feature_after_observation", "a"].samples == (8,) and found["whitespace_only", "text"].samples == (5,) and found["observation_after_outcome_end", None].samples == ()
+    assert found["feature_after_observation", "a"].samples == (8,) and found["whitespace_only", "text"].samples == (5,) and found["observation_after_outcome_end", None].samples == (7,)
     assert [f.severity for f in out.findings] == sorted((f.severity for f in out.findings), key=["error", "warning", "info"].index)
     assert out.links[found["range_violation", "a"].finding_key] == ("rules", "range_violation", "a") and len(out.links) == len(out.findings)
     assert out.findings_table(spark).count() == len(out.findings)
