@@ -281,19 +281,33 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of ``docs`` for each group of linked texts, columns unchanged.
 
-    The row with the smallest id stays, then the one with the smallest hash of its text, then of
-    all its columns; rows without an id come last.  Repeated ids with unlike texts are rows of
-    their own.
+    The row with the smallest id stays, then the one with the smallest hash of its text, then of all
+    its columns; rows without an id come last.  Repeated ids with unlike texts are rows of their own;
+    null, empty and wordless texts are one group; of rows repeated in full one stays.  An empty table
+    gives no rows.  Columns may have any names.
+
+    Rows are known by two 64-bit hashes, of the text and of the whole row.  What goes is broadcast up
+    to a checked number of rows, and texts then stay where they are read; beyond it they are
+    exchanged by these hashes.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # a hash passes over nulls, so where they are is hashed too
     whole = F.xxhash64(*[x for c in columns for x in (c, c.isNull())])
-    keyed = docs.withColumn("_gm_text", F.xxhash64(F.col(text_column).cast("string"))).withColumn("_gm_whole", whole)
-    row = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "_gm_text", "_gm_whole")
-    every = fingerprints(keyed.select(row.alias("row"), F.col(text_column).alias("text")), "row", "text")
+    key = ["_gm_text", "_gm_whole"]
+    keyed = docs.withColumn("_gm_text", F.xxhash64(F.col(f"`{text_column}`").cast("string"))).withColumn("_gm_whole", whole)
+    identity = F.col(f"`{id_column}`")
+    row = F.struct(identity.isNull().alias("none"), identity.alias("id"), *key)
+    prints = fingerprints(keyed.select(row.alias("row"), F.col(f"`{text_column}`").alias("text")), "row", "text")
+    every = staged(prints.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("n")), "rows")
     classes = staged(every.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     joined = components(links(classes.select("fp")))
-    rooted = classes.join(joined, classes["fp"] == joined["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select("least._gm_text", "least._gm_whole")
-    key = ["_gm_text", "_gm_whole"]
-    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*columns)
+    rooted = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    named = every.join(rooted.join(best, "root").select("fp", "best"), "fp")
+    judged = named.select(F.col("id._gm_text").alias("_gm_text"), F.col("id._gm_whole").alias("_gm_whole"), F.col("id").eqNullSafe(F.col("best")).alias("stays"), "n")
+    gone = staged(judged.where("not stays").select(*key), "gone")
+    twins = staged(judged.where("stays and n > 1").select(*key), "twins")
+    known, double = bounded(gone), bounded(twins)
+    left = keyed.join(known, key, "left_anti")
+    single = left.join(double, key, "left_anti")
+    return single.unionByName(left.join(double, key, "left_semi").dropDuplicates(key)).select(*columns)
