@@ -121,6 +121,66 @@ def test_split_postings_and_star_steps_lose_nothing(spark):
     assert simhash.components(frame.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)).count() == 0
 
 
+def brute_wide(text, width=5):
+    """256 bits from four mixes of each shingle's hash, by Python's own integers."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if not words:
+        return 0
+    wrap = (1 << 64) - 1
+    total, n = [0] * 256, max(1, len(words) - width + 1)
+    for i in range(n):
+        h = xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), 42)
+        for k in range(4):
+            x = (h + (k + 1) * 0x9E3779B97F4A7C15) & wrap
+            x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & wrap
+            x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & wrap
+            x ^= x >> 31
+            for b in range(64):
+                total[64 * k + b] += x >> b & 1
+    return sum((t * 2 > n) << b for b, t in enumerate(total))
+
+
+def test_wide_links_are_those_of_brute_force(spark):
+    assert 40 <= simhash.radius(0.8) <= 50 and simhash.radius(1.0) == 0 and simhash.radius(0.9) < simhash.radius(0.8)
+    for text in (None, "", "one", "Ünï Two three four five six", "a b c d e f g " * 9):
+        assert int.from_bytes(simhash.wide_fingerprint(text), "little") == brute_wide(text)
+    rng = random.Random(6)
+    most, prints = simhash.radius(), set()
+    for _ in range(6):  # groups of near copies: up to 30 bits from their base, so up to 60 from each other
+        base = rng.getrandbits(256)
+        for _ in range(50):
+            prints.add(base ^ sum(1 << b for b in rng.sample(range(256), rng.randrange(31))))
+    prints |= {rng.getrandbits(256) for _ in range(300)}
+    owner = {p: p for p in prints}
+
+    def find(p):
+        while owner[p] != p:
+            p = owner[p]
+        return p
+
+    for a in prints:
+        for b in prints:
+            if a < b and (a ^ b).bit_count() <= most:
+                x, y = find(a), find(b)
+                owner[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame([(p.to_bytes(32, "little"),) for p in prints], "fp binary")
+    assert len(simhash.TRIPLES) == len({frozenset(t) for t in simhash.TRIPLES}) == 64
+    expected = sorted(sorted(q for q in prints if find(q) == p) for p in prints if find(p) == p)
+    for block in (7, 512):  # long postings are dealt out and their leaders meet again
+        edges = simhash.wide_links(frame, block=block).cache()
+        for r in edges.collect():
+            assert (int.from_bytes(r["u"], "little") ^ int.from_bytes(r["v"], "little")).bit_count() <= most and bytes(r["u"]) > bytes(r["v"])
+        for one_task in (0, 1 << 18):
+            found = {bytes(r["node"]): bytes(r["root"]) for r in simhash.components(edges, one_task).collect()}
+            groups = defaultdict(list)
+            for p in prints:
+                key = p.to_bytes(32, "little")
+                groups[found.get(key, key)].append(p)
+            assert sorted(map(sorted, groups.values())) == expected
+    assert simhash.wide_links(frame.limit(0)).count() == 0
+
+
 def test_every_choice_of_shared_bytes_meets_in_a_posting():
     for bits in (1, 2, 3):
         halves, whole = simhash.positions(bits)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gristmill.llm import decontaminate, mixing, quality, queries, sharding
-from test_llm_operators import ODD, SCHEMA, brute_components, brute_contamination, brute_fingerprint, check_shards
+from test_llm_operators import ODD, SCHEMA, brute_contamination, check_shards
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -26,9 +26,21 @@ def test_each_stage(spark, sf_dir, stages):
     raw = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     good = {r["doc_id"] for r in queries.op8_quality_classifier(spark, sf_dir).collect() if r["predicted"]}
     assert {r["doc_id"] for r in stages[0][2]} == good and 0 < len(good) < len(raw)
-    classes = brute_components({i: brute_fingerprint(raw[i]) for i in good})
-    unique = {i for i, c in classes.items() if i == c}
-    assert sorted(r["doc_id"] for r in stages[1][2]) == sorted(unique) and len(unique) < len(good)
+    grams = {}
+    for i in good:
+        words = raw[i].lower().split()
+        grams[i] = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    alike = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in good for b in good if a < b and not grams[a].isdisjoint(grams[b])}
+    unique = {r["doc_id"] for r in stages[1][2]}
+    assert len(unique) == len(stages[1][2]) < len(good)
+    owner = {i: i for i in good}
+    for (a, b), j in sorted(alike.items()):
+        if j >= 0.7:  # what a fingerprint may take for 0.8
+            x, y = owner[a], owner[b]
+            owner = {i: min(x, y) if o in (x, y) else o for i, o in owner.items()}
+    # one of each group stays, and of what is surely alike only one
+    assert {owner[i] for i in unique} == set(owner.values())
+    assert not [(a, b) for (a, b), j in alike.items() if j >= 0.85 and {a, b} <= unique] and {145, 177} & good and not {145, 177} & unique
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     found = {i: brute_contamination(raw[i], items) for i in unique}
     clean = {i for i, (n, hit, *_) in found.items() if not (hit >= 13 or hit and 20 * hit >= n)}
