@@ -501,6 +501,62 @@ def test_toxicity_scores_by_brute_force(spark):
         assert np.isclose(r["score"], 1 / (1 + np.exp(-np.clip(np.dot(model.weights, features), -30, 30))))
 
 
+def brute_line_features(line):
+    """A line's own features from its bytes, one definition each."""
+    raw = line.encode()
+    upper, digit, blank = (sum(b in range(*r) for b in raw) for r in ((65, 91), (48, 58), (0, 0)))
+    lower = sum(97 <= b <= 122 or b >= 128 for b in raw)
+    blank = sum(b in b" \t\r" for b in raw)
+    stop, bang, bar = sum(b in b".,;:'\"()-?" for b in raw), raw.count(b"!"), raw.count(b"|")
+    sign = len(raw) - upper - lower - digit - blank - stop - bang - bar
+    words = raw.split()
+    w, size = max(1, len(words)), max(1, len(raw))
+    again = (1 - len(set(words)) / w) * bool(words) * min(1, len(words) / 20)
+    same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / w
+    return [upper / max(1, upper + lower), digit / size, blank / size, stop / size, min(bang / w, 2), min(bar / w, 2), min(sign / w, 3), again, same, min(size / w, 30) / 10, np.log1p(len(raw)) / 5, float(not raw)]
+
+
+def brute_quality(text, model):
+    """Features by definition, every labelling enumerated, marginals weighed by length, then the curve."""
+    lines = (text or "").split("\n")
+    own = [brute_line_features(x) for x in lines]
+    none = [0.0] * len(own[0])
+    x = [o + (own[i - 1] if i else none) + (own[i + 1] if i + 1 < len(own) else none) + [float(i == 0), float(i + 1 == len(own)), 1.0] for i, o in enumerate(own)]
+    emission = [float(np.dot(f, model.weights)) for f in x]
+    good, total = [0.0] * len(lines), 0.0
+    for code in range(2 ** len(lines)):
+        y = [code >> k & 1 for k in range(len(lines))]
+        weight = np.exp(sum(e for e, v in zip(emission, y, strict=True) if v) + sum(model.transitions[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total += weight
+        for k, v in enumerate(y):
+            good[k] += weight * v
+    sizes = [max(1, len(x.encode())) for x in lines]
+    q = min(1 - 1e-4, max(1e-4, sum(g / total * n for g, n in zip(good, sizes, strict=True)) / sum(sizes)))
+    return 1 / (1 + np.exp(-(model.curve[0] * np.log(q / (1 - q)) + model.curve[1])))
+
+
+def test_quality_scores_by_brute_force(spark, docs, sf_dir):
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rng = random.Random(9)
+    made = ["", "One line, of plain words.", "AAA!!! BUY NOW | 100% | $$$\nfree free free free\n", "Ünïcode 漢字 (brackets) - \"quotes\"\n\n\n12 34\ttabs\r\nend", "word " * 30 + "\n" + "other words follow here\n" * 6]
+    made += ["\n".join(" ".join(rng.choice(["the", "A1", "x!", "|", "#", "line.", "é", "42"]) for _ in range(rng.randrange(0, 12))) for _ in range(rng.randrange(1, 9))) for _ in range(25)]
+    some = [r["text"] for r in docs.where("length(text) < 4000").orderBy("doc_id").limit(60).collect() if r["text"].count("\n") < 9]
+    frame = spark.createDataFrame(list(enumerate(made + some)), "doc_id long, text string")
+    scores = {r["doc_id"]: r["score"] for r in quality.quality(frame, model).collect()}
+    for i, text in enumerate(made + some):
+        assert np.isclose(scores[i], brute_quality(text, model), atol=1e-6), (i, text[:60])
+
+
+def test_quality_learns_from_every_line(spark):
+    """A labelled row's verdict may stand at its end, however long it is."""
+    good = [(i, "\n".join(["a plain line of words."] * 300), 1) for i in range(30)]
+    bad = [(100 + i, "\n".join(["a plain line of words."] * 150 + ["!!! $$$ ### |||"] * 150), 0) for i in range(30)]
+    docs = spark.createDataFrame([r[:2] for r in good + bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in good + bad], "doc_id long, quality int")
+    rows = quality.quality(docs, quality.fit(docs, labels)).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] < 100) for r in rows)
+
+
 def brute_contamination(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     own = split(text)
@@ -740,6 +796,34 @@ def check_shards(rows, shards, total, largest):
     assert sum(sizes) == total and max(abs(s - total / shards) for s in sizes) <= largest + 2 * max(1, 0.001 * total / shards)
 
 
+def test_shards_are_those_of_a_sorted_table(spark, sf_dir, texts):
+    """All rows in key order: shards are runs of it, slots are places in a run, boundaries are where sizes say."""
+
+    def key(i, text):
+        upper, lower = (xxhash.xxh64_intdigest(b, 42) >> 32 for b in (text.encode(), i.to_bytes(8, "little")))
+        return (upper << 32 | lower) - (1 << 64 if upper >> 31 else 0)
+
+    rows = {r["doc_id"]: r for r in queries.op10_sharding(spark, sf_dir).collect()}
+    order = sorted(texts, key=lambda i: (key(i, texts[i]), i))
+    sizes = {i: len(t.encode()) + 8 for i, t in texts.items()}
+    total, before, held = sum(sizes.values()), 0, -1
+    for i in order:
+        r = rows[i]
+        assert r["shard"] >= held
+        if r["shard"] > held:
+            for j in range(held + 1, r["shard"] + 1):
+                # the boundary of shard j: no row's end lies nearer to its place, beyond the tolerance
+                wanted = j * total / 24
+                ends = [0]
+                for k in order:
+                    ends.append(ends[-1] + sizes[k])
+                assert abs(before - wanted) <= min(abs(e - wanted) for e in ends) + sharding.TOLERANCE * total / 24 + 1
+            held, slot = r["shard"], 0
+        assert r["slot"] == slot and r["law"] == "bytes" and r["grown_shard"] is None
+        slot += 1
+        before += sizes[i]
+
+
 def test_sharding_law_and_slots(spark, sf_dir, texts, odd):
     rows = queries.op10_sharding(spark, sf_dir).collect()
     expected = {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts.items()}
