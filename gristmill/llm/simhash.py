@@ -17,6 +17,7 @@ written tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,43 +36,73 @@ BITS = 3
 MATRIX = 1024
 #: Up to so many edges (16 bytes each) one task joins components; beyond, star steps do.
 JOINED_EDGES = 1 << 18
+#: Words of a wide fingerprint, the similarity that it links at, and positions of its postings: three bytes
+#: each, every byte in six of them.
+WIDE, SIMILARITY = 4, 0.8
+TRIPLES = [tuple((i + x) % (8 * WIDE) for x in step) for i in range(8 * WIDE) for step in ((0, 1, 3), (0, 5, 12))]
+#: Members of a posting that are compared at once, and up to which it isn't dealt out.
+BLOCK = 512
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
-    """The unsigned SimHash of one text; zero without words."""
+def shingle_hashes(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the text's shingles, repeats included; of all words where there are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.empty_like(ends)
-        starts[0] = 0
-        starts[1:] = ends[:-1] + 1
-        last = len(words) - width + 1
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded scratch space for very long texts
-        part = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.empty_like(ends)
+    starts[0] = 0
+    starts[1:] = ends[:-1] + 1
+    last = len(words) - width + 1
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, last)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The bytes of the bits that are set in over half of the rows of ``hashes``, a table of uint64 words."""
+    counts = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 1 << 14):  # bounded scratch space for very long texts
+        part = np.ascontiguousarray(hashes[at : at + (1 << 14)]).view(np.uint8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.packbits(counts * 2 > len(hashes), bitorder="little")
+
 
+def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
+    """The unsigned SimHash of one text; zero without words."""
+    hashes = shingle_hashes(text, width, seed)
+    return int(_majority(hashes[:, None]).view("<u8")[0]) if len(hashes) else 0
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of every whole text as a signed long; null and wordless texts get zero."""
+
+def wide_fingerprint(text: str | None, width: int = 5, seed: int = SEED) -> bytes:
+    """A SimHash of ``WIDE`` words of 64 bits, mixed from each shingle's hash; zeros without words."""
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return bytes(8 * WIDE)
+    x = hashes[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return _majority(x ^ (x >> np.uint64(31))).tobytes()
+
+
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 3, wide: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of every whole text, a signed long or, ``wide``, bytes; null and wordless texts get zero."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t, width) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            texts = batch.column(1).to_pylist()
+            if wide:
+                found = pa.array([wide_fingerprint(t, width) for t in texts], pa.binary())
+            else:
+                found = pa.array(np.fromiter((fingerprint(t, width) for t in texts), np.uint64, batch.num_rows).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["id", "fp"])
 
     kind = docs.schema[id_column].dataType
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        run, T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())])
+        run, T.StructType([T.StructField("id", kind), T.StructField("fp", T.BinaryType() if wide else T.LongType())])
     )
 
 
@@ -215,10 +246,135 @@ def links(distinct: DataFrame, bits: int = BITS, most: int = MATRIX) -> DataFram
     return posted.repartition("p", "bytes").sortWithinPartitions("p", "bytes").mapInArrow(run, "u long, v long").distinct()
 
 
+def radius(similarity: float = SIMILARITY, bits: int = 64 * WIDE) -> int:
+    """Differing bits that texts of this Jaccard similarity have, and one standard deviation of the estimate more.
+
+    Of two sets alike in size, similarity s is the cosine 2 s / (1 + s), and a bit differs with the angle's share of pi.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+class _Posting:
+    """Links of one posting whose members come in blocks: what is kept of a block is a leader for each new class."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.leaders = np.empty((0, WIDE), np.uint64)
+
+    def add(self, block: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        known, points = len(self.leaders), np.concatenate([self.leaders, block])
+
+        def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for at in range(known, len(points), 64):  # leaders are not within reach of each other, or linked already
+                apart = np.bitwise_count(points[at : at + 64, None, :] ^ points[None]).sum(axis=2, dtype=np.int64)
+                i, j = np.nonzero(apart <= self.most)
+                i = i + at
+                yield i[i > j], j[i > j]
+
+        edges = _forest(len(points), close())
+        parent = list(range(len(points)))
+        for i, j in edges:
+            a, b = _root(parent, i), _root(parent, j)
+            parent[max(a, b)] = min(a, b)
+        fresh = [i for i in range(known, len(points)) if _root(parent, i) == i]
+        self.leaders = points[[*range(known), *fresh]]
+        return [(points[i], points[j]) for i, j in edges]
+
+
+def _posted_wide(distinct: DataFrame) -> DataFrame:
+    """(key, fp): each fingerprint under every triple of positions with the bytes there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 12):
+                prints = batch.column(0).slice(at, 1 << 12).to_pylist()
+                raw = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 8 * WIDE).astype(np.int64)
+                keys = np.stack([(n << 24) | (raw[:, a] << 16) | (raw[:, b] << 8) | raw[:, c] for n, (a, b, c) in enumerate(TRIPLES)], axis=1)
+                held = pa.array(prints, pa.binary()).take(pa.array(np.repeat(np.arange(len(prints)), len(TRIPLES))))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), held], names=["key", "fp"])
+
+    return distinct.select("fp").mapInArrow(run, "key long, fp binary")
+
+
+def _linked(posted: DataFrame, most: int, report: bool) -> DataFrame:
+    """(key, u, v): links by posting; with ``report`` its leaders too, with null v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: int | None = None
+        posting, waiting = _Posting(most), []
+        out: list[tuple[int, bytes, bytes | None]] = []
+
+        def step(last: bool) -> None:
+            nonlocal posting, waiting
+            if len(waiting) + len(posting.leaders) > 1 and waiting:
+                block = np.frombuffer(b"".join(waiting), np.uint64).reshape(-1, WIDE)
+                out.extend((key, max(a.tobytes(), b.tobytes()), min(a.tobytes(), b.tobytes())) for a, b in posting.add(block))
+            elif waiting:
+                posting.leaders = np.frombuffer(waiting[0], np.uint64).reshape(1, WIDE)
+            waiting = []
+            if last:
+                if report and key is not None:
+                    out.extend((key, x.tobytes(), None) for x in posting.leaders)
+                posting = _Posting(most)
+
+        def batch_of() -> pa.RecordBatch:
+            made = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(made, names=["key", "u", "v"])
+
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            cut = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]]).tolist() if len(keys) else []
+            prints = batch.column(1)
+            for a, b in zip(cut, cut[1:]):
+                if int(keys[a]) != key:
+                    if waiting or len(posting.leaders):
+                        step(True)
+                    key = int(keys[a])
+                if b - a == 1 and b < len(keys) and not waiting and not report:
+                    continue  # alone in its posting
+                for at in range(a, b, BLOCK):
+                    waiting += prints.slice(at, min(BLOCK, b - at)).to_pylist()
+                    if len(waiting) >= BLOCK:
+                        step(False)
+            if out:
+                yield batch_of()
+        if waiting or len(posting.leaders):
+            step(True)
+        if out:
+            yield batch_of()
+
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, u binary, v binary")
+
+
+def wide_links(distinct: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(u, v), u > v: links among the distinct wide fingerprints in column ``fp``, a spanning forest by posting.
+
+    At this radius no number of shared bytes is guaranteed, so the index is a filter with a chance: a
+    posting holds the fingerprints that share three positional bytes, and ``TRIPLES`` postings miss one
+    pair in four at similarity 0.8, one in ten at 0.85, one in a hundred at 0.9.  Verification is the
+    distance of whole fingerprints.  A posting over ``block`` members is dealt out over salted parts; the
+    parts' leaders, one a class, meet again.  A member is compared with its block and with all leaders.
+    """
+    most = radius(similarity)
+    posted = _posted_wide(distinct)
+    hot = staged(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).alias("parts")), "hot", files=16)
+    if not hot.limit(1).count():
+        return _linked(posted, most, False).select("u", "v").distinct()
+    known = bounded(hot)
+    cold = _linked(posted.join(known, "key", "left_anti"), most, False).select("u", "v")
+    dealt = posted.join(known, "key").select((F.col("key") + F.shiftleft(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("long"), 31)).alias("key"), "fp")
+    parts = staged(_linked(dealt, most, True), "parts")
+    leaders = parts.where("v is null").select(F.col("key").bitwiseAND(F.lit((1 << 31) - 1)).alias("key"), F.col("u").alias("fp"))
+    met = _linked(leaders, most, False).select("u", "v")
+    return cold.unionByName(parts.where("v is not null").select("u", "v")).unionByName(met).distinct()
+
+
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parent: dict[int, int] = {}
+    parent: dict = {}
 
-    def root(x: int) -> int:
+    def root(x):
         while (y := parent.setdefault(x, x)) != x:
             parent[x] = x = parent[y]
         return x
@@ -229,13 +385,14 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != b:
                 parent[max(a, b)] = min(a, b)
     rows = [(x, r) for x in list(parent) if (r := root(x)) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], names=["node", "root"])
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(2)], names=["node", "root"])
 
 
 def components(edges: DataFrame, one_task: int = JOINED_EDGES) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v) but the roots; the root is the least node.
 
-    Up to ``one_task`` edges, counted first, one task joins them.  Beyond, large-star and small-star
+    Nodes are of any ordered type.  Up to ``one_task`` edges, counted first, one task joins them.  Beyond, large-star and small-star
     steps work on grouped minima and equi-joins; a step's edges go to the shared folder, so a lost
     executor costs one step.  The result is the same.  Empty edges give an empty table.
     """
@@ -244,7 +401,8 @@ def components(edges: DataFrame, one_task: int = JOINED_EDGES) -> DataFrame:
     while True:
         seen = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if state is None and seen["n"] <= one_task:
-            return current.coalesce(1).mapInArrow(_joined, "node long, root long")
+            kind = current.schema["u"].dataType
+            return current.coalesce(1).mapInArrow(_joined, T.StructType([T.StructField("node", kind), T.StructField("root", kind)]))
         now = (seen["n"], seen["h"])
         if now == state:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -278,8 +436,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
-def keep_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of ``docs`` for each group of linked texts, columns unchanged.
+def keep_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each group of texts linked at ``similarity`` on shingles of ``width`` words, columns unchanged.
 
     The row with the smallest id stays, then the one with the smallest hash of its text, then of all
     its columns; rows without an id come last.  Repeated ids with unlike texts are rows of their own;
@@ -297,10 +455,10 @@ def keep_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     keyed = docs.withColumn("_gm_text", F.xxhash64(F.col(f"`{text_column}`").cast("string"))).withColumn("_gm_whole", whole)
     identity = F.col(f"`{id_column}`")
     row = F.struct(identity.isNull().alias("none"), identity.alias("id"), *key)
-    prints = fingerprints(keyed.select(row.alias("row"), F.col(f"`{text_column}`").alias("text")), "row", "text")
+    prints = fingerprints(keyed.select(row.alias("row"), F.col(f"`{text_column}`").alias("text")), "row", "text", width, wide=True)
     every = staged(prints.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("n")), "rows")
     classes = staged(every.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    joined = components(links(classes.select("fp")))
+    joined = components(wide_links(classes.select("fp"), similarity))
     rooted = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     named = every.join(rooted.join(best, "root").select("fp", "best"), "fp")
