@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import correlation, finite, infinite, is_categorical, is_datetime, is_floating, is_numeric, present, ratio
+from ..plans.quantiles import quantiles
 from ..plans.scopes import scoped
 from ..plans.shapes import check_columns, small, tall
 from .analysis import frequencies
@@ -142,10 +143,10 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     cells = {}
     for c in names:
         x = finite(c, kinds[c])
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         odd = lambda v, c=c: F.count_if(F.col(f"`{c}`").cast("double") == float(v))
-        cells[c] = {"finite_count": F.count(x), "positive_infinite": odd("inf"), "negative_infinite": odd("-inf"), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "q25": q[0], "median": q[1], "q75": q[2], "max": F.max(x)}
-    out = tall(df, cells)
+        cells[c] = {"finite_count": F.count(x), "positive_infinite": odd("inf"), "negative_infinite": odd("-inf"), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+    middle = quantiles(df, {c: finite(c, kinds[c]) for c in names}).toDF("column", "q25", "median", "q75")
+    out = tall(df, cells).join(F.broadcast(middle), "column")  # a row a column
     return out.withColumn("status", F.when(F.col("finite_count") == 0, "unavailable").when(F.col("finite_count") < 2, "undefined").otherwise("available")).drop("position")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_datetime, is_floating, is_numeric, present
+from ..plans.distinct import distinct_counts
 from ..plans.quantiles import quantiles
 from ..plans.shapes import check_columns, small, tall
 
@@ -65,7 +66,10 @@ class SchemaReport:
 
 
 def parsed_date(column: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(column, F.lit(p)) for p in DATE_PATTERNS])
+    """The time that one of the patterns reads; a text is tried only by the pattern whose shape it has, since a
+    failed attempt costs far more than a look."""
+    shapes = {p: "^" + re.sub("[A-Za-z]", r"[0-9]", p.replace("'T'", "\0")).replace(".", r"\.").replace("\0", "T") + "$" for p in DATE_PATTERNS}
+    return F.coalesce(*[F.when(column.rlike(shape), F.try_to_timestamp(column, F.lit(p))) for p, shape in shapes.items()])
 
 
 def name_tokens(name: str) -> list[str]:
@@ -75,8 +79,8 @@ def name_tokens(name: str) -> list[str]:
 def infer_schema(df: DataFrame, *, target: str | None = None, id_threshold: float = ID_THRESHOLD, approximate: float | None = None) -> SchemaReport:
     """Logical types by rules over one aggregate; the first rule that fits counts.
 
-    Distinct counts are exact; with ``approximate`` (a relative error) they are sketches, which keeps
-    one scan of a very wide or very large table free of the expansion that exact counts need.
+    Distinct counts are those of ``plans.distinct``; with ``approximate`` (a relative error) they are
+    sketches within the one scan.
     An empty table gives unknown columns.
     """
     names = check_columns(df)
@@ -87,15 +91,18 @@ def infer_schema(df: DataFrame, *, target: str | None = None, id_threshold: floa
     for i, name in enumerate(names):
         c = present(name, kinds[name])
         aggregates.append(F.count(c).alias(f"p{i}"))
-        aggregates.append((F.approx_count_distinct(c, approximate) if approximate else F.count_distinct(c)).alias(f"u{i}"))
+        if approximate:
+            aggregates.append(F.approx_count_distinct(c, approximate).alias(f"u{i}"))
         if isinstance(kinds[name], T.StringType):
             aggregates.append(F.count_if(F.lower(F.trim(c)).isin("true", "false")).alias(f"b{i}"))
             aggregates.append(F.count_if(parsed_date(F.trim(c)).isNotNull()).alias(f"d{i}"))
     row = df.agg(*aggregates).first()
     n = row["n"]
+    exact = {} if approximate else distinct_counts(df, {name: present(name, kinds[name]) for name in names})
     columns = []
     for i, name in enumerate(names):
-        kind, there, unique = kinds[name], row[f"p{i}"], min(row[f"u{i}"], row[f"p{i}"])
+        kind, there = kinds[name], row[f"p{i}"]
+        unique = min(row[f"u{i}"], there) if approximate else exact[name]
         rate = unique / there if there else 0.0
         text = isinstance(kind, T.StringType)
         logical, confidence, reason, identifies = _logical(name, kind, n, there, unique, rate, row[f"b{i}"] if text else 0, row[f"d{i}"] if text else 0, id_threshold)
