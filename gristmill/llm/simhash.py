@@ -18,7 +18,7 @@ written tables.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, discard, short_batches, staged
+from .common import bounded, discard, partitions, short_batches, staged
 
 SEED = 42
 BITS = 3
@@ -40,8 +40,14 @@ JOINED_EDGES = 1 << 18
 #: each, every byte in six of them.
 WIDE, SIMILARITY = 4, 0.8
 TRIPLES = [tuple((i + x) % (8 * WIDE) for x in step) for i in range(8 * WIDE) for step in ((0, 1, 3), (0, 5, 12))]
-#: Members of a posting that are compared at once, and up to which it isn't dealt out.
+#: Members of a posting up to which postings are used.
 BLOCK = 512
+#: Members of a chunk at most, chunks of any but small tables, rows and columns of the tiles in which pairs are
+#: compared, and links held until they are joined.
+CHUNK, CHUNKS, TILE, JOINED_PAIRS = 1 << 18, 16, (32, 4096), 1 << 16
+#: Standard deviations beyond the bits expected at a similarity up to which pairs are verified by their shingles, and
+#: shingles of a family's chunk.
+REACH, SHINGLES = 6, 1 << 22
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -78,7 +84,10 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
 
 def wide_fingerprint(text: str | None, width: int = 5, seed: int = SEED) -> bytes:
     """A SimHash of ``WIDE`` words of 64 bits, mixed from each shingle's hash; zeros without words."""
-    hashes = shingle_hashes(text, width, seed)
+    return _wide(shingle_hashes(text, width, seed))
+
+
+def _wide(hashes: np.ndarray) -> bytes:
     if not len(hashes):
         return bytes(8 * WIDE)
     x = hashes[:, None] + np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -106,6 +115,35 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
+def set_fingerprints(docs: DataFrame, id_column: str, text_column: str, width: int = 5) -> DataFrame:
+    """(id, fp, size): by the whole text's set of shingles, its wide SimHash with eight bytes more that tell sets apart, and its size."""
+    short_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            found = pa.array([_wide(x) + (x * x | np.uint64(1)).sum(dtype=np.uint64).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, pa.array([len(x) for x in sets], pa.int64())], names=["id", "fp", "size"])
+
+    kind = docs.schema[id_column].dataType
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
+        run, T.StructType([T.StructField("id", kind), T.StructField("fp", T.BinaryType()), T.StructField("size", T.LongType())])
+    )
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two shingle sets is ``similarity`` or more."""
+    if min(len(a), len(b)) + 1e-9 < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both + 1e-9 >= similarity * (len(a) + len(b) - both)
+
+
 def _root(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -246,40 +284,72 @@ def links(distinct: DataFrame, bits: int = BITS, most: int = MATRIX) -> DataFram
     return posted.repartition("p", "bytes").sortWithinPartitions("p", "bytes").mapInArrow(run, "u long, v long").distinct()
 
 
-def radius(similarity: float = SIMILARITY, bits: int = 64 * WIDE) -> int:
-    """Differing bits that texts of this Jaccard similarity have, and one standard deviation of the estimate more.
+def radius(similarity: float = SIMILARITY, bits: int = 64 * WIDE, deviations: float = 1) -> int:
+    """Differing bits that texts of this Jaccard similarity have, and ``deviations`` standard deviations of the estimate more.
 
-    Of two sets alike in size, similarity s is the cosine 2 s / (1 + s), and a bit differs with the angle's share of pi.
+    Of two sets alike in size, similarity s is the cosine 2 s / (1 + s), of others it is less, and a bit
+    differs with the angle's share of pi.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-class _Posting:
-    """Links of one posting whose members come in blocks: what is kept of a block is a leader for each new class."""
+def wide_forest(points: np.ndarray, left: int, most: int, check: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links at up to ``most`` bits, that ``check`` confirms, among wide fingerprints, rows of ``points``.
+
+    The first ``left`` are compared with all the others or, if there are no others, with each other.
+    Some of the words settle most pairs, as pairs in reach differ in no more bits there; the rest are
+    verified in full, unless they are joined already.
+    """
+    n, inner = len(points), left == len(points)
+    first = next((k for k in range(1, WIDE) if 32 * k - 12 * math.sqrt(k) >= most), WIDE)  # unlike texts differ in half of the bits
+    words = np.ascontiguousarray(points.T)
+    shape = min(TILE[0], left), min(TILE[1], n)
+    other, counts, apart = np.empty(shape, np.uint64), np.empty(shape, np.uint8), np.empty(shape, np.uint8)
+    parent, label, out = list(range(n)), np.arange(n), []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join() -> np.ndarray:
+        for i, j in zip(*(np.concatenate(x).tolist() for x in zip(*held, strict=True)), strict=True):
+            a, b = _root(parent, i), _root(parent, j)
+            if a != b and (check is None or check(i, j)):
+                parent[max(a, b)] = min(a, b)
+                out.append((i, j))
+        held.clear()
+        roots = np.array(parent)
+        while not np.array_equal(roots, above := roots[roots]):
+            roots = above
+        return roots
+
+    for a in range(0, left, shape[0]):
+        for b in range(a if inner else left, n, shape[1]):
+            high, broad = min(a + shape[0], left) - a, min(b + shape[1], n) - b
+            o, c, d = other[:high, :broad], counts[:high, :broad], apart[:high, :broad]
+            d[:] = 0
+            for w in words[:first]:
+                np.bitwise_xor(w[a : a + high, None], w[None, b : b + broad], out=o)
+                np.add(d, np.bitwise_count(o, out=c), out=d)
+            i, j = np.divmod(np.flatnonzero(d <= most), broad)
+            i, j = i + a, j + b
+            fresh = (i < j) & (label[i] != label[j])
+            i, j = i[fresh], j[fresh]
+            close = np.bitwise_count(points[i] ^ points[j]).sum(axis=1, dtype=np.int64) <= most
+            if close.any():
+                held.append((i[close], j[close]))
+                if sum(len(x) for x, _ in held) > JOINED_PAIRS:
+                    label = join()
+    if held:
+        join()
+    return out
 
-    def __init__(self, most: int):
-        self.most = most
-        self.leaders = np.empty((0, WIDE), np.uint64)
 
-    def add(self, block: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        known, points = len(self.leaders), np.concatenate([self.leaders, block])
+def _points(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(p[: 8 * WIDE] for p in prints), np.uint64).reshape(-1, WIDE)
 
-        def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for at in range(known, len(points), 64):  # leaders are not within reach of each other, or linked already
-                apart = np.bitwise_count(points[at : at + 64, None, :] ^ points[None]).sum(axis=2, dtype=np.int64)
-                i, j = np.nonzero(apart <= self.most)
-                i = i + at
-                yield i[i > j], j[i > j]
 
-        edges = _forest(len(points), close())
-        parent = list(range(len(points)))
-        for i, j in edges:
-            a, b = _root(parent, i), _root(parent, j)
-            parent[max(a, b)] = min(a, b)
-        fresh = [i for i in range(known, len(points)) if _root(parent, i) == i]
-        self.leaders = points[[*range(known), *fresh]]
-        return [(points[i], points[j]) for i, j in edges]
+def _named(prints: list[bytes], left: int, most: int, check: Callable[[int, int], bool] | None = None) -> list[tuple[bytes, bytes]]:
+    found = wide_forest(_points(prints), left, most, check)
+    return [(max(prints[i], prints[j]), min(prints[i], prints[j])) for i, j in found]
 
 
 def _posted_wide(distinct: DataFrame) -> DataFrame:
@@ -289,7 +359,7 @@ def _posted_wide(distinct: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 12):
                 prints = batch.column(0).slice(at, 1 << 12).to_pylist()
-                raw = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 8 * WIDE).astype(np.int64)
+                raw = _points(prints).view(np.uint8).astype(np.int64)
                 keys = np.stack([(n << 24) | (raw[:, a] << 16) | (raw[:, b] << 8) | raw[:, c] for n, (a, b, c) in enumerate(TRIPLES)], axis=1)
                 held = pa.array(prints, pa.binary()).take(pa.array(np.repeat(np.arange(len(prints)), len(TRIPLES))))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), held], names=["key", "fp"])
@@ -297,78 +367,104 @@ def _posted_wide(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp").mapInArrow(run, "key long, fp binary")
 
 
-def _linked(posted: DataFrame, most: int, report: bool) -> DataFrame:
-    """(key, u, v): links by posting; with ``report`` its leaders too, with null v."""
+def _linked(posted: DataFrame, most: int) -> DataFrame:
+    """(u, v): links by posting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: int | None = None
-        posting, waiting = _Posting(most), []
-        out: list[tuple[int, bytes, bytes | None]] = []
-
-        def step(last: bool) -> None:
-            nonlocal posting, waiting
-            if len(waiting) + len(posting.leaders) > 1 and waiting:
-                block = np.frombuffer(b"".join(waiting), np.uint64).reshape(-1, WIDE)
-                out.extend((key, max(a.tobytes(), b.tobytes()), min(a.tobytes(), b.tobytes())) for a, b in posting.add(block))
-            elif waiting:
-                posting.leaders = np.frombuffer(waiting[0], np.uint64).reshape(1, WIDE)
-            waiting = []
-            if last:
-                if report and key is not None:
-                    out.extend((key, x.tobytes(), None) for x in posting.leaders)
-                posting = _Posting(most)
-
-        def batch_of() -> pa.RecordBatch:
-            made = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-            out.clear()
-            return pa.RecordBatch.from_arrays(made, names=["key", "u", "v"])
-
+        members: list[bytes] = []
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys, prints, out = batch.column(0).to_numpy(), batch.column(1), []
             cut = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]]).tolist() if len(keys) else []
-            prints = batch.column(1)
             for a, b in zip(cut, cut[1:]):
                 if int(keys[a]) != key:
-                    if waiting or len(posting.leaders):
-                        step(True)
-                    key = int(keys[a])
-                if b - a == 1 and b < len(keys) and not waiting and not report:
-                    continue  # alone in its posting
-                for at in range(a, b, BLOCK):
-                    waiting += prints.slice(at, min(BLOCK, b - at)).to_pylist()
-                    if len(waiting) >= BLOCK:
-                        step(False)
-            if out:
-                yield batch_of()
-        if waiting or len(posting.leaders):
-            step(True)
-        if out:
-            yield batch_of()
-
-    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, u binary, v binary")
-
-
-def wide_links(distinct: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """(u, v), u > v: links among the distinct wide fingerprints in column ``fp``, a spanning forest by posting.
-
-    At this radius no number of shared bytes is guaranteed, so the index is a filter with a chance: a
-    posting holds the fingerprints that share three positional bytes, and ``TRIPLES`` postings miss one
-    pair in four at similarity 0.8, one in ten at 0.85, one in a hundred at 0.9.  Verification is the
-    distance of whole fingerprints.  A posting over ``block`` members is dealt out over salted parts; the
-    parts' leaders, one a class, meet again.  A member is compared with its block and with all leaders.
+                    out += _named(members, len(members), most) if len(members) > 1 else []
+                    key, members = int(keys[a]), []
+                if b - a > 1 or b == len(keys) or members:  # others are alone in their posting
+                    members += prints.slice(a, b - a).to_pylist()
+            yield _edges(out)
+        yield _edges(_named(members, len(members), most) if len(members) > 1 else [])
+
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u binary, v binary")
+
+
+def _edges(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in range(2)], names=["u", "v"])
+
+
+def _paired(rows: DataFrame, keys: list[str], tasks: int, left_and_right: Callable[[pa.Table, int], list[tuple[bytes, bytes]]]) -> DataFrame:
+    """(u, v): what ``left_and_right`` finds, given a group's rows, the first so many of which are compared with the others or,
+    where there are no others, with each other.
+
+    ``rows`` have their chunk in ``mine``, those that it meets from ``low`` to ``high``, itself included.
+    """
+    met = rows.withColumn("yours", F.explode(F.sequence("low", "high")))
+    dealt = met.withColumn("one", F.least("mine", "yours")).withColumn("two", F.greatest("mine", "yours")).drop("yours", "low", "high")
+
+    def compare(group: pa.Table) -> pa.Table:
+        second = group.column("mine").to_numpy() != group.column("one")[0].as_py()
+        group = group.take(pa.array(np.argsort(second, kind="stable")))
+        left = len(second) - int(second.sum())
+        alone = group.column("one")[0].as_py() == group.column("two")[0].as_py()
+        # of two chunks one may be empty
+        return pa.Table.from_batches([_edges(left_and_right(group, left) if alone or 0 < left < len(second) else [])])
+
+    keys = [*keys, "one", "two"]
+    return dealt.repartition(tasks, *keys).groupBy(*keys).applyInArrow(compare, "u binary, v binary").distinct()
+
+
+def wide_links(distinct: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, chunk: int = CHUNK, deviations: float = 1) -> DataFrame:
+    """(u, v), u > v: links among the distinct wide fingerprints in column ``fp``, spanning forests that lose none.
+
+    A byte is in six of the 64 ``TRIPLES``, so up to ten differing bits leave a triple that both have, and
+    postings under the triples are complete; they are used if none is over ``block`` members.  At wider
+    radii, 45 bits at similarity 0.8, nothing is sure to be shared: a complete index would need some 2,000
+    keys of 16 bits a fingerprint.  There all pairs are compared, chunk by chunk: every two of the chunks, which have
+    up to about ``chunk`` members, meet in one group, and links go by the distance of whole fingerprints.
+
+    With a column ``size``, of the shingle sets, chunks are of bands of sizes, and only sets that can be as
+    similar as that by their sizes are sure to be compared: those of one band and of its neighbours.
+    ``distinct`` is read more than once, so it should be a written table.
     """
-    most = radius(similarity)
-    posted = _posted_wide(distinct)
-    hot = staged(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).alias("parts")), "hot", files=16)
-    if not hot.limit(1).count():
-        return _linked(posted, most, False).select("u", "v").distinct()
-    known = bounded(hot)
-    cold = _linked(posted.join(known, "key", "left_anti"), most, False).select("u", "v")
-    dealt = posted.join(known, "key").select((F.col("key") + F.shiftleft(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("long"), 31)).alias("key"), "fp")
-    parts = staged(_linked(dealt, most, True), "parts")
-    leaders = parts.where("v is null").select(F.col("key").bitwiseAND(F.lit((1 << 31) - 1)).alias("key"), F.col("u").alias("fp"))
-    met = _linked(leaders, most, False).select("u", "v")
-    return cold.unionByName(parts.where("v is not null").select("u", "v")).unionByName(met).distinct()
+    most = radius(similarity, deviations=deviations)
+    if 6 * most < len(TRIPLES):
+        posted = _posted_wide(distinct)
+        if not posted.groupBy("key").count().where(F.col("count") > block).limit(1).count():
+            return _linked(posted, most).distinct()
+    band = F.lit(0)
+    if "size" in distinct.columns and similarity < 1:
+        band = F.floor(F.log(F.greatest("size", F.lit(1))) / (1e-9 - math.log(similarity))).cast("int")
+    banded = distinct.select("fp", band.alias("band"))
+    counts = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
+    each = min(chunk, max(1024, sum(counts.values()) // CHUNKS))
+    first, chunks = {}, 0
+    for k in range(max(counts, default=0) + 3):  # the first chunk of each band; a band's last is before the next one's first
+        first[k], chunks = chunks, chunks + -(-counts.get(k, 0) // each)
+    starts = F.array(*[F.lit(first[k]) for k in sorted(first)])
+    at = lambda step: F.get(starts, F.col("band") + step)
+    mine = at(0) + F.pmod(F.xxhash64("fp"), at(1) - at(0)).cast("int")
+    rows = banded.select("fp", mine.alias("mine"), F.coalesce(at(-1), F.lit(0)).alias("low"), (at(2) - 1).alias("high"))
+    tasks = sum((first[k + 1] - first[k]) * (first[k + 2] - first[k]) for k in counts)
+    return _paired(rows, [], max(1, tasks), lambda group, left: _named(group.column("fp").to_pylist(), left, most))
+
+
+def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int = 5, shingles: int = SHINGLES) -> DataFrame:
+    """(u, v), u > v: links of sets at ``similarity`` or more within families, a spanning forest by group.
+
+    ``texts``: family, fp, size and text, as of ``set_fingerprints``, a row a set.  A family of over ``shingles``
+    shingles is dealt out over chunks, every two of which meet.  Fingerprints say which pairs are verified by their
+    sets, and what is joined already is not.
+    """
+    most = radius(similarity, deviations=REACH)
+    parts = texts.groupBy("family").agg(F.ceil((F.sum("size") + 1) / shingles).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("mine")
+    rows = texts.join(parts, "family").select("family", "fp", "text", mine, F.lit(0).alias("low"), (F.col("parts") - 1).alias("high"))
+
+    def verified(group: pa.Table, left: int) -> list[tuple[bytes, bytes]]:
+        sets = [shingle_set(t, width) for t in group.column("text").to_pylist()]
+        return _named(group.column("fp").to_pylist(), left, most, lambda i, j: alike(sets[i], sets[j], similarity))
+
+    return _paired(rows, ["family"], partitions(texts.sparkSession), verified)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,6 +535,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each group of texts linked at ``similarity`` on shingles of ``width`` words, columns unchanged.
 
+    Texts are linked if the Jaccard similarity of their sets of shingles is ``similarity`` or more.  Fingerprints
+    of the sets within ``REACH`` standard deviations of it, among all pairs whose sizes allow it, make families; within a
+    family texts are compared by their shingles.
+
     The row with the smallest id stays, then the one with the smallest hash of its text, then of all
     its columns; rows without an id come last.  Repeated ids with unlike texts are rows of their own;
     null, empty and wordless texts are one group; of rows repeated in full one stays.  An empty table
@@ -455,10 +555,17 @@ def keep_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     keyed = docs.withColumn("_gm_text", F.xxhash64(F.col(f"`{text_column}`").cast("string"))).withColumn("_gm_whole", whole)
     identity = F.col(f"`{id_column}`")
     row = F.struct(identity.isNull().alias("none"), identity.alias("id"), *key)
-    prints = fingerprints(keyed.select(row.alias("row"), F.col(f"`{text_column}`").alias("text")), "row", "text", width, wide=True)
-    every = staged(prints.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("n")), "rows")
-    classes = staged(every.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    joined = components(wide_links(classes.select("fp"), similarity))
+    prints = set_fingerprints(keyed.select(row.alias("row"), F.col(f"`{text_column}`").alias("text")), "row", "text", width)
+    every = staged(prints.groupBy("fp", "size", "id").agg(F.count(F.lit(1)).alias("n")), "rows")
+    classes = staged(every.groupBy("fp", "size").agg(F.min("id").alias("least")), "classes")
+    near = staged(components(wide_links(classes.select("fp", "size"), similarity, deviations=REACH)), "families")
+    families = near.select(F.col("node").alias("fp"), F.col("root").alias("family")).unionByName(near.select(F.col("root").alias("fp"), F.col("root").alias("family")).distinct())
+    # a class is read by one of its texts
+    wanted = staged(classes.join(families, "fp").select(F.col("least._gm_text").alias("_gm_text"), F.col("least._gm_whole").alias("_gm_whole"), "family", "fp", "size"), "wanted")
+    texts = keyed.join(bounded(wanted.select(*key)), key, "left_semi").select(*key, F.col(f"`{text_column}`").cast("string").alias("text")).dropDuplicates(key)
+    texts = staged(wanted.join(texts, key).select("family", "fp", "size", "text"), "texts")
+    joined = components(similar_links(texts, similarity, width))  # its edges are written
+    discard(texts)
     rooted = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
     named = every.join(rooted.join(best, "root").select("fp", "best"), "fp")

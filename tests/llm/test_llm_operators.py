@@ -181,6 +181,91 @@ def test_wide_links_are_those_of_brute_force(spark):
     assert simhash.wide_links(frame.limit(0)).count() == 0
 
 
+def test_wide_links_lose_no_pair_within_the_radius(spark):
+    """Pairs at the very radius, which mostly share no triple of bytes; long postings; groups of one chunk or many."""
+    rng = random.Random(8)
+    for similarity, block in ((0.8, 512), (0.995, 512), (0.995, 2)):  # all pairs, postings, postings that are too long
+        most, prints, expected = simhash.radius(similarity), set(), set()
+        assert most == 45 or 6 * most < len(simhash.TRIPLES)
+        for k in range(120):  # lone pairs, every third one bit too far apart
+            a = rng.getrandbits(256)
+            b = a ^ sum(1 << x for x in rng.sample(range(256), most + (k % 3 == 0)))
+            prints |= {a, b}
+            if k % 3:
+                expected.add((a.to_bytes(32, "little"), b.to_bytes(32, "little")))
+        frame = spark.createDataFrame([(p.to_bytes(32, "little"),) for p in prints], "fp binary").cache()
+        for chunk in (50, 1 << 18):
+            found = simhash.wide_links(frame, similarity, block, chunk).collect()
+            assert len(found) == len(expected) and {(bytes(r["u"]), bytes(r["v"])) for r in found} == {(max(p), min(p)) for p in expected}
+    assert all(sum(at in t for t in simhash.TRIPLES) == 6 for at in range(32))
+
+
+def test_wide_forest_joins_dense_groups_as_brute_force(monkeypatch):
+    """A chain whose ends are out of reach, and a crowd; links are joined in between, tiles are cut anywhere."""
+    rng = random.Random(9)
+    base = rng.getrandbits(256)
+    chain = [base ^ (1 << 40 * k) - 1 for k in range(6)]
+    crowd = {~base % (1 << 256) ^ sum(1 << b for b in rng.sample(range(256), 20)) for _ in range(150)}
+    prints = [*chain, *crowd, *(rng.getrandbits(256) for _ in range(60))]
+    rng.shuffle(prints)
+    points = np.frombuffer(b"".join(p.to_bytes(32, "little") for p in prints), np.uint64).reshape(-1, 4)
+    monkeypatch.setattr(simhash, "JOINED_PAIRS", 40)
+    for tile in ((7, 11), (32, 4096)):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        for left in (len(prints), 90, 1):
+            pairs = [(i, j) for i in range(left) for j in range(len(prints)) if (i < j if left == len(prints) else j >= left)]
+            links = [p for p in pairs if (prints[p[0]] ^ prints[p[1]]).bit_count() <= 45]
+            found = simhash.wide_forest(points, left, 45)
+            assert set(found) <= set(links)
+            groups = []
+            for edges in (links, found):
+                owner = list(range(len(prints)))
+                for i, j in edges:
+                    x, y = owner[i], owner[j]
+                    owner = [min(x, y) if o in (x, y) else o for o in owner]
+                groups.append(owner)
+            assert groups[0] == groups[1] and len(found) == len(prints) - len(set(groups[0]))
+
+
+def test_near_copies_that_stay_are_those_of_exact_similarity(spark):
+    """Pairs around similarity 0.8, far in fingerprint bits or near, of all sizes, with repeated lines; families of many chunks."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = [None, "", " ", "One two three", "one TWO three", "one two three four"]
+    for k in range(150):
+        base = [word() for _ in range(rng.choice((8, 9, 12, 40, 150, 400)))]
+        near = list(base)
+        for at in sorted(rng.sample(range(len(near)), max(1, round(len(near) * rng.choice((0.015, 0.02, 0.025, 0.03)))))):
+            near[at] = word()
+        texts += [" ".join(base), " ".join(near), " ".join([*base, word()])]
+        if k % 10 == 0:
+            texts.append(" ".join(base + base[:20] * 40))  # far from its like by a fingerprint that counts repeats
+    grams = []
+    for t in texts:
+        words = (t or "").lower().split()
+        grams.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    owner = list(range(len(texts)))
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                x, y = owner[i], owner[j]
+                owner = [min(x, y) if o in (x, y) else o for o in owner]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    assert 150 < len(set(owner)) < 400
+    assert sorted(r["doc_id"] for r in simhash.keep_rows(docs).collect()) == sorted(set(owner))
+    # families are dealt out, sizes fall into many chunks
+    every = simhash.set_fingerprints(docs, "doc_id", "text").join(docs.withColumnRenamed("doc_id", "id"), "id").dropDuplicates(["fp"]).cache()
+    wide = simhash.wide_links(every, chunk=40, deviations=simhash.REACH)
+    assert wide.count() >= simhash.wide_links(every).count() > 0
+    found = simhash.similar_links(every.withColumn("family", F.lit(1)), shingles=9000).collect()
+    ids = {bytes(r["fp"]): r["id"] for r in every.collect()}
+    groups = {i: i for i in ids.values()}
+    for r in found:
+        x, y = groups[ids[bytes(r["u"])]], groups[ids[bytes(r["v"])]]
+        groups = {i: min(x, y) if o in (x, y) else o for i, o in groups.items()}
+    assert len(set(groups.values())) == len(set(owner))
+
+
 def test_every_choice_of_shared_bytes_meets_in_a_posting():
     for bits in (1, 2, 3):
         halves, whole = simhash.positions(bits)
