@@ -457,8 +457,9 @@ def similar_links(texts: DataFrame, similarity: float = SIMILARITY, width: int =
     """
     most = radius(similarity, deviations=REACH)
     parts = texts.groupBy("family").agg(F.ceil((F.sum("size") + 1) / shingles).cast("int").alias("parts"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("mine")
-    rows = texts.join(parts, "family").select("family", "fp", "text", mine, F.lit(0).alias("low"), (F.col("parts") - 1).alias("high"))
+    n = F.coalesce("parts", F.lit(1))
+    mine = F.pmod(F.xxhash64("fp"), n).cast("int").alias("mine")
+    rows = texts.join(bounded(parts.where("parts > 1")), "family", "left").select("family", "fp", "text", mine, F.lit(0).alias("low"), (n - 1).alias("high"))
 
     def verified(group: pa.Table, left: int) -> list[tuple[bytes, bytes]]:
         sets = [shingle_set(t, width) for t in group.column("text").to_pylist()]
