@@ -81,7 +81,9 @@ def plan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     used least is used once in full, so that nothing is lost.
     """
     count = estimated_tokens(F.col(text_column)) if tokens is None else tokens
-    own = staged(docs.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"), _source(F.col(source_column)).alias("key"), count.alias("tokens")), "tokens")
+    own = docs.select(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"), _source(F.col(source_column)).alias("key"), count.alias("tokens"))
+    # rebalanced, or each task that reads texts would write a tiny file of these narrow rows
+    own = staged(own.hint("rebalance"), "tokens")
     totals = staged(own.groupBy("key").agg(F.sum("tokens").alias("tokens")), "totals")
     a = exponent(totals, repetition, entropy)
     whole = totals.agg(F.sum("tokens").alias("t"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(a))).alias("z"), F.max(F.pow(F.col("tokens").cast("double"), F.lit(1 - a))).alias("m")).first()

@@ -14,7 +14,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, line_dedup, merkle, mixing, quality, queries, regex_trigrams, secrets, sharding, simhash, token_counts, toxicity
+from gristmill.llm import common, decontaminate, line_dedup, merkle, mixing, quality, queries, regex_trigrams, secrets, sharding, simhash, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, id string, row string, weight string"
 LONG = "lorem ipsum, dolor. " * 5000
@@ -776,6 +776,22 @@ def test_mixing_budgets_and_weights(spark, odd):
     assert 2000 - 4 * largest <= sum(r["t"] * r["copies"] for r in half) <= 2004
 
 
+def test_mixing_writes_no_file_a_task(spark, monkeypatch):
+    files = {}
+
+    def counted(df, name, *more):
+        back = common.staged(df, name, *more)
+        files[name] = len(back.inputFiles())
+        return back
+
+    monkeypatch.setattr(mixing, "staged", counted)
+    rows = [(i, "x" * (i % 97), "abc"[i % 7 % 3]) for i in range(800)] + [(None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, many = (sorted(map(str, mixing.plan(frame.repartition(n), block_tokens=256).collect())) for n in (1, 40))
+    assert one == many and len(one) == 4
+    assert max(files.values()) <= 4
+
+
 PATTERNS = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
