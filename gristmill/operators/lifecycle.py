@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import ratio
 from ..plans.conditions import Condition, compile_condition, within_window
 from ..plans.scopes import scoped
+from ..plans.shapes import shuffled
 from .monitoring_tables import event_metrics, events_by_scenario, lifecycle_metrics, loss_metrics, overlap_metrics, warning_metrics
 
 # Derived signals, scenario kinds and period units.
@@ -264,10 +265,10 @@ def event_summary(events: DataFrame, matches: DataFrame, maturity: DataFrame, ma
     as_of = F.lit(config.analysis_as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     scenarios = matrix.select("scenario_key").distinct()
     mature = matrix.select(F.col(config.entity), F.col(config.observed)).distinct().where(F.col(config.observed) + F.lit(config.horizon) <= as_of)
-    held = _binned(config, mature, F.col(config.observed), True).join(_binned(config, events, F.col("event_time"), False), [config.entity, "_bin"]).where(_inside(config, F.col("event_time"), F.col(config.observed)))
+    held = _binned(config, mature, F.col(config.observed), True).join(shuffled(_binned(config, events, F.col("event_time"), False)), [config.entity, "_bin"]).where(_inside(config, F.col("event_time"), F.col(config.observed)))
     total = held.select(config.entity, "event_ordinal").distinct().agg(F.count(F.lit(1)).alias("events"))
     captured = matches.groupBy("scenario_key").agg(F.count(F.lit(1)).alias("captured"), F.avg("lead_seconds").alias("mean_lead_seconds"))
-    hits = matrix.where("truth").select(config.key, "scenario_key").distinct().join(maturity.where("is_mature").select(config.key, "event_within_horizon"), config.key)
+    hits = matrix.where("truth").select(config.key, "scenario_key").distinct().join(shuffled(maturity.where("is_mature").select(config.key, "event_within_horizon")), config.key)
     right = hits.groupBy("scenario_key").agg(F.count(F.lit(1)).alias("mature_hits"), F.count_if("event_within_horizon").alias("right_hits"))
     out = scenarios.crossJoin(F.broadcast(total)).join(captured, "scenario_key", "left").join(right, "scenario_key", "left").fillna(0, ["captured", "mature_hits", "right_hits"])
     return out.select("scenario_key", "events", "captured", ratio(F.col("captured"), F.col("events")).alias("recall"), "mean_lead_seconds", "mature_hits", ratio(F.col("right_hits"), F.col("mature_hits")).alias("precision"))
@@ -373,7 +374,7 @@ def event_matches(notes: DataFrame, events: DataFrame, config: LifecycleConfig)
     mature = notes.where(F.col("notification_time") + F.lit(config.horizon) <= as_of)
     left = _binned(config, mature, F.col("notification_time"), True)
     right = _binned(config, events, F.col("event_time"), False)
-    joined = left.join(right, [config.entity, "_bin"]).where(_inside(config, F.col("event_time"), F.col("notification_time")))
+    joined = left.join(shuffled(right), [config.entity, "_bin"]).where(_inside(config, F.col("event_time"), F.col("notification_time")))
     first = F.min_by(F.struct("rule_key", "notification_time"), F.struct("notification_time", "rule_key", "notification_ordinal"))
     out = joined.groupBy(config.entity, "event_ordinal", "event_time", "scenario_key").agg(first.alias("_o"), F.count(F.lit(1)).alias("candidate_count"))
     lead = (micros(F.col("event_time")) - micros(F.col("_o.notification_time"))) / 1e6
@@ -384,8 +385,8 @@ def observation_maturity(df: DataFrame, events: DataFrame, config: LifecycleConf
     """(key, is_mature, event_within_horizon): the horizon ends by the analysis time; whether an event lies in it."""
     as_of = F.lit(config.analysis_as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     rows = df.select(F.col(config.entity), F.col(config.key), F.col(config.observed))
-    hit = _binned(config, rows, F.col(config.observed), True).join(_binned(config, events, F.col("event_time"), False), [config.entity, "_bin"]).where(_inside(config, F.col("event_time"), F.col(config.observed))).select(config.key).distinct().withColumn("_hit", F.lit(True))
-    return rows.join(hit, config.key, "left").select(config.key, config.entity, (F.col(config.observed) + F.lit(config.horizon) <= as_of).alias("is_mature"), F.coalesce("_hit", F.lit(False)).alias("event_within_horizon"))
+    hit = _binned(config, rows, F.col(config.observed), True).join(shuffled(_binned(config, events, F.col("event_time"), False)), [config.entity, "_bin"]).where(_inside(config, F.col("event_time"), F.col(config.observed))).select(config.key).distinct().withColumn("_hit", F.lit(True))
+    return rows.join(shuffled(hit), config.key, "left").select(config.key, config.entity, (F.col(config.observed) + F.lit(config.horizon) <= as_of).alias("is_mature"), F.coalesce("_hit", F.lit(False)).alias("event_within_horizon"))
 
 
 def states(df: DataFrame, config: LifecycleConfig) -> DataFrame:
@@ -487,7 +488,7 @@ def held_events(df: DataFrame, events: DataFrame, config: LifecycleConfig) -> Da
     """(entity, event_ordinal) of the events that a mature observation's horizon holds."""
     as_of = F.lit(config.analysis_as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     mature = df.select(F.col(config.entity), F.col(config.observed)).where(F.col(config.observed) + F.lit(config.horizon) <= as_of)
-    joined = _binned(config, mature, F.col(config.observed), True).join(_binned(config, events, F.col("event_time"), False), [config.entity, "_bin"])
+    joined = _binned(config, mature, F.col(config.observed), True).join(shuffled(_binned(config, events, F.col("event_time"), False)), [config.entity, "_bin"])
     return joined.where(_inside(config, F.col("event_time"), F.col(config.observed))).select(config.entity, "event_ordinal").distinct()
 
 

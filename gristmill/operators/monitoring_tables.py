@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.measures import absent, amount, first_of, measured, rate
 from ..plans.scopes import scoped
+from ..plans.shapes import shuffled
 
 if TYPE_CHECKING:
     from .lifecycle import LifecycleConfig
@@ -35,7 +36,7 @@ def persistent_hits(matrix: DataFrame, episodes: DataFrame, config: LifecycleCon
     spans = episodes.groupBy(*rule).agg(F.collect_list(F.struct("start_time", "end_time")).alias("_spans"))  # an entity's episodes under one rule
     at = F.col(config.observed)
     inside = F.exists("_spans", lambda e: (e["start_time"] <= at) & (at <= e["end_time"]))
-    return matrix.join(spans, rule, "left").withColumn("is_persistent", F.coalesce(F.col("truth") & inside, F.lit(False))).drop("_spans")
+    return matrix.join(shuffled(spans), rule, "left").withColumn("is_persistent", F.coalesce(F.col("truth") & inside, F.lit(False))).drop("_spans")
 
 
 def warning_metrics(matrix: DataFrame, notes: DataFrame, episodes: DataFrame, config: LifecycleConfig, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -87,9 +88,9 @@ def events_by_scenario(events: DataFrame, matches: DataFrame, held: DataFrame, c
     """
     scenarios = events.sparkSession.createDataFrame([(s.scenario_key,) for s in config.scenarios], "scenario_key string")
     key = [config.entity, "event_ordinal"]
-    every = events.join(held.select(*key).distinct().withColumn("_mature", F.lit(True)), key, "left").crossJoin(F.broadcast(scenarios))  # a row a scenario
+    every = events.join(shuffled(held.select(*key).distinct().withColumn("_mature", F.lit(True))), key, "left").crossJoin(F.broadcast(scenarios))  # a row a scenario
     owned = matches.select(*key, "scenario_key", "rule_key", "notification_time", "lead_seconds", "candidate_count")
-    joined = every.join(owned, [*key, "scenario_key"], "left")
+    joined = every.join(shuffled(owned), [*key, "scenario_key"], "left")
     return joined.withColumn("event_status", F.when(F.col("_mature"), "mature").otherwise("censored")).withColumn("captured", F.col("notification_time").isNotNull() & (F.col("event_status") == "mature")).drop("_mature")
 
 
@@ -108,16 +109,16 @@ def event_metrics(matrix: DataFrame, notes: DataFrame, every: DataFrame | None,
     found = scoped(every, ["scenario_key"], [[], ["scenario_key"]], {"events": F.count_if(F.col("event_status") == "mature"), "caught": F.count_if(caught), "lead": F.sum(lead), "middle": F.percentile(lead, F.lit(0.5))}).drop("scope")
     owner = every.where("notification_time is not null").select(config.entity, "scenario_key", "rule_key", "notification_time").distinct().withColumn("_matched", F.lit(True))
     ripe = notes.where(F.col("notification_time") + F.lit(config.horizon) <= as_of)
-    sent = scoped(ripe.join(owner, [config.entity, "scenario_key", "rule_key", "notification_time"], "left"), ["scenario_key", "rule_key"], sets, {"notes": F.count(F.lit(1)), "matched": F.count_if(F.col("_matched"))}).drop("scope")
+    sent = scoped(ripe.join(shuffled(owner), [config.entity, "scenario_key", "rule_key", "notification_time"], "left"), ["scenario_key", "rule_key"], sets, {"notes": F.count(F.lit(1)), "matched": F.count_if(F.col("_matched"))}).drop("scope")
     seen = maturity.where("is_mature").select(config.key, "event_within_horizon")
-    own = seen.join(primary.select(config.key, "scenario_key", "rule_key"), config.key)
+    own = seen.join(shuffled(primary.select(config.key, "scenario_key", "rule_key")), config.key)
     held = F.col("event_within_horizon")
     # false positives: mature observations without an event that sent a mature notification
-    alarms = ripe.select(F.col("source_key").alias(config.key), "scenario_key", "rule_key").distinct().join(seen.where(~held), config.key).withColumnRenamed("rule_key", "sender")
+    alarms = ripe.select(F.col("source_key").alias(config.key), "scenario_key", "rule_key").distinct().join(shuffled(seen.where(~held)), config.key).withColumnRenamed("rule_key", "sender")
     total = seen.agg(F.count_if(~held).alias("calm"))
     warned = scoped(own, ["scenario_key", "rule_key"], sets, {"warned": F.count_distinct(config.key), "warned_event": F.count_distinct(F.when(held, F.col(config.key))), "own_calm": F.count_distinct(F.when(~held, F.col(config.key)))}).drop("scope")
     wrong = scoped(alarms, ["scenario_key"], [[], ["scenario_key"]], {"wrong": F.count_distinct(config.key)}).drop("scope")
-    by_rule = alarms.join(own.select(config.key, "scenario_key", "rule_key"), [config.key, "scenario_key"]).where("sender = rule_key").groupBy("scenario_key", "rule_key").agg(F.count_distinct(config.key).alias("rule_wrong"))
+    by_rule = alarms.join(shuffled(own.select(config.key, "scenario_key", "rule_key")), [config.key, "scenario_key"]).where("sender = rule_key").groupBy("scenario_key", "rule_key").agg(F.count_distinct(config.key).alias("rule_wrong"))
     out = scopes
     for part, keys in ((found, ["scenario_key"]), (sent, ["scenario_key", "rule_key"]), (warned, ["scenario_key", "rule_key"]), (wrong, ["scenario_key"]), (by_rule, ["scenario_key", "rule_key"])):
         renamed = part.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in part.columns if c not in keys])

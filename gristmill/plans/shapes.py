@@ -42,3 +42,12 @@ def tall(df: DataFrame, cells: Mapping[str, Mapping[str, Column]], label: str =
 def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few rows made on the driver."""
     return spark.createDataFrame(rows, schema)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is sorted and spilled on executors, never gathered on the driver.
+
+    Spark broadcasts a side whose files, by their pruned columns, look small; what is decoded, exploded or
+    derived from them may be many times that.
+    """
+    return df.hint("merge")

@@ -460,3 +460,17 @@ def test_histogram_covers_all_rows(spark):
     bins = plotdata.histogram(df, ["v"]).collect()
     assert sum(r["n"] for r in bins) == 500 and min(r["lower"] for r in bins) == 0 and max(r["upper"] for r in bins) == 36
     assert len(plotdata.plot_distributions(df)) == 2
+
+
+def test_joins_that_grow_with_the_panel_are_never_broadcast(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(str(e), e * 10 + i, start + i * DAY, float(i), start + i * DAY if i % 3 == 0 else None) for e in range(3) for i in range(9)], "entity string, k long, at timestamp_ntz, v double, ev timestamp_ntz").write.parquet(f"{tmp_path}/panel")
+    df = spark.read.parquet(f"{tmp_path}/panel")  # a small file, which Spark would broadcast
+    config = config_of([lifecycle.WarningRule("r", 1, "low", Condition(operator="gt", left="v", right=1.0))], event_time="ev", horizon=3 * DAY)
+    matrix, events = lifecycle.rule_matrix(df, config), lifecycle.declared_events(df, config)
+    matches = lifecycle.event_matches(lifecycle.notifications(lifecycle.machines(matrix, config), config), events, config)
+    maturity = lifecycle.observation_maturity(df, events, config)
+    for out in (matches, maturity, lifecycle.held_events(df, events, config), lifecycle.event_summary(events, matches, maturity, matrix, config)):
+        plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+        assert any("SortMergeJoin" in line for line in plan)
+        assert not [line for line in plan if "BroadcastHashJoin" in line and ("entity#" in line or "[k#" in line)]  # joins by scenario have a row a scenario
