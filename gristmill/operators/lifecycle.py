@@ -283,45 +283,68 @@ def loss_summary(matrix: DataFrame, config: LifecycleConfig, exposure: str, loss
     return out.withColumn("expected_loss_rate", ratio(F.col("expected_loss_sum"), F.col("exposure_sum")))
 
 
-_NOTE = "array<struct<ordinal:long,notification:long,kind:string,time:long,key:long>>"
-_EPISODE = "array<struct<ordinal:long,start:long,end:long,resolved:boolean,hits:long,notes:long,suppressed:long>>"
-_MACHINE = f"struct<t:long,f:long,open:boolean,ordinal:long,start:long,hits:long,notes:long,emitted:long,suppressed:long,seen:long,out:{_NOTE},done:{_EPISODE}>"
+#: The columns that tell one warning machine from another, beside the entity.
+_RULE = ("scenario_key", "rule_key", "alert_rank", "persistence", "resolution", "cooldown")
+
+
+def steps(matrix: DataFrame, config: LifecycleConfig) -> DataFrame:
+    """``matrix`` with the warning machine's step at each row: _time, _opens, _closes, _hit (counted in an episode) and _ordinal.
+
+    Rows stay rows: streaks are row numbers less that of the last row that broke them, and an episode is
+    open while the last signal to open or close was one to open.  All windows share one order, so a row
+    costs the same however long the history is.
+    """
+    machine = Window.partitionBy(config.entity, *_RULE)
+    order = machine.orderBy("_time", "_key", "truth")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = matrix.withColumns({"_time": micros(F.col(config.observed)), "_key": F.col(config.key).cast("long")})
+    rows = rows.withColumns({"_row": F.row_number().over(order), "_seen": F.lag("_time").over(order)})
+    gap = F.lit(False) if config.expected_interval is None else F.coalesce(F.col("_time") - F.col("_seen") > _us(config.expected_interval), F.lit(False))
+    true, false = ~gap & F.col("truth").eqNullSafe(True), ~gap & F.col("truth").eqNullSafe(False)
+    rows = rows.withColumns({"_true": true, "_false": false})
+    streak = lambda c: F.col("_row") - F.coalesce(F.max(F.when(~F.col(c), F.col("_row"))).over(upto), F.lit(0))
+    rows = rows.withColumns({"_t": streak("_true"), "_f": streak("_false")})
+    opening, closing = F.col("_true") & (F.col("_t") >= F.col("persistence")), F.col("_false") & (F.col("_f") >= F.col("resolution"))
+    rows = rows.withColumn("_signal", F.when(opening, True).when(closing, False))
+    rows = rows.withColumn("_was", F.coalesce(F.last("_signal", ignorenulls=True).over(before), F.lit(False)))
+    signal = F.coalesce("_signal", F.lit(False))
+    rows = rows.withColumns({"_opens": signal & ~F.col("_was"), "_closes": F.col("_was") & F.coalesce(~F.col("_signal"), F.lit(False))})
+    rows = rows.withColumns({"_ordinal": F.count_if("_opens").over(upto) - 1, "_hit": F.col("_opens") | (F.col("_was") & F.col("_true"))})
+    return rows.drop("_row", "_seen", "_false", "_t", "_f", "_signal", "_key", "_true")
+
+
+def persistent(matrix: DataFrame, config: LifecycleConfig) -> DataFrame:
+    """``matrix`` with is_persistent: a hit at a time at which its rule's episode is open, as ``persistent_hits`` finds it by spans.
+
+    A time lies in an episode if one of its rows does; an episode that stays open ends at the analysis time.
+    """
+    as_of = micros(F.lit(config.analysis_as_of.isoformat(sep=" ")).cast("timestamp_ntz"))
+    machine = Window.partitionBy(config.entity, *_RULE)
+    rows = steps(matrix, config).withColumn("_closed", F.count_if("_closes").over(machine))
+    within = F.col("_hit") | F.col("_was")
+    rows = rows.withColumn("_in", within & ((F.col("_closed") > F.col("_ordinal")) | (F.col("_time") <= as_of)))
+    there = F.max("_in").over(Window.partitionBy(config.entity, *_RULE, "_time"))
+    return rows.select(*matrix.columns, F.coalesce(F.col("truth") & F.col("_time").isNotNull() & there, F.lit(False)).alias("is_persistent"))
 
 
 def machines(matrix: DataFrame, config: LifecycleConfig) -> DataFrame:
-    """One row an (entity, scenario, rule) with the folded warning machine.
+    """One row an episode of the warning machine: ordinal, start, end, resolved, hits, suppressed, and its notes (time, key).
 
     A gap longer than the expected interval clears both streaks and skips its row.  An episode opens
     after ``persistence`` trues and closes after ``resolution`` falses; an unknown clears the streaks
     and keeps it.  While it is open, trues notify again once the cooldown since the last notification
-    has passed.
+    has passed.  Only the cooldown is a fold, over the hits of one episode.
     """
-    step = F.struct(micros(F.col(config.observed)).alias("time"), F.col(config.key).cast("long").alias("key"), F.col("truth"))
-    grouped = matrix.groupBy(config.entity, "scenario_key", "rule_key", "alert_rank", "persistence", "resolution", "cooldown").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    interval = None if config.expected_interval is None else _us(config.expected_interval)
-    start = F.from_json(F.lit('{"t":0,"f":0,"open":false,"ordinal":-1,"hits":0,"notes":0,"suppressed":0,"out":[],"done":[]}'), _MACHINE)
-
-    def fold(s: Column, x: Column) -> Column:
-        gap = F.lit(False) if interval is None else s["seen"].isNotNull() & (x["time"] - s["seen"] > interval)
-        true, false = ~gap & x["truth"].eqNullSafe(True), ~gap & x["truth"].eqNullSafe(False)
-        t = F.when(true, s["t"] + 1).otherwise(F.lit(0).cast("long"))
-        f = F.when(false, s["f"] + 1).otherwise(F.lit(0).cast("long"))
-        opens = true & ~s["open"] & (t >= F.col("persistence"))
-        closes = s["open"] & false & (f >= F.col("resolution"))
-        again = s["open"] & true
-        emits = again & (x["time"] - s["emitted"] >= F.col("cooldown"))
-        ordinal = F.when(opens, s["ordinal"] + 1).otherwise(s["ordinal"])
-        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-        note = F.struct(ordinal.alias("ordinal"), F.when(opens, zero).otherwise(s["notes"]).alias("notification"), F.when(opens, F.when(ordinal > 0, "episode_reopen").otherwise("episode_open")).otherwise("repeated").alias("kind"), x["time"].alias("time"), x["key"].alias("key"))
-        ended = F.struct(s["ordinal"].alias("ordinal"), s["start"].alias("start"), x["time"].alias("end"), F.lit(True).alias("resolved"), s["hits"].alias("hits"), s["notes"].alias("notes"), s["suppressed"].alias("suppressed"))
-        return F.struct(
-            t.alias("t"), f.alias("f"), ((s["open"] | opens) & ~closes).alias("open"), ordinal.alias("ordinal"), F.when(opens, x["time"]).otherwise(s["start"]).alias("start"),
-            F.when(opens, one).otherwise(s["hits"] + F.when(again, one).otherwise(zero)).alias("hits"), F.when(opens, one).otherwise(s["notes"] + F.when(emits, one).otherwise(zero)).alias("notes"),
-            F.when(opens | emits, x["time"]).otherwise(s["emitted"]).alias("emitted"), F.when(opens, zero).otherwise(s["suppressed"] + F.when(again & ~emits, one).otherwise(zero)).alias("suppressed"), x["time"].alias("seen"),
-            F.when(opens | emits, F.concat(s["out"], F.array(note))).otherwise(s["out"]).alias("out"), F.when(closes, F.concat(s["done"], F.array(ended))).otherwise(s["done"]).alias("done"),
-        ).cast(_MACHINE)
-
-    return grouped.withColumn("machine", F.aggregate("steps", start, fold)).drop("steps")
+    rows = steps(matrix, config).where(F.col("_hit") | F.col("_closes"))
+    one = F.when(F.col("_hit"), F.struct(F.col("_time").alias("time"), F.col(config.key).cast("long").alias("key")))
+    found = rows.groupBy(config.entity, *_RULE, F.col("_ordinal").alias("ordinal")).agg(
+        F.min(F.when(F.col("_opens"), F.col("_time"))).alias("start"), F.max(F.when(F.col("_closes"), F.col("_time"))).alias("end"), F.bool_or("_closes").alias("resolved"), F.count_if("_hit").alias("hits"), F.sort_array(F.collect_list(one)).alias("_hits"),
+    )
+    first = F.slice("_hits", 1, 1)
+    later = lambda out, x: F.when(x["time"] - F.element_at(out, -1)["time"] >= F.col("cooldown"), F.concat(out, F.array(x))).otherwise(out)
+    notes = F.when(F.col("start").isNull(), first).when(F.col("cooldown") <= 0, F.col("_hits")).otherwise(F.aggregate(F.slice("_hits", F.lit(2), F.greatest(F.size("_hits") - 1, F.lit(0))), first, later))
+    found = found.withColumn("notes", notes).drop("_hits")
+    return found.withColumn("suppressed", F.when(F.col("start").isNull(), F.lit(0).cast("long")).otherwise(F.col("hits") - F.size("notes")))
 
 
 def _time(column: Column) -> Column:
@@ -329,19 +352,17 @@ def _time(column: Column) -> Column:
 
 
 def notifications(folded: DataFrame, config: LifecycleConfig) -> DataFrame:
-    return folded.select(config.entity, "scenario_key", "rule_key", "alert_rank", F.explode("machine.out").alias("_n")).select(config.entity, "scenario_key", "rule_key", "alert_rank", F.col("_n.ordinal").alias("episode_ordinal"), F.col("_n.notification").alias("notification_ordinal"), F.col("_n.kind").alias("notification_kind"), _time(F.col("_n.time")).alias("notification_time"), F.col("_n.key").alias("source_key"))
+    rows = folded.select(config.entity, "scenario_key", "rule_key", "alert_rank", "ordinal", F.posexplode("notes").alias("_p", "_n"))
+    kind = F.when(F.col("_p") > 0, "repeated").when(F.col("ordinal") > 0, "episode_reopen").otherwise("episode_open")
+    return rows.select(config.entity, "scenario_key", "rule_key", "alert_rank", F.col("ordinal").alias("episode_ordinal"), F.col("_p").cast("long").alias("notification_ordinal"), kind.alias("notification_kind"), _time(F.col("_n.time")).alias("notification_time"), F.col("_n.key").alias("source_key"))
 
 
 def episodes(folded: DataFrame, config: LifecycleConfig) -> DataFrame:
     """Closed episodes, and those open at the end, which last until the analysis time."""
-    m = F.col("machine")
-    end = F.lit(config.analysis_as_of.isoformat(sep=" ")).cast("timestamp_ntz")
-    still = F.struct(m["ordinal"].alias("ordinal"), m["start"].alias("start"), micros(end).alias("end"), F.lit(False).alias("resolved"), m["hits"].alias("hits"), m["notes"].alias("notes"), m["suppressed"].alias("suppressed"))
-    every = F.when(m["open"], F.concat(m["done"], F.array(still).cast(_EPISODE))).otherwise(m["done"])
-    rows = folded.select(config.entity, "scenario_key", "rule_key", "alert_rank", F.explode(every).alias("_e"))
-    return rows.select(
-        config.entity, "scenario_key", "rule_key", "alert_rank", F.col("_e.ordinal").alias("episode_ordinal"), _time(F.col("_e.start")).alias("start_time"), _time(F.col("_e.end")).alias("end_time"),
-        F.when(F.col("_e.resolved"), "resolved").otherwise("unresolved").alias("episode_status"), F.col("_e.hits").alias("hit_count"), F.col("_e.notes").alias("notification_count"), F.col("_e.suppressed").alias("suppressed_count"), ((F.col("_e.end") - F.col("_e.start")) / 1e6).alias("duration_seconds"),
+    end = F.when(F.col("resolved"), F.col("end")).otherwise(micros(F.lit(config.analysis_as_of.isoformat(sep=" ")).cast("timestamp_ntz")))
+    return folded.select(
+        config.entity, "scenario_key", "rule_key", "alert_rank", F.col("ordinal").alias("episode_ordinal"), _time(F.col("start")).alias("start_time"), _time(end).alias("end_time"),
+        F.when(F.col("resolved"), "resolved").otherwise("unresolved").alias("episode_status"), F.col("hits").alias("hit_count"), F.size("notes").cast("long").alias("notification_count"), F.col("suppressed").alias("suppressed_count"), ((end - F.col("start")) / 1e6).alias("duration_seconds"),
     )
 
 
@@ -518,7 +539,7 @@ class LifecycleResult:
 
 def monitor_lifecycle(df: DataFrame, config: LifecycleConfig) -> LifecycleResult:
     """All tables of a monitoring run, lazily."""
-    with_signals = signals(df, config)
+    with_signals = signals(df.repartition(F.col(config.entity)), config)  # one exchange before rows multiply by rules
     named = [c for c in (config.exposure, config.probability, config.loss_fraction if isinstance(config.loss_fraction, str) else None, config.observed_loss) if c]
     matrix = rule_matrix(with_signals, config, list(dict.fromkeys([*config.segment_columns, *named])))
     folded = machines(matrix, config)
@@ -532,6 +553,6 @@ def monitor_lifecycle(df: DataFrame, config: LifecycleConfig) -> LifecycleResult
     summary = monitoring_summary(matrix, folded, config)
     return LifecycleResult(
         config, with_signals, matrix, notes, spans, matched, ripe, history, transition_summary(history) if history is not None else None, state_summary(history, config) if history is not None else None,
-        lifecycle_metrics(history, config) if history is not None else None, summary, warning_metrics(matrix, notes, spans, config), overlap_metrics(matrix, config),
+        lifecycle_metrics(history, config) if history is not None else None, summary, warning_metrics(persistent(matrix, config), spans, config), overlap_metrics(matrix, config),
         event_metrics(matrix, notes, matched, ripe, primary_warnings(matrix, config), config), loss_metrics(matrix, config), episode_summary(folded, config), scenario_comparison(summary, config), vintages(df, config),
     )

@@ -6,9 +6,10 @@ episodes and events are small beside it and are counted by scenario and rule.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.measures import absent, amount, first_of, measured, rate
@@ -39,26 +40,81 @@ def persistent_hits(matrix: DataFrame, episodes: DataFrame, config: LifecycleCon
     return matrix.join(shuffled(spans), rule, "left").withColumn("is_persistent", F.coalesce(F.col("truth") & inside, F.lit(False))).drop("_spans")
 
 
-def warning_metrics(matrix: DataFrame, notes: DataFrame, episodes: DataFrame, config: LifecycleConfig, extra: tuple[str, ...] = ()) -> DataFrame:
-    """13 metrics overall, by scenario and rule; the first six by alert level, segments and ``extra`` columns of the matrix too."""
-    rows = persistent_hits(matrix, episodes, config).withColumn("_rank", F.col("alert_rank").cast("string"))
-    labels = [*config.segment_columns, *extra]
+#: Rules whose bits one long holds.
+_WORD = 62
+
+
+def _distinct(rows: DataFrame, config: LifecycleConfig, what: str, flags: Mapping[str, Column], labels: Sequence[str], names: Mapping[str, str]) -> DataFrame:
+    """(scope, scenario_key, rule_key, _rank, *labels, *names): how many values of column ``what`` have a flag in each scope.
+
+    A rule is a bit: rows of an observation become one row with a word of bits a flag, so that what is
+    exchanged by ``what`` does not multiply by rules, scopes and counts.
+    """
+    ranks = dict(config.alert_ranks)
+    rules = [(s.scenario_key, r.rule_key, ranks[r.alert_level]) for s in config.scenarios for r in s.rules if r.enabled]
+    words = range((len(rules) + _WORD - 1) // _WORD)
+    bits = {}
+    for w in words:
+        bit = F.lit(0).cast("long")
+        for i, (s, r, k) in enumerate(rules[w * _WORD : (w + 1) * _WORD]):
+            bit = F.when((F.col("scenario_key") == s) & (F.col("rule_key") == r) & (F.col("alert_rank") == k), F.lit(1 << i).cast("long")).otherwise(bit)
+        bits |= {f"_{f}{w}": F.bit_or(F.when(c, bit).otherwise(F.lit(0).cast("long"))) for f, c in flags.items()}
+    again = {n: F.bit_or(n) for n in bits}
+    own = F.col(f"`{what}`").alias("_what")
+    first = [own, *([F.col(f"`{config.entity}`").alias("_entity")] if what != config.entity else []), *[F.col(f"`{c}`").alias(f"_label{i}") for i, c in enumerate(labels)]]
+    marks = rows.where(own.isNotNull()).groupBy(*first).agg(*[c.alias(n) for n, c in bits.items()]).repartition(F.col("_what"))
+
+    def counts(marked: DataFrame, cells: list[tuple[str, str | None, str | None, int | None, list[int]]], by: str | None, label: str | None) -> DataFrame:
+        def count(flag: str, members: list[int]) -> Column:
+            some = F.lit(False)
+            for w in words:
+                mask = sum(1 << (i - w * _WORD) for i in members if i // _WORD == w)
+                if mask:
+                    some = some | (F.col(f"_{flag}{w}").bitwiseAND(F.lit(mask).cast("long")) != 0)
+            return F.count_if(some)
+
+        wide = marked.groupBy(*([by] if by else [])).agg(*[count(f, m).alias(f"c{i}_{f}") for i, (*_, m) in enumerate(cells) for f in flags])
+        text = lambda v: F.lit(v).cast("string")
+        structs = [F.struct(F.lit(scope).alias("scope"), text(s).alias("scenario_key"), text(r).alias("rule_key"), text(k).alias("_rank"), *[F.col(f"c{i}_{f}").alias(names[f]) for f in flags]) for i, (scope, s, r, k, _) in enumerate(cells)]
+        out = wide.select(*([by] if by else []), F.inline(F.array(*structs)))
+        # the labels of other scopes are null, of their own types
+        return out.select("scope", "scenario_key", "rule_key", "_rank", *[(F.col(by) if c == label else F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in labels], *names.values())
+
+    def held(s: str | None = None, r: str | None = None, k: int | None = None) -> list[int]:
+        return [i for i, x in enumerate(rules) if s in (None, x[0]) and r in (None, x[1]) and k in (None, x[2])]
+
+    scenarios = list(dict.fromkeys(x[0] for x in rules))
+    plain = [("overall", None, None, None, held()), *[("scenario_key", s, None, None, held(s)) for s in scenarios], *[("scenario_key*rule_key", s, r, None, held(s, r)) for s, r in dict.fromkeys(x[:2] for x in rules)]]
+    plain += [("scenario_key*_rank", s, None, k, held(s, None, k)) for s, k in dict.fromkeys((x[0], x[2]) for x in rules)]
+    out = counts(marks.groupBy("_what").agg(*[c.alias(n) for n, c in again.items()]), plain, None, None)
+    for i, c in enumerate(labels):
+        cells = [(f"scenario_key*{c}", s, None, None, held(s)) for s in scenarios]
+        out = out.unionByName(counts(marks.groupBy("_what", f"_label{i}").agg(*[v.alias(n) for n, v in again.items()]), cells, f"_label{i}", c))
+    return out
+
+
+def warning_metrics(matrix: DataFrame, episodes: DataFrame, config: LifecycleConfig, extra: tuple[str, ...] = ()) -> DataFrame:
+    """13 metrics overall, by scenario and rule; the first six by alert level, segments and ``extra`` columns of the matrix too.
+
+    ``matrix`` has is_persistent, of ``lifecycle.persistent`` or ``persistent_hits``.
+    """
+    rows = matrix.withColumn("_rank", F.col("alert_rank").cast("string"))
+    labels = list(dict.fromkeys([*config.segment_columns, *extra]))
     keys = ["scenario_key", "rule_key", "_rank", *labels]
     sets = [[], ["scenario_key"], ["scenario_key", "rule_key"], *[["scenario_key", k] for k in ("_rank", *labels)]]
-    key, entity = F.col(f"`{config.key}`"), F.col(f"`{config.entity}`")
     active, hit = F.col("status") != "inactive", F.coalesce(F.col("truth"), F.lit(False))
-    distinct = lambda c, w: F.count_distinct(F.when(w, c))
-    cells = {
-        "active": F.count_if(active), "hits": F.count_if(active & hit), "rows": distinct(key, active), "hit_rows": distinct(key, active & hit), "entities": distinct(entity, active), "warned": distinct(entity, active & hit),
-        "persistent": distinct(key, active & F.col("is_persistent")),
-    }
-    wide = scoped(rows, keys, sets, cells)
-    sent = scoped(notes, ["scenario_key", "rule_key"], sets[:3], {"notes": F.count(F.lit(1))})
+    counted = rows.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count_if(active).alias("active"), F.count_if(active & hit).alias("hits"))
+    wide = scoped(counted, keys, sets, {"active": F.sum("active"), "hits": F.sum("hits")})
+    by_key = _distinct(rows, config, config.key, {"rows": active, "hit": active & hit, "persistent": active & F.col("is_persistent")}, labels, {"rows": "rows", "hit": "hit_rows", "persistent": "persistent"})
+    by_entity = _distinct(rows, config, config.entity, {"seen": active, "warned": active & hit}, labels, {"seen": "entities", "warned": "warned"})
+    for part in (by_key, by_entity):
+        renamed = part.select(*[F.col(f"`{c}`").alias(f"_other_{c}") for c in ("scope", *keys)], *[c for c in part.columns if c not in ("scope", *keys)])
+        wide = wide.join(F.broadcast(renamed), [F.col(f"`{c}`").eqNullSafe(F.col(f"`_other_{c}`")) for c in ("scope", *keys)], "left").drop(*[f"_other_{c}" for c in ("scope", *keys)])  # a row a scope
+    cells = ("active", "hits", "rows", "hit_rows", "entities", "warned", "persistent")
     open_ = F.col("episode_status") == "unresolved"
-    lasted = scoped(episodes, ["scenario_key", "rule_key"], sets[:3], {"episodes": F.count(F.lit(1)), "open": F.count_if(open_), "seconds": F.sum("duration_seconds"), "middle": F.percentile("duration_seconds", F.lit(0.5))})
+    lasted = scoped(episodes, ["scenario_key", "rule_key"], sets[:3], {"notes": F.sum("notification_count"), "episodes": F.count(F.lit(1)), "open": F.count_if(open_), "seconds": F.sum("duration_seconds"), "middle": F.percentile("duration_seconds", F.lit(0.5))})
     on = lambda other: [wide["scope"] == other["scope"], wide["scenario_key"].eqNullSafe(other["scenario_key"]), wide["rule_key"].eqNullSafe(other["rule_key"])]
-    joined = wide.join(F.broadcast(sent), on(sent), "left").drop(sent["scope"], sent["scenario_key"], sent["rule_key"])  # a row a scenario and rule
-    joined = joined.join(F.broadcast(lasted), on(lasted), "left").drop(lasted["scope"], lasted["scenario_key"], lasted["rule_key"])
+    joined = wide.join(F.broadcast(lasted), on(lasted), "left").drop(lasted["scope"], lasted["scenario_key"], lasted["rule_key"])  # a row a scenario and rule
     c = {n: F.coalesce(F.col(n), F.lit(0)) for n in (*cells, "notes", "episodes", "open", "seconds")}
     metrics = {
         "warning_hit_count": amount(c["hits"], c["active"]), "warning_observation_rate": rate(c["hit_rows"], c["rows"], c["rows"]), "warned_entity_count": amount(c["warned"], c["entities"]), "warned_entity_rate": rate(c["warned"], c["entities"], c["entities"]),

@@ -474,3 +474,33 @@ def test_joins_that_grow_with_the_panel_are_never_broadcast(spark, tmp_path):
         plan = out._jdf.queryExecution().sparkPlan().toString().splitlines()
         assert any("SortMergeJoin" in line for line in plan)
         assert not [line for line in plan if "BroadcastHashJoin" in line and ("entity#" in line or "[k#" in line)]  # joins by scenario have a row a scenario
+
+
+def test_warning_metrics_count_distinct_values_without_multiplying_rows(spark):
+    from gristmill.operators.monitoring_tables import persistent_hits, warning_metrics
+
+    rng, rows = random.Random(11), []
+    for i in range(160):  # keys that repeat over entities, missing keys and labels, equal times, times after the analysis
+        rows.append((rng.choice([None, *range(60)]), rng.choice(["a", "b", None]), dt.datetime(2024, 1, 1) + rng.randrange(12) * DAY, rng.choice([0.0, 2.0, 5.0, None]), rng.choice(["x", "y", None])))
+    df = spark.createDataFrame(rows, "k long, entity string, at timestamp_ntz, v double, seg string")
+    over = lambda x: Condition(operator="gt", left="v", right=x)
+    rules = [lifecycle.WarningRule("r", 1, "low", over(1.0), 2, 2), lifecycle.WarningRule("q", 2, "high", over(3.0), cooldown=2 * DAY)]
+    config = config_of(rules, segment_columns=("seg",), alert_ranks=(("low", 1), ("high", 2)), analysis_as_of=dt.datetime(2024, 1, 9))
+    matrix = lifecycle.rule_matrix(df, config, ("seg",)).localCheckpoint()
+    spans = lifecycle.episodes(lifecycle.machines(matrix, config), config).localCheckpoint()
+    flagged = lifecycle.persistent(matrix, config)
+    shown = ["entity", "k", "at", "seg", "rule_key", "truth", "is_persistent"]
+    text = lambda out: sorted(map(str, out.where("entity is not null").select(*shown).collect()))
+    assert text(flagged) == text(persistent_hits(matrix, spans, config))
+    held, out = flagged.collect(), warning_metrics(flagged, spans, config)
+    assert "gid" not in out._jdf.queryExecution().optimizedPlan().toString()  # no copy of a row for each distinct count
+    for r in out.where("metric in ('warning_observation_rate', 'warned_entity_rate', 'persistent_warning_rate', 'warning_hit_count')").collect():
+        label = r["scope"].split("*")[-1]
+        own = [m for m in held if (r["rule_key"] or m["rule_key"]) == m["rule_key"] and (label != "alert_rank" or str(m["alert_rank"]) == r["alert_rank"]) and (label != "seg" or m["seg"] == r["seg"]) and m["status"] != "inactive"]
+        hits = [m for m in own if m["truth"]]
+        distinct = lambda ms, c: len({m[c] for m in ms} - {None})
+        want = {"warning_observation_rate": (distinct(hits, "k"), distinct(own, "k")), "warned_entity_rate": (distinct(hits, "entity"), distinct(own, "entity")), "persistent_warning_rate": (distinct([m for m in own if m["is_persistent"]], "k"), distinct(own, "k"))}
+        if r["metric"] == "warning_hit_count":
+            assert (r["value"], r["support"]) == (len(hits), len(own))
+        else:
+            assert (r["numerator"], r["denominator"]) == want[r["metric"]], r
