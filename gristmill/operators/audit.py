@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import correlation, finite, infinite, is_categorical, is_datetime, is_floating, is_numeric, present, ratio
+from ..plans.distinct import _SALT
 from ..plans.quantiles import quantiles
 from ..plans.scopes import scoped
 from ..plans.shapes import check_columns, small, tall
@@ -117,17 +118,28 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """(column, missing, unique, top, shares, empty and blank strings): one shuffle of value counts for all columns."""
+    """(column, missing, unique, top, shares, empty and blank strings): one shuffle of value counts for all columns.
+
+    A value travels as its column's number and a hash.  One of 64 bits is one to one on whole numbers, dates
+    and times without zone; all else goes by 128 bits of its text, as in ``plans.distinct``.
+    """
     kinds = _kinds(df)
-    counted = frequencies(df, df.columns, order_by)
-    there = F.col("value").isNotNull()
-    n = F.col("n")
-    text = F.create_map(*[F.lit(x) for c in df.columns for x in (c, isinstance(kinds[c], T.StringType))])
-    is_text = text[F.col("column")]
-    out = counted.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(~there, n)), F.lit(0)).alias("missing"), F.count("value").alias("unique"), F.coalesce(F.max(F.when(there, n)), F.lit(0)).alias("top_count"), F.count_if(there & (n == 1)).alias("singletons"),
-        F.coalesce(F.sum(F.when(is_text & (F.col("value") == ""), n)), F.lit(0)).alias("empty_strings"), F.coalesce(F.sum(F.when(is_text & (F.col("value") != "") & (F.trim("value") == ""), n)), F.lit(0)).alias("blank_strings"),
+    cells = []
+    for i, c in enumerate(df.columns):
+        x, kind = present(c, kinds[c]), kinds[c]
+        exact = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.TimestampNTZType))
+        v = x if exact else x.cast("string")
+        text = F.when(x == "", F.lit(2)).when(F.trim(x) == "", F.lit(3)).otherwise(F.lit(1)) if isinstance(kind, T.StringType) else F.lit(1)
+        what = F.when(v.isNull(), F.lit(0)).otherwise(text)  # missing, filled, empty, blank
+        cells.append(F.struct(F.lit(i).alias("i"), what.alias("what"), F.xxhash64(v).alias("a"), (F.lit(0).cast("long") if exact else F.xxhash64(F.lit(_SALT), v)).alias("b")))
+    counted = df.select(F.inline(F.array(*cells))).groupBy("i", "what", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    there, n = F.col("what") > 0, F.col("n")
+    total = lambda w: F.coalesce(F.sum(F.when(w, n)), F.lit(0))
+    grouped = counted.groupBy("i").agg(
+        F.sum("n").alias("rows"), total(~there).alias("missing"), F.count_if(there).alias("unique"), F.coalesce(F.max(F.when(there, n)), F.lit(0)).alias("top_count"), F.count_if(there & (n == 1)).alias("singletons"),
+        total(F.col("what") == 2).alias("empty_strings"), total(F.col("what") == 3).alias("blank_strings"),
     )
+    out = grouped.withColumn("column", F.array(*[F.lit(c) for c in df.columns])[F.col("i")])
     filled = F.col("rows") - F.col("missing")
     return out.select(
         "column", "rows", "missing", ratio(F.col("missing"), F.col("rows")).alias("missing_rate"), "unique", "top_count", ratio(F.col("top_count"), filled).alias("top_share"), "singletons", "empty_strings", "blank_strings",
@@ -258,12 +270,18 @@ def schema_drift(reference: DataFrame, current: DataFrame) -> DataFrame:
 def collinearity(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = COLLINEAR) -> DataFrame:
     kinds = _kinds(df)
     names = (list(columns) if columns is not None else [c for c in df.columns if is_numeric(kinds[c])])[:50]
-    cells = {}
-    for a, b in combinations(names, 2):
-        x, y = finite(a, kinds[a]), finite(b, kinds[b])
-        cells[f"{a}\0{b}"] = {"n": F.count_if(x.isNotNull() & y.isNotNull()), "correlation": correlation(x, y)}
-    out = tall(df, cells, "pair").where((F.col("n") >= PAIR_ROWS) & (F.abs("correlation") >= threshold))
-    return out.select(F.split("pair", "\0")[0].alias("left"), F.split("pair", "\0")[1].alias("right"), "n", "correlation")
+    pairs = list(combinations(names, 2))
+    if not pairs:
+        raise ValueError("no columns to aggregate")
+    # a row a pair, under one small aggregate: one of all pairs is past what the JVM compiles
+    values = df.select(*[finite(n, kinds[n]).alias(f"v{i}") for i, n in enumerate(names)])
+    at = {n: F.col(f"v{i}") for i, n in enumerate(names)}
+    rows = values.select(F.inline(F.array(*[F.struct(F.lit(i).alias("pair"), at[a].alias("x"), at[b].alias("y")) for i, (a, b) in enumerate(pairs)])))
+    x, y = F.col("x"), F.col("y")
+    found = rows.where(x.isNotNull() & y.isNotNull()).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), correlation(x, y).alias("correlation"))
+    out = found.where((F.col("n") >= PAIR_ROWS) & (F.abs("correlation") >= threshold))
+    left, right = (F.array(*[F.lit(p[side]) for p in pairs])[F.col("pair")] for side in (0, 1))
+    return out.select(left.alias("left"), right.alias("right"), "n", "correlation")
 
 
 def rule_violations(df: DataFrame, rules: Sequence[ColumnAuditRule], order_by: str | None = None, group: str | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-made values, brute force and invariances of the engine's operators."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 import gristmill as g
 from gristmill.functions.special import chi2_sf, pearson_p
-from gristmill.operators import analysis, governance, lifecycle, metrics, modeling, plotdata, profile, quality, risk, strategy
+from gristmill.operators import analysis, audit, governance, lifecycle, metrics, modeling, plotdata, profile, quality, risk, strategy
 from gristmill.plans.conditions import Condition, compile_condition, within_window
 from gristmill.plans.ordered import average_ranks, running_sums
 from gristmill.plans.quantiles import quantiles
@@ -504,3 +505,19 @@ def test_warning_metrics_count_distinct_values_without_multiplying_rows(spark):
             assert (r["value"], r["support"]) == (len(hits), len(own))
         else:
             assert (r["numerator"], r["denominator"]) == want[r["metric"]], r
+
+
+def test_collinearity_and_column_counts_do_not_grow_their_aggregates(spark):
+    rng = random.Random(5)
+    rows = [(i, float(i % 7), 2.0 * (i % 7), rng.choice([None, math.nan, 1.0, -0.0, 0.0]), rng.choice(["", " ", "a", None]), dt.datetime(2024, 1, 1 + i % 5), 1) for i in range(90)]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double, s string, at timestamp_ntz, one int")
+    out = audit.collinearity(df)
+    assert out.select("left", "right", "n").collect() == [("a", "b", 90)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("covar_pop(") == 1  # one small aggregate for all pairs: a large one is not compiled
+    for r in audit.column_profile(df, "i").collect():
+        values = [v[df.columns.index(r["column"])] for v in rows]
+        seen = [repr(v) for v in values if v is not None and v == v]
+        counts = [seen.count(v) for v in set(seen)]
+        assert (r["rows"], r["missing"], r["unique"], r["top_count"], r["singletons"]) == (90, 90 - len(seen), len(counts), max(counts), counts.count(1))
+        assert (r["empty_strings"], r["blank_strings"]) == (values.count(""), values.count(" "))
